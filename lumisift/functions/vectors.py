@@ -85,18 +85,12 @@ def histogram(values: Column | str, bins: int, low: float = 0.0, high: float = 2
     """Counts per equal-width bin of [low, high); the last bin is closed."""
     v = col(values)
     step = (high - low) / bins
-    return F.array(
-        *[
-            F.size(
-                F.filter(
-                    v,
-                    lambda x, b=b: (F.floor((x.cast("double") - low) / step) == b)
-                    | (F.lit(b == bins - 1) & (x.cast("double") == high)),
-                )
-            ).cast("double")
-            for b in range(bins)
-        ]
-    )
+
+    def falls_in(b: int):
+        closing = F.lit(b == bins - 1)
+        return lambda x: (F.floor((x.cast("double") - low) / step) == b) | (closing & (x.cast("double") == high))
+
+    return F.array(*[F.size(F.filter(v, falls_in(b))).cast("double") for b in range(bins)])
 
 
 def visual_vector(grid: Column | str, channels: list[Column], bins: int = 8, scale: float = 1.0) -> Column:

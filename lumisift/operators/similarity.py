@@ -385,7 +385,10 @@ def hamming_pairs(
     stored = points.select(
         "_id", *by, "_h", F.explode(F.array(*[entry(k, band(F.col("_h"), k)) for k in range(bands)])).alias("_b")
     )
-    probes = [F.transform(flips(band(F.col("_h"), k), k), lambda v, k=k: entry(k, v)) for k in range(bands)]
+    def named(k: int):
+        return lambda v: entry(k, v)
+
+    probes = [F.transform(flips(band(F.col("_h"), k), k), named(k)) for k in range(bands)]
     asking = points.select(
         F.col("_id").alias("_id2"), *by, F.col("_h").alias("_h2"), F.explode(F.array_distinct(F.concat(*probes))).alias("_b")
     )
