@@ -57,28 +57,23 @@ def bit_difference(a: Column | str, b: Column | str) -> Column:
     return differing / F.size(a)
 
 
-def _pairs(width: int, height: int) -> list[tuple[int, int]]:
-    """Zero-based positions of horizontal neighbours, row by row."""
-    return [(r * width + c, r * width + c + 1) for r in range(height) for c in range(width - 1)]
+def _neighbours(grid: Column | str, width: int, height: int, compare) -> Column:
+    """``compare(left, right)`` for horizontal neighbours, row by row. The grid is read twice, not once per cell."""
+    g, n = col(grid), width * height
+    every = F.zip_with(F.slice(g, 1, n - 1), F.slice(g, 2, n - 1), compare)
+    # the last cell of a row has no right neighbour
+    return F.filter(every, lambda _, i: (i + 1) % width != 0)
 
 
 def dhash(grid: Column | str, width: int = 9, height: int = 8) -> Column:
     """Difference hash: one bit per horizontal neighbour pair, set when the left value is larger, first pair highest."""
-    g = col(grid)
-    steps = F.transform(
-        F.array(*[F.lit(left) for left, _ in _pairs(width, height)]),
-        lambda i: (F.get(g, i) > F.get(g, i + 1)).cast("long"),
-    )
-    return F.aggregate(steps, F.lit(0).cast("long"), lambda acc, b: F.shiftleft(acc, 1).bitwiseOR(b))
+    bits = _neighbours(grid, width, height, lambda left, right: (left > right).cast("long"))
+    return F.aggregate(bits, F.lit(0).cast("long"), lambda acc, b: F.shiftleft(acc, 1).bitwiseOR(b))
 
 
 def phash(grid: Column | str, width: int = 17, height: int = 16) -> Column:
     """Perceptual hash as a 0/1 array, set when the right value is larger."""
-    g = col(grid)
-    return F.transform(
-        F.array(*[F.lit(left) for left, _ in _pairs(width, height)]),
-        lambda i: (F.get(g, i + 1) > F.get(g, i)).cast("tinyint"),
-    )
+    return _neighbours(grid, width, height, lambda left, right: (right > left).cast("tinyint"))
 
 
 def histogram(values: Column | str, bins: int, low: float = 0.0, high: float = 256.0) -> Column:

@@ -5,11 +5,13 @@ from __future__ import annotations
 from functools import reduce
 from typing import Iterable
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import Category, check_size, lookup
-from ..functions.names import basename, folder_of, normalize_path, stem
+from ..functions.names import normalize_path, stem
 from ..functions.numbers import col, half_even
 
 
@@ -338,9 +340,6 @@ def match_faces(
     The distance of every face to every reference is computed in the scan of ``faces``; only one small row per face
     is shuffled.
     """
-    import numpy as np
-    import pandas as pd
-
     rows = references.select("person", "enc").limit(max_references + 1).collect()
     if len(rows) > max_references:
         raise ValueError("too many reference encodings for one matrix; split the persons into several calls")
@@ -349,6 +348,8 @@ def match_faces(
 
     @F.pandas_udf("struct<near: double, persons: array<string>>")
     def compare(enc: pd.Series) -> pd.DataFrame:
+        if not len(enc):
+            return pd.DataFrame({"near": [], "persons": []})
         data = np.stack([np.asarray(e, dtype="float64") for e in enc])
         # one reference at a time keeps the batch at rows x dimension
         dist = np.stack([np.sqrt(((data - ref) ** 2).sum(axis=1)) for ref in matrix], axis=1)

@@ -101,7 +101,11 @@ def train_preference(
             return PreferenceModel(None, 0.0, form)
         weights, bias = [0.0] * len(columns), 0.0
         for _ in range(rounds):
-            z = reduce(lambda a, b: a + b, [F.col(f) * w for f, w in zip(names, weights)], F.lit(bias))
+            # one array literal keeps the generated code the same in every round
+            known = F.lit([bias, *weights])
+            z = reduce(
+                lambda a, b: a + b, [F.col(f) * F.get(known, i + 1) for i, f in enumerate(names)], F.get(known, 0)
+            )
             error = sigmoid(z) * F.col("n") - F.col("likes")
             step = data.withColumn("_e", error).agg(
                 *[F.sum(F.col("_e") * F.col(f)) for f in names], F.sum("_e")

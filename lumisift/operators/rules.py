@@ -8,8 +8,8 @@ from typing import Iterable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..config import Category, Rule, check_size, lookup
-from ..functions.names import STOP_WORDS, basename, folder_of, normalize_path
+from ..config import Category, Rule, check_size
+from ..functions.names import STOP_WORDS, folder_of, normalize_path
 from ..functions.numbers import col
 from .joins import keyword_match
 
@@ -21,35 +21,50 @@ FACE_POINTS_WITH_KEYWORD, FACE_POINTS_ALONE, FACE_POINTS_OUTSIDE = 5, 2, -8
 BONUS_POINTS, DEFAULT_POINTS, GATED_SCORE = 3, 3, -999
 
 
-def _words(tag: Column) -> Column:
-    """A tag itself and its words."""
-    return F.array_append(F.split(tag, " "), tag)
+def _matches(tag: str, words: Iterable[str]) -> bool:
+    return any(w == tag or w in tag.split() for w in words)
 
 
-def _tag_hits(tags: Column, words: Iterable[str]) -> Column:
-    """Tags equal to one of the words or having one as a token."""
-    listed = [F.lit(w) for w in words]
+def _known_hits(tags: Column, family: Iterable[str], words: Iterable[str]) -> Column | None:
+    """Number of the row's tags that belong to the given vocabulary tags and match a word; which of them match is
+    settled while the plan is built. None when no tag of the vocabulary can match."""
+    matching = [t for t in family if _matches(t, words)]
+    if not matching:
+        return None
+    return F.size(F.filter(tags, lambda t: t.isin(*matching)))
+
+
+def _other_hits(tags: Column, vocabulary: Iterable[str], words: Iterable[str]) -> Column | None:
+    """Number of matching tags outside the vocabulary."""
+    listed, known = list(words), list(vocabulary)
     if not listed:
-        return F.filter(tags, lambda _: F.lit(False))
-    wanted = F.array(*listed)
-    return F.filter(tags, lambda t: F.arrays_overlap(_words(t), wanted))
+        return None
+    wanted = F.array(*[F.lit(w) for w in listed])
 
+    def hit(t: Column) -> Column:
+        return F.arrays_overlap(F.array_append(F.split(t, " "), t), wanted)
 
-def _text_hits(text: Column, words: Iterable[str]) -> Column:
-    tests = [F.contains(text, F.lit(w)).cast("int") for w in words]
-    return reduce(lambda a, b: a + b, tests) if tests else F.lit(0)
+    return F.size(F.filter(tags, (lambda t: ~t.isin(*known) & hit(t)) if known else hit))
 
 
-def _family_points(hits: Column, families: dict[str, str]) -> Column:
-    """Ten points for the first two hits of a family, three for each further one."""
-    kinds = F.transform(hits, lambda t: F.coalesce(lookup(t, families, "tag families"), F.lit("")))
+def _tag_hits(tags: Column, words: Iterable[str], families: dict[str, str]) -> tuple[Column, Column]:
+    """(number of matching tags, their points): ten for the first two of a family, three for each further one."""
+    words = list(words)
+    groups: dict[str, list[str]] = {}
+    for tag, family in families.items():
+        groups.setdefault(family, []).append(tag)
+    counts = [_known_hits(tags, g, words) for g in groups.values()] + [_other_hits(tags, families, words)]
+    hits, points = F.lit(0), F.lit(0)
+    for n in counts:
+        if n is not None:
+            full = F.least(n, F.lit(TAG_FULL_PER_FAMILY))
+            hits, points = hits + n, points + full * TAG_POINTS + (n - full) * TAG_OVERFLOW_POINTS
+    return hits, points
 
-    def points(kind: Column) -> Column:
-        n = F.size(F.filter(kinds, lambda k: k == kind))
-        full = F.least(n, F.lit(TAG_FULL_PER_FAMILY))
-        return full * TAG_POINTS + (n - full) * TAG_OVERFLOW_POINTS
 
-    return F.aggregate(F.array_distinct(kinds), F.lit(0), lambda acc, k: acc + points(k))
+def _text_hits(text: Column, words: Iterable[str]) -> Column:
+    tests = [F.contains(text, F.lit(w)).cast("int") for w in words]
+    return reduce(lambda a, b: a + b, tests) if tests else F.lit(0)
 
 
 def rule_scores(
@@ -80,10 +95,10 @@ def rule_scores(
 
     entries = []
     for i, r in enumerate(listed):
-        hits = _tag_hits(tag_list, r.keywords)
-        n_tags, n_path = F.size(hits), _text_hits(text, r.keywords)
+        n_tags, tag_points = _tag_hits(tag_list, r.keywords, families)
+        n_path = _text_hits(text, r.keywords)
         any_hit = n_tags + n_path > 0
-        excluded = F.size(_tag_hits(tag_list, r.excludes)) + _text_hits(text, r.excludes)
+        excluded = _tag_hits(tag_list, r.excludes, families)[0] + _text_hits(text, r.excludes)
         face_points = F.lit(0)
         if r.face_min is not None and r.face_max is not None:
             inside = F.when(any_hit, FACE_POINTS_WITH_KEYWORD).otherwise(FACE_POINTS_ALONE)
@@ -99,7 +114,7 @@ def rule_scores(
             bonus = bonus + F.when(sharp <= r.max_sharpness, BONUS_POINTS).otherwise(0)
         bonus = F.when(any_hit, bonus).otherwise(0)
         score = (
-            _family_points(hits, families) + n_path * path_points + excluded * EXCLUSION_POINTS + face_points + bonus
+            tag_points + n_path * path_points + excluded * EXCLUSION_POINTS + face_points + bonus
             + (DEFAULT_POINTS if r.is_default else 0)
         )
         if r.min_tag_hits:
@@ -175,7 +190,7 @@ def categorize_heuristic(
         title = [w for w in c.label.lower().split() if len(w) > 3 and w not in STOP_WORDS]
         words = [*c.keywords, *title]
         if words:
-            value = F.size(_tag_hits(tag_list, words)) * TAG_POINTS + _text_hits(text, words) * points
+            value = _tag_hits(tag_list, words, families)[0] * TAG_POINTS + _text_hits(text, words) * points
             scored.append(F.struct(value.alias("score"), F.lit(-i).alias("ord"), F.lit(c.id).alias("id")))
     if scored:
         best = F.array_max(F.array(*scored))

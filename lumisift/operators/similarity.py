@@ -143,7 +143,7 @@ def _self_tasks(rows: DataFrame, by: list[str], pivots: np.ndarray | None, radiu
     else:
         cells = _assign(pivots, radius, upward=True)
         placed = rows.withColumn("_cells", cells("_v")).select(
-            "_id", *by, "_v", F.posexplode("_cells").alias("_pos", "_cell")
+            "_id", *by, "_v", F.posexplode_outer("_cells").alias("_pos", "_cell")
         ).withColumn("_home", F.col("_pos") == 0).drop("_pos")
     keys = [*by, "_cell"]
     sizes = placed.groupBy(*[F.col(k).alias(f"_s{k}") for k in keys]).agg(
@@ -293,7 +293,7 @@ def _between_tasks(
     else:
         cells = _assign(pivots, radius, upward=False)
         a = left.withColumn("_cell", F.get(cells("_v"), 0))
-        b = right.withColumn("_cell", F.explode(cells("_v")))
+        b = right.withColumn("_cell", F.explode_outer(cells("_v")))
     both = a.withColumn("_side", F.lit(0)).unionByName(b.withColumn("_side", F.lit(1)))
     keys = [*by, "_cell"]
     sizes = both.groupBy(*[F.col(k).alias(f"_s{k}") for k in keys]).agg(
@@ -359,6 +359,8 @@ def hamming_pairs(
 ) -> DataFrame:
     """Pairs a_id < b_id whose hashes differ in at most ``threshold`` bits; exact by the pigeonhole principle.
 
+    Outer explodes keep Spark from copying the band expressions into an inferred filter below.
+
     The bits are cut into bands. With m bands some band differs in at most threshold // m bits, so each row probes
     the other rows' band values within that many flips: none with threshold + 1 bands, one with half as many and
     wider (hence more selective) bands. A pair is kept only in its first matching band. Equal hashes collapse first
@@ -383,14 +385,14 @@ def hamming_pairs(
         return F.struct(F.lit(k).alias("k"), v.alias("v"))
 
     stored = points.select(
-        "_id", *by, "_h", F.explode(F.array(*[entry(k, band(F.col("_h"), k)) for k in range(bands)])).alias("_b")
+        "_id", *by, "_h", F.explode_outer(F.array(*[entry(k, band(F.col("_h"), k)) for k in range(bands)])).alias("_b")
     )
     def named(k: int):
         return lambda v: entry(k, v)
 
     probes = [F.transform(flips(band(F.col("_h"), k), k), named(k)) for k in range(bands)]
     asking = points.select(
-        F.col("_id").alias("_id2"), *by, F.col("_h").alias("_h2"), F.explode(F.array_distinct(F.concat(*probes))).alias("_b")
+        F.col("_id").alias("_id2"), *by, F.col("_h").alias("_h2"), F.explode_outer(F.array_distinct(F.concat(*probes))).alias("_b")
     )
     joined = stored.join(asking, [*by, "_b"]).filter(F.col("_id") < F.col("_id2"))
     earlier = F.lit(False)
@@ -431,14 +433,14 @@ def hamming_best(
     def entry(k: int, v: Column) -> Column:
         return F.struct(F.lit(k).alias("k"), v.alias("v"))
 
-    own = points.withColumn("_b", F.explode(F.array(*[entry(k, band(F.col("_h"), k)) for k in range(bands)])))
+    own = points.withColumn("_b", F.explode_outer(F.array(*[entry(k, band(F.col("_h"), k)) for k in range(bands)])))
     probes = []
     for k in range(bands):
         value = band(F.col("_h2"), k)
         probes += [entry(k, value)] + [
             entry(k, value.bitwiseXOR(F.lit(1 << s))) for s in range(edges[k + 1] - edges[k])
         ]
-    asking = values.withColumn("_b", F.explode(F.array(*probes)))
+    asking = values.withColumn("_b", F.explode_outer(F.array(*probes)))
     joined = own.join(asking, "_b").withColumn("_d", F.bit_count(F.col("_h").bitwiseXOR(F.col("_h2"))))
     hits = joined.filter(F.col("_d") <= threshold)
     if exclude_same:
@@ -462,7 +464,7 @@ def bit_array_pairs(df: DataFrame, key: str, bits: str, share: float = 0.12, len
     def band(a: Column, k: int) -> Column:
         return F.array_join(F.slice(a, edges[k] + 1, edges[k + 1] - edges[k]), "")
 
-    keyed = points.select("_id", *by, "_a", F.posexplode(F.array(*[band(F.col("_a"), k) for k in range(bands)])).alias("_k", "_s"))
+    keyed = points.select("_id", *by, "_a", F.posexplode_outer(F.array(*[band(F.col("_a"), k) for k in range(bands)])).alias("_k", "_s"))
     other = keyed.select(F.col("_id").alias("_id2"), *by, F.col("_a").alias("_a2"), "_k", "_s")
     joined = keyed.join(other, [*by, "_k", "_s"]).filter(F.col("_id") < F.col("_id2"))
     differs = F.aggregate(F.zip_with("_a", "_a2", lambda x, y: (x != y).cast("int")), F.lit(0), lambda acc, x: acc + x)

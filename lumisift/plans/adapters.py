@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.vectors import norm
+from ..functions.vectors import unit_normalize
 
 # Test vocabulary: family, then its tags.
 VOCABULARY = {
@@ -160,10 +160,9 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     copies = (
         raw.withColumn("_a", amplitude).filter(F.col("_a").isNotNull())
-        .withColumn("_m", moved).withColumn("_n", norm("_m"))
+        .withColumn("_m", moved)
         .select(
-            (F.col("vec_id") + 1_000_000).alias("vec_id"),
-            F.transform("_m", lambda x: (x / F.col("_n")).cast("float")).alias("v"), "label",
+            (F.col("vec_id") + 1_000_000).alias("vec_id"), unit_normalize("_m").cast("array<float>").alias("v"), "label",
             F.col("vec_id").alias("planted_from"),
         )
     )

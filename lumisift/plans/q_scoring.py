@@ -224,7 +224,34 @@ def r14(spark, d):
     return df.select("asset_id", *[(F.round(c, 9) if n.startswith("capped") else c).alias(n) for n, c in forms.items()])
 
 
-@query("g23_train_preference")
+def _descent(features: list[str], rounds: int = 80) -> str:
+    """Recursive SQL: one row per round with the coefficients as a list, bias first."""
+    k = len(features)
+    xs = ", ".join(f"{e} AS x{i}" for i, e in enumerate(features))
+    z = " + ".join(["w[1]"] + [f"w[{i + 2}] * x{i}" for i in range(k)])
+    grads = ", ".join(["sum(e)"] + [f"sum(e * x{i})" for i in range(k)])
+    return f"""
+, x AS (SELECT asset_id, preference, CASE preference WHEN 'like' THEN 1e0 ELSE 0e0 END AS y, {xs} FROM assets),
+fit AS (SELECT 0 AS i, list_transform(range(0, {k + 1}), lambda j: 0e0) AS w
+  UNION ALL SELECT i + 1, list_transform(range(1, {k + 2}), lambda j: w[j] - 0.5e0 * g[j] / n) FROM (
+    SELECT i, w, [{grads}] AS g, count(*) AS n FROM (
+      SELECT i, w, x.*, 1 / (1 + exp(-greatest(-10e0, least(10e0, {z})))) - y AS e FROM fit, x WHERE i < {rounds} AND preference IS NOT NULL) GROUP BY i, w)),
+coef AS (SELECT w FROM fit WHERE i = {rounds}),
+p AS (SELECT x.*, 1 / (1 + exp(-greatest(-10e0, least(10e0, {z})))) AS p FROM x, coef)
+"""
+
+
+_FEATURES = [
+    *[f"{c} / 100" for c in ("resolution", "sharpness", "noise", "compression", "color", "exposure", "focus")],
+    "coalesce(composite, 50) / 100", "least(face_count / 5e0, 1)", "CAST(has_target_face AS INT)", "coalesce(1 - face_distance, 0.5e0)",
+    "least(size_kb / 5000e0, 1)", "CAST(media_type = 'video' AS INT)",
+]
+_VIEW_FEATURES = [
+    *_FEATURES[:7], "distortion / 100", *_FEATURES[7:11], "size_kb / 5000e0", "CAST(width AS DOUBLE) * height / 2e7", _FEATURES[12],
+]
+
+
+@query("g23_train_preference", _descent(_FEATURES) + "SELECT asset_id, preference, round(p, 6) AS probability FROM p", uses=("assets",), recursive=True)
 def g23(spark, d):
     df = a.assets_doc(spark, d)
     model = preference.train_preference(df)

@@ -49,7 +49,8 @@ def expand_equal(df, pairs, column):
 
 
 @query("j6_semantic_pairs", """
-SELECT a_id, b_id, round(score, 6) AS score FROM pairs WHERE score >= 0.93""", uses=("pairs",))
+SELECT a.vec_id AS a_id, b.vec_id AS b_id, round(list_cosine_similarity(CAST(a.v AS DOUBLE[]), CAST(b.v AS DOUBLE[])), 6) AS score
+FROM vectors a JOIN vectors b ON a.vec_id < b.vec_id WHERE list_cosine_similarity(CAST(a.v AS DOUBLE[]), CAST(b.v AS DOUBLE[])) >= 0.93""", uses=("vectors",))
 def j6(spark, d):
     df = a.vectors(spark, d).select("vec_id", F.transform("v", lambda x: x * 3.0).alias("v"))
     zero = df.limit(1).select(F.lit(-1).cast("long").alias("vec_id"), F.transform("v", lambda x: x * 0.0).alias("v"))
@@ -124,7 +125,7 @@ def j21(spark, d):
 fill AS (SELECT *, row_number() OVER (PARTITION BY vec_id, family ORDER BY score DESC, ord) AS fam_n FROM sim WHERE score >= 0.1 AND score < 0.25),
 capped AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, ord) AS n FROM fill WHERE NOT (family = 'people' AND fam_n > 2) AND NOT (family = 'activity' AND fam_n > 4)),
 chosen AS (SELECT vec_id, tag, score, ord FROM sim WHERE score >= 0.25 UNION ALL SELECT c.vec_id, tag, score, ord FROM capped c LEFT JOIN strong s USING (vec_id) WHERE c.n <= 5 - coalesce(s.n, 0))
-SELECT vec_id, coalesce(string_agg(tag, ',' ORDER BY score DESC, ord), '') AS tags, coalesce(string_agg(concat(tag, '=', printf('%.4f', round_even(score * 10000, 0) / 10000)), ' ' ORDER BY score DESC, ord), '') AS scores
+SELECT vec_id, coalesce(string_agg(tag, ',' ORDER BY score DESC, ord), '') AS tags, coalesce(string_agg(concat(tag, '=', printf('%.4f', round_even(score * 10000, 0) / 10000)), ' ' ORDER BY score DESC, ord) FILTER (tag IS NOT NULL), '') AS scores
 FROM raw LEFT JOIN chosen USING (vec_id) GROUP BY vec_id""", uses=("raw",))
 def w8(spark, d):
     scored = s.tag_similarity(a.raw_vectors(spark, d), vocabulary(spark, d), "vec_id", "v")
@@ -216,18 +217,39 @@ def e3b(spark, d):
     return greedy.greedy_diverse(a.vectors(spark, d), ["-quality"], 0.35, None, "vec_id", "v").select("vec_id", "pick")
 
 
-@query("e2_suppress_pairs")
+# act in file order, carrying the removed ids of the group; later: the similar later rows of each row
+_ACT = """
+, later AS (SELECT v.{group} AS g, v.vec_id, v.quality AS q, v.n,
+  list({{'id': p.b_id, 'q': w.quality}} ORDER BY p.b_id) FILTER (p.b_id IS NOT NULL) AS near
+  FROM (SELECT *, row_number() OVER (PARTITION BY {group} ORDER BY vec_id) AS n FROM (SELECT *, 0 AS one FROM vectors)) v LEFT JOIN (SELECT * FROM pairs WHERE {test}) p ON p.a_id = v.vec_id LEFT JOIN vectors w ON w.vec_id = p.b_id GROUP BY ALL),
+act AS (SELECT g, 0::BIGINT AS n, []::BIGINT[] AS gone FROM (SELECT DISTINCT g FROM later)
+  UNION ALL SELECT g, n, CASE WHEN list_contains(gone, vec_id) THEN gone ELSE list_concat(gone, list_transform(list_filter(alive, lambda x: x.q <= q AND ({go_on} OR x.id < coalesce(stop, 9223372036854775807))), lambda x: x.id),
+      CASE WHEN stop IS NOT NULL THEN [vec_id] ELSE [] END) END
+  FROM (SELECT *, list_filter(alive, lambda x: x.q > q)[1].id AS stop FROM (
+    SELECT a.g, l.n, a.gone, l.vec_id, l.q, list_filter(coalesce(l.near, []), lambda x: NOT list_contains(a.gone, x.id)) AS alive FROM act a JOIN later l ON l.g = a.g AND l.n = a.n + 1)))
+"""
+
+
+@query("e2_suppress_pairs", _ACT.format(group="one", test="score >= 0.40", go_on="FALSE") + """
+SELECT unnest(gone) AS vec_id FROM (SELECT gone FROM act ORDER BY n DESC LIMIT 1)""", uses=("pairs",), recursive=True)
 def e2(spark, d):
     return greedy.suppress_pairs(a.vectors(spark, d), 0.40, "vec_id", "v", "vec_id", "quality").select("vec_id")
 
 
-@query("e2_suppress_pairs_by_label")
+@query("e2_suppress_pairs_by_label", _ACT.format(group="label", test="score > 0.30 AND a_label = b_label", go_on="TRUE") + """
+SELECT g AS label, unnest(gone) AS vec_id FROM (SELECT g, gone FROM act QUALIFY row_number() OVER (PARTITION BY g ORDER BY n DESC) = 1)""", uses=("pairs",), recursive=True)
 def e2b(spark, d):
     gone = greedy.suppress_pairs(a.vectors(spark, d), 0.30, "vec_id", "v", "vec_id", "quality", ["label"], strict=True, stop=False)
     return gone.select("label", "vec_id")
 
 
-@query("e4_burst_cap")
+@query("e4_burst_cap", """
+, r AS (SELECT *, row_number() OVER (PARTITION BY category, prefix ORDER BY score DESC, asset_id) AS n FROM (
+  SELECT asset_id, category, score, CASE WHEN asset_id % 3 = 0 THEN 'IMG_' ELSE 'DSC_' END AS prefix, CASE WHEN asset_id % 11 = 0 THEN 0 ELSE asset_id // 8 END AS number FROM names)),
+walk AS (SELECT category, prefix, 0::BIGINT AS n, []::BIGINT[] AS taken, NULL::BIGINT AS asset_id, FALSE AS ok FROM (SELECT DISTINCT category, prefix FROM r)
+  UNION ALL SELECT r.category, r.prefix, r.n, CASE WHEN len(list_filter(w.taken, lambda x: abs(x - r.number) < 5)) >= 3 THEN w.taken ELSE list_append(w.taken, r.number) END, r.asset_id,
+    len(list_filter(w.taken, lambda x: abs(x - r.number) < 5)) < 3 FROM walk w JOIN r ON r.category = w.category AND r.prefix = w.prefix AND r.n = w.n + 1)
+SELECT category, asset_id FROM walk WHERE ok""", uses=("names",), recursive=True)
 def e4(spark, d):
     n = F.col("asset_id")
     df = a.asset_names(spark, d).select(
