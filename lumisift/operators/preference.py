@@ -5,6 +5,8 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
@@ -84,39 +86,48 @@ def train_preference(
 ) -> PreferenceModel:
     """Train on the rated rows.
 
-    The feature rows are computed once and kept; every round is one aggregate whose partial sums merge before the
-    shuffle, so only feature-count numbers reach the driver.
+    Equal feature rows are merged and kept in memory; every round is one pass whose tasks return one row of partial
+    sums each, so only feature-count numbers reach the driver.
     """
     needed = min_rated if min_rated is not None else (5 if form == "view" else 3)
     rated = df.filter(F.col("preference").isin("like", "dislike"))
-    columns = [f.cast("double").alias(f"f{i}") for i, f in enumerate(features(form))]
-    data = rated.select(*columns, (F.col("preference") == "like").cast("double").alias("y"))
-    # equal feature rows are weighted instead of repeated
-    names = [f"f{i}" for i in range(len(columns))]
-    data = data.groupBy(*names).agg(F.sum("y").alias("likes"), F.count("*").alias("n"))
-    data = data.persist(StorageLevel.MEMORY_AND_DISK)
+    columns = [f.cast("double") for f in features(form)]
+    data = (
+        rated.select(F.array(*columns).alias("x"), (F.col("preference") == "like").cast("double").alias("y"))
+        .groupBy("x").agg(F.sum("y").alias("likes"), F.count("*").cast("double").alias("n"))
+        .persist(StorageLevel.MEMORY_AND_DISK)
+    )
     try:
         n = data.agg(F.sum("n")).first()[0] or 0
         if n < needed:
             return PreferenceModel(None, 0.0, form)
-        weights, bias = [0.0] * len(columns), 0.0
+        weights, bias = np.zeros(len(columns)), 0.0
         for _ in range(rounds):
-            # one array literal keeps the generated code the same in every round
-            known = F.lit([bias, *weights])
-            z = reduce(
-                lambda a, b: a + b, [F.col(f) * F.get(known, i + 1) for i, f in enumerate(names)], F.get(known, 0)
-            )
-            error = sigmoid(z) * F.col("n") - F.col("likes")
-            step = data.withColumn("_e", error).agg(
-                *[F.sum(F.col("_e") * F.col(f)) for f in names], F.sum("_e")
-            ).first()
-            weights = [w - rate * g / n for w, g in zip(weights, step)]
-            bias -= rate * step[len(names)] / n
-        return PreferenceModel(tuple(weights), bias, form)
+            sums = data.mapInArrow(_gradient(weights, bias), "part array<double>")
+            step = sums.agg(*[F.sum(F.get("part", i)) for i in range(len(columns) + 1)]).first()
+            weights = weights - rate * np.array(step[:-1]) / n
+            bias -= rate * step[-1] / n
+        return PreferenceModel(tuple(float(w) for w in weights), float(bias), form)
     finally:
         data.unpersist()
 
 
+def _gradient(weights: np.ndarray, bias: float):
+    """Partial sums of error times feature, and of the error, over the rows of a task."""
+
+    def work(batches):
+        total = np.zeros(len(weights) + 1)
+        for batch in batches:
+            x = batch.column("x").flatten().to_numpy().reshape(batch.num_rows, -1)
+            z = np.clip(x @ weights + bias, -10.0, 10.0)
+            error = batch.column("n").to_numpy() / (1.0 + np.exp(-z)) - batch.column("likes").to_numpy()
+            total[:-1] += error @ x
+            total[-1] += error.sum()
+        yield pa.RecordBatch.from_pydict({"part": pa.array([total.tolist()], type=pa.list_(pa.float64()))})
+
+    return work
+
+
 def predicted_preference(model: PreferenceModel) -> tuple[Column, Column]:
     """(score, exploration): -5..5 and 0..2; rated rows give (0, 0), an untrained model (0, 1)."""
     rated = F.coalesce(F.col("preference").isin("like", "dislike"), F.lit(False))
