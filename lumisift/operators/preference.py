@@ -103,10 +103,9 @@ def train_preference(
             return PreferenceModel(None, 0.0, form)
         weights, bias = np.zeros(len(columns)), 0.0
         for _ in range(rounds):
-            sums = data.mapInArrow(_gradient(weights, bias), "part array<double>")
-            step = sums.agg(*[F.sum(F.get("part", i)) for i in range(len(columns) + 1)]).first()
-            weights = weights - rate * np.array(step[:-1]) / n
-            bias -= rate * step[-1] / n
+            parts = data.mapInArrow(_gradient(weights, bias), "part array<double>").collect()  # one row per task
+            step = np.sum([r["part"] for r in parts], axis=0)
+            weights, bias = weights - rate * step[:-1] / n, bias - rate * step[-1] / n
         return PreferenceModel(tuple(float(w) for w in weights), float(bias), form)
     finally:
         data.unpersist()
