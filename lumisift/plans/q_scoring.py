@@ -224,7 +224,7 @@ def r14(spark, d):
     return df.select("asset_id", *[(F.round(c, 9) if n.startswith("capped") else c).alias(n) for n, c in forms.items()])
 
 
-def _descent(features: list[str], rounds: int = 80) -> str:
+def _descent(features: list[str], rounds: int = 80, adjust: str = "w") -> str:
     """Recursive SQL: one row per round with the coefficients as a list, bias first."""
     k = len(features)
     xs = ", ".join(f"{e} AS x{i}" for i, e in enumerate(features))
@@ -236,7 +236,7 @@ fit AS (SELECT 0 AS i, list_transform(range(0, {k + 1}), lambda j: 0e0) AS w
   UNION ALL SELECT i + 1, list_transform(range(1, {k + 2}), lambda j: w[j] - 0.5e0 * g[j] / n) FROM (
     SELECT i, w, [{grads}] AS g, count(*) AS n FROM (
       SELECT i, w, x.*, 1 / (1 + exp(-greatest(-10e0, least(10e0, {z})))) - y AS e FROM fit, x WHERE i < {rounds} AND preference IS NOT NULL) GROUP BY i, w)),
-coef AS (SELECT w FROM fit WHERE i = {rounds}),
+coef AS (SELECT {adjust} AS w FROM fit WHERE i = {rounds}),
 p AS (SELECT x.*, 1 / (1 + exp(-greatest(-10e0, least(10e0, {z})))) AS p FROM x, coef)
 """
 
@@ -258,7 +258,13 @@ def g23(spark, d):
     return df.select("asset_id", "preference", F.round(model.probability(), 6).alias("probability"))
 
 
-@query("r8_predicted_preference")
+_QUIZ_SHIFT = "list_transform(w, lambda x, i: x + CASE i WHEN 3 THEN 0.3e0 WHEN 8 THEN 0.3e0 WHEN 11 THEN 0.5e0 ELSE 0 END)"
+
+
+@query("r8_predicted_preference", _descent(_VIEW_FEATURES, adjust=_QUIZ_SHIFT) + """
+SELECT asset_id, CASE WHEN preference IS NOT NULL THEN 0e0 ELSE round((p - 0.5e0) * 10, 6) END AS score,
+  CASE WHEN preference IS NOT NULL THEN 0e0 ELSE round(greatest(0, 2 * (1 - abs(p - 0.5e0) * 2)), 6) END AS exploration,
+  CASE WHEN p > 0.65 THEN 'like' WHEN p < 0.35 THEN 'dislike' END AS label, CAST(floor(abs(p - 0.5e0) * 200 + 0.5e0) AS INT) AS confidence FROM p""", uses=("assets",), recursive=True)
 def r8(spark, d):
     df = a.assets_doc(spark, d)
     model = preference.train_preference(df, form="view").with_quiz(Quiz(faces="many", sharpness="high"))

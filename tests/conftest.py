@@ -19,6 +19,7 @@ def make_session():
             "spark.driver.memory": "12g",
             "spark.local.dir": folder,
             "spark.sql.warehouse.dir": folder + "/warehouse",
+            "spark.driver.host": "127.0.0.1",
             "spark.driver.bindAddress": "127.0.0.1",
             "spark.sql.streaming.stateStore.providerClass":
                 "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
