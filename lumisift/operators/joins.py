@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..config import Category, check_size, lookup
 from ..functions.names import normalize_path, stem
 from ..functions.numbers import col, half_even
+from ..session import cut_lineage
 
 
 def anti_existing(candidates: DataFrame, known: DataFrame, key: str = "hash") -> DataFrame:
@@ -270,7 +271,8 @@ def nearest_place(
     Points and places are put on the unit sphere and hashed into cubes. A place found at a chord not longer than
     the cube side is certainly the nearest, because the 27 cubes around a point cover that radius; other points
     move on to larger cubes, the last of which cover the whole sphere. Each cube's places travel as one array, so
-    a crowded cube costs one joined row per point.
+    a crowded cube costs one joined row per point. Distinct coordinates are looked up once; every level is
+    checkpointed, and the larger cubes are only built when points are left.
     """
 
     def xyz(la: Column, lo: Column) -> list[Column]:
@@ -285,8 +287,8 @@ def nearest_place(
         *[c.alias(a) for a, c in zip(("_px", "_py", "_pz"), xyz(F.col("lat"), F.col("lon")))],
     )
     found = None
-    # cube sides on the unit sphere: about 130, 640, 3200 km, then everything
-    for side in (0.02, 0.1, 0.5, 2.0):
+    # cube sides on the unit sphere: about 130, 380, 1270, 3800 km, then everything
+    for side in (0.02, 0.06, 0.2, 0.6, 2.0):
         last = side == 2.0
         cells = [F.floor(F.col(a) / side).cast("int") for a in ("_px", "_py", "_pz")]
         near = F.sequence(F.lit(-1), F.lit(1))
@@ -310,16 +312,18 @@ def nearest_place(
                 F.col("_places"),
                 lambda p: F.struct(
                     # equal distances differ in the last bits; the id decides
-                    F.round(chord(p), 14).alias("d"), p.getField("place_id").alias("id"),
+                    F.rint(chord(p) * 1e12).alias("d"), p.getField("place_id").alias("id"),
                     p.getField("_name").alias("name"), p.getField("_cc").alias("cc"),
                 ),
             )
         )
-        tried = joined.withColumn("_best", best)
-        sure = F.col("_best").isNotNull() & (F.lit(last) | (F.col("_best.d") <= side * side))
+        tried = cut_lineage(joined.select(lat, lon, *axes, best.alias("_best")))
+        sure = F.col("_best").isNotNull() & (F.lit(last) | (F.col("_best.d") <= side * side * 1e12))
         hit = tried.filter(sure).select(lat, lon, "_best")
         found = hit if found is None else found.unionByName(hit)
         pending = tried.filter(~sure).select(lat, lon, *axes)
+        if pending.isEmpty():
+            break
     cc = F.coalesce(lookup(F.col("_best.cc"), overrides, "overrides"), F.col("_best.cc")) if overrides else F.col("_best.cc")
     named = found.select(lat, lon, F.concat_ws(", ", F.col("_best.name"), cc).alias(name))
     return points.join(named, [lat, lon], "left")
@@ -374,26 +378,30 @@ def match_faces(
 def burst_pairs(df: DataFrame, by: list[str], number: str, key: str, gap: int = 3) -> DataFrame:
     """Pairs in the same group whose numbers differ by at most ``gap``.
 
-    Numbers are cut into stretches of gap + 1, so each row meets only its own and the next stretch. Rows with the
-    same number form one point first: the point's members are tied to its smallest key instead of to each other,
-    and pairs between points are pairs of these smallest keys.
+    Rows with one number form a point; its members are tied to its smallest key instead of to each other, and pairs
+    between points are pairs of these smallest keys. Numbers are cut into stretches of gap + 1; each point is sent to
+    its own stretch and the one before, so a stretch holds at most 2 * (gap + 1) points whatever the data.
     """
-    points = df.filter(F.col(number).isNotNull()).groupBy(*by, number).agg(F.min(key).alias("_id"))
+    rows = df.filter(F.col(number).isNotNull())
+    points = rows.groupBy(*by, number).agg(F.min(key).alias("_id"), F.count("*").alias("_n"))
     stretch = F.floor(F.col(number) / (gap + 1))
-    left = points.withColumn("_cell", stretch)
-    right = points.select(
-        *by, F.col(number).alias("_n2"), F.col("_id").alias("_id2"),
+    placed = points.select(
+        *by, F.struct(F.col(number).alias("n"), F.col("_id").alias("id")).alias("_p"), stretch.alias("_own"),
         F.explode(F.array(stretch, stretch - 1)).alias("_cell"),
     )
+    cells = placed.groupBy(*by, "_cell").agg(
+        F.collect_list(F.when(F.col("_own") == F.col("_cell"), F.col("_p"))).alias("_mine"),
+        F.collect_list("_p").alias("_all"),
+    )
     between = (
-        left.join(right, [*by, "_cell"])
-        .filter((F.col("_n2") > F.col(number)) & (F.col("_n2") - F.col(number) <= gap))
-        .select(*by, F.least("_id", "_id2").alias("a_id"), F.greatest("_id", "_id2").alias("b_id"),
-                (F.col("_n2") - F.col(number)).alias("distance"))
+        cells.select(*by, F.explode("_mine").alias("_a"), "_all").select(*by, "_a", F.explode("_all").alias("_b"))
+        .filter((F.col("_b.n") > F.col("_a.n")) & (F.col("_b.n") - F.col("_a.n") <= gap))
+        .select(*by, F.least("_a.id", "_b.id").alias("a_id"), F.greatest("_a.id", "_b.id").alias("b_id"),
+                (F.col("_b.n") - F.col("_a.n")).alias("distance"))
     )
     same = (
-        df.select(*by, number, F.col(key).alias("_k")).join(points, [*by, number])
-        .filter(F.col("_k") != F.col("_id"))
+        rows.select(*by, number, F.col(key).alias("_k"))
+        .join(points.filter(F.col("_n") > 1).drop("_n"), [*by, number]).filter(F.col("_k") != F.col("_id"))
         .select(*by, F.col("_id").alias("a_id"), F.col("_k").alias("b_id"), F.lit(0).cast("long").alias("distance"))
     )
     return between.unionByName(same)

@@ -7,32 +7,31 @@ from typing import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..config import Category
 from ..functions.names import IMAGE_EXTENSIONS, VIDEO_EXTENSIONS, basename, extension, is_video
 from ..operators.filters import first_reason
 
-GRADE = "struct<resolution:double,sharpness:double,noise:double,compression:double,color:double,exposure:double," \
-        "focus:double,distortion:double,composite:double,blur_score:double>"
-
-ASSET_SCHEMA = T._parse_datatype_string(
-    "hash string, path string, filename string, source_label string, device string, media_type string, date string, "
-    "age_days int, category string, status string, reject_reason string, face_count int, faces_found array<string>, "
-    "has_target_face boolean, face_distance double, width int, height int, size_kb double, duration double, "
-    "is_screenshot boolean, nsfw boolean, trash boolean, gps_lat double, gps_lon double, location string, "
-    f"blur_score double, photo_grade {GRADE}, dhash decimal(20,0), tags array<string>, "
-    "tag_meta struct<model:string,embed_version:string,tagger_version:string,scores:map<string,double>>, "
-    "has_clip boolean, preference string, cluster_id string, is_representative boolean, suppressed_by string, "
-    "cluster_size int, estimated_age double"
+_GRADE = (
+    "struct<resolution:double,sharpness:double,noise:double,compression:double,color:double,exposure:double,"
+    "focus:double,distortion:double,composite:double,blur_score:double>"
 )
-
-ALBUM_SCHEMA = T._parse_datatype_string(
+_ASSET = (
+    "struct<hash:string,path:string,filename:string,source_label:string,device:string,media_type:string,date:string,"
+    "age_days:int,category:string,status:string,reject_reason:string,face_count:int,faces_found:array<string>,"
+    "has_target_face:boolean,face_distance:double,width:int,height:int,size_kb:double,duration:double,"
+    "is_screenshot:boolean,nsfw:boolean,trash:boolean,gps_lat:double,gps_lon:double,location:string,"
+    f"blur_score:double,photo_grade:{_GRADE},dhash:decimal(20,0),tags:array<string>,"
+    "tag_meta:struct<model:string,embed_version:string,tagger_version:string,scores:map<string,double>>,"
+    "has_clip:boolean,preference:string,cluster_id:string,is_representative:boolean,suppressed_by:string,"
+    "cluster_size:int,estimated_age:double>"
+)
+CATALOG_SCHEMA = f"scan_date string, images array<{_ASSET}>"
+ALBUM_SCHEMA = (
     "mediaItems array<struct<id:string,filename:string,mimeType:string,baseUrl:string,"
     "mediaMetadata:struct<creationTime:string,width:string,height:string,video:map<string,string>,photo:map<string,string>>>>"
 )
-
-TEMPLATE_SCHEMA = T._parse_datatype_string(
+TEMPLATE_SCHEMA = (
     "event_type string, display_name string, description string, categorization string, "
     "required_fields map<string,string>, tips array<string>, categories array<struct<id:string,display:string,"
     "target:int,video_target:int,age_days_from:int,age_days_to:int,day_offset:int,time_from:string,time_to:string,"
@@ -81,8 +80,7 @@ def _signed_hash(h: Column) -> Column:
 
 def import_catalog(spark: SparkSession, path: str) -> DataFrame:
     """Assets of a JSON catalog document; dates and hashes become typed columns."""
-    schema = T.StructType([T.StructField("scan_date", T.StringType()), T.StructField("images", T.ArrayType(ASSET_SCHEMA))])
-    rows = spark.read.schema(schema).json(path, multiLine=True).select(F.explode("images").alias("a")).select("a.*")
+    rows = spark.read.schema(CATALOG_SCHEMA).json(path, multiLine=True).select(F.explode("images").alias("a")).select("a.*")
     return rows.withColumns({"date": F.try_to_date("date", "yyyy-MM-dd"), "dhash": _signed_hash(F.col("dhash"))})
 
 
