@@ -113,7 +113,8 @@ def diversity_component(
 def exploration_component(probability: Column, key: str = "hash") -> Column:
     """0-100; highest for uncertain rows, 0 for rated ones, with a reproducible share from the key."""
     uncertain = F.coalesce((1.0 - F.abs(probability - 0.5) * 2.0) * 70.0, F.lit(40.0))
-    variety = F.coalesce(F.pmod(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(100)) / 100.0 * 30.0, F.lit(0.0))
+    digest = F.conv(F.substring(F.md5(F.col(key).cast("string").cast("binary")), 1, 8), 16, 10).cast("long")
+    variety = F.coalesce((digest % 100) / 100.0 * 30.0, F.lit(0.0))
     rated = F.coalesce(F.col("preference").isin("like", "dislike"), F.lit(False))
     return F.when(rated, 0.0).otherwise(F.least(uncertain + variety, F.lit(100.0)))
 

@@ -40,24 +40,17 @@ def r3(spark, d):
 
 
 @query("r5_exploration", """
-SELECT asset_id, CASE WHEN preference IN ('like', 'dislike') THEN 0e0 ELSE round((1 - abs(p - 0.5e0) * 2) * 70, 6) END AS trained, CASE WHEN preference IN ('like', 'dislike') THEN 0e0 ELSE 40e0 END AS untrained
-FROM (SELECT *, (asset_id % 100) / 100e0 AS p FROM assets)""", uses=("assets",))
+SELECT asset_id, CASE WHEN preference IN ('like', 'dislike') THEN 0e0 ELSE round(least(100, (1 - abs(p - 0.5e0) * 2) * 70 + share), 6) END AS trained,
+  CASE WHEN preference IN ('like', 'dislike') THEN 0e0 ELSE round(40 + share, 6) END AS untrained
+FROM (SELECT *, (asset_id % 100) / 100e0 AS p, (CAST('0x' || substr(md5(hash), 1, 8) AS BIGINT) % 100) / 100e0 * 30 AS share FROM assets)""", uses=("assets",))
 def r5(spark, d):
-    # without a key there is no per-row share, so only the model part remains
-    df = a.assets_doc(spark, d).withColumn("none", F.lit(None).cast("string"))
     p = (F.col("asset_id") % 100) / F.lit(100.0)
-    return df.select(
-        "asset_id", F.round(scoring.exploration_component(p, "none"), 6).alias("trained"),
-        scoring.exploration_component(F.lit(None).cast("double"), "none").alias("untrained"),
+    return a.assets_doc(spark, d).select(
+        "asset_id", F.round(scoring.exploration_component(p), 6).alias("trained"),
+        F.round(scoring.exploration_component(F.lit(None).cast("double")), 6).alias("untrained"),
     )
 
 
-@query("r5_exploration_share")
-def r5b(spark, d):
-    share = scoring.exploration_component(F.lit(None).cast("double"), "hash")
-    return a.assets_doc(spark, d).filter(F.col("preference").isNull()).select("asset_id", (share - 40.0).alias("share"))
-
-
 @query("r7_final_score", """
 SELECT asset_id, round(0.6e0 * p + 0.2e0 * q + 0.1e0 * dv + 0.1e0 * e - dup - CASE WHEN has_target_face THEN 0 ELSE 40 END, 6) AS final FROM (
   SELECT *, composite AS p, sharpness AS q, color - 50 AS dv, exposure AS e, CASE WHEN asset_id % 4 = 0 THEN 30e0 ELSE 0e0 END AS dup FROM assets)""", uses=("assets",))

@@ -146,7 +146,32 @@ def e6(spark, d):
     return sel.quick_fill(df, GROUPS, model, vec="vector", dhash="dhash", key="vec_id").select("vec_id", "category", "status", "picked")
 
 
-@query("e7_tiered_refill")
+def _walk_sql(name: str, source: str, cap: str, t: float) -> str:
+    """Recursive SQL: walk ``source`` (g, vec_id, n) and take rows unlike the taken ones, up to the cap of group g."""
+    return f"""
+{name}_near AS (SELECT s.g, s.vec_id, s.n, list(p.other) AS others FROM {source} s LEFT JOIN (SELECT * FROM sim WHERE score >= {t}) p ON p.id = s.vec_id GROUP BY ALL),
+{name}_walk AS (SELECT g, 0::BIGINT AS n, []::BIGINT[] AS taken FROM (SELECT DISTINCT g FROM {name}_near)
+  UNION ALL SELECT w.g, s.n, CASE WHEN len(w.taken) >= {cap} OR list_has_any(coalesce(s.others, []), w.taken) THEN w.taken ELSE list_append(w.taken, s.vec_id) END
+  FROM {name}_walk w JOIN {name}_near s ON s.g = w.g AND s.n = w.n + 1),
+{name} AS (SELECT g, unnest(taken) AS vec_id, unnest(range(1, len(taken) + 1)) AS pick FROM (SELECT g, taken FROM {name}_walk QUALIFY row_number() OVER (PARTITION BY g ORDER BY n DESC) = 1))"""
+
+
+_NEED = "CASE {} WHEN 'c0' THEN 25 WHEN 'c1' THEN 200 ELSE 60 END"
+
+
+@query("e7_tiered_refill", _RATED + f"""
+, offered AS (SELECT *, CASE WHEN vec_id % 5 = 1 THEN 0 ELSE 1 END AS tier FROM ra WHERE vec_id % 5 = 1 OR (vec_id % 5 > 1 AND vec_id % 2 = 0)),
+free AS (SELECT category AS g, vec_id, row_number() OVER (PARTITION BY category ORDER BY tier, quality DESC, vec_id) AS n FROM offered o
+  WHERE NOT EXISTS (SELECT 1 FROM sim s JOIN ra c ON c.vec_id = s.other WHERE s.id = o.vec_id AND s.score >= 0.35 AND c.vec_id % 5 = 0 AND c.category = o.category)),
+{_walk_sql('fill', 'free', _NEED.format('w.g'), 0.35)},
+extra AS (SELECT category AS g, vec_id FROM (SELECT *, row_number() OVER (PARTITION BY category ORDER BY face_count DESC, quality DESC, vec_id) AS r FROM ra WHERE vec_id % 5 = 3 AND vec_id NOT IN (SELECT vec_id FROM fill))
+  LEFT JOIN (SELECT g, count(*) AS have FROM fill GROUP BY g) f ON f.g = category WHERE r <= {_NEED.format('category')} - coalesce(have, 0)),
+taken AS (SELECT vec_id, category FROM ra WHERE vec_id % 5 = 0 UNION ALL SELECT vec_id, g FROM fill UNION ALL SELECT vec_id, g FROM extra),
+left_over AS (SELECT category AS g, vec_id, row_number() OVER (PARTITION BY category ORDER BY tier, quality DESC, vec_id) AS n FROM offered o
+  WHERE vec_id NOT IN (SELECT vec_id FROM taken) AND NOT EXISTS (SELECT 1 FROM sim s JOIN taken c ON c.vec_id = s.other WHERE s.id = o.vec_id AND s.score >= 0.35 AND c.category = o.category)),
+{_walk_sql('spare', 'left_over', '10', 0.35)}
+SELECT f.g AS category, vec_id, tier, 'diverse' AS pass FROM fill f JOIN offered USING (vec_id)
+UNION ALL SELECT g, vec_id, 2, 'relaxed' FROM extra UNION ALL SELECT f.g, vec_id, tier, 'backup' FROM spare f JOIN offered USING (vec_id)""", uses=("pairs",), recursive=True)
 def e7(spark, d):
     fill, backup = _refill(spark, d)
     return fill.select("category", "vec_id", "tier", "pass").unionByName(
@@ -168,7 +193,12 @@ def _refill(spark, d, t=0.35):
     )
 
 
-@query("e8_adaptive_even_diverse")
+@query("e8_adaptive_even_diverse", _RATED + f"""
+, fresh AS (SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY date, vec_id) - 1 AS pos, count(*) OVER (PARTITION BY label) AS total FROM ra c
+  WHERE vec_id % 4 > 0 AND NOT EXISTS (SELECT 1 FROM sim s JOIN ra o ON o.vec_id = s.other WHERE s.id = c.vec_id AND s.score >= 0.30 AND o.vec_id % 4 = 0 AND o.label = c.label)),
+spread AS (SELECT label AS g, vec_id, i AS slot, row_number() OVER (PARTITION BY label ORDER BY i) AS n FROM fresh JOIN range(0, 12) t(i) ON CASE WHEN total > 12 THEN pos = CAST(floor(i * (total / 12)) AS BIGINT) ELSE pos = i END),
+{_walk_sql('kept', 'spread', '12', 0.30)}
+SELECT kept.g AS label, vec_id, slot, pick FROM kept JOIN spread USING (vec_id)""", uses=("pairs",), recursive=True)
 def e8(spark, d):
     df = rated_assets(spark, d).select("vec_id", F.col("vector").alias("v"), "label", "date")
     n = F.col("vec_id")

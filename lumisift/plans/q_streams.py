@@ -82,7 +82,13 @@ def t3(spark, d):
     return out.select("user_id", "preference", "n", F.round(F.get("centroid", 0), 5).alias("first"))
 
 
-@query("t3_online_preference")
+@query("t3_online_preference", """
+, e AS (SELECT user_id, CASE WHEN value > 20 THEN 'like' ELSE 'dislike' END AS preference, ts, CAST(v AS DOUBLE[]) AS v FROM events JOIN raw ON vec_id = CAST(json_extract_string(props, '$.k') AS BIGINT)),
+o AS (SELECT *, row_number() OVER (PARTITION BY user_id, preference ORDER BY ts) AS r FROM e),
+walk AS (SELECT user_id, preference, 1::BIGINT AS n, v AS mid FROM o WHERE r = 1
+  UNION ALL SELECT user_id, preference, n, list_transform(m, lambda x: x / sqrt(list_dot_product(m, m))) FROM (
+    SELECT w.user_id, w.preference, w.n + 1 AS n, list_transform(o.v, lambda x, i: (w.mid[i] * w.n + x) / (w.n + 1)) AS m FROM walk w JOIN o ON o.user_id = w.user_id AND o.preference = w.preference AND o.r = w.n + 1))
+SELECT user_id, preference, max(n) AS n, round(arg_max(mid, n)[1], 5) AS first FROM walk GROUP BY ALL""", uses=("raw",), recursive=True)
 def t3b(spark, d):
     out = finish(st.online_preference(_rated_stream(spark, d)), "update")
     return out.select("user_id", "preference", "n", F.round(F.get("centroid", 0), 5).alias("first"))

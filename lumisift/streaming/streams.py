@@ -82,8 +82,9 @@ def running_centroids(df: DataFrame, user: str = "user_id", v: str = "v") -> Dat
 def online_preference(df: DataFrame, user: str = "user_id", v: str = "v", order: str = "ts") -> DataFrame:
     """Step-by-step centroid per user and preference, brought to length one after every step.
 
-    The order of steps matters, so each (user, preference) is one state; rows of a batch are taken in Arrow chunks,
-    sorted by time inside a chunk. Columns: user, preference, n, centroid after the batch.
+    The order of steps matters, so each (user, preference) is one state, and the rows of a batch are sorted by time;
+    their number is bounded by the trigger's batch size. Where order does not matter use ``running_centroids``.
+    Columns: user, preference, n, centroid after the batch.
     """
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -92,16 +93,15 @@ def online_preference(df: DataFrame, user: str = "user_id", v: str = "v", order:
     def step(keys: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         n, mid = state.get if state.exists else (0, None)
         mid = None if mid is None else np.array(mid)
-        for chunk in chunks:
-            for x in chunk.sort_values(order)[v]:
-                x = np.asarray(x, dtype="float64")
-                n += 1
-                if mid is None:
-                    mid = x
-                else:
-                    mid = (mid * (n - 1) + x) / n
-                    length = np.sqrt((mid**2).sum())
-                    mid = mid / length if length > 0 else mid
+        for x in pd.concat([c[[order, v]] for c in chunks]).sort_values(order, kind="stable")[v]:
+            x = np.asarray(x, dtype="float64")
+            n += 1
+            if mid is None:
+                mid = x
+            else:
+                mid = (mid * (n - 1) + x) / n
+                length = np.sqrt((mid**2).sum())
+                mid = mid / length if length > 0 else mid
         state.update((n, mid.tolist()))
         yield pd.DataFrame({user: [keys[0]], "preference": [keys[1]], "n": [n], "centroid": [mid.tolist()]})
 

@@ -306,7 +306,7 @@ def test_adaptive_even_diverse(spark):
 
 def test_quick_fill_against_a_walk(spark):
     """The same steps row by row in numpy; the score is recomputed from the published weights."""
-    import zlib
+    import hashlib
 
     from lumisift.plans.q_selection import GROUPS, rated_assets
     from lumisift.operators.preference import PreferenceModel
@@ -363,7 +363,7 @@ def test_quick_fill_against_a_walk(spark):
             div -= min(30, (day - 3) * 5) if day > 3 else 0
             div -= min(20, (place - 5) * 4) if place > 5 else 0
             div = max(-100, min(100, div))
-        explore = 0.0 if r.preference else min(100, 40 + zlib.crc32(str(i).encode()) % 100 / 100 * 30)
+        explore = 0.0 if r.preference else min(100, 40 + int(hashlib.md5(str(i).encode()).hexdigest()[:8], 16) % 100 / 100 * 30)
         return 0.6 * pref + 0.2 * qual + 0.1 * div + 0.1 * explore - duplicate(i, state)
 
     state, picked = [], set()
