@@ -208,7 +208,9 @@ def grade_summary(df: DataFrame, value: str = "overall") -> DataFrame:
         F.count(value).alias("n"), F.min(value).alias("min"), F.max(value).alias("max"), F.avg(value).alias("avg"),
         *[F.count_if(bands == label).alias("band_" + label.lower().replace(" ", "_")) for _, _, label in GRADE_BANDS],
     )
-    return base.crossJoin(upper_median(df, [], value))  # one row each
+    # both sides have one row
+    one = F.lit(1).alias("_one")
+    return base.select("*", one).join(upper_median(df, [], value).select("*", one), "_one").drop("_one")
 
 
 def grade_by_group(df: DataFrame, group: str, value: str = "overall") -> DataFrame:

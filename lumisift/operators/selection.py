@@ -157,9 +157,9 @@ def with_preference_signals(df: DataFrame, key: str = "hash", vec: str = "vector
     out = df
     for label, name, level in (("like", "like", 0.85), ("dislike", "dislike", 0.80)):
         mine = rated.filter(F.col("preference") == label)
-        mid = centroid(mine, [], vec).select(F.col("centroid").alias("_c"))  # one row
-        out = out.join(F.broadcast(mid), F.lit(True), "left")
-        out = out.withColumn(f"{name}_centroid", F.when(F.col("_c").isNotNull(), dot(vec, "_c"))).drop("_c")
+        found = centroid(mine, [], vec).select("centroid").first()  # one vector
+        middle = F.lit(list(found["centroid"])) if found and found["centroid"] else F.lit(None).cast("array<double>")
+        out = out.withColumn(f"{name}_centroid", dot(vec, middle))
         near = best_match(rated, mine, key, vec, level, name=f"{name}_max")
         out = out.join(near, key, "left")
     return out

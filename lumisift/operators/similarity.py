@@ -6,7 +6,10 @@ them; every vector belongs to the cell of its nearest pivot and also visits each
 Pivots decide speed only, never the result. A crowded cell is split into chunks of bounded size; each pair of chunks
 is one group of at most two chunks, multiplied as Arrow blocks.
 
-Equal vectors collapse first: a group of copies is tied to its smallest key and represented by it.
+Equal vectors collapse first: a group of copies is tied to its smallest key and represented by it. Where only
+connectivity matters (``similar_links``), rows within r / 2 of their pivot form the core of the cell: any two of them
+are similar, so they are tied to one of them and never compared with each other. Pivots keep a distance of r / 2, so a
+dense group of near copies has one pivot and costs linear work.
 """
 
 from __future__ import annotations
@@ -23,7 +26,8 @@ from pyspark.sql import types as T
 from ..functions.vectors import unit_normalize
 
 CHUNK_ROWS = 1024
-MAX_PIVOTS = 512
+MAX_PIVOTS = 2048
+SLICE_ROWS = 2048
 MAX_PIVOT_BYTES = 64 << 20
 _SLACK = 1e-6  # rounding of 32-bit unit vectors
 
@@ -44,11 +48,8 @@ def _copies(rows: DataFrame, by: list[str]) -> tuple[DataFrame, DataFrame]:
         F.min("_id").alias("_rep"), F.min_by("_v", "_id").alias("_v"), F.count("*").alias("_n")
     )
     groups = distinct.filter(F.col("_n") > 1).select(*[F.col(k).alias(f"_g{k}") for k in keys], "_rep")
-    same = F.lit(True)
-    for k in keys:
-        same &= F.col(k).eqNullSafe(F.col(f"_g{k}"))
     links = (
-        keyed.select("_id", *keys).join(groups, same).filter(F.col("_id") != F.col("_rep"))
+        keyed.select("_id", *keys).join(groups, _equal(keys, "_g")).filter(F.col("_id") != F.col("_rep"))
         .select(*by, F.col("_rep").alias("a_id"), F.col("_id").alias("b_id"))
     )
     return distinct.select(F.col("_rep").alias("_id"), *by, "_v"), links
@@ -62,39 +63,56 @@ def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     return flat.flatten().to_numpy(zero_copy_only=False).astype("float64").reshape(n, -1) if n else np.zeros((0, 1))
 
 
-def _draw_pivots(rows: DataFrame, total: int) -> np.ndarray | None:
-    """Pivots from the data in key-hash order; none when everything fits into a few chunks."""
+def _draw_pivots(rows: DataFrame, total: int, radius: float) -> np.ndarray | None:
+    """Pivots from the data in key-hash order, at least radius / 2 apart; none when everything fits into one chunk."""
     wanted = min(MAX_PIVOTS, total // CHUNK_ROWS)
     if wanted < 2:
         return None
     sample = rows.select("_v").orderBy(F.xxhash64("_id")).limit(wanted).collect()
-    pivots = np.unique(np.array([r["_v"] for r in sample], dtype="float64"), axis=0)
-    keep = max(1, MAX_PIVOT_BYTES // (8 * pivots.shape[1]))
-    return pivots[:keep] if len(pivots) > 1 else None
+    drawn = np.array([r["_v"] for r in sample], dtype="float64")
+    drawn = drawn[: max(1, MAX_PIVOT_BYTES // (8 * drawn.shape[1]))]
+    apart = _squares(drawn, drawn) >= (radius / 2) ** 2
+    kept: list[int] = []
+    for i in range(len(drawn)):
+        if apart[i, kept].all():
+            kept.append(i)
+    return drawn[kept]
+
+
+def _squares(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Squared distances of the rows of two matrices."""
+    return np.maximum((a**2).sum(1)[:, None] + (b**2).sum(1)[None, :] - 2 * a @ b.T, 0.0)
+
+
+# a row's place in a cell, as cell * 4 + flags
+_HOME, _CORE = 1, 2
 
 
-def _assign(pivots: np.ndarray, radius: float, upward: bool):
-    """Cells of a vector: its own first, then the ones it visits (only higher ones with ``upward``)."""
-    gaps = np.sqrt(np.maximum(((pivots[:, None, :] - pivots[None, :, :]) ** 2).sum(-1), 0)) if len(pivots) <= 64 else None
-    if gaps is None:
-        sq = (pivots**2).sum(1)
-        gaps = np.sqrt(np.maximum(sq[:, None] + sq[None, :] - 2 * pivots @ pivots.T, 1e-18))
+def _assign(pivots: np.ndarray, radius: float, upward: bool, core: bool = False):
+    """Places of a vector: its own cell first, then the cells it visits (only higher ones with ``upward``)."""
+    gaps = np.sqrt(_squares(pivots, pivots)).astype("float32")
     np.fill_diagonal(gaps, np.inf)
     ordinal = np.arange(len(pivots))
+    # a margin keeps 32-bit unit vectors from passing as core by rounding
+    inner = (radius / 2 * (1 - 1e-4)) ** 2 if core else -1.0
 
     @F.pandas_udf("array<int>")
-    def cells(v: pd.Series) -> pd.Series:
-        x = np.stack([np.asarray(e, dtype="float64") for e in v])
-        d2 = (x**2).sum(1)[:, None] + (pivots**2).sum(1)[None, :] - 2 * x @ pivots.T
-        home = d2.argmin(1)
-        border = (d2 - d2[np.arange(len(x)), home][:, None]) / (2 * gaps[home])
-        near = border <= radius + _SLACK
-        if upward:
-            near &= ordinal[None, :] > home[:, None]
-        near[np.arange(len(x)), home] = False
-        return pd.Series([np.concatenate(([h], np.flatnonzero(row))).astype("int32") for h, row in zip(home, near)])
+    def places(v: pd.Series) -> pd.Series:
+        out = []
+        for start in range(0, len(v), SLICE_ROWS):
+            x = np.stack([np.asarray(e, dtype="float64") for e in v.iloc[start : start + SLICE_ROWS]])
+            d2 = _squares(x, pivots)
+            rows = np.arange(len(x))
+            home = d2.argmin(1)
+            near = (d2 - d2[rows, home][:, None]) / (2 * gaps[home]) <= radius + _SLACK
+            if upward:
+                near &= ordinal[None, :] > home[:, None]
+            near[rows, home] = False
+            own = home * 4 + _HOME + np.where(d2[rows, home] <= inner, _CORE, 0)
+            out += [np.concatenate(([o], np.flatnonzero(row) * 4)).astype("int32") for o, row in zip(own, near)]
+        return pd.Series(out)
 
-    return cells
+    return places
 
 
 @dataclass(frozen=True)
@@ -129,56 +147,92 @@ def _run(tasks: DataFrame, by: list[str], fields: list[T.StructField], reduce) -
         columns += [pa.array(out[f.name], type=arrow_schema.field(f.name).type) for f in fields]
         return pa.Table.from_arrays(columns, schema=arrow_schema)
 
-    return tasks.groupBy(*by, "_cell", "_own", "_i", "_j").applyInArrow(work, schema)
+    return tasks.groupBy(*by, "_cell", "_pair", "_own", "_i", "_j").applyInArrow(work, schema)
 
 
 def _chunks(n: Column) -> Column:
     return F.greatest(F.lit(1), F.ceil(n / CHUNK_ROWS)).cast("int")
 
 
-def _self_tasks(rows: DataFrame, by: list[str], pivots: np.ndarray | None, radius: float) -> DataFrame:
-    """Rows copied to every chunk pair they take part in."""
+def _placed(rows: DataFrame, by: list[str], pivots: np.ndarray | None, radius: float, core: bool) -> DataFrame:
+    """Rows with a cell and their role in it: core or other home row, or visitor."""
     if pivots is None:
-        placed = rows.withColumn("_cell", F.lit(0)).withColumn("_home", F.lit(True))
-    else:
-        cells = _assign(pivots, radius, upward=True)
-        placed = rows.withColumn("_cells", cells("_v")).select(
-            "_id", *by, "_v", F.posexplode_outer("_cells").alias("_pos", "_cell")
-        ).withColumn("_home", F.col("_pos") == 0).drop("_pos")
+        return rows.withColumn("_cell", F.lit(0)).withColumn("_role", F.lit("other"))
+    places = _assign(pivots, radius, upward=True, core=core)
+    spread = rows.withColumn("_places", places("_v")).select("_id", *by, "_v", F.explode_outer("_places").alias("_place"))
+    flags = F.col("_place").bitwiseAND(F.lit(3))
+    role = F.when(flags == _HOME + _CORE, "core").when(flags == _HOME, "other").otherwise("visitor")
+    return spread.withColumns({"_cell": F.shiftright("_place", 2), "_role": role}).drop("_place")
+
+
+def _equal(df_keys: list[str], prefix: str) -> Column:
+    same = F.lit(True)
+    for k in df_keys:
+        same &= F.col(k).eqNullSafe(F.col(f"{prefix}{k}"))
+    return same
+
+
+_SLOTS = "array<struct<pair:int,own:boolean,i:int,j:int,side:int>>"
+
+
+def _self_tasks(placed: DataFrame, by: list[str]) -> DataFrame:
+    """Rows copied to every chunk pair they take part in.
+
+    Chunk pairs inside a cell: other x other (each unordered pair once), core x other, core x visitor, other x visitor.
+    """
     keys = [*by, "_cell"]
+    roles = ("core", "other", "visitor")
     sizes = placed.groupBy(*[F.col(k).alias(f"_s{k}") for k in keys]).agg(
-        F.count_if("_home").alias("_nh"), F.count_if(~F.col("_home")).alias("_nv")
+        *[F.count_if(F.col("_role") == r).alias(f"_n_{r}") for r in roles]
     )
-    same = F.lit(True)
-    for k in keys:
-        same &= F.col(k).eqNullSafe(F.col(f"_s{k}"))
-    known = placed.join(sizes, same).drop(*[f"_s{k}" for k in keys])
-    h = F.pmod(F.xxhash64("_id"), _chunks(F.col("_nh"))).cast("int")
-    v = F.pmod(F.xxhash64("_id"), _chunks(F.col("_nv"))).cast("int")
-
-    def slot(own: Column, i: Column, j: Column, side: Column) -> Column:
-        return F.struct(own.alias("own"), i.alias("i"), j.alias("j"), side.cast("int").alias("side"))
-
-    # own chunk pairs are (i, i); different home chunks (i, j) with i < j; visitors use -1 - j to stay apart
-    home_pairs = F.transform(
-        F.sequence(F.lit(0), _chunks(F.col("_nh")) - 1),
-        lambda j: slot(j == h, F.least(h, j), F.greatest(h, j), F.when(h <= j, 0).otherwise(1)),
+    known = placed.join(sizes, _equal(keys, "_s")).drop(*[f"_s{k}" for k in keys])
+    mine = {r: F.pmod(F.xxhash64("_id"), _chunks(F.col(f"_n_{r}"))).cast("int") for r in roles}
+
+    def slot(pair: int, own: Column, i: Column, j: Column, side: Column) -> Column:
+        return F.struct(
+            F.lit(pair).alias("pair"), own.alias("own"), i.cast("int").alias("i"), j.cast("int").alias("j"),
+            side.cast("int").alias("side"),
+        )
+
+    def meeting(role: str, make) -> Column:
+        """One slot per chunk of the other role; none when it is empty."""
+        n = F.col(f"_n_{role}")
+        return F.when(n > 0, F.transform(F.sequence(F.lit(0), _chunks(n) - 1), make)).otherwise(F.array().cast(_SLOTS))
+
+    no = F.lit(False)
+
+    def first(pair: int, role: str, other: str) -> Column:
+        return meeting(other, lambda j: slot(pair, no, mine[role], j, F.lit(0)))
+
+    def second(pair: int, role: str, other: str) -> Column:
+        return meeting(other, lambda i: slot(pair, no, i, mine[role], F.lit(1)))
+
+    among = meeting(
+        "other",
+        lambda j: slot(0, j == mine["other"], F.least(mine["other"], j), F.greatest(mine["other"], j),
+                       F.when(mine["other"] <= j, 0).otherwise(1)),
+    )
+    slots = (
+        F.when(F.col("_role") == "other", F.concat(among, second(1, "other", "core"), first(3, "other", "visitor")))
+        .when(F.col("_role") == "core", F.concat(first(1, "core", "other"), first(2, "core", "visitor")))
+        .otherwise(F.concat(second(2, "visitor", "core"), second(3, "visitor", "other")))
     )
-    visited = F.when(
-        F.col("_nv") > 0,
-        F.transform(F.sequence(F.lit(0), _chunks(F.col("_nv")) - 1), lambda j: slot(F.lit(False), h, -1 - j, F.lit(0))),
-    ).otherwise(F.array().cast("array<struct<own:boolean,i:int,j:int,side:int>>"))
-    visits = F.when(
-        F.col("_nh") > 0,
-        F.transform(F.sequence(F.lit(0), _chunks(F.col("_nh")) - 1), lambda i: slot(F.lit(False), i, -1 - v, F.lit(1))),
-    ).otherwise(F.array().cast("array<struct<own:boolean,i:int,j:int,side:int>>"))
-    slots = F.when(F.col("_home"), F.concat(home_pairs, visited)).otherwise(visits)
     return known.select("_id", *by, "_v", "_cell", F.explode(slots).alias("_s")).select(
-        "_id", *by, "_v", "_cell", F.col("_s.own").alias("_own"), F.col("_s.i").alias("_i"),
+        "_id", *by, "_v", "_cell", F.col("_s.pair").alias("_pair"), F.col("_s.own").alias("_own"), F.col("_s.i").alias("_i"),
         F.col("_s.j").alias("_j"), F.col("_s.side").alias("_side"),
     )
 
 
+def _core_links(placed: DataFrame, by: list[str]) -> DataFrame:
+    """Core rows tied to the smallest key of their cell's core."""
+    core = placed.filter(F.col("_role") == "core").select("_id", *by, "_cell")
+    keys = [*by, "_cell"]
+    reps = core.groupBy(*[F.col(k).alias(f"_r{k}") for k in keys]).agg(F.min("_id").alias("_rep"))
+    return core.join(reps, _equal(keys, "_r")).filter(F.col("_id") != F.col("_rep")).select(
+        *by, F.col("_rep").alias("a_id"), F.col("_id").alias("b_id")
+    )
+
+
 def _id_fields(df: DataFrame, key: str) -> list[T.StructField]:
     kind = df.schema[key].dataType
     return [T.StructField("a_id", kind), T.StructField("b_id", kind)]
@@ -198,9 +252,9 @@ def similar_pairs(
     ``copy`` true, so a group of n copies yields n - 1 rows and stands for all its pairs.
     """
     by = by or []
-    rows, copies = _copies(_vectors(df, key, vec, by, normalize), by)
     raw = _vectors(df, key, vec, by, normalize)
-    pivots = _draw_pivots(raw, raw.count())
+    rows, copies = _copies(raw, by)
+    pivots = _draw_pivots(raw, raw.count(), _radius(threshold))
 
     def reduce(block: _Block) -> dict:
         other, ids = (block.a, block.ids_a) if block.own else (block.b, block.ids_b)
@@ -216,8 +270,8 @@ def similar_pairs(
         }
 
     fields = [*_id_fields(df, key), T.StructField("score", T.DoubleType())]
-    tasks = _self_tasks(rows, by, pivots, _radius(threshold))
-    found = _run(tasks, by, fields, reduce).withColumn("copy", F.lit(False))
+    placed = _placed(rows, by, pivots, _radius(threshold), core=False)
+    found = _run(_self_tasks(placed, by), by, fields, reduce).withColumn("copy", F.lit(False))
     return found.unionByName(copies.withColumn("score", F.lit(1.0)).withColumn("copy", F.lit(True)))
 
 
@@ -232,7 +286,7 @@ def similar_links(
     by = by or []
     raw = _vectors(df, key, vec, by, normalize)
     rows, copies = _copies(raw, by)
-    pivots = _draw_pivots(raw, raw.count())
+    pivots = _draw_pivots(raw, raw.count(), _radius(threshold))
 
     def reduce(block: _Block) -> dict:
         if block.own:
@@ -258,8 +312,30 @@ def similar_links(
         moved = label != np.arange(len(ids))
         return {"a_id": ids[label[moved]] if len(ids) else ids, "b_id": ids[moved] if len(ids) else ids}
 
-    found = _run(_self_tasks(rows, by, pivots, _radius(threshold)), by, _id_fields(df, key), reduce)
-    return found.unionByName(copies)
+    placed = _placed(rows, by, pivots, _radius(threshold), core=True)
+    found = _run(_self_tasks(placed, by), by, _id_fields(df, key), reduce)
+    return found.unionByName(_core_links(placed, by)).unionByName(copies)
+
+
+def with_earlier_match(df: DataFrame, rank: str, vec: str, threshold: float, by: list[str] | None = None) -> DataFrame:
+    """Ranks of the rows that have a similar row of smaller rank in their group; the rank identifies a row.
+
+    Tasks report at most one row per row and chunk pair, whatever the number of similar pairs.
+    """
+    by = by or []
+    rows = _vectors(df, rank, vec, by, False)
+    pivots = _draw_pivots(rows, rows.count(), _radius(threshold))
+
+    def reduce(block: _Block) -> dict:
+        other, ids = (block.a, block.ids_a) if block.own else (block.b, block.ids_b)
+        near = block.a @ other.T >= threshold
+        before = block.ids_a[:, None] < ids[None, :]
+        late = [ids[(near & before).any(0)], block.ids_a[(near & ~before & (block.ids_a[:, None] != ids[None, :])).any(1)]]
+        return {"_id": np.unique(np.concatenate(late).astype("int64"))}
+
+    placed = _placed(rows, by, pivots, _radius(threshold), core=False)
+    hits = _run(_self_tasks(placed, by), by, [T.StructField("_id", T.LongType())], reduce)
+    return hits.select(*by, F.col("_id").alias(rank)).distinct()
 
 
 def distance_statistics(df: DataFrame, key: str, vec: str, by: list[str]) -> DataFrame:
@@ -277,7 +353,7 @@ def distance_statistics(df: DataFrame, key: str, vec: str, by: list[str]) -> Dat
         return {"n": [len(d)], "total": [d.sum()], "low": [d.min()], "high": [d.max()]}
 
     fields = [T.StructField("n", T.LongType())] + [T.StructField(c, T.DoubleType()) for c in ("total", "low", "high")]
-    parts = _run(_self_tasks(rows, by, None, 0.0), by, fields, reduce)
+    parts = _run(_self_tasks(_placed(rows, by, None, 0.0, False), by), by, fields, reduce)
     return parts.groupBy(*by).agg(
         (F.sum("total") / F.sum("n")).alias("mean_dist"), F.min("low").alias("min_dist"), F.max("high").alias("max_dist")
     )
@@ -291,24 +367,21 @@ def _between_tasks(
         a = left.withColumn("_cell", F.lit(0))
         b = right.withColumn("_cell", F.lit(0))
     else:
-        cells = _assign(pivots, radius, upward=False)
-        a = left.withColumn("_cell", F.get(cells("_v"), 0))
-        b = right.withColumn("_cell", F.explode_outer(cells("_v")))
+        places = _assign(pivots, radius, upward=False)
+        a = left.withColumn("_cell", F.shiftright(F.get(places("_v"), 0), 2))
+        b = right.withColumn("_cell", F.explode_outer(places("_v"))).withColumn("_cell", F.shiftright("_cell", 2))
     both = a.withColumn("_side", F.lit(0)).unionByName(b.withColumn("_side", F.lit(1)))
     keys = [*by, "_cell"]
     sizes = both.groupBy(*[F.col(k).alias(f"_s{k}") for k in keys]).agg(
         F.count_if(F.col("_side") == 0).alias("_na"), F.count_if(F.col("_side") == 1).alias("_nb")
     ).filter((F.col("_na") > 0) & (F.col("_nb") > 0))
-    same = F.lit(True)
-    for k in keys:
-        same &= F.col(k).eqNullSafe(F.col(f"_s{k}"))
-    known = both.join(sizes, same)
+    known = both.join(sizes, _equal(keys, "_s"))
     first = F.col("_side") == 0
     mine = F.pmod(F.xxhash64("_id"), _chunks(F.when(first, F.col("_na")).otherwise(F.col("_nb")))).cast("int")
     others = F.sequence(F.lit(0), _chunks(F.when(first, F.col("_nb")).otherwise(F.col("_na"))) - 1)
     spread = known.withColumn("_mine", mine).withColumn("_other", F.explode(others))
     return spread.select(
-        "_id", *by, "_v", "_cell", F.lit(False).alias("_own"), "_side",
+        "_id", *by, "_v", "_cell", F.lit(0).alias("_pair"), F.lit(False).alias("_own"), "_side",
         F.when(first, F.col("_mine")).otherwise(F.col("_other")).alias("_i"),
         F.when(first, F.col("_other")).otherwise(F.col("_mine")).alias("_j"),
     )
@@ -328,7 +401,7 @@ def best_match(
     b = _vectors(right, right_key or key, right_vec or vec, by, False)
     if not exclude_same:
         b, _ = _copies(b, by)  # copies on the right cannot change the maximum
-    pivots = _draw_pivots(a, a.count())
+    pivots = _draw_pivots(a, a.count(), _radius(threshold))
 
     def reduce(block: _Block) -> dict:
         if not len(block.b) or not len(block.a):

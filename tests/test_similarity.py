@@ -384,3 +384,24 @@ def test_quick_fill_against_a_walk(spark):
                 state.append(i)
                 room -= 1
     assert got == picked
+
+
+def test_links_of_a_dense_group_are_linear(spark, monkeypatch):
+    """A group of near copies that holds most rows yields about one link per row, and few compared chunk pairs."""
+    monkeypatch.setattr(s, "CHUNK_ROWS", 16)
+    rng = np.random.default_rng(9)
+    v = unit(rng, 400, 8)
+    v[:300] = v[0] + rng.normal(scale=0.002, size=(300, 8)).astype("float32")
+    v = (v / np.linalg.norm(v, axis=1, keepdims=True)).astype("float32")
+    df = frame(spark, v)
+    links = s.similar_links(df, "id", "v", 0.95)
+    assert links.count() < 900
+    d = v.astype("float64")
+    cos = d @ d.T
+    want = closure([(i, j) for i in range(400) for j in range(i + 1, 400) if cos[i, j] >= 0.95], range(400))
+    got = {r.id: r.component for r in graph.connected_components(links).collect()}
+    assert all(got.get(i, i) == want[i] for i in range(400))
+    rows = s._vectors(df, "id", "v", [], False)
+    pivots = s._draw_pivots(rows, 400, s._radius(0.95))
+    roles = {r["_role"]: r["count"] for r in s._placed(rows, [], pivots, s._radius(0.95), True).groupBy("_role").count().collect()}
+    assert roles["core"] >= 300
