@@ -10,8 +10,17 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def at_least(x: Column, low: float) -> Column:
+    """``F.greatest`` skips nulls; a missing value stays missing here."""
+    return F.when(x.isNotNull(), F.greatest(x.cast("double"), F.lit(float(low))))
+
+
+def at_most(x: Column, high: float) -> Column:
+    return F.when(x.isNotNull(), F.least(x.cast("double"), F.lit(float(high))))
+
+
 def clamp(x: Column, low: float, high: float) -> Column:
-    return F.greatest(F.lit(float(low)), F.least(F.lit(float(high)), x))
+    return at_least(at_most(x, high), low)
 
 
 def half_even(x: Column, digits: int = 0) -> Column:
@@ -22,11 +31,11 @@ def half_even(x: Column, digits: int = 0) -> Column:
 
 def saturate(x: Column, full: float) -> Column:
     """Share of ``full``, at most 1."""
-    return F.least(x / F.lit(float(full)), F.lit(1.0))
+    return at_most(x / F.lit(float(full)), 1.0)
 
 
 def positive(x: Column) -> Column:
-    return F.greatest(x, F.lit(0.0))
+    return at_least(x, 0.0)
 
 
 def sigmoid(z: Column, clip: float = 10.0) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.numbers import clamp, col, half_even, megapixels
+from ..functions.numbers import at_least, at_most, clamp, col, half_even, megapixels
 from ..functions.vectors import deviation, laplacian_variance, mean, percentile
 
 # Weights of the composite grade.
@@ -35,7 +35,7 @@ def resolution_bands(mp: Column) -> Column:
     """Video form."""
     return (
         F.when(mp >= 20, 100.0).when(mp >= 12, 90.0).when(mp >= 5, 70.0).when(mp >= 2, 50.0)
-        .otherwise(F.greatest(F.lit(20.0), mp / 0.5 * 20))
+        .otherwise(at_least(mp / 0.5 * 20, 20))
     )
 
 
@@ -64,13 +64,13 @@ def exposure_bands(brightness: Column, std: Column) -> Column:
 
 
 def color_score(saturation: Column, p5: Column, p95: Column) -> Column:
-    return F.least(saturation / 1.5, F.lit(100.0)) * 0.4 + clamp((p95 - p5) / 2.0, 0, 100) * 0.6
+    return at_most(saturation / 1.5, 100) * 0.4 + clamp((p95 - p5) / 2.0, 0, 100) * 0.6
 
 
 def focus_score(center: Column, edge: Column) -> Column:
     bonus = F.when((edge > 0) & (center / F.greatest(edge, F.lit(1.0)) > 1.5), 5.0).otherwise(0.0)
-    sharp = F.least(F.least(center / 8, F.lit(100.0)) + bonus, F.lit(100.0))
-    return F.when(center > 20, sharp).otherwise(F.greatest(center / 8 * 100, F.lit(0.0)))
+    sharp = at_most(at_most(center / 8, 100) + bonus, 100)
+    return F.when(center > 20, sharp).otherwise(at_least(center / 8 * 100, 0))
 
 
 def aspect_score(width: Column, height: Column) -> Column:
@@ -96,7 +96,7 @@ def photo_grade(video: bool = False) -> Column:
         parts = {
             "resolution": resolution_bands(mp),
             "exposure": exposure_bands(c("mean_brightness"), c("brightness_std")),
-            "focus": F.least(c("center_var") / 8, F.lit(100.0)),
+            "focus": at_most(c("center_var") / 8, 100),
             "distortion": F.lit(80.0),
         }
     else:
@@ -135,21 +135,21 @@ def face_grade() -> Column:
     c = F.col
     parts = {
         "count": F.least(c("face_count") * 30 + 40, F.lit(100)).cast("double"),
-        "size": half_even(F.least(c("face_ratio") * 500, F.lit(100.0)), 1),
-        "sharpness": half_even(F.least(c("face_sharpness_var") / 5, F.lit(100.0)), 1),
+        "size": half_even(at_most(c("face_ratio") * 500, 100), 1),
+        "sharpness": half_even(at_most(c("face_sharpness_var") / 5, 100), 1),
     }
     return F.when(c("face_count") > 0, half_even(weighted(parts, FACE_WEIGHTS), 1)).otherwise(0.0)
 
 
 def recognition_score(distance: Column) -> Column:
-    """0-100 from the smallest face distance to a person's references."""
-    return half_even(F.greatest(F.lit(0.0), (1 - distance / 0.8) * 100), 1)
+    """0-100 from the smallest face distance to a person's references; 0 when no face was measured."""
+    return half_even(F.coalesce(at_least((1 - distance / 0.8) * 100, 0), F.lit(0.0)), 1)
 
 
 def composition_grade(center_x: Column, center_y: Column) -> Column:
     """Aspect ratio and centring of the main face (relative centre; null without a face)."""
     dx, dy = F.abs(center_x - 0.5), F.abs(center_y - 0.45)
-    centred = half_even(F.greatest(F.lit(30.0), 100 - F.sqrt(dx * dx + dy * dy) * 200), 1)
+    centred = half_even(at_least(100 - F.sqrt(dx * dx + dy * dy) * 200, 30), 1)
     aspect = aspect_score(F.col("width"), F.col("height"))
     return half_even(aspect * 0.3 + F.coalesce(centred, F.lit(50.0)) * 0.7, 1)
 
@@ -170,8 +170,8 @@ def scan_grade() -> Column:
         "resolution": resolution_score(megapixels(c("width"), c("height"))),
         "sharpness": clamp(c("sharpness_var") / 8, 0, 100),
         "exposure": exposure_score(c("mean_brightness")),
-        "face_size": half_even(F.least(c("face_ratio") * 500, F.lit(100.0)), 1),
-        "face_sharpness": F.least(c("face_sharpness_var") / 5, F.lit(100.0)),
+        "face_size": half_even(at_most(c("face_ratio") * 500, 100), 1),
+        "face_sharpness": at_most(c("face_sharpness_var") / 5, 100),
     }
     return half_even(weighted(parts, SCAN_WEIGHTS), 1)
 
@@ -199,7 +199,7 @@ def raw_quality(variant: str, width: str = "width", height: str = "height", size
     size_ = F.col(size).cast("double")
 
     def capped(full_pixels: float, full_bytes: float) -> Column:
-        return F.least(pixels / full_pixels, F.lit(1.0)) * 0.6 + F.least(size_ / full_bytes, F.lit(1.0)) * 0.4
+        return at_most(pixels / full_pixels, 1) * 0.6 + at_most(size_ / full_bytes, 1) * 0.4
 
     # Saturation points of the two capped forms.
     forms = {

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
 from ..config import Quiz
-from ..functions.numbers import half_even, sigmoid
+from ..functions.numbers import positive, saturate, sigmoid
 
 _GRADES = ("resolution", "sharpness", "noise", "compression", "color", "exposure", "focus")
 
@@ -31,7 +31,7 @@ def features(form: str = "server") -> list[Column]:
     grades.append(grade("composite"))
     size = F.coalesce(F.col("size_kb"), F.lit(500)) / 5000.0
     tail = [
-        F.least(F.coalesce(F.col("face_count"), F.lit(0)) / 5.0, F.lit(1.0)),
+        saturate(F.coalesce(F.col("face_count"), F.lit(0)), 5.0),
         F.coalesce(F.col("has_target_face"), F.lit(False)).cast("double"),
         F.coalesce(1.0 - F.col("face_distance"), F.lit(0.5)),
         size if form == "view" else F.least(size, F.lit(1.0)),
@@ -133,7 +133,7 @@ def predicted_preference(model: PreferenceModel) -> tuple[Column, Column]:
     p = model.probability()
     score = F.when(rated, 0.0).otherwise(F.coalesce((p - 0.5) * 10.0, F.lit(0.0)))
     confidence = F.abs(p - 0.5) * 2.0
-    explore = F.greatest(F.lit(0.0), 2.0 * (1.0 - confidence))
+    explore = positive(2.0 * (1.0 - confidence))
     return score, F.when(rated, 0.0).otherwise(F.coalesce(explore, F.lit(1.0)))
 
 

@@ -179,7 +179,7 @@ def r11b(spark, d):
 @query("r12_grade_report", _GRADE_SQL + f"""
 , parts AS (SELECT *, {_r1('s_res * 0.25e0 + s_comp * 0.15e0 + s_sharp * 0.4e0 + ex * 0.2e0')} AS technical,
   CASE WHEN face_count > 0 THEN {_r1(f"least(face_count * 30 + 40, 100) * 0.2e0 + {_r1('least(face_ratio * 500, 100)')} * 0.35e0 + {_r1('least(face_sharpness_var / 5, 100)')} * 0.45e0")} ELSE 0e0 END AS face,
-  {_r1(f"aspect * 0.3e0 + coalesce({_r1('greatest(30, 100 - sqrt(abs(center_x - 0.5e0) * abs(center_x - 0.5e0) + abs(center_y - 0.45e0) * abs(center_y - 0.45e0)) * 200)')}, 50) * 0.7e0")} AS composition,
+  {_r1(f"aspect * 0.3e0 + CASE WHEN center_x IS NULL THEN 50 ELSE {_r1('greatest(30, 100 - sqrt(abs(center_x - 0.5e0) * abs(center_x - 0.5e0) + abs(center_y - 0.45e0) * abs(center_y - 0.45e0)) * 200)')} END * 0.7e0")} AS composition,
   {_r1('greatest(0e0, (1 - face_distance / 0.8e0) * 100)')} AS recognition,
   {_r1(f"s_res * 0.1e0 + s_sharp * 0.25e0 + ex * 0.15e0 + {_r1('least(face_ratio * 500, 100)')} * 0.2e0 + least(face_sharpness_var / 5, 100) * 0.3e0")} AS scan FROM p)
 SELECT asset_id, technical, face, composition, recognition, scan,

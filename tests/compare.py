@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime
 import decimal
 import math
+import os
 import sys
 import time
 
@@ -85,7 +86,7 @@ def main() -> None:
 
     import __spark_entry__ as entry
 
-    sf_dir = "/root/testdata/sf0.01"
+    sf_dir = os.environ.get("COMPARE_SF_DIR", "/root/testdata/sf0.01")
     names = sys.argv[1:]
     queries, oracle = entry.queries(), entry.oracle_sql()
     spark = make_session()
