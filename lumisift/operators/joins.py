@@ -382,7 +382,8 @@ def burst_pairs(df: DataFrame, by: list[str], number: str, key: str, gap: int =
     between points are pairs of these smallest keys. Numbers are cut into stretches of gap + 1; each point is sent to
     its own stretch and the one before, so a stretch holds at most 2 * (gap + 1) points whatever the data.
     """
-    rows = df.filter(F.col(number).isNotNull())
+    # keys are usually parsed from names; parse them once
+    rows = cut_lineage(df.select(*by, number, key)).filter(F.col(number).isNotNull())
     points = rows.groupBy(*by, number).agg(F.min(key).alias("_id"), F.count("*").alias("_n"))
     stretch = F.floor(F.col(number) / (gap + 1))
     placed = points.select(

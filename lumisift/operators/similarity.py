@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.vectors import unit_normalize
+from ..session import cut_lineage
 
 CHUNK_ROWS = 1024
 MAX_PIVOTS = 2048
@@ -443,7 +444,8 @@ def hamming_pairs(
     radius = (1 if threshold > 3 else 0) if probe_radius is None else probe_radius
     bands = threshold // (radius + 1) + 1
     edges = [round(i * width / bands) for i in range(bands + 1)]
-    rows = df.filter(F.col(bits).isNotNull()).select(F.col(key).alias("_id"), *by, F.col(bits).alias("_h"))
+    # hashes are often derived from wide columns; compute them once, the rest works on slim rows
+    rows = cut_lineage(df.select(F.col(key).alias("_id"), *by, F.col(bits).alias("_h"))).filter(F.col("_h").isNotNull())
     points = rows.groupBy(*by, "_h").agg(F.min("_id").alias("_id"), F.count("*").alias("_n"))
 
     def band(h: Column, k: int) -> Column:
