@@ -101,9 +101,11 @@ def train_preference(
         n = data.agg(F.sum("n")).first()[0] or 0
         if n < needed:
             return PreferenceModel(None, 0.0, form)
+        # few rows need few tasks per round; at most 50,000 merged rows each
+        packed = data.coalesce(int(min(n, 1e9) // 50_000) + 1)
         weights, bias = np.zeros(len(columns)), 0.0
         for _ in range(rounds):
-            parts = data.mapInArrow(_gradient(weights, bias), "part array<double>").collect()  # one row per task
+            parts = packed.mapInArrow(_gradient(weights, bias), "part array<double>").collect()  # one row per task
             step = np.sum([r["part"] for r in parts], axis=0)
             weights, bias = weights - rate * step[:-1] / n, bias - rate * step[-1] / n
         return PreferenceModel(tuple(float(w) for w in weights), float(bias), form)
