@@ -134,19 +134,18 @@ def scan_documents(
         for part in parts[1:]:
             found = found.unionByName(part)
         # hit positions of the blocks meet as distinct word numbers, so overlaps count once
-        names = found.select("doc_id", F.explode("items").alias("i")).groupBy("doc_id").agg(
+        names = found.select(F.col("doc_id").alias("_a"), F.explode("items").alias("i")).groupBy("_a").agg(
             F.sort_array(F.collect_set("i")).alias("items"))
-        hits = found.select("doc_id", F.explode("runs").alias("r")).select(
-            "doc_id", F.explode(F.sequence(F.col("r")[0], F.col("r")[1] - 1)).alias("w")).distinct().groupBy(
-            "doc_id").agg(F.count("*").alias("n_hit"))
+        hits = found.select(F.col("doc_id").alias("_b"), F.explode("runs").alias("r")).select(
+            "_b", F.explode(F.sequence(F.col("r")[0], F.col("r")[1] - 1)).alias("w")).distinct().groupBy("_b").agg(
+            F.count("*").alias("n_hit"))
         spans = found.groupBy("doc_id").agg(
             F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"))
-        return (
-            spans.join(names, spans.doc_id.eqNullSafe(names.doc_id), "left").drop(names.doc_id)
-            .join(hits, spans.doc_id.eqNullSafe(hits.doc_id), "left").drop(hits.doc_id)
-            .select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
-                    F.coalesce("items", F.array().cast("array<string>")).alias("items"), "spans")
-        )
+        joined = spans.join(names, F.col("doc_id").eqNullSafe(F.col("_a")), "left").join(
+            hits, F.col("doc_id").eqNullSafe(F.col("_b")), "left")
+        return joined.select(
+            "doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
+            F.coalesce("items", F.array().cast("array<string>")).alias("items"), "spans")
     total = F.aggregate("runs", F.lit(0).cast("long"), lambda a, r: a + r[1] - r[0])
     return found.select("doc_id", "n_words", total.alias("n_hit"), "items", "spans")
 
