@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, tokens, warc
+from . import chat, decontaminate, language, packing, tokens, topk, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -120,3 +120,32 @@ def op10_warc(spark, sf_dir):
     back = warc.round_trip(_table(spark, sf_dir, "pages"), min_bytes=0)
     return back.filter(F.col("gap_reason").isNull()).select(
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@_query()
+def op4_packing(spark, sf_dir):
+    """Every document in a token-budget batch of its length bucket."""
+    return packing.pack(_table(spark, sf_dir, "documents"))
+
+
+@_query()
+def op5_language_id(spark, sf_dir):
+    """Language of every document, learned outside the held-out quarter."""
+    docs = _table(spark, sf_dir, "documents")
+    found = language.predict(docs, language.train(docs))
+    return found.select("doc_id", language.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+@_query("""
+WITH v AS MATERIALIZED (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.vec_id AS query_id, b.vec_id, CAST(list_inner_product(a.e, b.e) AS BIGINT) AS score
+  FROM (SELECT * FROM v WHERE vec_id % 50 = 0) a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+""")
+def op7_topk(spark, sf_dir):
+    """Five best inner products for every fiftieth vector among all others."""
+    return topk.top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
