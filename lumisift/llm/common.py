@@ -6,12 +6,10 @@ import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.functions import broadcast
 
 from ..session import cut_lineage, ensure_checkpoint_dir
 
-__all__ = ["cut_lineage", "shared_folder", "SpanHash", "mix", "word_spans", "word_hashes", "gram_hashes", "anchor_runs"]
-
-
 def shared_folder(spark: SparkSession, name: str) -> str:
     """New folder path below ``spark.checkpoint.dir``, which driver and executors share."""
     ensure_checkpoint_dir(spark)
@@ -23,6 +21,23 @@ def keep(df: DataFrame) -> DataFrame:
     return cut_lineage(df)
 
 
+def keep_table(df: DataFrame, name: str = "table") -> DataFrame:
+    """Like ``keep``, as a Parquet table in the shared folder: smaller on disk for many rows."""
+    path = shared_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+BROADCAST_ROWS = 50_000
+
+
+def for_join(narrow: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """A checkpointed table of short rows, marked for broadcast where its counted rows are few, else for a hash join
+    whose large side is not sorted."""
+    ready = keep(narrow)
+    return broadcast(ready) if ready.count() <= rows else ready.hint("shuffle_hash")
+
+
 _BASE = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
 

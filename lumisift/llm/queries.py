@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, language, packing, tokens, topk, warc
+from . import chat, decontaminate, language, packing, suffix, tokens, topk, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -62,6 +62,30 @@ def op1_chat_format(spark, sf_dir):
     )
 
 
+@_query("""
+WITH d AS MATERIALIZED (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+p AS MATERIALIZED (
+  SELECT doc_id, i, md5_number(h[2 * i + 1:2 * i + 800]) AS k
+  FROM (SELECT doc_id, h, unnest(range(0, len(h) // 2 - 399)) AS i FROM d WHERE len(h) >= 800)),
+r AS (SELECT doc_id, i FROM p WHERE k IN (SELECT k FROM p GROUP BY k HAVING count(*) > 1)),
+m AS (SELECT *, max(i + 400) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS e FROM r),
+g AS (SELECT *, sum(CASE WHEN e IS NULL OR i > e THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS s FROM m),
+spans AS (SELECT doc_id, s, min(i) AS a, max(i) + 400 AS b FROM g GROUP BY 1, 2),
+cuts AS (SELECT doc_id, a, b, lag(b, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS before FROM spans),
+parts AS (
+  SELECT d.doc_id, sum(b - a) AS n_removed, count(*) AS n_spans,
+    string_agg(h[2 * before + 1:2 * a], '' ORDER BY a) || any_value(h[2 * (SELECT max(b) FROM spans s WHERE s.doc_id = d.doc_id) + 1:]) AS kept
+  FROM cuts JOIN d USING (doc_id) GROUP BY d.doc_id)
+SELECT d.doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+  coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256
+FROM d LEFT JOIN parts USING (doc_id)
+""")
+def op2_suffix_dedup(spark, sf_dir):
+    """Bytes covered by 400-byte strings that occur more than once."""
+    found = suffix.dedup_report(_table(spark, sf_dir, "documents"), threshold=400)
+    return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+
+
 TOKEN_LIMIT = 1024
 
 
