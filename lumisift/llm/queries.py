@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, language, packing, suffix, tokens, topk, warc
+from . import chat, decontaminate, fmindex, language, packing, suffix, tokens, topk, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -173,3 +173,22 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 def op7_topk(spark, sf_dir):
     """Five best inner products for every fiftieth vector among all others."""
     return topk.top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+@_query(r"""
+WITH d AS MATERIALIZED (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+p AS MATERIALIZED (
+  SELECT doc_id, i, md5_number(array_to_string(w[i:i + 49], ' ')) AS k
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d WHERE len(w) >= 50)),
+f AS (SELECT k, min(doc_id) AS o FROM p GROUP BY k),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS n FROM p JOIN f USING (k) WHERE doc_id > o),
+l AS (SELECT doc_id, list(n) AS ns FROM gone GROUP BY doc_id),
+words AS (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS n FROM d),
+kept AS (
+  SELECT doc_id, string_agg(x, ' ' ORDER BY n) AS t FROM words ANTI JOIN gone USING (doc_id, n) GROUP BY doc_id)
+SELECT d.doc_id, len(w) AS n_words, coalesce(len(ns), 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN l USING (doc_id) LEFT JOIN kept USING (doc_id)
+""")
+def op8_substring_dedup(spark, sf_dir):
+    """Words covered by 50-word windows that a document with a smaller id holds too."""
+    return fmindex.dedup_report(_table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
