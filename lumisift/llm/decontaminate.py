@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -150,13 +148,22 @@ def scan_documents(
     return found.select("doc_id", "n_words", total.alias("n_hit"), "items", "spans")
 
 
-def clean_documents(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """``docs`` without the rows that hold a benchmark window; all columns stay. Rows with a null key are kept or
-    dropped together."""
-    hit = scan_documents(docs, benchmark, key=key, text=text, **options).filter(F.col("n_hit") > 0)
-    bad = hit.select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, F.col(key).cast("long").eqNullSafe(F.col("_bad")), "left_anti")
+def clean_documents(
+    docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text",
+    width: int = WINDOW, automaton_chars: int = AUTOMATON_CHARS,
+) -> DataFrame:
+    """``docs`` without the rows that hold a benchmark window; all columns stay. One pass over the rows per automaton,
+    no shuffle."""
+    for rows in _benchmark_blocks(benchmark, item, item_text, width, automaton_chars):
+        shared = docs.sparkSession.sparkContext.broadcast(rows)
+
+        def run(batches, shared=shared):
+            import pyarrow as pa
 
+            machine, any_window = _automaton(shared.value)
+            for batch in batches:
+                texts = batch.column(batch.schema.get_field_index(text)).to_pylist()
+                yield batch.filter(pa.array([not (any_window and _scan(normalise(t), machine)[1]) for t in texts], pa.bool_()))
 
-def digest(items: list[str]) -> str:
-    return hashlib.sha256(",".join(items).encode()).hexdigest()
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs

@@ -158,16 +158,40 @@ def predict(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "tex
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
 
     def run(batches):
-        languages, folded, bits = shared.value
-        ready = Model(languages, folded, folded, folded, bits)
+        ready = _ready(shared.value)
         for pdf in batches:
-            texts = pdf["text"].tolist()
-            names, scores = np.full(len(texts), "und", object), np.zeros(len(texts))
-            todo = [i for i, t in enumerate(texts) if languages and has_letter(t)]
-            for at in range(0, len(todo), 64):
-                part = todo[at:at + 64]
-                best, value = score(ready, [texts[i] for i in part])
-                names[part], scores[part] = [languages[b] for b in best], value
+            names, scores = label(ready, pdf["text"].tolist())
             yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "lang_pred": names, "score": scores})
 
     return rows.mapInPandas(run, "doc_id long, lang_pred string, score double")
+
+
+def _ready(parts) -> Model:
+    languages, folded, bits = parts
+    return Model(languages, folded, folded, folded, bits)
+
+
+def label(model: Model, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """(language or ``und``, score) of each text, in batches of bounded size."""
+    names, scores = np.full(len(texts), "und", object), np.zeros(len(texts))
+    todo = [i for i, t in enumerate(texts) if model.languages and has_letter(t)]
+    for at in range(0, len(todo), 64):
+        part = todo[at:at + 64]
+        best, value = score(model, [texts[i] for i in part])
+        names[part], scores[part] = [model.languages[b] for b in best], value
+    return names, scores
+
+
+def keep_known(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """``docs`` without the rows whose language is ``und``; all columns stay."""
+    shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.folded, model.bits))
+
+    def run(batches):
+        import pyarrow as pa
+
+        ready = _ready(shared.value)
+        for batch in batches:
+            names, _ = label(ready, batch.column(batch.schema.get_field_index(text)).to_pylist())
+            yield batch.filter(pa.array(names != "und"))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -261,16 +261,15 @@ def remove_repeats(docs: DataFrame, text: str = "text", threshold: int = THRESHO
     joined = rows.join(spans.hint("shuffle_hash"), F.col("_row") == F.col("_r"), "left")
 
     def run(batches):
-        for pdf in batches:
-            kept = []
-            for t, runs in zip(pdf[text], pdf["_runs"]):
-                if runs is None or t is None:
-                    kept.append(t)
-                else:
-                    kept.append(_without(t.encode("utf-8", "surrogatepass"), _spans_of(runs, threshold)).decode("utf-8", "ignore"))
-            pdf[text] = kept
-            yield pdf[columns]
-
-    hit = joined.filter(F.col("_runs").isNotNull()).select(*columns, "_runs")
-    return joined.filter(F.col("_runs").isNull()).select(*columns).unionByName(
-        hit.mapInPandas(run, docs.schema))
+        import pyarrow as pa
+
+        for batch in batches:
+            at, kept = batch.schema.get_field_index(text), []
+            for t, runs in zip(batch.column(at).to_pylist(), batch.column(batch.schema.get_field_index("_runs")).to_pylist()):
+                if runs and t is not None:
+                    t = _without(t.encode("utf-8"), _spans_of(runs, threshold)).decode("utf-8", "ignore")
+                kept.append(t)
+            batch = batch.set_column(at, batch.schema.field(at), pa.array(kept, batch.schema.field(at).type))
+            yield batch.select(columns)
+
+    return joined.select(*columns, "_runs").mapInArrow(run, docs.schema)
