@@ -89,7 +89,8 @@ def folder_hint_date(folder: Column | str, birthday: str, intervals: dict[str, t
         F.regexp_extract(folder, pattern, 1)
         for pattern in (r"(?i)(\d+)\s*(?:year|age)", r"(?i)age\s*(\d+)")
     ]
-    aged = [F.when(F.length(y) > 0, F.date_add(born, y.cast("int") * 365)) for y in spoken]
+    # numbers of more than four digits are no ages
+    aged = [F.when((F.length(y) > 0) & (F.length(y) <= 4), F.date_add(born, y.try_cast("int") * 365)) for y in spoken]
     year = F.regexp_extract(folder, r"(20[0-9]{2})", 1)
     june = F.when(F.length(year) > 0, F.make_date(year.cast("int"), F.lit(6), F.lit(1)))
     return F.coalesce(*known, *aged, june)

@@ -40,6 +40,7 @@ def is_video(name: Column | str) -> Column:
 def guess_device(name: Column | str) -> Column:
     """Origin of a file by its name; the first matching form wins."""
     n = F.lower(col(name))
+    # Name forms and labels, in the order of their precedence.
     return (
         F.when(F.contains(n, F.lit("fb_img")) | F.contains(n, F.lit("_n.jpg")), "facebook")
         .when(F.startswith(n, F.lit("img_")), "iphone")
@@ -50,18 +51,23 @@ def guess_device(name: Column | str) -> Column:
     )
 
 
+LONG_DIGITS = 18
+
+
 def burst_key(path: Column | str) -> Column:
     """(folder, prefix, seq) of a camera file name with at least three digits before the extension, else null."""
     path = col(path)
-    pattern = r"^(.*?)(\d{3,})\.[a-zA-Z]+$"
     name = basename(path)
-    seq = F.regexp_extract(name, pattern, 2)
+    body = F.when(name.rlike(r"\.[a-zA-Z]+$"), F.regexp_replace(name, r"\.[a-zA-Z]+$", ""))
+    digits = F.regexp_extract(body, r"(\d+)$", 1)
+    # a long holds 18 digits; what is before them goes to the prefix, so neighbours still share it
+    tail = F.least(F.length(digits), F.lit(LONG_DIGITS))
     return F.when(
-        F.length(seq) > 0,
+        F.length(digits) >= 3,
         F.struct(
             folder_of(path).alias("folder"),
-            F.regexp_extract(name, pattern, 1).alias("prefix"),
-            seq.cast("long").alias("seq"),
+            F.substring(body, F.lit(1), F.length(body) - tail).alias("prefix"),
+            F.right(digits, tail).cast("long").alias("seq"),
         ),
     )
 
@@ -77,9 +83,9 @@ def trailing_number(name: Column | str) -> tuple[Column, Column]:
 
 
 def last_number(name: Column | str) -> Column:
-    """Last run of digits in the stem, null when there is none."""
+    """Last run of digits in the stem (its last 18 digits), null when there is none."""
     digits = F.regexp_extract(stem(name), r"(\d+)\D*$", 1)
-    return F.when(F.length(digits) > 0, digits.cast("long"))
+    return F.when(F.length(digits) > 0, F.right(digits, F.lit(LONG_DIGITS)).cast("long"))
 
 
 def exported_parts(name: Column | str) -> tuple[Column, Column]:

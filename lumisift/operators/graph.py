@@ -15,7 +15,7 @@ def _state(edges: DataFrame) -> tuple:
     return row[0], row[1]
 
 
-def connected_components(edges: DataFrame, a: str = "a_id", b: str = "b_id", max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, a: str = "a_id", b: str = "b_id") -> DataFrame:
     """(id, component) for every id in an edge; the component is its smallest id.
 
     Alternates the large-star and small-star steps (Kiveris et al., 2014). Hubs are reduced by aggregates that merge
@@ -24,7 +24,7 @@ def connected_components(edges: DataFrame, a: str = "a_id", b: str = "b_id", max
     ends = edges.select(F.greatest(a, b).alias("x"), F.least(a, b).alias("y")).filter(F.col("x") != F.col("y"))
     current = cut_lineage(ends.distinct())
     before = _state(current)
-    for _ in range(max_rounds):
+    while True:
         both = current.unionByName(current.select(F.col("y").alias("x"), F.col("x").alias("y")))
         low = both.groupBy("x").agg(F.min("y").alias("_m")).select("x", F.least("x", "_m").alias("m"))
         large = (
@@ -43,7 +43,6 @@ def connected_components(edges: DataFrame, a: str = "a_id", b: str = "b_id", max
             roots = current.select(F.col("y").alias("id"), F.col("y").alias("component")).distinct()
             return members.unionByName(roots)
         before = after
-    raise RuntimeError(f"components did not settle within {max_rounds} rounds")
 
 
 def cluster(

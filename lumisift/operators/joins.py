@@ -14,6 +14,9 @@ from ..config import Category, check_size, lookup
 from ..functions.names import normalize_path, stem
 from ..functions.numbers import col, half_even
 from ..session import cut_lineage
+from .keys import join_by
+
+MAX_EPOCH = 9_000_000_000_000  # seconds that a timestamp can hold
 
 
 def anti_existing(candidates: DataFrame, known: DataFrame, key: str = "hash") -> DataFrame:
@@ -24,12 +27,13 @@ def anti_existing(candidates: DataFrame, known: DataFrame, key: str = "hash") ->
 def join_sidecar(assets: DataFrame, sidecars: DataFrame, path: str = "path") -> DataFrame:
     """Attach the metadata file beside each asset: ``X.jpg.json`` first, then ``X.json``.
 
+    A time that is no number, or beyond the range of timestamps, counts as missing, so the next candidate is tried.
     ``sidecars`` has ``path`` and the raw JSON text ``body``.
     """
     epoch = [
-        F.get_json_object("body", f"$.{name}.timestamp").cast("long") for name in ("photoTakenTime", "creationTime")
+        F.get_json_object("body", f"$.{name}.timestamp").try_cast("long") for name in ("photoTakenTime", "creationTime")
     ]
-    side = sidecars.select(F.col("path").alias("_side"), F.timestamp_seconds(F.coalesce(*epoch)).alias("_at"))
+    side = sidecars.select(F.col("path").alias("_side"), F.timestamp_seconds(F.coalesce(*[F.when(F.abs(e) < MAX_EPOCH, e) for e in epoch])).alias("_at"))
     full = side.select(F.col("_side").alias("_full"), F.col("_at").alias("_full_at"))
     short = side.select(F.col("_side").alias("_short"), F.col("_at").alias("_short_at"))
     return (
@@ -191,40 +195,66 @@ def dictionary_lookup(text: Column | str, entries: dict[str, object], per_part:
     return F.get(hits, 0)
 
 
-def apply_changes(assets: DataFrame, changes: DataFrame, key: str = "hash", order: str = "ts") -> DataFrame:
-    """Apply the last change per key; null fields of a change leave the row as it is.
-
-    ``changes`` may carry to_category, new_status, new_reason, preference, clear_preference and trash.
+def apply_changes(
+    assets: DataFrame, changes: DataFrame, key: str = "hash", order: str = "ts", unique: str | None = None,
+) -> DataFrame:
+    """Apply a change log field by field: each field takes the last change that names it.
+
+    ``changes`` may carry to_category, new_status, new_reason, preference, clear_preference, trash, and ``action``. The
+    action says what a new status does to the reason: ``move`` (also when null) sets manual_reject for pool and clears it
+    otherwise; ``save`` keeps an existing reason for pool, else sets manual_reject, clears it for qualified and leaves it
+    for others; ``select`` and ``deselect`` leave it. A given new_reason is set as it is. Untrash changes only marked rows.
+    Changes of one key are ordered by ``order``, then ``unique``, then by their other fields. With a ``request`` column,
+    only the last item of a key inside one request counts. One aggregate that merges before the shuffle.
     """
-    last = changes.groupBy(F.col(key).alias("_key")).agg(
-        F.max_by(F.struct(*[c for c in changes.columns if c != key]), F.col(order)).alias("_c")
-    )
-    joined = assets.join(last, F.col(key) == F.col("_key"), "left")
     have = set(changes.columns)
-    hit = F.col("_key").isNotNull()
 
-    def change(field: str) -> Column:
-        return F.col(f"_c.{field}")
+    def field(name: str, kind: str) -> Column:
+        return (F.col(name) if name in have else F.lit(None)).cast(kind)
 
-    out = joined
+    log = changes.select(
+        F.col(key).alias("_key"), F.col(order).alias("_ts"), (F.col(unique) if unique else F.lit(0)).alias("_u"),
+        field("request", "string").alias("_request"), field("action", "string").alias("_action"),
+        field("to_category", "string").alias("_cat"), field("new_status", "string").alias("_status"),
+        field("new_reason", "string").alias("_reason"), field("preference", "string").alias("_pref"),
+        F.coalesce(field("clear_preference", "boolean"), F.lit(False)).alias("_clear"), field("trash", "boolean").alias("_trash"),
+    )
+    rest = ["_action", "_cat", "_status", "_reason", "_pref", "_clear", "_trash"]
+    if "request" in have:
+        single = log.filter(F.col("_request").isNull())
+        bulk = log.filter(F.col("_request").isNotNull()).groupBy("_key", "_request").agg(
+            F.max(F.struct("_ts", "_u", *rest)).alias("_c")).select("_key", "_c._ts", "_c._u", "_request", *[f"_c.{c}" for c in rest])
+        log = single.select("_key", "_ts", "_u", "_request", *rest).unionByName(bulk)
+    place = F.struct("_ts", "_u", *rest)
+    pool, moved = F.col("_status") == "pool", F.coalesce(F.col("_action"), F.lit("move")) == "move"
+    saved = F.col("_action") == "save"
+    sets = F.col("_status").isNotNull() & (F.col("_reason").isNotNull() | moved | (saved & (F.col("_status") == "qualified")))
+    value = F.coalesce("_reason", F.when(moved & pool, F.lit("manual_reject")))
+    keeps = F.col("_status").isNotNull() & F.col("_reason").isNull() & saved & pool
+
+    def last(test: Column, result: Column) -> Column:
+        return F.max(F.when(test, F.struct(place.alias("at"), result.alias("value"))))
+
+    found = log.groupBy("_key").agg(
+        last(F.col("_cat").isNotNull(), F.col("_cat")).alias("_c"), last(F.col("_status").isNotNull(), F.col("_status")).alias("_s"),
+        last(sets, value).alias("_set"), last(keeps, F.lit(True)).alias("_keep"),
+        last(F.col("_clear") | F.col("_pref").isNotNull(), F.when(~F.col("_clear"), F.col("_pref"))).alias("_p"),
+        last(F.col("_trash").isNotNull(), F.col("_trash")).alias("_t"), F.max("_trash").alias("_ever"),
+    )
+    out = assets.join(found, F.col(key) == F.col("_key"), "left")
     if "to_category" in have:
-        out = out.withColumn("category", F.coalesce(change("to_category"), F.col("category")))
+        out = out.withColumn("category", F.coalesce("_c.value", "category"))
     if "new_status" in have:
-        manual = F.when(change("new_status") == "rejected", F.lit("manual_reject"))
-        if "new_reason" in have:
-            manual = F.coalesce(change("new_reason"), manual)
-        out = out.withColumn(
-            "reject_reason", F.when(change("new_status").isNotNull(), manual).otherwise(F.col("reject_reason"))
-        )
-        out = out.withColumn("status", F.coalesce(change("new_status"), F.col("status")))
-    if "preference" in have:
-        value = F.coalesce(change("preference"), F.col("preference"))
-        if "clear_preference" in have:
-            value = F.when(F.coalesce(change("clear_preference"), F.lit(False)), F.lit(None)).otherwise(value)
-        out = out.withColumn("preference", value)
+        reason = F.when(F.col("_set").isNotNull(), F.col("_set.value")).otherwise(F.col("reject_reason"))
+        after = F.col("_keep").isNotNull() & (F.col("_set").isNull() | (F.col("_keep.at") > F.col("_set.at")))
+        out = out.withColumn("reject_reason", F.when(after, F.coalesce(reason, F.lit("manual_reject"))).otherwise(reason))
+        out = out.withColumn("status", F.coalesce("_s.value", "status"))
+    if "preference" in have or "clear_preference" in have:
+        out = out.withColumn("preference", F.when(F.col("_p").isNotNull(), F.col("_p.value")).otherwise(F.col("preference")))
     if "trash" in have:
-        out = out.withColumn("trash", F.coalesce(change("trash"), F.col("trash")))
-    return out.withColumn("changed", hit).drop("_key", "_c")
+        marked = F.coalesce(F.col("_ever"), F.lit(False)) | F.coalesce(F.col("trash"), F.lit(False))
+        out = out.withColumn("trash", F.when(F.col("_t.value"), True).when(~F.col("_t.value") & marked, False).otherwise(F.col("trash")))
+    return out.withColumn("changed", F.col("_key").isNotNull()).drop("_key", "_c", "_s", "_set", "_keep", "_p", "_t", "_ever")
 
 
 def reset_selected(assets: DataFrame) -> DataFrame:
@@ -336,35 +366,25 @@ def match_faces(
     wanted: Iterable[str] = (),
     mode: str = "any",
     key: str = "hash",
-    max_references: int = 20_000,
+    block_rows: int = 20_000,
 ) -> DataFrame:
     """Per asset: number of faces, persons within tolerance, smallest distance, and whether the wanted persons are in.
 
-    References are a handful of photos per person; they go into the Arrow batches as one matrix, behind a size check.
-    The distance of every face to every reference is computed in the scan of ``faces``; only one small row per face
-    is shuffled.
+    References go into the Arrow batches as matrices of at most ``block_rows`` rows, one pass over the faces for each
+    block; a handful of photos per person is one block. Only one small row per face and block is shuffled. A face
+    without a usable encoding still counts as a face; without references no person is found.
     """
-    rows = references.select("person", "enc").limit(max_references + 1).collect()
-    if len(rows) > max_references:
-        raise ValueError("too many reference encodings for one matrix; split the persons into several calls")
-    persons = [r["person"] for r in rows]
-    matrix = np.array([r["enc"] for r in rows], dtype="float64")
-
-    @F.pandas_udf("struct<near: double, persons: array<string>>")
-    def compare(enc: pd.Series) -> pd.DataFrame:
-        if not len(enc):
-            return pd.DataFrame({"near": [], "persons": []})
-        data = np.stack([np.asarray(e, dtype="float64") for e in enc])
-        # one reference at a time keeps the batch at rows x dimension
-        dist = np.stack([np.sqrt(((data - ref) ** 2).sum(axis=1)) for ref in matrix], axis=1)
-        close = dist <= tolerance
-        found = [sorted({persons[j] for j in np.flatnonzero(row)}) for row in close]
-        return pd.DataFrame({"near": dist.min(axis=1), "persons": found})
-
-    scored = faces.select(key, compare("enc").alias("m"))
-    names = [F.lit(w) for w in check_size(wanted, "wanted persons")]
+    known = references.select("person", "enc").filter(F.col("enc").isNotNull() & ~F.exists("enc", lambda x: x.isNull()))
+    blocks = max(1, -(-known.count() // block_rows))
+    scored = None
+    for b in range(blocks):
+        part = known if blocks == 1 else known.filter(F.pmod(F.xxhash64("person", "enc"), F.lit(blocks)) == b)
+        rows = part.collect()
+        one = faces.select(key, _compare(rows, tolerance)(F.col("enc")).alias("m"), F.lit(b).alias("_block"))
+        scored = one if scored is None else scored.unionByName(one)
+    names = [F.lit(w) for w in wanted]
     out = scored.groupBy(key).agg(
-        F.count("*").cast("int").alias("face_count"),
+        F.count_if(F.col("_block") == 0).cast("int").alias("face_count"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_set("m.persons")))).alias("faces_found"),
         half_even(F.min("m.near"), 3).alias("face_distance"),
     )
@@ -375,6 +395,33 @@ def match_faces(
     return out.withColumn("has_target_face", test)
 
 
+def _compare(rows: list, tolerance: float):
+    """Arrow function: nearest distance of an encoding to the references, and the persons within tolerance."""
+    persons = [r["person"] for r in rows]
+    matrix = [np.array(r["enc"], dtype="float64") for r in rows]
+
+    @F.pandas_udf("struct<near: double, persons: array<string>>")
+    def compare(enc: pd.Series) -> pd.DataFrame:
+        near, found = np.full(len(enc), np.nan), [[] for _ in range(len(enc))]
+        usable = [i for i, e in enumerate(enc) if e is not None and not any(x is None or x != x for x in e)]
+        by_length: dict[int, list[int]] = {}
+        for i in usable:
+            by_length.setdefault(len(enc.iloc[i]), []).append(i)
+        for length, at in by_length.items():
+            refs = [j for j, m in enumerate(matrix) if len(m) == length]
+            if not refs:
+                continue
+            data = np.stack([np.asarray(enc.iloc[i], dtype="float64") for i in at])
+            # one reference at a time keeps the batch at rows x dimension
+            dist = np.stack([np.sqrt(((data - matrix[j]) ** 2).sum(axis=1)) for j in refs], axis=1)
+            near[at] = dist.min(axis=1)
+            for i, row in zip(at, dist <= tolerance):
+                found[i] = sorted({persons[refs[j]] for j in np.flatnonzero(row)})
+        return pd.DataFrame({"near": pd.Series(near).astype(object).where(~np.isnan(near), None), "persons": found})
+
+    return compare
+
+
 def burst_pairs(df: DataFrame, by: list[str], number: str, key: str, gap: int = 3) -> DataFrame:
     """Pairs in the same group whose numbers differ by at most ``gap``.
 
@@ -402,7 +449,8 @@ def burst_pairs(df: DataFrame, by: list[str], number: str, key: str, gap: int =
     )
     same = (
         rows.select(*by, number, F.col(key).alias("_k"))
-        .join(points.filter(F.col("_n") > 1).drop("_n"), [*by, number]).filter(F.col("_k") != F.col("_id"))
+        .transform(lambda r: join_by(r, points.filter(F.col("_n") > 1).drop("_n"), [*by, number]))
+        .filter(F.col("_k") != F.col("_id"))
         .select(*by, F.col("_id").alias("a_id"), F.col("_k").alias("b_id"), F.lit(0).cast("long").alias("distance"))
     )
     return between.unionByName(same)

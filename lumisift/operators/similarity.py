@@ -25,19 +25,30 @@ from pyspark.sql import types as T
 
 from ..functions.vectors import unit_normalize
 from ..session import cut_lineage
+from .keys import join_by
 
 CHUNK_ROWS = 1024
 MAX_PIVOTS = 2048
 SLICE_ROWS = 2048
 MAX_PIVOT_BYTES = 64 << 20
+GRID_FACTOR = 8  # chunks of the block grid are this much larger than those of cells
+PROBE_ROWS = 512  # rows on which the visits are measured; they decide speed only
 _SLACK = 1e-6  # rounding of 32-bit unit vectors
 
 
 def _vectors(df: DataFrame, key: str, vec: str, by: list[str], normalize: bool) -> DataFrame:
+    """Usable vectors with their length as one more group column: a zero vector means "none", and so does a null or a
+    null element; vectors of different length never meet."""
+    usable = F.exists(F.col(vec), lambda x: x != 0) & ~F.exists(F.col(vec), lambda x: x.isNull())
     rows = df.filter(F.col(vec).isNotNull())
     if normalize:
-        rows = rows.withColumn(vec, unit_normalize(vec)).filter(F.exists(F.col(vec), lambda x: x != 0))
-    return rows.select(F.col(key).alias("_id"), *by, F.col(vec).alias("_v"))
+        rows = rows.withColumn(vec, unit_normalize(vec))
+    return rows.filter(usable).select(F.col(key).alias("_id"), *by, F.size(vec).alias("_len"), F.col(vec).alias("_v"))
+
+
+def _product(a: str, b: str) -> Column:
+    """Inner product in doubles, as the Arrow blocks compute it."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
 def _copies(rows: DataFrame, by: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -50,8 +61,8 @@ def _copies(rows: DataFrame, by: list[str]) -> tuple[DataFrame, DataFrame]:
     )
     groups = distinct.filter(F.col("_n") > 1).select(*[F.col(k).alias(f"_g{k}") for k in keys], "_rep")
     links = (
-        keyed.select("_id", *keys).join(groups, _equal(keys, "_g")).filter(F.col("_id") != F.col("_rep"))
-        .select(*by, F.col("_rep").alias("a_id"), F.col("_id").alias("b_id"))
+        keyed.select("_id", *keys, "_v").join(groups, _equal(keys, "_g")).filter(F.col("_id") != F.col("_rep"))
+        .select(*by, F.col("_rep").alias("a_id"), F.col("_id").alias("b_id"), _product("_v", "_v").alias("score"))
     )
     return distinct.select(F.col("_rep").alias("_id"), *by, "_v"), links
 
@@ -64,13 +75,63 @@ def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     return flat.flatten().to_numpy(zero_copy_only=False).astype("float64").reshape(n, -1) if n else np.zeros((0, 1))
 
 
-def _draw_pivots(rows: DataFrame, total: int, radius: float) -> np.ndarray | None:
+@dataclass(frozen=True)
+class _Layout:
+    """How rows meet: cells around pivots, or without pivots one grid of chunk pairs."""
+
+    pivots: np.ndarray | None
+    chunk: int
+    replication: float  # copies of a row: cells it visits, or chunks it meets
+
+
+def _layout(rows: DataFrame, radius: float, chunk_rows: int | None, sides: int = 1, core: bool = False) -> _Layout:
+    """Cells where they prune, else the block grid; both are exact.
+
+    The number of cells that a row visits is measured on a sample. The grid sends a row once per GRID_FACTOR chunks, so
+    it is taken when cells would send more copies.
+    """
+    total = rows.count()
+    chunk_rows = chunk_rows or CHUNK_ROWS
+    grid_rows = chunk_rows * GRID_FACTOR
+    grid = _Layout(None, grid_rows, max(1.0, total / grid_rows))
+    pivots = _draw_pivots(rows, total, radius, chunk_rows)
+    if pivots is None:
+        return grid if total > chunk_rows else _Layout(None, chunk_rows, 1.0)
+    probe = [r["_v"] for r in rows.select("_v", F.xxhash64(F.lit(7), "_id").alias("_h")).orderBy("_h").limit(PROBE_ROWS).collect()]
+    x = np.array([v for v in probe if len(v) == pivots.shape[1]], dtype="float64")
+    if not len(x):
+        return grid
+    near = _reach(x, pivots, radius)
+    visits = float(near.sum(1).mean()) / (2 if sides == 1 else 1) + 1
+    # rows of a core are never compared with each other
+    settled = float((_squares(x, pivots).min(1) <= (radius / 2) ** 2).mean()) if core else 0.0
+    per_cell = total * (visits - settled) / len(pivots)
+    cells = _Layout(pivots, chunk_rows, visits * max(1.0, per_cell / chunk_rows))
+    return cells if cells.replication <= grid.replication else grid
+
+
+def _reach(x: np.ndarray, pivots: np.ndarray, radius: float) -> np.ndarray:
+    """Which cells besides its own each row visits."""
+    gaps = np.sqrt(_squares(pivots, pivots))
+    np.fill_diagonal(gaps, np.inf)
+    d2 = _squares(x, pivots)
+    rows = np.arange(len(x))
+    home = d2.argmin(1)
+    near = (d2 - d2[rows, home][:, None]) / (2 * gaps[home]) <= radius + _SLACK
+    near[rows, home] = False
+    return near
+
+
+def _draw_pivots(rows: DataFrame, total: int, radius: float, chunk_rows: int | None = None) -> np.ndarray | None:
     """Pivots from the data in key-hash order, at least radius / 2 apart; none when everything fits into one chunk."""
-    wanted = min(MAX_PIVOTS, total // CHUNK_ROWS)
+    wanted = min(MAX_PIVOTS, total // (chunk_rows or CHUNK_ROWS))
     if wanted < 2:
         return None
-    sample = rows.select("_v").orderBy(F.xxhash64("_id")).limit(wanted).collect()
-    drawn = np.array([r["_v"] for r in sample], dtype="float64")
+    sample = [r["_v"] for r in rows.select("_v").orderBy(F.xxhash64("_id")).limit(wanted).collect()]
+    # the most frequent length; vectors of other lengths share the first cell
+    lengths = [len(v) for v in sample]
+    common = max(set(lengths), key=lengths.count)
+    drawn = np.array([v for v in sample if len(v) == common], dtype="float64")
     drawn = drawn[: max(1, MAX_PIVOT_BYTES // (8 * drawn.shape[1]))]
     apart = _squares(drawn, drawn) >= (radius / 2) ** 2
     kept: list[int] = []
@@ -101,7 +162,9 @@ def _assign(pivots: np.ndarray, radius: float, upward: bool, core: bool = False)
     def places(v: pd.Series) -> pd.Series:
         out = []
         for start in range(0, len(v), SLICE_ROWS):
-            x = np.stack([np.asarray(e, dtype="float64") for e in v.iloc[start : start + SLICE_ROWS]])
+            part = v.iloc[start : start + SLICE_ROWS]
+            other = np.array([len(e) != pivots.shape[1] for e in part])
+            x = np.stack([np.zeros(pivots.shape[1]) if o else np.asarray(e, dtype="float64") for e, o in zip(part, other)])
             d2 = _squares(x, pivots)
             rows = np.arange(len(x))
             home = d2.argmin(1)
@@ -110,6 +173,7 @@ def _assign(pivots: np.ndarray, radius: float, upward: bool, core: bool = False)
                 near &= ordinal[None, :] > home[:, None]
             near[rows, home] = False
             own = home * 4 + _HOME + np.where(d2[rows, home] <= inner, _CORE, 0)
+            own[other], near[other] = _HOME, False
             out += [np.concatenate(([o], np.flatnonzero(row) * 4)).astype("int32") for o, row in zip(own, near)]
         return pd.Series(out)
 
@@ -151,8 +215,8 @@ def _run(tasks: DataFrame, by: list[str], fields: list[T.StructField], reduce) -
     return tasks.groupBy(*by, "_cell", "_pair", "_own", "_i", "_j").applyInArrow(work, schema)
 
 
-def _chunks(n: Column) -> Column:
-    return F.greatest(F.lit(1), F.ceil(n / CHUNK_ROWS)).cast("int")
+def _chunks(n: Column, chunk: int) -> Column:
+    return F.greatest(F.lit(1), F.ceil(n / chunk)).cast("int")
 
 
 def _placed(rows: DataFrame, by: list[str], pivots: np.ndarray | None, radius: float, core: bool) -> DataFrame:
@@ -176,7 +240,7 @@ def _equal(df_keys: list[str], prefix: str) -> Column:
 _SLOTS = "array<struct<pair:int,own:boolean,i:int,j:int,side:int>>"
 
 
-def _self_tasks(placed: DataFrame, by: list[str]) -> DataFrame:
+def _self_tasks(placed: DataFrame, by: list[str], chunk: int) -> DataFrame:
     """Rows copied to every chunk pair they take part in.
 
     Chunk pairs inside a cell: other x other (each unordered pair once), core x other, core x visitor, other x visitor.
@@ -187,7 +251,7 @@ def _self_tasks(placed: DataFrame, by: list[str]) -> DataFrame:
         *[F.count_if(F.col("_role") == r).alias(f"_n_{r}") for r in roles]
     )
     known = placed.join(sizes, _equal(keys, "_s")).drop(*[f"_s{k}" for k in keys])
-    mine = {r: F.pmod(F.xxhash64("_id"), _chunks(F.col(f"_n_{r}"))).cast("int") for r in roles}
+    mine = {r: F.pmod(F.xxhash64("_id"), _chunks(F.col(f"_n_{r}"), chunk)).cast("int") for r in roles}
 
     def slot(pair: int, own: Column, i: Column, j: Column, side: Column) -> Column:
         return F.struct(
@@ -198,7 +262,7 @@ def _self_tasks(placed: DataFrame, by: list[str]) -> DataFrame:
     def meeting(role: str, make) -> Column:
         """One slot per chunk of the other role; none when it is empty."""
         n = F.col(f"_n_{role}")
-        return F.when(n > 0, F.transform(F.sequence(F.lit(0), _chunks(n) - 1), make)).otherwise(F.array().cast(_SLOTS))
+        return F.when(n > 0, F.transform(F.sequence(F.lit(0), _chunks(n, chunk) - 1), make)).otherwise(F.array().cast(_SLOTS))
 
     no = F.lit(False)
 
@@ -245,17 +309,20 @@ def _radius(t: float) -> float:
 
 def similar_pairs(
     df: DataFrame, key: str, vec: str, threshold: float, by: list[str] | None = None, normalize: bool = False,
-    strict: bool = False,
+    strict: bool = False, chunk_rows: int | None = None,
 ) -> DataFrame:
     """Pairs a_id < b_id with cosine >= threshold (> with ``strict``), inside the groups of ``by``.
 
     Pairs are formed between distinct vectors; further copies of a vector are tied to its smallest key with
-    ``copy`` true, so a group of n copies yields n - 1 rows and stands for all its pairs.
+    ``copy`` true, so a group of n copies yields n - 1 rows and stands for all its pairs; their score is the vector's
+    product with itself, under the same test. Zero vectors and vectors with null elements match nothing, and vectors
+    of different length never meet.
     """
     by = by or []
-    raw = _vectors(df, key, vec, by, normalize)
-    rows, copies = _copies(raw, by)
-    pivots = _draw_pivots(raw, raw.count(), _radius(threshold))
+    keys = [*by, "_len"]
+    raw = cut_lineage(_vectors(df, key, vec, by, normalize))
+    rows, copies = _copies(raw, keys)
+    plan = _layout(raw, _radius(threshold), chunk_rows)
 
     def reduce(block: _Block) -> dict:
         other, ids = (block.a, block.ids_a) if block.own else (block.b, block.ids_b)
@@ -271,23 +338,25 @@ def similar_pairs(
         }
 
     fields = [*_id_fields(df, key), T.StructField("score", T.DoubleType())]
-    placed = _placed(rows, by, pivots, _radius(threshold), core=False)
-    found = _run(_self_tasks(placed, by), by, fields, reduce).withColumn("copy", F.lit(False))
-    return found.unionByName(copies.withColumn("score", F.lit(1.0)).withColumn("copy", F.lit(True)))
-
+    placed = cut_lineage(_placed(rows, keys, plan.pivots, _radius(threshold), core=False))
+    found = _run(_self_tasks(placed, keys, plan.chunk), keys, fields, reduce).withColumn("copy", F.lit(False))
+    same = copies.filter(F.col("score") > threshold if strict else F.col("score") >= threshold)
+    return found.unionByName(same.withColumn("copy", F.lit(True))).drop("_len")
 
 
 def similar_links(
-    df: DataFrame, key: str, vec: str, threshold: float, by: list[str] | None = None, normalize: bool = False
+    df: DataFrame, key: str, vec: str, threshold: float, by: list[str] | None = None, normalize: bool = False,
+    chunk_rows: int | None = None,
 ) -> DataFrame:
     """Links with the same connected components as the similar pairs, at most one per row and chunk pair.
 
     Each chunk pair reports its local components as stars, so a dense group never emits all its pairs.
     """
     by = by or []
-    raw = _vectors(df, key, vec, by, normalize)
-    rows, copies = _copies(raw, by)
-    pivots = _draw_pivots(raw, raw.count(), _radius(threshold))
+    keys = [*by, "_len"]
+    raw = cut_lineage(_vectors(df, key, vec, by, normalize))
+    rows, copies = _copies(raw, keys)
+    plan = _layout(raw, _radius(threshold), chunk_rows, core=True)
 
     def reduce(block: _Block) -> dict:
         if block.own:
@@ -313,19 +382,23 @@ def similar_links(
         moved = label != np.arange(len(ids))
         return {"a_id": ids[label[moved]] if len(ids) else ids, "b_id": ids[moved] if len(ids) else ids}
 
-    placed = _placed(rows, by, pivots, _radius(threshold), core=True)
-    found = _run(_self_tasks(placed, by), by, _id_fields(df, key), reduce)
-    return found.unionByName(_core_links(placed, by)).unionByName(copies)
+    placed = cut_lineage(_placed(rows, keys, plan.pivots, _radius(threshold), core=True))
+    found = _run(_self_tasks(placed, keys, plan.chunk), keys, _id_fields(df, key), reduce)
+    same = copies.filter(F.col("score") >= threshold).drop("score")
+    return found.unionByName(_core_links(placed, keys)).unionByName(same).drop("_len")
 
 
-def with_earlier_match(df: DataFrame, rank: str, vec: str, threshold: float, by: list[str] | None = None) -> DataFrame:
+def with_earlier_match(
+    df: DataFrame, rank: str, vec: str, threshold: float, by: list[str] | None = None, chunk_rows: int | None = None,
+) -> DataFrame:
     """Ranks of the rows that have a similar row of smaller rank in their group; the rank identifies a row.
 
     Tasks report at most one row per row and chunk pair, whatever the number of similar pairs.
     """
     by = by or []
-    rows = _vectors(df, rank, vec, by, False)
-    pivots = _draw_pivots(rows, rows.count(), _radius(threshold))
+    keys = [*by, "_len"]
+    rows = cut_lineage(_vectors(df, rank, vec, by, False))
+    plan = _layout(rows, _radius(threshold), chunk_rows)
 
     def reduce(block: _Block) -> dict:
         other, ids = (block.a, block.ids_a) if block.own else (block.b, block.ids_b)
@@ -334,14 +407,16 @@ def with_earlier_match(df: DataFrame, rank: str, vec: str, threshold: float, by:
         late = [ids[(near & before).any(0)], block.ids_a[(near & ~before & (block.ids_a[:, None] != ids[None, :])).any(1)]]
         return {"_id": np.unique(np.concatenate(late).astype("int64"))}
 
-    placed = _placed(rows, by, pivots, _radius(threshold), core=False)
-    hits = _run(_self_tasks(placed, by), by, [T.StructField("_id", T.LongType())], reduce)
+    placed = cut_lineage(_placed(rows, keys, plan.pivots, _radius(threshold), core=False))
+    hits = _run(_self_tasks(placed, keys, plan.chunk), keys, [T.StructField("_id", T.LongType())], reduce)
     return hits.select(*by, F.col("_id").alias(rank)).distinct()
 
 
 def distance_statistics(df: DataFrame, key: str, vec: str, by: list[str]) -> DataFrame:
     """Mean, smallest and largest Euclid distance over all pairs of each group, summed up inside the tasks."""
-    rows = _vectors(df, key, vec, by, normalize=False)
+    # a distance to a zero vector is a distance, so only unusable vectors are left out; groups compare one length
+    rows = df.filter(F.col(vec).isNotNull() & ~F.exists(F.col(vec), lambda x: x.isNull())).select(
+        F.col(key).alias("_id"), *by, F.col(vec).alias("_v"))
 
     def reduce(block: _Block) -> dict:
         other = block.a if block.own else block.b
@@ -354,14 +429,14 @@ def distance_statistics(df: DataFrame, key: str, vec: str, by: list[str]) -> Dat
         return {"n": [len(d)], "total": [d.sum()], "low": [d.min()], "high": [d.max()]}
 
     fields = [T.StructField("n", T.LongType())] + [T.StructField(c, T.DoubleType()) for c in ("total", "low", "high")]
-    parts = _run(_self_tasks(_placed(rows, by, None, 0.0, False), by), by, fields, reduce)
+    parts = _run(_self_tasks(_placed(rows, by, None, 0.0, False), by, CHUNK_ROWS), by, fields, reduce)
     return parts.groupBy(*by).agg(
         (F.sum("total") / F.sum("n")).alias("mean_dist"), F.min("low").alias("min_dist"), F.max("high").alias("max_dist")
     )
 
 
 def _between_tasks(
-    left: DataFrame, right: DataFrame, by: list[str], pivots: np.ndarray | None, radius: float
+    left: DataFrame, right: DataFrame, by: list[str], pivots: np.ndarray | None, radius: float, chunk: int
 ) -> DataFrame:
     """Left rows in their own cell, right rows in every cell they reach; chunks as in the self join."""
     if pivots is None:
@@ -378,8 +453,8 @@ def _between_tasks(
     ).filter((F.col("_na") > 0) & (F.col("_nb") > 0))
     known = both.join(sizes, _equal(keys, "_s"))
     first = F.col("_side") == 0
-    mine = F.pmod(F.xxhash64("_id"), _chunks(F.when(first, F.col("_na")).otherwise(F.col("_nb")))).cast("int")
-    others = F.sequence(F.lit(0), _chunks(F.when(first, F.col("_nb")).otherwise(F.col("_na"))) - 1)
+    mine = F.pmod(F.xxhash64("_id"), _chunks(F.when(first, F.col("_na")).otherwise(F.col("_nb")), chunk)).cast("int")
+    others = F.sequence(F.lit(0), _chunks(F.when(first, F.col("_nb")).otherwise(F.col("_na")), chunk) - 1)
     spread = known.withColumn("_mine", mine).withColumn("_other", F.explode(others))
     return spread.select(
         "_id", *by, "_v", "_cell", F.lit(0).alias("_pair"), F.lit(False).alias("_own"), "_side",
@@ -391,18 +466,19 @@ def _between_tasks(
 def best_match(
     left: DataFrame, right: DataFrame, key: str, vec: str, threshold: float, by: list[str] | None = None,
     right_key: str | None = None, right_vec: str | None = None, strict: bool = False, exclude_same: bool = False,
-    name: str = "score",
+    name: str = "score", chunk_rows: int | None = None,
 ) -> DataFrame:
     """Largest cosine of each left row to a right row, for left rows that reach the threshold.
 
     ``exclude_same`` skips a right row with the left row's own key. Tasks report at most one row per left row.
     """
     by = by or []
-    a = _vectors(left, key, vec, by, False)
+    keys = [*by, "_len"]
+    a = cut_lineage(_vectors(left, key, vec, by, False))
     b = _vectors(right, right_key or key, right_vec or vec, by, False)
     if not exclude_same:
-        b, _ = _copies(b, by)  # copies on the right cannot change the maximum
-    pivots = _draw_pivots(a, a.count(), _radius(threshold))
+        b, _ = _copies(b, keys)  # copies on the right cannot change the maximum
+    plan = _layout(a, _radius(threshold), chunk_rows, sides=2)
 
     def reduce(block: _Block) -> dict:
         if not len(block.b) or not len(block.a):
@@ -415,16 +491,17 @@ def best_match(
         return {"_id": block.ids_a[hit], "score": top[hit]}
 
     fields = [T.StructField("_id", left.schema[key].dataType), T.StructField("score", T.DoubleType())]
-    hits = _run(_between_tasks(a, b, by, pivots, _radius(threshold)), by, fields, reduce)
+    hits = _run(_between_tasks(a, b, keys, plan.pivots, _radius(threshold), plan.chunk), keys, fields, reduce)
     return hits.groupBy(F.col("_id").alias(key), *by).agg(F.max("score").alias(name))
 
 
 def not_similar_to(
-    candidates: DataFrame, chosen: DataFrame, key: str, vec: str, threshold: float, by: list[str] | None = None
+    candidates: DataFrame, chosen: DataFrame, key: str, vec: str, threshold: float, by: list[str] | None = None,
+    chunk_rows: int | None = None,
 ) -> DataFrame:
     """Candidates that stay below the threshold against every chosen row of their group."""
-    near = best_match(candidates, chosen, key, vec, threshold, by).select(key, *(by or []))
-    return candidates.join(near, [key, *(by or [])], "left_anti")
+    near = best_match(candidates, chosen, key, vec, threshold, by, chunk_rows=chunk_rows).select(key, *(by or []))
+    return join_by(candidates, near, [key, *(by or [])], "left_anti")
 
 
 def hamming_pairs(

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..config import Category, lookup
 from ..functions.names import stem
 from ..functions.numbers import col
+from .keys import join_by
 from .ranges import positions, ranked, running_sum
 
 
@@ -105,9 +106,7 @@ def round_robin(
     target = F.coalesce(lookup(F.col(category), targets, "targets").cast("int"), F.lit(default_target))
     sizes = sizes.withColumn("_mix", (F.col("_pool") > 2 * target) & (F.col("_dated") > target))
     order = [F.col(score).desc(), F.col(key).asc()]
-    inner = ranked(keyed, [category, "_bucket"], order, "_inner").join(
-        sizes.select(category, "_mix"), category
-    )
+    inner = join_by(ranked(keyed, [category, "_bucket"], order, "_inner"), sizes.select(category, "_mix"), [category])
     turn = F.when(F.col("_mix") & F.col("_bucket").isNotNull(), F.col("_inner"))
     group = F.when(F.col("_mix") & F.col("_bucket").isNotNull(), F.col("_bucket"))
     tail = F.when(F.col("_mix") & F.col("_bucket").isNull(), 1).otherwise(0)
@@ -191,8 +190,8 @@ def evenly_spaced(df: DataFrame, by: list[str], order: list[Column | str], n: in
             )
         ).alias("_s"),
     ).select(*by, F.col("_s.slot").alias(name), F.col("_s.rank").alias("_rank"))
-    spread = placed.join(slots, [*by, "_rank"]).drop("_rank")
-    small = placed.join(sizes.filter(F.col("_total") <= n).drop("_total"), by, "left_semi")
+    spread = join_by(placed, slots, [*by, "_rank"]).drop("_rank")
+    small = join_by(placed, sizes.filter(F.col("_total") <= n).drop("_total"), by, "left_semi")
     whole = small.withColumn(name, (F.col("_rank") - 1).cast("int")).drop("_rank")
     return spread.unionByName(whole)
 

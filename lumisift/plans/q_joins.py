@@ -144,24 +144,49 @@ def j14(spark, d):
     )
 
 
-@query("j15_apply_changes", """
-SELECT asset_id, coalesce(CASE WHEN c2 THEN 'moved' END, category) AS category,
-  CASE WHEN c1 THEN 'rejected' WHEN c2 THEN 'selected' ELSE status END AS status,
-  CASE WHEN c1 THEN 'manual_reject' WHEN c2 THEN NULL ELSE reject_reason END AS reject_reason,
-  CASE WHEN c3 THEN NULL WHEN c2 THEN 'like' ELSE preference END AS preference, CASE WHEN c1 THEN TRUE ELSE trash END AS trash, c1 OR c2 OR c3 AS changed
-FROM (SELECT *, asset_id % 4 = 0 AS c1, asset_id % 6 = 0 AND asset_id % 4 <> 0 AS c2, asset_id % 5 = 0 AND asset_id % 4 <> 0 AND asset_id % 6 <> 0 AS c3 FROM assets)""", uses=("assets",))
+# one step per request, each on the outcome of the one before
+_J15_STEPS = [
+    ("asset_id % 5 = 0", {"preference": "NULL"}),
+    ("asset_id % 6 = 0", {"category": "'moved'", "status": "'pool'", "reject_reason": "'manual_reject'", "preference": "'like'"}),
+    ("asset_id % 4 = 0", {"trash": "TRUE"}),
+    ("asset_id % 3 = 0", {"status": "'selected'"}),
+    ("asset_id % 7 = 0", {"status": "'pool'", "reject_reason": "coalesce(reject_reason, 'manual_reject')"}),
+    ("asset_id % 10 = 0", {"category": "'other'", "status": "'qualified'", "reject_reason": "NULL"}),
+    ("asset_id % 8 = 0", {"trash": "CASE WHEN trash THEN FALSE ELSE trash END"}),
+    ("asset_id % 14 = 0", {"status": "'pool'", "reject_reason": "coalesce(reject_reason, 'manual_reject')"}),
+    ("asset_id % 9 = 0", {"status": "'selected'"}),
+]
+_J15_FIELDS = ["category", "status", "reject_reason", "preference", "trash"]
+
+
+def _j15_sql() -> str:
+    steps = ["s0 AS (SELECT asset_id, category, status, reject_reason, preference, trash, FALSE AS changed FROM assets)"]
+    for i, (test, sets) in enumerate(_J15_STEPS):
+        fields = ", ".join(f"CASE WHEN {test} THEN {sets[f]} ELSE {f} END AS {f}" if f in sets else f for f in _J15_FIELDS)
+        steps.append(f"s{i + 1} AS (SELECT asset_id, {fields}, changed OR {test} AS changed FROM s{i})")
+    return ", " + ",\n".join(steps) + f"\nSELECT * FROM s{len(_J15_STEPS)}"
+
+
+@query("j15_apply_changes", _j15_sql(), uses=("assets",))
 def j15(spark, d):
     df = a.assets_doc(spark, d)
-    n = F.col("asset_id")
+    names = {"action": "string", "to_category": "string", "new_status": "string", "preference": "string",
+             "clear_preference": "boolean", "trash": "boolean"}
 
-    def change(rows, ts, **fields):
-        names = {"to_category": "string", "new_status": "string", "preference": "string", "clear_preference": "boolean", "trash": "boolean"}
-        return rows.select("asset_id", F.lit(ts).alias("ts"), *[F.lit(fields.get(k)).cast(t).alias(k) for k, t in names.items()])
+    def change(every, ts, **fields):
+        return df.filter(F.col("asset_id") % every == 0).select(
+            "asset_id", F.lit(ts).alias("ts"), *[F.lit(fields.get(k)).cast(t).alias(k) for k, t in names.items()])
 
     changes = (
-        change(df.filter(n % 5 == 0), 1, clear_preference=True)
-        .unionByName(change(df.filter(n % 6 == 0), 2, to_category="moved", new_status="selected", preference="like"))
-        .unionByName(change(df.filter(n % 4 == 0), 3, new_status="rejected", trash=True))
+        change(5, 1, clear_preference=True)
+        .unionByName(change(6, 2, action="move", to_category="moved", new_status="pool", preference="like"))
+        .unionByName(change(4, 3, trash=True))
+        .unionByName(change(3, 4, action="select", new_status="selected"))
+        .unionByName(change(7, 5, action="save", new_status="pool"))
+        .unionByName(change(10, 6, action="move", to_category="other", new_status="qualified"))
+        .unionByName(change(8, 7, trash=False))
+        .unionByName(change(14, 8, action="save", new_status="pool"))
+        .unionByName(change(9, 9, action="select", new_status="selected"))
     )
     return j.apply_changes(df, changes, "asset_id").select(
         "asset_id", "category", "status", "reject_reason", "preference", "trash", "changed"

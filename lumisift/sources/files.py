@@ -63,7 +63,7 @@ def flatten_album_feed(df: DataFrame) -> DataFrame:
     image = reduce(lambda a, b: a | b, known) | F.contains(mime, F.lit("image"))
     return rows.filter(~F.contains(mime, F.lit("video")) & F.col("_m.video").isNull() & image).select(
         "id", "filename", "mime", "url", F.col("_m.creationTime").alias("created"),
-        F.col("_m.width").cast("int").alias("width"), F.col("_m.height").cast("int").alias("height"),
+        F.col("_m.width").try_cast("int").alias("width"), F.col("_m.height").try_cast("int").alias("height"),
     )
 
 

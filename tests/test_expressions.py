@@ -107,12 +107,21 @@ def test_dimensions_are_bounded():
         check_size(range(6000), "categories")
 
 
-def test_reference_and_vocabulary_guards(spark):
+def test_references_beyond_a_block(spark):
+    refs = spark.range(30).select(F.col("id").cast("string").alias("person"), F.array(F.col("id").cast("double")).alias("enc"))
+    faces = spark.createDataFrame([(1, [3.0]), (1, [29.0]), (2, None), (2, [None]), (3, [100.0]), (3, [1.0, 2.0])],
+                                  "hash long, enc array<double>")
+    for block in (7, 1000):
+        got = {r["hash"]: (r.face_count, r.faces_found, r.face_distance) for r in
+               joins.match_faces(faces, refs, 0.5, block_rows=block).collect()}
+        assert got == {1: (2, ["29", "3"], 0.0), 2: (2, [], None), 3: (2, [], 71.0)}
+    none = {r["hash"]: (r.face_count, r.faces_found) for r in joins.match_faces(faces, refs.limit(0)).collect()}
+    assert none == {1: (2, []), 2: (2, []), 3: (2, [])}
+
+
+def test_vocabulary_guard(spark):
     from lumisift.operators.similarity import tag_similarity
 
-    refs = spark.range(30).select(F.col("id").cast("string").alias("person"), F.array(F.lit(1.0)).alias("enc"))
     faces = spark.range(1).select(F.col("id").alias("hash"), F.array(F.lit(1.0)).alias("enc"))
-    with pytest.raises(ValueError):
-        joins.match_faces(faces, refs, max_references=10)
     with pytest.raises(ValueError):
         tag_similarity(faces, [("a", "b", [1.0] * 10)] * 10, "hash", "enc", max_bytes=100)
