@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_folder
+from .common import for_join, shared_folder
 
 ARCHIVE_RECORDS = 2048
 # fixed values of the format
@@ -43,7 +43,8 @@ def to_records(pages: DataFrame, key: str = "page_id", url: str = "url", payload
         F.coalesce(F.col(payload).cast("string"), F.lit("")).alias("body"),
     ).withColumn("digest", base32_sha1(F.col("body"))).withColumn("size", F.octet_length("body").cast("long"))
     shared = rows.filter(F.col("size") >= min_bytes).groupBy(F.col("digest").alias("_d"), F.col("size").alias("_s")).agg(
-        F.max("page_id").alias("origin"), F.count("*").alias("_n")).filter(F.col("_n") > 1).hint("shuffle_hash")
+        F.max("page_id").alias("origin"), F.count("*").alias("_n")).filter(F.col("_n") > 1)
+    shared = for_join(shared.select("_d", "_s", "origin"))
     rows = rows.join(shared, (F.col("digest") == F.col("_d")) & (F.col("size") == F.col("_s")), "left")
     revisit = F.col("origin").isNotNull() & ~F.col("origin").eqNullSafe(F.col("page_id"))
     body = F.when(revisit, F.lit(HTTP_HEAD)).otherwise(F.concat(F.lit(HTTP_HEAD), "body"))
