@@ -213,7 +213,7 @@ def quick_fill(
             scored = context.withColumn("_breakdown", scores).withColumn("_final", F.col("_breakdown.final"))
             fresh = scored.filter(F.col("_breakdown.duplicate_penalty") < 100)
             close = Closeness(vec=vec, threshold=0.95, strict=True, dhash=dhash, burst="_burst")
-            new = greedy_pick(fresh, ["-_final"], close, (1 << 31) - 1 if room is None else room, key)
+            new = greedy_pick(fresh, ["-_final"], close, (1 << 62) if room is None else room, key)
             new = cut_lineage(new.select(*base.columns))
             state = state.unionByName(new)
             picks = new.select(key) if picks is None else picks.unionByName(new.select(key))

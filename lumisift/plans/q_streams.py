@@ -26,8 +26,8 @@ def events_stream(spark: SparkSession, d: str) -> DataFrame:
     return st.utc(raw).withColumns({"category": F.col("event_type"), "hash": F.md5(F.concat_ws("|", "user_id", "event_type"))})
 
 
-def finish(df: DataFrame, mode: str) -> DataFrame:
-    """Run a stream over all its input and read its last result."""
+def finish(df: DataFrame, mode: str, keys: list[str] | None = None) -> DataFrame:
+    """Run a stream over all its input and read its last result: with ``keys``, the last row of each key."""
     spark = df.sparkSession
     folder = scratch(spark)
     job = (
@@ -36,6 +36,9 @@ def finish(df: DataFrame, mode: str) -> DataFrame:
     )
     job.awaitTermination()
     log = st.read_log(spark, folder + "/out")
+    if keys:
+        rest = [c for c in log.columns if c not in (*keys, "batch_id")]
+        return log.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch_id").alias("_r")).select(*keys, "_r.*")
     if mode != "complete":
         return log
     # every batch of a complete stream holds the whole result; the last one counts
@@ -76,10 +79,15 @@ def _rated_stream(spark, d):
 , e AS (SELECT user_id, CASE WHEN value > 20 THEN 'like' ELSE 'dislike' END AS preference, CAST(json_extract_string(props, '$.k') AS BIGINT) AS vec_id, event_id FROM events),
 m AS (SELECT user_id, preference, i, avg(CAST(x AS DOUBLE)) AS x, count(*) AS n FROM (SELECT user_id, preference, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM e JOIN raw USING (vec_id)) GROUP BY ALL),
 u AS (SELECT *, x / sqrt(sum(x * x) OVER (PARTITION BY user_id, preference)) AS c FROM m)
-SELECT user_id, preference, n, round(c, 5) AS first FROM u WHERE i = 1""", uses=("raw",))
+SELECT user_id, preference, n, CAST(i - 1 AS INT) AS pos, round(c, 5) AS x FROM u""", uses=("raw",))
 def t3(spark, d):
-    out = finish(st.running_centroids(_rated_stream(spark, d)), "complete")
-    return out.select("user_id", "preference", "n", F.round(F.get("centroid", 0), 5).alias("first"))
+    out = finish(st.running_centroids(_rated_stream(spark, d)), "update", ["user_id", "preference"])
+    return _coordinates(out)
+
+
+def _coordinates(out: DataFrame) -> DataFrame:
+    rows = out.select("user_id", "preference", "n", F.posexplode("centroid").alias("pos", "x"))
+    return rows.withColumn("x", F.round("x", 5))
 
 
 @query("t3_online_preference", """
@@ -88,10 +96,10 @@ o AS (SELECT *, row_number() OVER (PARTITION BY user_id, preference ORDER BY ts)
 walk AS (SELECT user_id, preference, 1::BIGINT AS n, v AS mid FROM o WHERE r = 1
   UNION ALL SELECT user_id, preference, n, list_transform(m, lambda x: x / sqrt(list_dot_product(m, m))) FROM (
     SELECT w.user_id, w.preference, w.n + 1 AS n, list_transform(o.v, lambda x, i: (w.mid[i] * w.n + x) / (w.n + 1)) AS m FROM walk w JOIN o ON o.user_id = w.user_id AND o.preference = w.preference AND o.r = w.n + 1))
-SELECT user_id, preference, max(n) AS n, round(arg_max(mid, n)[1], 5) AS first FROM walk GROUP BY ALL""", uses=("raw",), recursive=True)
+SELECT user_id, preference, n, CAST(generate_subscripts(c, 1) - 1 AS INT) AS pos, round(unnest(c), 5) AS x
+FROM (SELECT user_id, preference, max(n) AS n, arg_max(mid, n) AS c FROM walk GROUP BY ALL)""", uses=("raw",), recursive=True)
 def t3b(spark, d):
-    out = finish(st.online_preference(_rated_stream(spark, d)), "update")
-    return out.select("user_id", "preference", "n", F.round(F.get("centroid", 0), 5).alias("first"))
+    return _coordinates(finish(st.online_preference(_rated_stream(spark, d)), "update", ["user_id", "preference"]))
 
 
 @query("t4_burst_sessions", """

@@ -17,6 +17,8 @@ def build_session(app_name: str = "lumisift", master: str | None = None, **conf:
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        # files of checkpoints that nothing refers to any more are deleted
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         # top-k up to this size is cut in every input partition before the shuffle
         "spark.sql.optimizer.windowGroupLimitThreshold": "100000",
         **conf,
