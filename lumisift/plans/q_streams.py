@@ -150,3 +150,33 @@ def t7(spark, d):
     vectors = a.raw_vectors(spark, d).withColumnRenamed("vec_id", "asset_id")
     st.backfill_stream(arriving, vectors, "e2", "t2", folder + "/log", folder + "/state", "asset_id").awaitTermination()
     return st.read_log(spark, folder + "/log").select("asset_id", "state", "needs_embed")
+
+
+@query("t8_late_rows", """
+WITH p AS (SELECT event_id, ts, event_id % 4 AS part FROM events),
+w AS (SELECT part, max(ts) AS top FROM p GROUP BY part),
+marks AS (SELECT a.part, max(b.top) - INTERVAL 5 DAY AS mark FROM w a JOIN w b ON b.part < a.part - 1 GROUP BY a.part)
+SELECT count(*) AS late, (SELECT count(*) FROM p) AS arrived FROM p JOIN marks USING (part) WHERE ts <= mark""")
+def t8(spark, d):
+    """Events arrive in four batches, each over the whole time; what lies behind the watermark is counted.
+
+    Spark holds a batch against the watermark with which the batch before it began.
+    """
+    folder = scratch(spark)
+    events = a.table(spark, d, "events").select("event_id", "ts")
+    for part in range(4):
+        events.filter(F.col("event_id") % 4 == part).coalesce(1).write.parquet(f"{folder}/in/{part}")
+    watch = st.LateRows()
+    spark.streams.addListener(watch)
+    late = 0
+    try:
+        stream = st.utc(spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in/*"))
+        job = (
+            st.dedup_stream(stream, "event_id", delay="5 days").writeStream.outputMode("append").format("noop")
+            .option("checkpointLocation", folder + "/state").trigger(availableNow=True).start()
+        )
+        job.awaitTermination()
+        late = watch.total(job)
+    finally:
+        spark.streams.removeListener(watch)
+    return events.agg(F.count("*").alias("arrived")).select(F.lit(late).cast("long").alias("late"), "arrived")

@@ -6,6 +6,7 @@ the same files. Nothing is rewritten: readers merge the batches by key.
 
 from __future__ import annotations
 
+import time
 from typing import Callable, Iterator
 
 import numpy as np
@@ -14,6 +15,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.listener import StreamingQueryListener
 
 from ..functions.vectors import unit_normalize
 from ..operators.filters import backfill_plan
@@ -165,10 +167,42 @@ def backfill_stream(
 
 
 def late_rows(query) -> int:
-    """Rows dropped behind the watermark so far."""
-    return sum(
-        int(op.numRowsDroppedByWatermark) for p in query.recentProgress for op in p.stateOperators
-    )
+    """Rows dropped behind the watermark in the batches that the query still reports, at most the last hundred."""
+    return sum(_dropped(p) for p in query.recentProgress)
+
+
+def _dropped(progress) -> int:
+    return sum(int(op.numRowsDroppedByWatermark) for op in progress.stateOperators)
+
+
+class LateRows(StreamingQueryListener):
+    """Rows dropped behind the watermark, for each query since the listener was added, however many batches ran."""
+
+    def __init__(self):
+        self.by_query: dict[str, int] = {}
+        self.ended: set[str] = set()
+
+    def onQueryStarted(self, event) -> None:
+        self.by_query.setdefault(str(event.id), 0)
+
+    def onQueryProgress(self, event) -> None:
+        name = str(event.progress.id)
+        self.by_query[name] = self.by_query.get(name, 0) + _dropped(event.progress)
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        self.ended.add(str(event.id))
+
+    def total(self, query, seconds: float = 60.0) -> int:
+        """Rows of a finished query; waits for its last event, which comes after all its progress."""
+        until = time.monotonic() + seconds
+        while str(query.id) not in self.ended:
+            if time.monotonic() > until:
+                raise TimeoutError("the end of the query was not reported")
+            time.sleep(0.05)
+        return self.by_query.get(str(query.id), 0)
 
 
 def observe_input(df: DataFrame, name: str, ts: str = "ts") -> DataFrame:
