@@ -24,8 +24,8 @@ MAX_HASHES = 300
 SKETCH_BITS = 1024
 # seven standard deviations of the similarity that a sketch of some 260 samples estimates near 0.8
 SKETCH_MARGIN = 0.16
-CHUNK = 4096  # members of a bucket that one task compares with as many others
-NEAREST = 4
+CHUNK = 1024  # members of a bucket that one task compares with as many others
+NEAREST, STAR = 4, 64
 
 
 def band_plan(percent: int) -> tuple[int, int]:
@@ -152,64 +152,127 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInPandas(run, "a long, b long")
 
 
-def _propose(members: DataFrame, nearest: int, limit: int, percent: int, first: bool) -> DataFrame:
-    """(a, b, more) from buckets of three and more.
-
-    ``members``: h, size, doc, n, sketch, comp. Each member proposes its ``nearest`` members of other components that
-    pass size and sketch; ``more`` says that it had others. In the first round, large buckets only meet their smallest
-    id. Buckets beyond CHUNK members are cut into chunks, and each pair of chunks is a unit of its own.
-    """
-    chunks = F.ceil(F.col("size") / CHUNK).cast("long")
-    mine = F.pmod(F.xxhash64("doc"), F.col("_c"))
-    units = members.withColumn("_c", chunks).withColumn("_k", mine)
+def _units(members: DataFrame) -> DataFrame:
+    """Members with the unit of work they take part in. A bucket of up to CHUNK members is one unit; a larger one is cut
+    into chunks, and each pair of chunks is a unit, in which only members of different ``side`` meet."""
+    units = members.withColumn("_c", F.ceil(F.col("size") / CHUNK).cast("long"))
+    units = units.withColumn("_k", F.pmod(F.xxhash64("doc"), F.col("_c")))
     units = units.withColumn("_j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_c") - 1)))
-    units = units.withColumn("unit", F.xxhash64("h", F.least("_k", "_j"), F.greatest("_k", "_j"))).withColumn(
+    return units.withColumn("unit", F.xxhash64("h", F.least("_k", "_j"), F.greatest("_k", "_j"))).withColumn(
         "side", F.when(F.col("_k") == F.col("_j"), 0).when(F.col("_k") < F.col("_j"), 1).otherwise(2))
-    # many units share a task's group, so that small buckets don't cost a group each
-    total = max(1, members.count() // 20_000)
-    units = units.withColumn("_task", F.pmod("unit", F.lit(total)))
+
+
+def _by_task(units: DataFrame, rows: int) -> DataFrame:
+    """Many units share a group, so that small buckets don't cost a group each."""
+    return units.withColumn("_task", F.pmod("unit", F.lit(max(1, units.count() // rows)))).groupBy("_task")
+
+
+def _each_unit(pdf: pd.DataFrame):
+    """Column arrays of each unit, members by document."""
+    pdf = pdf.iloc[np.lexsort((pdf["doc"].to_numpy(), pdf["unit"].to_numpy()))]
+    unit = pdf["unit"].to_numpy()
+    edges = np.flatnonzero(np.concatenate([[True], unit[1:] != unit[:-1], [True]]))
+    for s, e in zip(edges[:-1], edges[1:]):
+        yield pdf.iloc[s:e]
+
+
+def _sketches(part: pd.DataFrame) -> np.ndarray:
+    return np.array(part["sketch"].tolist(), np.int64).reshape(len(part), -1).view(np.uint64)
+
+
+def _passing(i: int, sketch, n, side, limit: int, percent: int) -> np.ndarray:
+    """Which members may be similar to member i, by size, sketch and side."""
+    far = np.bitwise_count(sketch ^ sketch[i]).sum(axis=1, dtype=np.int64)
+    ok = (far <= limit) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i]))
+    if side[i]:
+        ok &= side != side[i]
+    ok[i] = False
+    return np.where(ok, far, -1)
+
+
+def _propose(members: DataFrame, limit: int, percent: int) -> DataFrame:
+    """(a, b) from buckets of three and more: each member with its NEAREST others by sketch, and all with the smallest
+    document of the bucket; in buckets beyond STAR members the latter only."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        order = np.lexsort((pdf["doc"].to_numpy(), pdf["unit"].to_numpy()))
-        pdf = pdf.iloc[order]
-        unit, doc, comp, n, side = (pdf[c].to_numpy() for c in ("unit", "doc", "comp", "n", "side"))
-        lo = pdf["lo"].to_numpy()
-        sketch = np.array(pdf["sketch"].tolist(), np.int64).reshape(len(pdf), -1).view(np.uint64)
-        edges = np.flatnonzero(np.concatenate([[True], unit[1:] != unit[:-1], [True]]))
-        left, right, more = [], [], []
-        for s, e in zip(edges[:-1], edges[1:]):
-            d, c, m, z, w = doc[s:e], comp[s:e], n[s:e], side[s:e], sketch[s:e]
-            if first and e - s > 64:
-                asks = np.flatnonzero(d == lo[s])
-            else:
-                # the largest component need not ask itself; the others ask it
-                names, counts = np.unique(c, return_counts=True)
-                asks = np.flatnonzero(c != names[counts.argmax()]) if len(names) < len(c) else np.arange(len(c))
-            for i in asks:
-                far = np.bitwise_count(w ^ w[i]).sum(axis=1, dtype=np.int64)
-                ok = (far <= limit) & (c != c[i]) & (100 * np.minimum(m, m[i]) >= percent * np.maximum(m, m[i]))
-                if z[i]:
-                    ok &= z != z[i]
-                ok = np.flatnonzero(ok)
-                star = first and d[i] == lo[s]
-                if len(ok) > nearest and not star:
-                    ok = ok[np.lexsort((d[ok], far[ok]))[:nearest]]
-                    more.append((d[i], d[i]))
-                left.append(np.minimum(d[ok], d[i]))
-                right.append(np.maximum(d[ok], d[i]))
-            if first and e - s > 64:
-                # not all pairs were looked at here: its members stay open for the next round
-                more += list(zip(d, d))
-        a = np.concatenate(left) if left else np.zeros(0, np.int64)
-        b = np.concatenate(right) if right else np.zeros(0, np.int64)
-        out = pd.DataFrame({"a": a, "b": b, "more": False})
-        if more:
-            x = np.array(more)
-            out = pd.concat([out, pd.DataFrame({"a": x[:, 0], "b": x[:, 1], "more": True})])
-        return out.drop_duplicates()
-
-    cols = ["_task", "unit", "side", "doc", "comp", "n", "lo", "sketch"]
-    return units.select(*cols).groupBy("_task").applyInPandas(run, "a long, b long, more boolean").distinct()
+        left, right = [], []
+        for part in _each_unit(pdf):
+            doc, n, side = (part[c].to_numpy() for c in ("doc", "n", "side"))
+            sketch, low = _sketches(part), int(part["lo"].iloc[0])
+            for i in np.flatnonzero(doc == low) if len(part) > STAR else range(len(part)):
+                far = _passing(i, sketch, n, side, limit, percent)
+                ok = np.flatnonzero(far >= 0)
+                if doc[i] != low and len(ok) > NEAREST:
+                    ok = ok[np.lexsort((doc[ok], far[ok]))[:NEAREST]]
+                left.append(np.minimum(doc[ok], doc[i]))
+                right.append(np.maximum(doc[ok], doc[i]))
+        return pd.DataFrame({"a": np.concatenate(left) if left else [], "b": np.concatenate(right) if right else []}, dtype="int64")
+
+    units = _units(members).select("unit", "side", "doc", "n", "lo", "sketch")
+    return _by_task(units, 20_000).applyInPandas(run, "a long, b long").distinct()
+
+
+def _asking(comp: np.ndarray) -> np.ndarray:
+    """Members outside the largest component of a unit; each pair of two components has one of them."""
+    names, counts = np.unique(comp, return_counts=True)
+    return np.flatnonzero(comp != names[counts.argmax()])
+
+
+def _undecided(members: DataFrame, limit: int, percent: int) -> DataFrame:
+    """(unit, side, doc, comp) of the members that some member of another component may match."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for part in _each_unit(pdf):
+            n, side, comp = (part[c].to_numpy() for c in ("n", "side", "comp"))
+            sketch, open_ = _sketches(part), np.zeros(len(part), bool)
+            for i in _asking(comp):
+                ok = (_passing(i, sketch, n, side, limit, percent) >= 0) & (comp != comp[i])
+                if ok.any():
+                    open_ |= ok
+                    open_[i] = True
+            out.append(part.loc[open_, ["unit", "side", "doc", "comp"]])
+        return pd.concat(out) if out else pdf.iloc[:0][["unit", "side", "doc", "comp"]]
+
+    units = _units(members).select("unit", "side", "doc", "n", "comp", "sketch")
+    return _by_task(units, 20_000).applyInPandas(run, "unit long, side int, doc long, comp long")
+
+
+def _links_inside(undecided: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b): links between different components, from the full sets of the members of each unit; one link for each
+    member and other component is enough for the components, so a unit never gives all its pairs."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        left, right = [], []
+        for part in _each_unit(pdf):
+            doc, side, comp = (part[c].to_numpy() for c in ("doc", "side", "comp"))
+            own = [np.frombuffer(x, np.uint64) for x in part["set"]]
+            size = np.array([len(x) for x in own])
+            every, begin = np.concatenate(own), np.cumsum(size) - size
+            asks = _asking(comp)
+            for at in range(0, len(asks), 32):
+                some = asks[at:at + 32]
+                # which of the asking members' shingles each shingle of the unit is
+                vocabulary = np.unique(np.concatenate([own[i] for i in some]))
+                place = np.minimum(np.searchsorted(vocabulary, every), len(vocabulary) - 1)
+                known = vocabulary[place] == every
+                for i in some:
+                    mine = np.zeros(len(vocabulary), bool)
+                    mine[np.searchsorted(vocabulary, own[i])] = True
+                    both = np.add.reduceat((mine[place] & known).astype(np.int64), begin)
+                    ok = (comp != comp[i]) & (100 * both >= percent * (size + size[i] - both))
+                    if side[i]:
+                        ok &= side != side[i]
+                    met = np.flatnonzero(ok)
+                    met = met[np.unique(comp[met], return_index=True)[1]]
+                    left.append(np.minimum(doc[met], doc[i]))
+                    right.append(np.maximum(doc[met], doc[i]))
+        return pd.DataFrame({"a": np.concatenate(left) if left else [], "b": np.concatenate(right) if right else []}, dtype="int64")
+
+    held = sets.select(F.col("doc_id").alias("doc"), "set")
+    tasks = max(1, undecided.count() // 2_000)
+    units = undecided.join(held, "doc").withColumn("_task", F.pmod("unit", F.lit(tasks)))
+    return units.groupBy("_task").applyInPandas(run, "a long, b long").distinct()
 
 
 def near_components(
@@ -244,37 +307,27 @@ def near_components(
     crowd = buckets.filter("size > 2").select(F.col("h").alias("_h"), "size", "lo")
     members = banded.join(crowd, F.col("h") == F.col("_h")).select("h", "size", "lo", F.col("doc_id").alias("doc"))
     members = keep_table(members.join(ready.withColumnRenamed("doc_id", "doc"), "doc"), "members")
-    proposed = keep_table(_propose(members.withColumn("comp", F.col("doc")), NEAREST, limit, percent, True), "pairs")
-    pairs = keep_table(proposed.filter(~F.col("more")).select("a", "b").unionByName(twos).distinct(), "pairs")
-    # every document that some other may still match: those of the pairs and those with more to propose
-    wanted = pairs.select(F.col("a").alias("_d")).unionByName(pairs.select(F.col("b").alias("_d"))).unionByName(
-        proposed.filter("more").select(F.col("a").alias("_d"))).distinct()
-    sets = keep_table(_sets(plain.join(wanted.hint("shuffle_hash"), F.col("doc_id") == F.col("_d"), "left_semi").filter(
-        F.col("doc_id").isNotNull())), "sets")
+    pairs = keep_table(_propose(members, limit, percent).unionByName(twos).distinct(), "pairs")
+
+    def sets_of(ids: DataFrame) -> DataFrame:
+        wanted = ids.select(F.col("id").alias("_d")).distinct().hint("shuffle_hash")
+        return keep_table(_sets(plain.join(wanted, F.col("doc_id") == F.col("_d"), "left_semi").distinct()), "sets")
+
+    # any document of the pairs and of buckets of three and more may be asked for
+    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).unionByName(
+        members.select(F.col("doc").alias("id")))
+    sets = sets_of(ids)
     edges = keep(_confirm(pairs, sets, percent).distinct())
-    tested, nearest, going = pairs, NEAREST, not proposed.filter("more").isEmpty()
     found = connected_components(edges, "a", "b").select(F.col("id").alias("_id"), "component")
-    while going:
-        nearest *= 4
-        # buckets whose members all share a component are done
-        state = members.join(found, F.col("doc") == F.col("_id"), "left").withColumn("comp", F.coalesce("component", "doc"))
-        mixed = state.groupBy("h").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).filter("_lo < _hi").select(
-            F.col("h").alias("_h"))
-        state = keep_table(state.join(mixed, F.col("h") == F.col("_h"), "left_semi").select(
-            "h", "size", "lo", "doc", "n", "sketch", "comp"), "state")
-        proposed = keep_table(_propose(state, nearest, limit, percent, False), "pairs")
-        new = keep_table(proposed.filter(~F.col("more")).select("a", "b").join(tested, ["a", "b"], "left_anti"), "pairs")
-        going = not proposed.filter("more").isEmpty()
-        if new.isEmpty():
-            continue
-        tested = tested.unionByName(new)
-        # the sets of documents that no earlier round could name
-        named = new.select(F.col("a").alias("_d")).unionByName(new.select(F.col("b").alias("_d"))).distinct().join(
-            sets.select(F.col("doc_id").alias("_d")), "_d", "left_anti")
-        if not named.isEmpty():
-            sets = sets.unionByName(keep_table(_sets(plain.join(named, F.col("doc_id") == F.col("_d"), "left_semi")), "sets"))
-        edges = keep(edges.unionByName(_confirm(new, sets, percent)).distinct())
-        found = connected_components(edges, "a", "b").select(F.col("id").alias("_id"), "component")
+    # buckets whose members all share a component are done
+    state = members.join(found, F.col("doc") == F.col("_id"), "left").withColumn("comp", F.coalesce("component", "doc"))
+    mixed = state.groupBy("h").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).filter("_lo < _hi").select(
+        F.col("h").alias("_h"))
+    state = keep_table(state.join(mixed, F.col("h") == F.col("_h"), "left_semi").select(
+        "h", "size", "doc", "n", "sketch", "comp"), "state")
+    undecided = keep_table(_undecided(state, limit, percent), "undecided")
+    more = _links_inside(undecided, sets, percent)
+    found = connected_components(edges.unionByName(more), "a", "b").select(F.col("id").alias("_id"), "component")
     roots = kinds.join(found, F.col("rep") == F.col("_id"), "left").select(
         "k1", "k2", "n", F.coalesce("component", "rep").alias("component_id"))
     return sig.select("doc_id", "n", "k1", "k2").join(roots, ["k1", "k2", "n"], "left").select(
