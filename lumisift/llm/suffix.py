@@ -70,25 +70,24 @@ def _first_digits(rows: DataFrame, threshold: int, gram: int) -> DataFrame:
     return rows.mapInPandas(run, "row long, digit long, whole long, anchor long, first long, last long")
 
 
-def _settle(items: DataFrame) -> DataFrame:
-    """Items that share their digit, with ``n`` (items equal to it), ``_kinds`` (different ones under the digit) and
-    ``_first`` (whether it stands for its kind). Items alone under their digit drop out.
-    """
-    kinds = items.groupBy("digit", "whole").agg(F.count("*").alias("n"), F.min(F.struct("row", "first")).alias("_rep"))
-    by = kinds.groupBy("digit").agg(F.sum("n").alias("_all"), F.count("*").alias("_kinds")).filter(F.col("_all") > 1)
-    marked = kinds.join(by, "digit").select(
-        F.col("digit").alias("_d"), F.col("whole").alias("_w"), "n", "_rep", "_kinds")
-    joined = items.join(marked, (F.col("digit") == F.col("_d")) & (F.col("whole") == F.col("_w")))
-    return joined.withColumn("_first", F.struct("row", "first") == F.col("_rep")).drop("_d", "_w", "_rep")
-
-
-def _open(marked: DataFrame) -> DataFrame:
-    """One item for each kind under digits with several kinds."""
-    return marked.filter((F.col("_kinds") > 1) & F.col("_first")).dropDuplicates(["row", "first"])
-
+def _settle(items: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(repeated, open) among items with digit, whole, row, first and last.
 
-def _done(marked: DataFrame) -> DataFrame:
-    return marked.filter(F.col("n") > 1).select("row", "first", "last")
+    Items alone under their digit drop out. Items equal to another are repeated. Where a digit has several kinds, one
+    item stands for each kind in the next pass.
+    """
+    by = items.groupBy("digit").agg(
+        F.count("*").alias("_all"), F.min("whole").alias("_lo"), F.max("whole").alias("_hi")
+    ).filter(F.col("_all") > 1).select(F.col("digit").alias("_d"), (F.col("_lo") != F.col("_hi")).alias("_mixed"))
+    shared = keep_table(items.join(by, F.col("digit") == F.col("_d")).drop("_d"), "shared")
+    mixed = shared.filter("_mixed").withColumn("_id", F.xxhash64("row", "first"))
+    kinds = mixed.groupBy(F.col("digit").alias("_d"), F.col("whole").alias("_w")).agg(
+        F.count("*").alias("_n"), F.min("_id").alias("_rep"))
+    judged = keep_table(mixed.join(kinds, (F.col("digit") == F.col("_d")) & (F.col("whole") == F.col("_w"))).select(
+        *items.columns, (F.col("_n") > 1).alias("_twice"), (F.col("_id") == F.col("_rep")).alias("_stands")), "judged")
+    repeated = shared.filter(~F.col("_mixed")).select("row", "first", "last").unionByName(
+        judged.filter("_twice").select("row", "first", "last"))
+    return repeated, judged.filter("_stands").dropDuplicates(["row", "first"]).drop("_twice", "_stands")
 
 
 def repeated_windows(rows: DataFrame, threshold: int = THRESHOLD, gram: int = GRAM, step: int = STEP) -> DataFrame:
@@ -96,16 +95,18 @@ def repeated_windows(rows: DataFrame, threshold: int = THRESHOLD, gram: int = GR
 
     ``rows`` has ``row`` (equal only for equal rows) and ``text``.
     """
-    one = keep_table(_settle(keep_table(_first_digits(rows, threshold, gram), "digits")), "shared")
-    need = _open(one).groupBy("row").agg(F.collect_list(F.struct("digit", "anchor", "first", "last")).alias("r"))
+    one, open_ = _settle(keep_table(_first_digits(rows, threshold, gram), "digits"))
+    need = open_.groupBy("row").agg(F.collect_list(F.struct("digit", "anchor", "first", "last")).alias("r"))
     # one copy of the bytes of each kind of run, a few hundred each
-    cut = _cut_bytes(need.hint("shuffle_hash").join(rows, "row"), threshold)
-    two = keep_table(_settle(keep_table(cut.mapInPandas(_blocks(threshold, step), (
-        "row long, digit long, whole long, first long, last long, bytes binary")), "blocks")), "shared")
-    windows = keep_table(_open(two).mapInPandas(_windows(threshold), "row long, first long, window long"), "windows")
+    cut = keep_table(_cut_bytes(need.hint("shuffle_hash").join(rows, "row"), threshold), "bytes")
+    two, open_ = _settle(keep_table(cut.mapInPandas(
+        _blocks(threshold, step), "row long, digit long, whole long, run long, first long, last long"), "blocks"))
+    parts = open_.groupBy("row", F.col("run").alias("first")).agg(F.collect_list(F.struct("first", "last")).alias("r"))
+    windows = keep_table(cut.join(parts.hint("shuffle_hash"), ["row", "first"]).select("row", "first", "bytes", "r").mapInPandas(
+        _windows(threshold), "row long, first long, window long"), "windows")
     often = windows.groupBy("window").agg(F.count("*").alias("n")).filter(F.col("n") > 1).select(F.col("window").alias("_w"))
     three = windows.join(often, F.col("window") == F.col("_w")).select("row", "first", F.col("first").alias("last"))
-    return _done(one).unionByName(_done(two)).unionByName(three)
+    return one.unionByName(two).unionByName(three)
 
 
 def _cut_bytes(joined: DataFrame, threshold: int) -> DataFrame:
@@ -154,8 +155,7 @@ def _blocks(threshold: int, step: int):
                 whole = mix(hasher.spans(sums, low - first, high - first + threshold) + (anchor - low).astype(np.uint64))
                 for i in range(len(number)):
                     a, b = int(low[i]), int(high[i])
-                    out.append((row, key[i].view(np.int64), whole[i].view(np.int64), a, b,
-                                raw[a - first:b - first + threshold]))
+                    out.append((row, key[i].view(np.int64), whole[i].view(np.int64), first, a, b))
                 if len(out) >= 8192:
                     yield frame(out)
                     out = []
@@ -163,23 +163,24 @@ def _blocks(threshold: int, step: int):
                 yield frame(out)
 
     def frame(out):
-        return pd.DataFrame(out, columns=["row", "digit", "whole", "first", "last", "bytes"])
+        return pd.DataFrame(out, columns=["row", "digit", "whole", "run", "first", "last"])
 
     return run
 
 
 def _windows(threshold: int):
+    """Hashes of the single windows of the given parts of a run."""
+
     def run(batches):
         hasher = SpanHash()
         for pdf in batches:
             rows, at, found = [], [], []
-            for row, first, raw in zip(pdf["row"], pdf["first"], pdf["bytes"]):
-                data = np.frombuffer(raw, np.uint8)
-                n = len(data) - threshold + 1
-                start = np.arange(n)
-                found.append(hasher.spans(hasher.sums(data), start, start + threshold).view(np.int64))
-                rows.append(np.full(n, row))
-                at.append(start + first)
+            for row, first, raw, parts in zip(pdf["row"], pdf["first"], pdf["bytes"], pdf["r"]):
+                sums = hasher.sums(np.frombuffer(raw, np.uint8))
+                start = np.concatenate([np.arange(r["first"], r["last"] + 1) for r in parts])
+                found.append(hasher.spans(sums, start - first, start - first + threshold).view(np.int64))
+                rows.append(np.full(len(start), row))
+                at.append(start)
             if rows:
                 yield pd.DataFrame({"row": np.concatenate(rows), "first": np.concatenate(at), "window": np.concatenate(found)})
 
