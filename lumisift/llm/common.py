@@ -28,6 +28,18 @@ def keep_table(df: DataFrame, name: str = "table") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+TEXT_BATCH = 1_000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(df: DataFrame) -> None:
+    """Let Arrow batches of the session hold at most TEXT_BATCH rows: whole texts are long, and a batch stands in memory
+    several times, on both sides."""
+    now = int(df.sparkSession.conf.get(_BATCH, "10000"))
+    if now <= 0 or now > TEXT_BATCH:
+        df.sparkSession.conf.set(_BATCH, str(TEXT_BATCH))
+
+
 BROADCAST_ROWS = 50_000
 
 

@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 WINDOW = 10
 # characters of normalised windows that one automaton may hold; a larger benchmark is cut into blocks of that size
 AUTOMATON_CHARS = 32 << 20
@@ -106,6 +108,7 @@ def scan_documents(
     items and repeated documents count one by one (a repeated doc_id keeps one row per row when one automaton is
     enough, else its rows merge). Other columns are ignored.
     """
+    small_batches(docs)
     spark = docs.sparkSession
     narrow = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     parts = []
@@ -154,6 +157,7 @@ def clean_documents(
 ) -> DataFrame:
     """``docs`` without the rows that hold a benchmark window; all columns stay. One pass over the rows per automaton,
     no shuffle."""
+    small_batches(docs)
     for rows in _benchmark_blocks(benchmark, item, item_text, width, automaton_chars):
         shared = docs.sparkSession.sparkContext.broadcast(rows)
 

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 SPECTRUM = (1, 2, 3)
 BITS = 16
 # documented bounds of what the driver sees: labelled rows per language and in all, and their size
@@ -154,6 +156,7 @@ def predict(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "tex
     Null texts, texts without a letter, and all texts of a model without languages are ``und`` with score 0; repeated
     rows stay.
     """
+    small_batches(docs)
     shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.folded, model.bits))
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
 
@@ -184,6 +187,7 @@ def label(model: Model, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray
 
 def keep_known(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """``docs`` without the rows whose language is ``und``; all columns stay."""
+    small_batches(docs)
     shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.folded, model.bits))
 
     def run(batches):

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components
-from .common import SpanHash, gram_hashes, keep, keep_table, mix, word_hashes
+from .common import SpanHash, gram_hashes, keep, keep_table, mix, small_batches, word_hashes
 
 SHINGLE = 5
 PERCENT = 80
@@ -285,6 +285,7 @@ def near_components(
     have no shingle and no link. Rows with a null id take no part: their component is null. Repeated rows share a
     component; other columns are ignored. A pair at the threshold stays unseen with a chance of about MISS.
     """
+    small_batches(docs)
     rows, bands = band_plan(percent)
     limit = most_bits(percent, rows * bands)
     plain = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))

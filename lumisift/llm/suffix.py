@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLOCK, SpanHash, anchor_runs, keep_table, mix
+from .common import BLOCK, SpanHash, anchor_runs, keep_table, mix, small_batches
 
 THRESHOLD = 400
 GRAM = 32
@@ -95,6 +95,7 @@ def repeated_windows(rows: DataFrame, threshold: int = THRESHOLD, gram: int = GR
 
     ``rows`` has ``row`` (equal only for equal rows) and ``text``.
     """
+    small_batches(rows)
     one, open_ = _settle(keep_table(_first_digits(rows, threshold, gram), "digits"))
     need = open_.groupBy("row").agg(F.collect_list(F.struct("digit", "anchor", "first", "last")).alias("r"))
     # one copy of the bytes of each kind of run, a few hundred each
