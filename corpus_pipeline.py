@@ -37,8 +37,10 @@ def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in token-budget batches of their length bucket."""
-    return packing.pack(docs)
+    """Documents in token-budget batches of their length bucket, by byte-level BPE tokens."""
+    import public_tokenizers
+
+    return packing.pack_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
 STAGES = [

@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.ranges import ranked
+from .common import keep_table
+from .tokens import token_counts
 
 BUCKETS = 16
 TOKEN_BUDGET = 16_384
@@ -63,7 +65,9 @@ def choose_boundaries(lengths: DataFrame, length: str, buckets: int = BUCKETS) -
     """Boundaries from the histogram of all rows; only its bins, whose number is bounded, reach the driver.
 
     Exact while every length has a bin of its own, which holds below 2^EXACT_BITS; above, lengths within one part in
-    2^FINE_BITS move together, and the bound is the longest length of the bin, so no row exceeds its bucket.
+    2^FINE_BITS move together, and the bound is the longest length of the bin, so no row exceeds its bucket. Moving each
+    bound of the best cut up to the top of its bin lengthens it by at most one part in 2^FINE_BITS, so the padded
+    total is at most 1 + 2^-FINE_BITS (129/128) times the least one.
     """
     bins = lengths.groupBy(_bin(F.col(length)).alias("b")).agg(F.max(length).alias("top"), F.count("*").alias("n"))
     found = sorted((r["top"], r["n"]) for r in bins.collect())
@@ -76,7 +80,7 @@ def pack(
 ) -> DataFrame:
     """(doc_id, n_tokens, bucket, padded_length, batch_id, slot) for every row.
 
-    ``length`` is the token count of a row; by default the words of its text (null: none). Bucket numbers ascend with
+    ``length`` is the token count of a row; by default the words of its text (null: none), see ``pack_tokens``. Bucket numbers ascend with
     their bound. A batch holds as many rows of one bucket as fit in ``token_budget`` at the bucket's bound; a row
     longer than the budget has a batch of its own, uncut. Rows of a bucket are dealt in an order drawn from their
     key, then by key, so batches mix sources; repeated rows stay, null keys come first. ``slot`` counts from 0. An
@@ -102,3 +106,13 @@ def pack(
         (F.shiftleft(F.col("bucket").cast("long"), 40) + F.floor(at / F.col("_fit"))).cast("long").alias("batch_id"),
         (at % F.col("_fit")).alias("slot"),
     )
+
+
+def pack_tokens(
+    docs: DataFrame, tokenizer_path: str, key: str = "doc_id", text: str = "text", buckets: int = BUCKETS,
+    token_budget: int = TOKEN_BUDGET,
+) -> DataFrame:
+    """``pack`` by the tokens that the tokenizer file counts in each whole text."""
+    counted = token_counts(docs, tokenizer_path, key, text, by_piece=True).select("doc_id", "n_tokens")
+    # the counts are read for the histogram, the ranges and the ranks
+    return pack(keep_table(counted, "lengths"), F.col("n_tokens"), buckets=buckets, token_budget=token_budget)

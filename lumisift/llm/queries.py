@@ -148,8 +148,10 @@ def op10_warc(spark, sf_dir):
 
 @_query()
 def op4_packing(spark, sf_dir):
-    """Every document in a token-budget batch of its length bucket."""
-    return packing.pack(_table(spark, sf_dir, "documents"))
+    """Every document in a token-budget batch of its length bucket, by byte-level BPE tokens."""
+    import public_tokenizers
+
+    return packing.pack_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
 @_query()

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 import os
+import re
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -14,6 +16,10 @@ CHUNK = 1 << 15
 OVERLAP = 1 << 9
 # a boundary this close to the end of a cut chunk is not proven: a special string may still begin before it
 MARGIN = 64
+# a blank between characters that are no white space (U+180E was one once) begins a word of the byte-level pattern
+PIECE = re.compile("(?<=[^\\s\u180e])(?= [^\\s\u180e])")
+# pieces whose counts a task remembers, and their longest length
+PIECES, PIECE_CHARS = 1 << 18, 48
 
 
 def _load(path: str):
@@ -41,6 +47,42 @@ def _boundaries(encoding, tokens_from: int, low: int, high: int) -> list[tuple[i
     return out
 
 
+def _cuts_at_blanks(path: str) -> bool:
+    """Whether pieces of ``PIECE`` have as many tokens as the text they make up: byte-level pattern, no normaliser, no
+    added token with a blank or with rules for its surroundings."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    before, model = spec.get("pre_tokenizer") or {}, spec["model"]
+    return (
+        spec.get("normalizer") is None and before.get("type") == "ByteLevel" and not before.get("add_prefix_space")
+        and before.get("use_regex", True) and model["type"] == "BPE" and not model.get("dropout")
+        and all(not re.search(r"\s", t["content"]) and not (t["single_word"] or t["lstrip"] or t["rstrip"])
+                for t in spec.get("added_tokens") or [])
+    )
+
+
+class _Pieces:
+    """Tokens of texts as the sum over their pieces; each different short piece is encoded once while remembered."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer, self.known = tokenizer, {}
+
+    def count(self, texts: list[str]) -> list[int]:
+        cut = [PIECE.split(t) for t in texts]
+        new = list({p for parts in cut for p in parts}.difference(self.known))
+        fresh = dict(zip(new, (len(e) for i in range(0, len(new), 4096) for e in self.tokenizer.encode_batch_fast(
+            new[i:i + 4096], add_special_tokens=False))))
+        if len(self.known) + len(fresh) > PIECES:
+            needed = {p for parts in cut for p in parts}
+            self.known = {p: n for p, n in self.known.items() if p in needed}
+        self.known.update(fresh)
+        out = [sum(map(self.known.__getitem__, parts)) for parts in cut]
+        for p in fresh:
+            if len(p) > PIECE_CHARS:
+                del self.known[p]
+        return out
+
+
 def _chunks(wide: DataFrame, path: str, chunk: int) -> DataFrame:
     """(row, k, n, head, tail) for each chunk; head and tail are the word starts in the overlaps, with the tokens
     before each."""
@@ -101,24 +143,29 @@ def _splice(chunks: DataFrame, chunk: int) -> DataFrame:
 
 def token_counts(
     docs: DataFrame, tokenizer_path: str, key: str = "doc_id", text: str = "text", chunk: int = CHUNK, overlap: int = OVERLAP,
+    by_piece: bool = False,
 ) -> DataFrame:
     """(doc_id, n_bytes, n_tokens) of every row, as the tokenizer file's library counts the whole text.
 
     Texts of up to ``chunk`` characters are encoded at once. Longer ones are cut into chunks that overlap; where two
     neighbours share no proven boundary, the overlap of that text doubles until it covers the text. Null is the empty
     text, with no tokens; repeated rows stay; other columns are ignored. The path must exist on every executor.
+    ``by_piece`` counts a short text as the sum of its blank-separated pieces where the tokenizer file allows that; the
+    counts are the same, in a fraction of the time.
     """
+    by_piece = by_piece and _cuts_at_blanks(tokenizer_path)
     narrow = docs.select(
         F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     length = F.length("text").cast("long")
 
     def count(batches):
         tokenizer = _load(tokenizer_path)
+        pieces = _Pieces(tokenizer)
         for pdf in batches:
             n = []
             texts = pdf["text"].tolist()
             for i in range(0, len(texts), 256):
-                n += [len(e) for e in tokenizer.encode_batch_fast(texts[i:i + 256], add_special_tokens=False)]
+                n += pieces.count(texts[i:i + 256]) if by_piece else [len(e) for e in tokenizer.encode_batch_fast(texts[i:i + 256], add_special_tokens=False)]
             yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "n_bytes": pdf["n_bytes"], "n_tokens": n})
 
     sized = narrow.withColumn("n_bytes", F.octet_length("text").cast("long"))

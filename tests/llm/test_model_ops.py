@@ -1,15 +1,17 @@
 """Packing, language identification, top-k search and the pipeline on small tables."""
 
+import collections
 import itertools
 import math
 import random
 
 import numpy as np
+import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lumisift.llm import language, packing, topk
+from lumisift.llm import language, packing, tokens, topk
 from lumisift.llm.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -54,6 +56,33 @@ def test_pack(spark):
     assert top[-1] == (1 << 16) ** 2 - (1 << 16) and len(top) == 5
 
 
+def test_registered_packing_counts_tokens(spark):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").unionByName(spark.createDataFrame(
+        [(-1, "日本語" * 2000), (-2, None), (-3, "x" * 90_000)], "doc_id long, text string"))
+    plain = tokens._load(path)
+    want = {r.doc_id: len(plain.encode(r.text or "", add_special_tokens=False).ids) for r in docs.collect()}
+    got = packing.pack_tokens(docs, path).collect()
+    assert {r.doc_id: r.n_tokens for r in got} == want and all(r.n_tokens <= r.padded_length for r in got)
+    size = collections.Counter(r.batch_id for r in got)
+    assert all(size[r.batch_id] * r.padded_length <= packing.TOKEN_BUDGET or size[r.batch_id] == 1 for r in got)
+    for found in (QUERIES["op4_packing"](spark, SF), corpus_pipeline.packing_stage(spark, docs, SF)):
+        assert all(r.n_tokens == want[r.doc_id] for r in found.collect())
+
+
+def test_binned_boundaries_lose_at_most_one_part_in_128(spark):
+    rng = random.Random(3)
+    rows = [int(2 ** rng.uniform(11, 17)) for _ in range(3000)]
+    lengths, counts = np.unique(np.array(rows), return_counts=True)
+
+    def padded(bounds):
+        return sum(min(b for b in bounds if b >= n) for n in rows)
+
+    least = padded(packing.best_boundaries(lengths, counts, 4))
+    binned = packing.choose_boundaries(spark.createDataFrame([(n,) for n in rows], "n long"), "n", 4)
+    assert least <= padded(binned) <= least * 129 / 128
+
+
 # language
 def test_kernel_scores_equal_folded_scores():
     texts = ["the cat sat", "le chat est là", "der hund und", "the dog and the cat", "la souris est", "die katze und das"]

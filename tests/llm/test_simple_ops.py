@@ -65,6 +65,17 @@ def test_token_counts(spark):
     assert tokens.token_counts(df.limit(0), BPE).count() == 0
 
 
+def test_token_counts_by_piece(spark):
+    words = "plain words don't  stop\n\n<|endoftext|> and 12345, naïve 日本語 🎉 x\u180e y\x85 z\xa0 q\x1f r 's <|endoftext|> "
+    texts = [None, "", " ", words, words * 40, "x" * 3000, " " * 900 + "a", "a<|endoftext|> b" * 90, "\n \n" * 300, "é ü" * 700]
+    real = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
+    df = spark.createDataFrame(list(enumerate(texts + real)), "doc_id long, text string")
+    got = {r.doc_id: r.n_tokens for r in tokens.token_counts(df, BPE, by_piece=True).collect()}
+    plain = tokens._load(BPE)
+    assert got == {i: len(plain.encode(t or "", add_special_tokens=False).ids) for i, t in enumerate(texts + real)}
+    assert tokens._cuts_at_blanks(BPE)
+
+
 # decontamination
 def _brute(docs, items, width):
     out = {}
