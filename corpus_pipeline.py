@@ -12,8 +12,8 @@ from lumisift.llm.common import keep_table
 
 # near copies: five-word shingles that agree to 80 of 100
 NEAR_PERCENT = 80
-# bytes of a repeated passage: below fifty words of the corpus, so that longer passages are caught
-PASSAGE_BYTES = 256
+# words of a repeated passage
+PASSAGE_WORDS = 50
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,8 +27,8 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def repeat_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages that occur more than once are cut out of the texts."""
-    return suffix.remove_repeats(docs, threshold=PASSAGE_BYTES)
+    """Passages of at least PASSAGE_WORDS words that occur more than once are cut out of the texts."""
+    return suffix.remove_repeats(docs, threshold=PASSAGE_WORDS, words=True)
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

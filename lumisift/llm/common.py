@@ -84,11 +84,12 @@ class SpanHash:
             setattr(self, name, np.multiply.accumulate(out))
 
     def sums(self, data: np.ndarray) -> np.ndarray:
-        """Prefix sums; element i covers the first i bytes."""
+        """Prefix sums; element i covers the first i bytes, or the first i of an array of 64-bit hashes."""
         n = len(data)
         self._grow(n)
         out = np.zeros(n + 1, np.uint64)
-        np.cumsum(self.table[data] * self.power[:n], out=out[1:])
+        values = self.table[data] if data.dtype == np.uint8 else data
+        np.cumsum(values * self.power[:n], out=out[1:])
         return out
 
     def spans(self, sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:

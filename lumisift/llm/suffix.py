@@ -12,6 +12,9 @@ whole window, and a window leaves as soon as it is alone under its digits:
 
 Digits are 64-bit hashes of the bytes. Counts are aggregates that merge before the shuffle, so a string shared by a
 third of all rows gathers nowhere.
+
+The same passes run over words (``words=True``): then a unit is the 64-bit hash of a word, white space between words
+does not count, and ``threshold``, ``gram``, ``step`` and all positions are numbers of words.
 """
 
 from __future__ import annotations
@@ -23,17 +26,23 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLOCK, SpanHash, anchor_runs, keep_table, mix, small_batches
+from .common import BLOCK, SpanHash, anchor_runs, keep_table, mix, small_batches, word_hashes, word_spans
 
 THRESHOLD = 400
 GRAM = 32
 STEP = 24
+# the same for words
+WORD_GRAM, WORD_STEP = 8, 8
 
 
 def _utf8(text) -> np.ndarray:
     return np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
 
 
+def _units(hasher: SpanHash, data: np.ndarray, words: bool) -> np.ndarray:
+    return word_hashes(hasher, data) if words else data
+
+
 def _runs(hasher: SpanHash, data: np.ndarray, threshold: int, gram: int):
     """(digit, whole, anchor, first, last) of each run of windows of a text, in blocks of bounded size."""
     parts = []
@@ -50,13 +59,13 @@ def _runs(hasher: SpanHash, data: np.ndarray, threshold: int, gram: int):
     return [np.concatenate(x) for x in zip(*parts)]
 
 
-def _first_digits(rows: DataFrame, threshold: int, gram: int) -> DataFrame:
+def _first_digits(rows: DataFrame, threshold: int, gram: int, words: bool) -> DataFrame:
     def run(batches):
         hasher = SpanHash()
         for pdf in batches:
             out = []
             for row, text in zip(pdf["row"], pdf["text"]):
-                found = _runs(hasher, _utf8(text), threshold, gram)
+                found = _runs(hasher, _units(hasher, _utf8(text), words), threshold, gram)
                 if found is not None:
                     out.append(pd.DataFrame({
                         "row": row, "digit": found[0], "whole": found[1], "anchor": found[2], "first": found[3],
@@ -90,27 +99,29 @@ def _settle(items: DataFrame) -> tuple[DataFrame, DataFrame]:
     return repeated, judged.filter("_stands").dropDuplicates(["row", "first"]).drop("_twice", "_stands")
 
 
-def repeated_windows(rows: DataFrame, threshold: int = THRESHOLD, gram: int = GRAM, step: int = STEP) -> DataFrame:
-    """(row, first, last): runs of window starts, in bytes, whose window also starts elsewhere; runs may touch.
+def repeated_windows(
+    rows: DataFrame, threshold: int = THRESHOLD, gram: int = GRAM, step: int = STEP, words: bool = False,
+) -> DataFrame:
+    """(row, first, last): runs of window starts, in bytes or words, whose window also starts elsewhere; runs may touch.
 
     ``rows`` has ``row`` (equal only for equal rows) and ``text``.
     """
     small_batches(rows)
-    one, open_ = _settle(keep_table(_first_digits(rows, threshold, gram), "digits"))
+    one, open_ = _settle(keep_table(_first_digits(rows, threshold, gram, words), "digits"))
     need = open_.groupBy("row").agg(F.collect_list(F.struct("digit", "anchor", "first", "last")).alias("r"))
     # one copy of the bytes of each kind of run, a few hundred each
-    cut = keep_table(_cut_bytes(need.hint("shuffle_hash").join(rows, "row"), threshold), "bytes")
+    cut = keep_table(_cut_bytes(need.hint("shuffle_hash").join(rows, "row"), threshold, words), "bytes")
     two, open_ = _settle(keep_table(cut.mapInPandas(
-        _blocks(threshold, step), "row long, digit long, whole long, run long, first long, last long"), "blocks"))
+        _blocks(threshold, step, words), "row long, digit long, whole long, run long, first long, last long"), "blocks"))
     parts = open_.groupBy("row", F.col("run").alias("first")).agg(F.collect_list(F.struct("first", "last")).alias("r"))
     windows = keep_table(cut.join(parts.hint("shuffle_hash"), ["row", "first"]).select("row", "first", "bytes", "r").mapInPandas(
-        _windows(threshold), "row long, first long, window long"), "windows")
+        _windows(threshold, words), "row long, first long, window long"), "windows")
     often = windows.groupBy("window").agg(F.count("*").alias("n")).filter(F.col("n") > 1).select(F.col("window").alias("_w"))
     three = windows.join(often, F.col("window") == F.col("_w")).select("row", "first", F.col("first").alias("last"))
     return one.unionByName(two).unionByName(three)
 
 
-def _cut_bytes(joined: DataFrame, threshold: int) -> DataFrame:
+def _cut_bytes(joined: DataFrame, threshold: int, words: bool) -> DataFrame:
     """One row per run, with its bytes."""
 
     def run(batches):
@@ -118,9 +129,11 @@ def _cut_bytes(joined: DataFrame, threshold: int) -> DataFrame:
             out = []
             for row, text, runs in zip(pdf["row"], pdf["text"], pdf["r"]):
                 raw = (text or "").encode("utf-8", "surrogatepass")
+                start, end = word_spans(np.frombuffer(raw, np.uint8)) if words else (None, None)
                 for r in runs:
                     first, last = int(r["first"]), int(r["last"])
-                    out.append((row, r["digit"], r["anchor"], first, last, raw[first:last + threshold]))
+                    a, b = (int(start[first]), int(end[last + threshold - 1])) if words else (first, last + threshold)
+                    out.append((row, r["digit"], r["anchor"], first, last, raw[a:b]))
                 if len(out) >= 8192:
                     yield pd.DataFrame(out, columns=["row", "digit", "anchor", "first", "last", "bytes"])
                     out = []
@@ -131,7 +144,7 @@ def _cut_bytes(joined: DataFrame, threshold: int) -> DataFrame:
         run, "row long, digit long, anchor long, first long, last long, bytes binary")
 
 
-def _blocks(threshold: int, step: int):
+def _blocks(threshold: int, step: int, words: bool):
     """Cuts runs at fixed distances from their anchor. A window that starts ``d`` before the anchor is in block
     d // step; the core of a block is what its windows share, so it runs from its last start to its first end."""
 
@@ -142,8 +155,7 @@ def _blocks(threshold: int, step: int):
             for row, digit, anchor, first, last, raw in pdf[
                 ["row", "digit", "anchor", "first", "last", "bytes"]
             ].itertuples(index=False):
-                data = np.frombuffer(raw, np.uint8)
-                sums = hasher.sums(data)
+                sums = hasher.sums(_units(hasher, np.frombuffer(raw, np.uint8), words))
                 number = np.arange((anchor - last) // step, (anchor - first) // step + 1)
                 # full blocks by distance, then clipped to the run
                 low = np.maximum(anchor - (number * step + step - 1), first)
@@ -169,7 +181,7 @@ def _blocks(threshold: int, step: int):
     return run
 
 
-def _windows(threshold: int):
+def _windows(threshold: int, words: bool):
     """Hashes of the single windows of the given parts of a run."""
 
     def run(batches):
@@ -177,7 +189,7 @@ def _windows(threshold: int):
         for pdf in batches:
             rows, at, found = [], [], []
             for row, first, raw, parts in zip(pdf["row"], pdf["first"], pdf["bytes"], pdf["r"]):
-                sums = hasher.sums(np.frombuffer(raw, np.uint8))
+                sums = hasher.sums(_units(hasher, np.frombuffer(raw, np.uint8), words))
                 start = np.concatenate([np.arange(r["first"], r["last"] + 1) for r in parts])
                 found.append(hasher.spans(sums, start - first, start - first + threshold).view(np.int64))
                 rows.append(np.full(len(start), row))
@@ -250,15 +262,25 @@ def dedup_report(docs: DataFrame, key: str = "doc_id", text: str = "text", thres
         run, "doc_id long, n_bytes long, n_removed long, spans array<array<long>>, kept_sha256 string")
 
 
-def remove_repeats(docs: DataFrame, text: str = "text", threshold: int = THRESHOLD, **options) -> DataFrame:
-    """``docs`` with the repeated bytes cut out of ``text``; the other columns stay.
+def _word_bytes(raw: bytes, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans of words as spans of bytes, up to the next word or the end of the text."""
+    start = np.append(word_spans(np.frombuffer(raw, np.uint8))[0], len(raw))
+    return [(int(start[a]), int(start[b])) for a, b in spans]
+
+
+def remove_repeats(
+    docs: DataFrame, text: str = "text", threshold: int = THRESHOLD, words: bool = False, **options,
+) -> DataFrame:
+    """``docs`` with the repeated bytes, or words with the white space that follows them, cut out of ``text``; the
+    other columns stay.
 
     Bytes of a character that a span cuts in two go with the span. Rows are matched by their whole content.
     """
+    options = ({"gram": WORD_GRAM, "step": WORD_STEP} if words else {}) | options
     columns = docs.columns
     rows = docs.withColumn("_row", F.xxhash64(*[F.col(c) for c in columns]))
     plain = rows.select(F.col("_row").alias("row"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    found = repeated_windows(plain, threshold, **options)
+    found = repeated_windows(plain, threshold, words=words, **options)
     spans = found.groupBy(F.col("row").alias("_r")).agg(F.collect_set(F.struct("first", "last")).alias("_runs"))
     joined = rows.join(spans.hint("shuffle_hash"), F.col("_row") == F.col("_r"), "left")
 
@@ -269,7 +291,8 @@ def remove_repeats(docs: DataFrame, text: str = "text", threshold: int = THRESHO
             at, kept = batch.schema.get_field_index(text), []
             for t, runs in zip(batch.column(at).to_pylist(), batch.column(batch.schema.get_field_index("_runs")).to_pylist()):
                 if runs and t is not None:
-                    t = _without(t.encode("utf-8"), _spans_of(runs, threshold)).decode("utf-8", "ignore")
+                    raw, spans = t.encode("utf-8"), _spans_of(runs, threshold)
+                    t = _without(raw, _word_bytes(raw, spans) if words else spans).decode("utf-8", "ignore")
                 kept.append(t)
             batch = batch.set_column(at, batch.schema.field(at), pa.array(kept, batch.schema.field(at).type))
             yield batch.select(columns)

@@ -6,6 +6,7 @@ import random
 import numpy as np
 import pytest
 
+import corpus_pipeline
 from lumisift.llm import fmindex, neardup, suffix
 from lumisift.llm.common import SpanHash
 
@@ -51,6 +52,33 @@ def test_suffix(spark, seed):
     assert suffix.dedup_report(df.limit(0), threshold=13, gram=4, step=3).count() == 0
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_suffix_over_words(spark, seed):
+    base = _texts(seed, 60, 12)
+    shared = " ".join(base[0].split()[:12])
+    texts = [*base, base[3], shared + "\n " + base[5], base[6] + "  " + shared + " " + shared, "a " * 90, None, "", " x \t"]
+    df = spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)], "doc_id long, text string, source string")
+    split = [[w.decode() for w in (t or "").encode().split()] for t in texts]
+    where = {}
+    for d, w in enumerate(split):
+        for i in range(len(w) - 6):
+            where.setdefault(tuple(w[i:i + 7]), []).append((d, i))
+    gone = {(d, i + k) for found in where.values() if len(found) > 1 for d, i in found for k in range(7)}
+    want = {d: [x for i, x in enumerate(w) if (d, i) not in gone] for d, w in enumerate(split)}
+    out = suffix.remove_repeats(df, threshold=7, words=True, gram=3, step=2).collect()
+    assert {r.doc_id: (r.text or "").split() for r in out} == want and gone
+
+
+def test_pipeline_cuts_short_words(spark):
+    # 60 words in under 256 bytes
+    passage = " ".join("a%x" % i for i in range(60))
+    assert len(passage) < 256
+    df = spark.createDataFrame([(1, "one " + passage + " two"), (2, "three\n" + passage.replace(" ", "\n") + " four")],
+                               "doc_id long, text string")
+    out = {r.doc_id: r.text for r in corpus_pipeline.repeat_stage(spark, df, "").collect()}
+    assert out == {1: "one two", 2: "three\nfour"}
+
+
 def test_suffix_long_text_and_stage(spark):
     rng = random.Random(5)
     long = "".join(rng.choice("abcdefgh ") for _ in range(1_300_000))
