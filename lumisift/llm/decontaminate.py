@@ -32,15 +32,14 @@ def windows_of(words: list[bytes], width: int) -> set[bytes]:
 
 
 def _benchmark_blocks(benchmark: DataFrame, item: str, text: str, width: int, limit: int):
-    """Lists of (item_id, windows); each list holds a bounded number of characters."""
+    """Lists of (item_id, windows), one at least; each holds a bounded number of characters. The id may be null."""
     items = benchmark.select(F.col(item).cast("string").alias("item"), F.col(text).alias("text")).filter(
-        F.col("item").isNotNull() & F.col("text").isNotNull()
-    )
+        F.col("text").isNotNull())
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     # each word is part of up to ``width`` windows; items spread by hash, so a block holds about its share
     blocks = max(1, -(-2 * total * width // limit))
     for b in range(blocks):
-        part = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("item"), F.lit(blocks)) == b)
+        part = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == b)
         rows = [(r.item, sorted(windows_of(normalise(r.text), width))) for r in part.toLocalIterator()]
         yield [(i, w) for i, w in rows if w]
 
@@ -94,7 +93,7 @@ def _byte_spans(text: str, runs: list[tuple[int, int]]) -> list[list[int]]:
     return [[int(start[a]), int(end[b - 1])] for a, b in runs]
 
 
-_OUT = "doc_id long, n_words long, runs array<array<int>>, items array<string>, spans array<array<long>>"
+_OUT = "doc_id long, n_words long, n_hit long, items array<string>, spans array<array<long>>"
 
 
 def scan_documents(
@@ -103,52 +102,43 @@ def scan_documents(
 ) -> DataFrame:
     """One row per document row: doc_id, n_words, n_hit, items (sorted as strings), spans (byte offsets of hit runs).
 
-    Every text is scanned once per automaton; a benchmark within ``automaton_chars`` needs one automaton. Null and
-    empty texts have no words; items without words or id have no windows; an empty benchmark hits nothing; equal
-    items and repeated documents count one by one (a repeated doc_id keeps one row per row when one automaton is
-    enough, else its rows merge). Other columns are ignored.
+    Every text is scanned once per automaton; a benchmark within ``automaton_chars`` needs one automaton. With more,
+    each row carries its hit words and items from one to the next, so the result does not depend on their number. Null
+    and empty texts have no words; items without words have no windows; an empty benchmark hits nothing; an item is
+    listed once however many rows have its id; windows of items with a null id hit and are not listed; repeated
+    documents and null ids keep one row per row. Other columns are ignored.
     """
     small_batches(docs)
     spark = docs.sparkSession
     narrow = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    parts = []
-    for rows in _benchmark_blocks(benchmark, item, item_text, width, automaton_chars):
-        shared = spark.sparkContext.broadcast(rows)
+    parts = [spark.sparkContext.broadcast(r) for r in _benchmark_blocks(benchmark, item, item_text, width, automaton_chars)]
+    # runs of hit words as start, end, start, end ...
+    found = narrow.withColumn("runs", F.array().cast("array<long>")).withColumn("items", F.array().cast("array<string>"))
+    for number, shared in enumerate(parts, 1):
+        last = number == len(parts)
 
-        def scan(batches, shared=shared):
+        def scan(batches, shared=shared, last=last):
             items = shared.value
             machine, any_window = _automaton(items)
             for pdf in batches:
                 out = []
-                for doc, body in zip(pdf["doc_id"], pdf["text"]):
+                for doc, body, before, names in zip(pdf["doc_id"], pdf["text"], pdf["runs"], pdf["items"]):
                     words = normalise(body)
                     mask, met = _scan(words, machine) if any_window else (np.zeros(len(words), bool), set())
+                    for a, b in zip(before[::2], before[1::2]):
+                        mask[a:b] = True
                     runs = _runs(mask)
-                    out.append((doc, len(words), runs, sorted(items[n][0] for n in met), _byte_spans(body, runs)))
-                frame = pd.DataFrame(out, columns=["doc_id", "n_words", "runs", "items", "spans"])
+                    names = sorted({*names, *(items[n][0] for n in met if items[n][0] is not None)})
+                    if last:
+                        out.append((doc, len(words), int(mask.sum()), names, _byte_spans(body, runs)))
+                    else:
+                        out.append((doc, body, [x for r in runs for x in r], names))
+                frame = pd.DataFrame(out, columns=["doc_id", "n_words", "n_hit", "items", "spans"] if last else ["doc_id", "text", "runs", "items"])
                 frame["doc_id"] = frame["doc_id"].astype("Int64")
                 yield frame
 
-        parts.append(narrow.mapInPandas(scan, _OUT))
-    found = parts[0]
-    if len(parts) > 1:
-        for part in parts[1:]:
-            found = found.unionByName(part)
-        # hit positions of the blocks meet as distinct word numbers, so overlaps count once
-        names = found.select(F.col("doc_id").alias("_a"), F.explode("items").alias("i")).groupBy("_a").agg(
-            F.sort_array(F.collect_set("i")).alias("items"))
-        hits = found.select(F.col("doc_id").alias("_b"), F.explode("runs").alias("r")).select(
-            "_b", F.explode(F.sequence(F.col("r")[0], F.col("r")[1] - 1)).alias("w")).distinct().groupBy("_b").agg(
-            F.count("*").alias("n_hit"))
-        spans = found.groupBy("doc_id").agg(
-            F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"))
-        joined = spans.join(names, F.col("doc_id").eqNullSafe(F.col("_a")), "left").join(
-            hits, F.col("doc_id").eqNullSafe(F.col("_b")), "left")
-        return joined.select(
-            "doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
-            F.coalesce("items", F.array().cast("array<string>")).alias("items"), "spans")
-    total = F.aggregate("runs", F.lit(0).cast("long"), lambda a, r: a + r[1] - r[0])
-    return found.select("doc_id", "n_words", total.alias("n_hit"), "items", "spans")
+        found = found.mapInPandas(scan, _OUT if last else found.schema)
+    return found
 
 
 def clean_documents(

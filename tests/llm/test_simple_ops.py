@@ -108,6 +108,21 @@ def test_decontaminate(spark, limit):
     assert decontaminate.scan_documents(d.limit(0), b).count() == 0
 
 
+def test_decontaminate_rows_do_not_depend_on_blocks(spark):
+    items = [(10, "a b c d"), (10, "b c d e"), (10, "a b c d"), (9, "x y z"), (None, "q r s"), (None, "t u v"), (8, "d e f")]
+    docs = [(1, "a b c d e f"), (1, "x y z"), (1, "nothing"), (None, "q r s t u v"), (None, "x y z"), (None, None), (2, "a b c d e f"),
+            (2, "a b c d e f")]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    b = spark.createDataFrame(items, "item_id long, text string")
+    want = sorted([(1, 6, 6, ["10", "8"], [[0, 11]]), (1, 3, 3, ["9"], [[0, 5]]), (1, 1, 0, [], []), (0, 6, 6, [], [[0, 11]]),
+                   (0, 3, 3, ["9"], [[0, 5]]), (0, 0, 0, [], []), (2, 6, 6, ["10", "8"], [[0, 11]]), (2, 6, 6, ["10", "8"], [[0, 11]])])
+    for limit in (1 << 20, 120):
+        assert len(list(decontaminate._benchmark_blocks(b, "item_id", "text", 3, limit))) == (1 if limit > 120 else 3)
+        got = decontaminate.scan_documents(d, b, width=3, automaton_chars=limit).collect()
+        assert sorted((r.doc_id or 0, r.n_words, r.n_hit, list(r["items"]), r.spans) for r in got) == want
+        assert [r.text for r in decontaminate.clean_documents(d, b, width=3, automaton_chars=limit).collect()] == ["nothing", None]
+
+
 # WARC
 def test_warc_round_trip(spark):
     pages = [(1, "http://a b\r\n", "x"), (5, None, "x"), (3, "u", None), (4, "u", ""), (7, "u", "WARC/1.1\r\n\r\n\r\n"), (5, "v", "x"),
