@@ -13,8 +13,9 @@ from .common import small_batches
 
 SPECTRUM = (1, 2, 3)
 BITS = 16
-# documented bounds of what the driver sees: labelled rows per language and in all, and their size
-SAMPLE_PER_LANGUAGE, SAMPLE_ROWS, SAMPLE_CHARS = 600, 6_000, 20_000
+# documented bounds of what the driver sees: labelled rows per language and in all. Of each it sees the set of n-grams,
+# at most 2^BITS bits however long the text is
+SAMPLE_PER_LANGUAGE, SAMPLE_ROWS = 600, 6_000
 LANDMARKS = 240
 RIDGE = 1e-2
 # slope of the logistic curve that turns the lead of the best language into a score
@@ -65,13 +66,32 @@ class Model:
     bits: int
 
 
-def _presence(texts: list[str], bits: int) -> np.ndarray:
-    out = np.zeros((len(texts), 1 << bits), np.float32)
-    for i, t in enumerate(texts):
-        out[i, present(t, bits)] = 1
+def _rows(sets: list[np.ndarray], bits: int) -> np.ndarray:
+    out = np.zeros((len(sets), 1 << bits), np.float32)
+    for i, s in enumerate(sets):
+        out[i, s] = 1
     return out
 
 
+def _presence(texts: list[str], bits: int) -> np.ndarray:
+    return _rows([present(t, bits) for t in texts], bits)
+
+
+def _packed(places: np.ndarray) -> bytes:
+    """Places below 2^16 as numbers of two bytes, or as bits where that is shorter."""
+    if len(places) < 1 << 12:
+        return b"n" + places.astype("<u2").tobytes()
+    bits = np.zeros(1 << 16, bool)
+    bits[places] = True
+    return b"b" + np.packbits(bits).tobytes()
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    if data[:1] == b"n":
+        return np.frombuffer(data, "<u2", offset=1).astype(np.int64)
+    return np.flatnonzero(np.unpackbits(np.frombuffer(data, np.uint8, offset=1)))
+
+
 def _unit(rows: np.ndarray) -> np.ndarray:
     return rows / np.maximum(np.sqrt(rows.sum(axis=1, keepdims=True)), 1)
 
@@ -82,18 +102,25 @@ def fit(texts: list[str], labels: list[str], landmarks: int = LANDMARKS, ridge:
     k(x, y) = shared n-grams / sqrt(n-grams of x * n-grams of y). Landmarks are drawn evenly from each language.
     Rows of a language share a weight of one, so a frequent language does not win by number.
     """
+    return fit_sets([present(t, bits) for t in texts], labels, landmarks, ridge, bits)
+
+
+def fit_sets(
+    sets: list[np.ndarray], labels: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE, bits: int = BITS,
+) -> Model:
+    """``fit`` on the n-gram sets of the texts."""
     languages = sorted(set(labels))
     by = {c: [i for i, x in enumerate(labels) if x == c] for c in languages}
     share = max(1, landmarks // max(1, len(languages)))
     chosen = [i for c in languages for i in by[c][:share]]
-    base = _unit(_presence([texts[i] for i in chosen], bits))
+    base = _unit(_rows([sets[i] for i in chosen], bits))
     values, vectors = np.linalg.eigh((base @ base.T).astype(np.float64))
     good = values > 1e-6 * values.max()
     root = vectors[:, good] / np.sqrt(values[good])
     dim = root.shape[1]
     gram, target = np.zeros((dim + 1, dim + 1)), np.zeros((dim + 1, len(languages)))
-    for at in range(0, len(texts), 128):
-        rows = _unit(_presence(texts[at:at + 128], bits))
+    for at in range(0, len(sets), 128):
+        rows = _unit(_rows(sets[at:at + 128], bits))
         z = np.hstack([(rows @ base.T) @ root, np.ones((len(rows), 1))])
         y = np.array([[1.0 if x == c else -1.0 for c in languages] for x in labels[at:at + 128]])
         w = np.array([[1.0 / len(by[x])] for x in labels[at:at + 128]])
@@ -125,10 +152,12 @@ def held_out(key: Column) -> Column:
 
 
 def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", landmarks: int = LANDMARKS) -> Model:
-    """Fit on a bounded sample of labelled rows outside the held-out quarter: at most SAMPLE_ROWS rows of at most
-    SAMPLE_CHARS characters, SAMPLE_PER_LANGUAGE per language, drawn by a hash of the key."""
+    """Fit on a bounded sample of labelled rows outside the held-out quarter: at most SAMPLE_ROWS rows,
+    SAMPLE_PER_LANGUAGE per language, drawn by a hash of the key. Their texts are read whole, on the executors; the
+    driver gets the n-gram sets, whose size does not grow with the text."""
+    small_batches(docs)
     rows = docs.select(F.col(key).alias("_k"), F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang")).filter(
-        ~held_out(F.col("_k")) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & (F.length("text") <= SAMPLE_CHARS)
+        ~held_out(F.col("_k")) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")
     ).withColumn("draw", F.pmod(F.xxhash64("_k", F.lit("sample")), F.lit(1 << 40)))
     # a language with fewer than a few rows in the table can't be learned; the most frequent come first
     counts = sorted(((r["n"], r["lang"]) for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(
@@ -140,14 +169,24 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     for n, name in counts:
         # half as many again as wanted, so that the number drawn reaches it; the rest is cut off below
         limit = F.when(F.col("lang") == name, F.lit(min(1.0, (1.5 * each + 40) / n) * (1 << 40))).otherwise(limit)
-    drawn = sorted(rows.filter(F.col("draw") < limit).select("lang", "draw", "text").collect())
-    taken: dict[str, list[str]] = {}
-    for r in drawn:
-        if len(taken.setdefault(r["lang"], [])) < each:
-            taken[r["lang"]].append(r["text"])
-    texts = [t for c in sorted(taken) for t in taken[c]]
+    draws: dict[str, list[int]] = {}
+    for r in rows.filter(F.col("draw") < limit).select("lang", "draw").collect():
+        draws.setdefault(r["lang"], []).append(r["draw"])
+    cut = F.lit(-1).cast("long")
+    for name, found in draws.items():
+        cut = F.when(F.col("lang") == name, F.lit(sorted(found)[:each][-1])).otherwise(cut)
+
+    def sets(batches):
+        for pdf in batches:
+            yield pd.DataFrame({"lang": pdf["lang"], "draw": pdf["draw"], "grams": [_packed(present(t)) for t in pdf["text"]]})
+
+    drawn = rows.filter(F.col("draw") <= cut).select("lang", "draw", "text").mapInPandas(sets, "lang string, draw long, grams binary")
+    taken: dict[str, list[np.ndarray]] = {}
+    for name, _, grams in sorted((r["lang"], r["draw"], bytes(r["grams"])) for r in drawn.collect()):
+        if len(taken.setdefault(name, [])) < each:
+            taken[name].append(_unpacked(grams))
     labels = [c for c in sorted(taken) for _ in taken[c]]
-    return fit(texts, labels, landmarks)
+    return fit_sets([g for c in sorted(taken) for g in taken[c]], labels, landmarks)
 
 
 def predict(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -186,7 +225,8 @@ def label(model: Model, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray
 
 
 def keep_known(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """``docs`` without the rows whose language is ``und``; all columns stay."""
+    """``docs`` without the rows whose language is ``und``; all columns stay. A model without languages knows none
+    from the other, so it rejects only null texts and texts without a letter."""
     small_batches(docs)
     shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.folded, model.bits))
 
@@ -195,7 +235,8 @@ def keep_known(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
         ready = _ready(shared.value)
         for batch in batches:
-            names, _ = label(ready, batch.column(batch.schema.get_field_index(text)).to_pylist())
-            yield batch.filter(pa.array(names != "und"))
+            texts = batch.column(batch.schema.get_field_index(text)).to_pylist()
+            known = label(ready, texts)[0] != "und" if ready.languages else [has_letter(t) for t in texts]
+            yield batch.filter(pa.array(known, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

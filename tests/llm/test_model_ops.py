@@ -115,6 +115,19 @@ def test_language_accuracy_and_edges(spark):
     assert language.keep_known(odd, model).columns == odd.columns and language.keep_known(odd, model).count() == 1
 
 
+def test_long_texts_are_learned_and_unlabelled_texts_stay(spark):
+    schema = "doc_id long, text string, lang string"
+    rows = [(i, "the dog and the cat ", "en") for i in range(40)] + [(100 + i, "der hund und die katze " * 2000, "de") for i in range(40)]
+    model = language.train(spark.createDataFrame(rows, schema))
+    assert model.languages == ["de", "en"]
+    assert language.label(model, ["und der hund", "and the dog"])[0].tolist() == ["de", "en"]
+    bare = spark.createDataFrame([(1, "the dog", None), (2, "12 !", None), (3, None, None), (4, "", None), (5, "é", None)], schema)
+    kept = corpus_pipeline.language_stage(spark, bare, "").collect()
+    assert sorted(r.doc_id for r in kept) == [1, 5]
+    full = np.arange(0, 1 << 16, 3)
+    assert all((language._unpacked(language._packed(x)) == x).all() for x in (full, full[:5], full[:0]))
+
+
 # top-k
 @pytest.mark.parametrize("sizes", [(7, 5, 3), (1000, 1000, 64)])
 def test_top_k(spark, sizes):
