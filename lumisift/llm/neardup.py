@@ -2,9 +2,8 @@
 
 Documents with equal sets are one node from the start. A band bucket of two is a pair; buckets with equal members count
 once. In larger buckets each member proposes its nearest members by odd sketch, and all meet the smallest id, so a
-group of thousands of copies gives links in proportion to its size. Members of different components go on proposing,
-four times as many each round, until every pair of a bucket that passes the sketch and lies in two components has been
-compared on full sets: no link between different components is left out.
+group of thousands of copies gives links in proportion to its size. Then every pair of a bucket that passes the sketch
+and lies in two components is compared on full sets, once: no link between different components is left out.
 """
 
 from __future__ import annotations
@@ -275,6 +274,20 @@ def _links_inside(undecided: DataFrame, sets: DataFrame, percent: int) -> DataFr
     return units.groupBy("_task").applyInPandas(run, "a long, b long").distinct()
 
 
+def _buckets(banded: DataFrame) -> DataFrame:
+    """(size, lo, hi, h) of the buckets of two and more rows; of those with equal members, one.
+
+    Members are compared by the sums of the halves of their hashes: unlike XOR, a sum does not lose a member that
+    occurs twice.
+    """
+    member = F.xxhash64("doc_id")
+    every = banded.groupBy("h").agg(
+        F.count("*").alias("size"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"),
+        F.sum(member.bitwiseAND(F.lit(0xFFFFFFFF))).alias("x"), F.sum(F.shiftrightunsigned(member, 32)).alias("y"),
+    ).filter("size > 1")
+    return every.groupBy("size", "lo", "hi", "x", "y").agg(F.min("h").alias("h")).drop("x", "y")
+
+
 def near_components(
     docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT,
 ) -> DataFrame:
@@ -294,11 +307,7 @@ def near_components(
     kinds = keep_table(some.groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rep")), "kinds")
     reps = some.join(kinds.select("k1", "k2", "n", F.col("rep").alias("doc_id")), ["k1", "k2", "n", "doc_id"], "left_semi")
     banded = reps.select("doc_id", F.explode("bands").alias("h"))
-    buckets = banded.groupBy("h").agg(
-        F.count("*").alias("size"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"),
-        F.bit_xor(F.xxhash64("doc_id")).alias("x")).filter("size > 1")
-    # buckets with equal members: one is enough
-    buckets = keep_table(buckets.groupBy("size", "lo", "hi", "x").agg(F.min("h").alias("h")), "buckets")
+    buckets = keep_table(_buckets(banded), "buckets")
     ready = reps.select("doc_id", "n", "sketch")
     a = ready.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("wa"))
     b = ready.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("wb"))

@@ -199,6 +199,13 @@ def test_near_components(spark, monkeypatch, percent, chunk):
     assert neardup.near_components(df.limit(0)).count() == 0
 
 
+def test_repeated_rows_do_not_make_buckets_equal(spark):
+    members = {10: [1, 5, 5, 9], 11: [1, 7, 7, 9], 12: [9, 7, 1, 7], 13: [1, 9], 14: [4]}
+    banded = spark.createDataFrame([(d, h) for h, ds in members.items() for d in ds], "doc_id long, h long")
+    got = sorted((r.h, r.size, r.lo, r.hi) for r in neardup._buckets(banded).collect())
+    assert got == [(10, 4, 1, 9), (11, 4, 1, 9), (13, 2, 1, 9)]
+
+
 def test_odd_sketch_estimates():
     plan = neardup.band_plan(80)
     minhasher, rng = neardup.MinHasher(*plan), np.random.default_rng(3)
