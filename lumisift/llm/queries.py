@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, fmindex, language, neardup, packing, suffix, tokens, topk, warc
+from . import chat, decontaminate, fmindex, language, lexical, neardup, packing, suffix, tokens, topk, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -217,3 +217,25 @@ def op6_minhash_near_dedup(spark, sf_dir):
     """Components of documents whose five-word shingles agree to 85 of 100."""
     found = neardup.near_components(_table(spark, sf_dir, "documents"), percent=85)
     return found.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+
+
+@_query(rf"""
+WITH d AS MATERIALIZED (SELECT doc_id, row_number() OVER () AS row, {_WORDS_SQL} AS w FROM documents),
+s AS MATERIALIZED (SELECT count(*) AS n, CAST(sum(len(w)) AS BIGINT) AS l FROM d WHERE len(w) > 0),
+i AS MATERIALIZED (SELECT item_id, row_number() OVER () AS item, {_WORDS_SQL} AS w FROM benchmark),
+q AS MATERIALIZED (SELECT item, t, count(*) AS c FROM (SELECT item, unnest(w) AS t FROM i) GROUP BY ALL),
+tf AS MATERIALIZED (
+  SELECT row, t, count(*) AS tf FROM (SELECT row, unnest(w) AS t FROM d) WHERE t IN (SELECT t FROM q) GROUP BY ALL),
+wt AS (SELECT t, CAST(floor(1000 * ln((2 * n + 2) / (2 * count(*) + 1))) AS BIGINT) AS weight FROM tf, s GROUP BY t, n),
+m AS (SELECT row, doc_id, 100 - 75 + ((75 * len(w) * n) // l) AS m FROM d, s WHERE len(w) > 0),
+sc AS (
+  SELECT item, row, doc_id, CAST(sum(c * weight * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score
+  FROM q JOIN tf USING (t) JOIN wt USING (t) JOIN m USING (row) GROUP BY ALL),
+r AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank
+  FROM sc WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM r JOIN i USING (item) WHERE rank <= 10
+""")
+def op12_ranked_search(spark, sf_dir):
+    """The ten best documents for every benchmark item."""
+    return lexical.ranked_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
