@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, fmindex, language, lexical, neardup, packing, suffix, tokens, topk, warc
+from . import chat, decontaminate, fmindex, language, lexical, maintext, neardup, packing, phrases, suffix, tokens, topk, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -239,3 +239,43 @@ SELECT item_id, rank, doc_id, score FROM r JOIN i USING (item) WHERE rank <= 10
 def op12_ranked_search(spark, sf_dir):
     """The ten best documents for every benchmark item."""
     return lexical.ranked_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+@_query()
+def op11_main_text(spark, sf_dir):
+    """Main text of every page."""
+    return maintext.extract_pages(_table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
+@_query(r"""
+WITH t AS (
+  SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS x
+  FROM documents),
+p AS MATERIALIZED (
+  SELECT lang, regexp_extract_all(x, '[^\x20\x09]+') AS w FROM (
+    SELECT lang, unnest(regexp_split_to_array(x, '[.,;:!?\x0A-\x0D]')) AS x FROM t)),
+n AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM p GROUP BY lang),
+f AS MATERIALIZED (
+  SELECT lang, k, g, count(*) AS f FROM (
+    SELECT lang, k, w[i:i + k - 1] AS g
+    FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM p, (SELECT unnest(range(1, 6)) AS k) WHERE len(w) >= k))
+  GROUP BY ALL HAVING count(*) >= 100),
+c AS (SELECT lang, k, g, f AS a, unnest(range(1, k)) AS c FROM f WHERE k > 1),
+s AS (
+  SELECT c.lang, c.k, c.g, c.a, c.c, l.f AS l, r.f AS r, n.n,
+    CAST((1000::HUGEINT * c.a * n.n) // (l.f::HUGEINT * r.f) AS BIGINT) AS score
+  FROM c JOIN f l ON l.lang = c.lang AND l.g = c.g[1:c.c] JOIN f r ON r.lang = c.lang AND r.g = c.g[c.c + 1:] JOIN n ON n.lang = c.lang),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, c) = 1),
+inner_parts AS (
+  SELECT lang, g[i:i + j - 1] AS g, f FROM (
+    SELECT lang, g, f, k, j, unnest(range(1, k - j + 2)) AS i FROM f, (SELECT unnest(range(2, 5)) AS j) WHERE j < k)),
+cover AS (SELECT lang, g, max(f) AS f FROM inner_parts GROUP BY ALL),
+kept AS (
+  SELECT b.*, array_to_string(b.g, ' ') AS phrase FROM b LEFT JOIN cover ON cover.lang = b.lang AND cover.g = b.g
+  WHERE cover.f IS NULL OR 100 * cover.f < 100 * b.a)
+SELECT lang, rank, phrase, a, l, r, n, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept) WHERE rank <= 2000
+""")
+def op13_phrase_collocations(spark, sf_dir):
+    """The first collocations of every language."""
+    return phrases.collocations(_table(spark, sf_dir, "documents"))
