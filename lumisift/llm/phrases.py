@@ -11,8 +11,10 @@ Places that phrases share only activate a phrase too early: it is counted for no
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import _ODD, keep_table, mix, shared_folder, small_batches
@@ -133,14 +135,13 @@ _COUNT = "lang string, phrase string, k int, place long, start int, f long"
 _KEYS = ["lang", "phrase", "k", "place", "start"]
 
 
-def _scan(shard: DataFrame, table: np.ndarray, step: int, shards: int, longest: int) -> DataFrame:
-    """Occurrences of the active phrases in one shard."""
-    shared = shard.sparkSession.sparkContext.broadcast(table)
+def _scan(shard: DataFrame, shared, step: int, shards: int, longest: int) -> DataFrame:
+    """Occurrences of the active phrases in one shard; ``shared`` has the packed table."""
 
     def scan(batches):
         import pyarrow as pa
 
-        table = shared.value
+        table = np.frombuffer(zlib.decompress(shared.value), np.uint8)
         pool, line = _Pool(), []
 
         def flush():
@@ -197,9 +198,11 @@ def count_phrases(
     ``min_count``, and (lang, n) with the number of all words.
 
     Tables of a scan hold the phrases still being counted; those below the threshold go once their cycle is complete.
-    At most ``longest`` cycles are needed. More ``place_bits`` (24: 16 MB) keep the activation sharp on larger corpora;
+    At most ``longest`` cycles are needed (a step takes one byte, so there may be 250 steps). More ``place_bits`` (24: 16 MB) keep the activation sharp on larger corpora;
     results do not depend on them.
     """
+    if longest * shards > 250:
+        raise ValueError("a step must fit one byte: longest * shards may be 250 at most")
     small_batches(docs)
     spark = docs.sparkSession
     path = shared_folder(spark, "shards")
@@ -215,10 +218,13 @@ def count_phrases(
     step, last = 0, -1
     # phrases start at most one scan after the last fresh entry
     while step < shards or step <= last + shards:
-        counted = _scan(corpus.filter(F.col("shard") == step % shards), table, step, shards, longest)
+        # few places are taken at first, so the packed table is small
+        shared = spark.sparkContext.broadcast(zlib.compress(table.tobytes(), 1))
+        counted = _scan(corpus.filter(F.col("shard") == step % shards), shared, step, shards, longest)
         if open_ is not None:
             counted = counted.unionByName(open_).groupBy(*_KEYS).agg(F.sum("f").alias("f"))
         counted = keep_table(counted, "phrases")
+        shared.destroy()
         over = counted.filter(F.col("f") >= min_count)
         complete = F.col("start") + (shards - 1) <= step
         done.append(over.filter(complete))
