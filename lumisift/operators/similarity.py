@@ -4,7 +4,8 @@ Vectors at cosine >= t lie within r = sqrt(2 - 2t). Pivots are drawn from the da
 them; every vector belongs to the cell of its nearest pivot and also visits each cell whose border is within r
 (generalised hyperplane bound, as in metric-space similarity joins). Two similar vectors therefore meet in a cell.
 Pivots decide speed only, never the result. A crowded cell is split into chunks of bounded size; each pair of chunks
-is one group of at most two chunks, multiplied as Arrow blocks.
+is one group of at most two chunks, multiplied as Arrow blocks. Where cells do not prune, rows form blocks instead, and
+``blocks.py`` drops the block pairs that cannot hold a similar pair.
 
 Equal vectors collapse first: a group of copies is tied to its smallest key and represented by it. Where only
 connectivity matters (``similar_links``), rows within r / 2 of their pivot form the core of the cell: any two of them
@@ -25,13 +26,14 @@ from pyspark.sql import types as T
 
 from ..functions.vectors import unit_normalize
 from ..session import cut_lineage
+from . import blocks as block_bounds
 from .keys import join_by
 
 CHUNK_ROWS = 1024
 MAX_PIVOTS = 2048
 SLICE_ROWS = 2048
 MAX_PIVOT_BYTES = 64 << 20
-GRID_FACTOR = 8  # chunks of the block grid are this much larger than those of cells
+GRID_FACTOR = 8  # blocks are this much larger than the chunks of cells
 PROBE_ROWS = 512  # rows on which the visits are measured; they decide speed only
 _SLACK = 1e-6  # rounding of 32-bit unit vectors
 
@@ -77,37 +79,44 @@ def _matrix(column: pa.ChunkedArray) -> np.ndarray:
 
 @dataclass(frozen=True)
 class _Layout:
-    """How rows meet: cells around pivots, or without pivots one grid of chunk pairs."""
+    """How rows meet: cells around pivots, blocks with bounds between them, or without either one grid of chunk pairs."""
 
     pivots: np.ndarray | None
     chunk: int
     replication: float  # copies of a row: cells it visits, or chunks it meets
+    blocks: block_bounds.Blocks | None = None
 
 
-def _layout(rows: DataFrame, radius: float, chunk_rows: int | None, sides: int = 1, core: bool = False) -> _Layout:
-    """Cells where they prune, else the block grid; both are exact.
+def _layout(
+    rows: DataFrame, threshold: float, chunk_rows: int | None, sides: int = 1, core: bool = False, radius: float | None = None,
+) -> _Layout:
+    """Cells where they prune, else blocks; both are exact.
 
-    The number of cells that a row visits is measured on a sample. The grid sends a row once per GRID_FACTOR chunks, so
-    it is taken when cells would send more copies.
+    The number of cells that a row visits, and the share of block pairs that the bounds leave, are measured on samples;
+    the layout that sends fewer copies is taken.
     """
+    radius = _radius(threshold) if radius is None else radius
     total = rows.count()
     chunk_rows = chunk_rows or CHUNK_ROWS
-    grid_rows = chunk_rows * GRID_FACTOR
-    grid = _Layout(None, grid_rows, max(1.0, total / grid_rows))
+    if total <= chunk_rows:
+        return _Layout(None, chunk_rows, 1.0)
+    block_rows = chunk_rows * GRID_FACTOR
+    fitted, sample = block_bounds.draw(rows, total, block_rows)
+    left = block_bounds.share(fitted, sample, radius, threshold)
+    blocks = _Layout(None, block_rows, max(1.0, left * total / block_rows), fitted)
     pivots = _draw_pivots(rows, total, radius, chunk_rows)
     if pivots is None:
-        return grid if total > chunk_rows else _Layout(None, chunk_rows, 1.0)
-    probe = [r["_v"] for r in rows.select("_v", F.xxhash64(F.lit(7), "_id").alias("_h")).orderBy("_h").limit(PROBE_ROWS).collect()]
-    x = np.array([v for v in probe if len(v) == pivots.shape[1]], dtype="float64")
-    if not len(x):
-        return grid
+        return blocks
+    x = sample[:PROBE_ROWS]
+    if x.shape[1] != pivots.shape[1]:
+        return blocks
     near = _reach(x, pivots, radius)
     visits = float(near.sum(1).mean()) / (2 if sides == 1 else 1) + 1
     # rows of a core are never compared with each other
     settled = float((_squares(x, pivots).min(1) <= (radius / 2) ** 2).mean()) if core else 0.0
     per_cell = total * (visits - settled) / len(pivots)
     cells = _Layout(pivots, chunk_rows, visits * max(1.0, per_cell / chunk_rows))
-    return cells if cells.replication <= grid.replication else grid
+    return cells if cells.replication <= blocks.replication else blocks
 
 
 def _reach(x: np.ndarray, pivots: np.ndarray, radius: float) -> np.ndarray:
@@ -288,6 +297,13 @@ def _self_tasks(placed: DataFrame, by: list[str], chunk: int) -> DataFrame:
     )
 
 
+def _tasks(rows: DataFrame, by: list[str], plan: _Layout, threshold: float) -> DataFrame:
+    """Chunk pairs of one table, by the layout chosen for it."""
+    if plan.blocks is not None:
+        return block_bounds.self_tasks(rows, by, plan.blocks, _radius(threshold), threshold)
+    return _self_tasks(cut_lineage(_placed(rows, by, plan.pivots, _radius(threshold), core=False)), by, plan.chunk)
+
+
 def _core_links(placed: DataFrame, by: list[str]) -> DataFrame:
     """Core rows tied to the smallest key of their cell's core."""
     core = placed.filter(F.col("_role") == "core").select("_id", *by, "_cell")
@@ -322,7 +338,7 @@ def similar_pairs(
     keys = [*by, "_len"]
     raw = cut_lineage(_vectors(df, key, vec, by, normalize))
     rows, copies = _copies(raw, keys)
-    plan = _layout(raw, _radius(threshold), chunk_rows)
+    plan = _layout(raw, threshold, chunk_rows)
 
     def reduce(block: _Block) -> dict:
         other, ids = (block.a, block.ids_a) if block.own else (block.b, block.ids_b)
@@ -338,12 +354,84 @@ def similar_pairs(
         }
 
     fields = [*_id_fields(df, key), T.StructField("score", T.DoubleType())]
-    placed = cut_lineage(_placed(rows, keys, plan.pivots, _radius(threshold), core=False))
-    found = _run(_self_tasks(placed, keys, plan.chunk), keys, fields, reduce).withColumn("copy", F.lit(False))
+    found = _run(_tasks(rows, keys, plan, threshold), keys, fields, reduce).withColumn("copy", F.lit(False))
     same = copies.filter(F.col("score") > threshold if strict else F.col("score") >= threshold)
     return found.unionByName(same.withColumn("copy", F.lit(True))).drop("_len")
 
 
+def sign_tables(threshold: float, recall: float, bits: int) -> int:
+    """Tables of ``bits`` sign bits in which a pair at the threshold shares a code with at least this chance."""
+    agree = 1.0 - float(np.arccos(np.clip(threshold, -1.0, 1.0))) / np.pi
+    return max(1, int(np.ceil(np.log(1.0 - recall) / np.log1p(-(agree**bits)))))
+
+
+def approximate_pairs(
+    df: DataFrame, key: str, vec: str, threshold: float, recall: float = 0.95, bits: int = 12, by: list[str] | None = None,
+    normalize: bool = False, chunk_rows: int | None = None, seed: int = 0,
+) -> DataFrame:
+    """``similar_pairs`` by sign hashes: every pair returned is exact, and a pair at the threshold is found with a chance
+    of at least ``recall`` (nearer pairs with a higher one).
+
+    A row has one code of ``bits`` signs of random projections in each table; rows that share a code are compared in full.
+    The number of tables follows from threshold and recall, whatever the data. A crowded code is cut into chunks like a
+    cell. Copies are tied together exactly, as in ``similar_pairs``. Vectors with another length than most have codes of
+    their own, so they are compared with all of that length.
+    """
+    by = by or []
+    keys = [*by, "_len"]
+    raw = cut_lineage(_vectors(df, key, vec, by, normalize))
+    rows, copies = _copies(raw, keys)
+    tables = sign_tables(threshold, recall, bits)
+    powers = 1 << np.arange(bits)
+
+    @F.pandas_udf("array<long>")
+    def codes(v: pd.Series) -> pd.Series:
+        out = np.empty(len(v), dtype=object)
+        lengths = np.array([len(e) for e in v])
+        for n in np.unique(lengths):
+            at = np.flatnonzero(lengths == n)
+            x = np.stack([np.asarray(v.iloc[i], dtype="float64") for i in at])
+            # the same planes in every task
+            planes = np.random.default_rng([seed, int(n)]).standard_normal((int(n), tables * bits))
+            signs = (x @ planes >= 0).reshape(len(at), tables, bits) @ powers
+            for i, row in zip(at, signs + (np.arange(tables) << bits)):
+                out[i] = row.astype("int64")
+        return pd.Series(out)
+
+    def reduce(block: _Block) -> dict:
+        other, ids = (block.a, block.ids_a) if block.own else (block.b, block.ids_b)
+        score = block.a @ other.T
+        hit = score >= threshold
+        if block.own:
+            hit = np.triu(hit, 1)
+        i, j = np.nonzero(hit)
+        left, right = block.ids_a[i], ids[j]
+        swap = left > right
+        return {"a_id": np.where(swap, right, left), "b_id": np.where(swap, left, right), "score": score[i, j]}
+
+    placed = cut_lineage(rows.withColumn("_cell", F.explode_outer(codes("_v"))).withColumn("_role", F.lit("other")))
+    fields = [*_id_fields(df, key), T.StructField("score", T.DoubleType())]
+    found = _run(_self_tasks(placed, keys, chunk_rows or CHUNK_ROWS), keys, fields, reduce)
+    # a pair may share several codes
+    once = found.groupBy(*keys, "a_id", "b_id").agg(F.max("score").alias("score")).withColumn("copy", F.lit(False))
+    same = copies.filter(F.col("score") >= threshold)
+    return once.unionByName(same.withColumn("copy", F.lit(True))).drop("_len")
+
+
+def block_report(
+    df: DataFrame, key: str, vec: str, threshold: float, by: list[str] | None = None, normalize: bool = False,
+    chunk_rows: int | None = None,
+) -> DataFrame:
+    """Blocks of each group, their pairs, and the pairs that the bounds leave to be compared; for tuning."""
+    by = by or []
+    keys = [*by, "_len"]
+    rows = cut_lineage(_vectors(df, key, vec, by, normalize))
+    fitted, _ = block_bounds.draw(rows, rows.count(), (chunk_rows or CHUNK_ROWS) * GRID_FACTOR)
+    if fitted is None:
+        return rows.select(*by).withColumns({c: F.lit(0).cast("long") for c in ("blocks", "pairs", "compared")}).limit(0)
+    return block_bounds.report(rows, keys, fitted, _radius(threshold), threshold).drop("_len")
+
+
 def similar_links(
     df: DataFrame, key: str, vec: str, threshold: float, by: list[str] | None = None, normalize: bool = False,
     chunk_rows: int | None = None,
@@ -356,7 +444,7 @@ def similar_links(
     keys = [*by, "_len"]
     raw = cut_lineage(_vectors(df, key, vec, by, normalize))
     rows, copies = _copies(raw, keys)
-    plan = _layout(raw, _radius(threshold), chunk_rows, core=True)
+    plan = _layout(raw, threshold, chunk_rows, core=True)
 
     def reduce(block: _Block) -> dict:
         if block.own:
@@ -382,9 +470,12 @@ def similar_links(
         moved = label != np.arange(len(ids))
         return {"a_id": ids[label[moved]] if len(ids) else ids, "b_id": ids[moved] if len(ids) else ids}
 
+    same = copies.filter(F.col("score") >= threshold).drop("score")
+    if plan.blocks is not None:
+        found = _run(_tasks(rows, keys, plan, threshold), keys, _id_fields(df, key), reduce)
+        return found.unionByName(same).drop("_len")
     placed = cut_lineage(_placed(rows, keys, plan.pivots, _radius(threshold), core=True))
     found = _run(_self_tasks(placed, keys, plan.chunk), keys, _id_fields(df, key), reduce)
-    same = copies.filter(F.col("score") >= threshold).drop("score")
     return found.unionByName(_core_links(placed, keys)).unionByName(same).drop("_len")
 
 
@@ -398,7 +489,7 @@ def with_earlier_match(
     by = by or []
     keys = [*by, "_len"]
     rows = cut_lineage(_vectors(df, rank, vec, by, False))
-    plan = _layout(rows, _radius(threshold), chunk_rows)
+    plan = _layout(rows, threshold, chunk_rows)
 
     def reduce(block: _Block) -> dict:
         other, ids = (block.a, block.ids_a) if block.own else (block.b, block.ids_b)
@@ -407,8 +498,7 @@ def with_earlier_match(
         late = [ids[(near & before).any(0)], block.ids_a[(near & ~before & (block.ids_a[:, None] != ids[None, :])).any(1)]]
         return {"_id": np.unique(np.concatenate(late).astype("int64"))}
 
-    placed = cut_lineage(_placed(rows, keys, plan.pivots, _radius(threshold), core=False))
-    hits = _run(_self_tasks(placed, keys, plan.chunk), keys, [T.StructField("_id", T.LongType())], reduce)
+    hits = _run(_tasks(rows, keys, plan, threshold), keys, [T.StructField("_id", T.LongType())], reduce)
     return hits.select(*by, F.col("_id").alias(rank)).distinct()
 
 
@@ -478,7 +568,7 @@ def best_match(
     b = _vectors(right, right_key or key, right_vec or vec, by, False)
     if not exclude_same:
         b, _ = _copies(b, keys)  # copies on the right cannot change the maximum
-    plan = _layout(a, _radius(threshold), chunk_rows, sides=2)
+    plan = _layout(a, threshold, chunk_rows, sides=2)
 
     def reduce(block: _Block) -> dict:
         if not len(block.b) or not len(block.a):
@@ -491,7 +581,11 @@ def best_match(
         return {"_id": block.ids_a[hit], "score": top[hit]}
 
     fields = [T.StructField("_id", left.schema[key].dataType), T.StructField("score", T.DoubleType())]
-    hits = _run(_between_tasks(a, b, keys, plan.pivots, _radius(threshold), plan.chunk), keys, fields, reduce)
+    if plan.blocks is not None:
+        tasks = block_bounds.between_tasks(a, b, keys, plan.blocks, _radius(threshold), threshold)
+    else:
+        tasks = _between_tasks(a, b, keys, plan.pivots, _radius(threshold), plan.chunk)
+    hits = _run(tasks, keys, fields, reduce)
     return hits.groupBy(F.col("_id").alias(key), *by).agg(F.max("score").alias(name))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 import importlib.util
 
-MODULES = ["q_filters", "q_scalars", "q_sources", "q_joins", "q_aggregates", "q_windows", "q_scoring", "q_similarity", "q_selection", "q_streams"]
+MODULES = ["q_filters", "q_scalars", "q_sources", "q_joins", "q_tables", "q_aggregates", "q_windows", "q_scoring", "q_similarity", "q_selection", "q_streams"]
 
 
 def load_queries():

@@ -23,6 +23,29 @@ def j4b(spark, d):
     return pairs.select("label", "a_id", "b_id", F.round("score", 6).alias("score"))
 
 
+@query("j4_cosine_pairs_085", "SELECT a_id, b_id, round(score, 6) AS score FROM pairs WHERE score >= 0.85", uses=("pairs",))
+def j4_085(spark, d):
+    # small chunks, so that cells and blocks have something to drop
+    return s.similar_pairs(a.vectors(spark, d), "vec_id", "v", 0.85, chunk_rows=16).select("a_id", "b_id", F.round("score", 6).alias("score"))
+
+
+@query("j4_cosine_pairs_075", "SELECT a_id, b_id, round(score, 6) AS score FROM pairs WHERE score >= 0.75", uses=("pairs",))
+def j4_075(spark, d):
+    return s.similar_pairs(a.vectors(spark, d), "vec_id", "v", 0.75, chunk_rows=16).select("a_id", "b_id", F.round("score", 6).alias("score"))
+
+
+@query("j4_sign_hash_pairs", "SELECT count(*) AS pairs, 0 AS wrong, TRUE AS enough FROM pairs WHERE score >= 0.85", uses=("pairs",))
+def j4_sign(spark, d):
+    """The named approximate mode held against the exact one: no wrong pair, and at least 90 of 100 found."""
+    df = a.vectors(spark, d)
+    exact = s.similar_pairs(df, "vec_id", "v", 0.85).select("a_id", "b_id", F.lit(1).alias("e"))
+    near = s.approximate_pairs(df, "vec_id", "v", 0.85).select("a_id", "b_id", F.lit(1).alias("n"))
+    both = exact.join(near, ["a_id", "b_id"], "full_outer")
+    return both.agg(
+        F.count("e").alias("pairs"), F.count_if(F.col("e").isNull()).alias("wrong"),
+        (F.count_if(F.col("e").isNotNull() & F.col("n").isNotNull()) >= 0.9 * F.count("e")).alias("enough"))
+
+
 _DHASH = "list_sum(list_transform(range(0, 56), lambda i: CASE WHEN v[(i // 7) * 8 + i % 7 + 1] > v[(i // 7) * 8 + i % 7 + 2] THEN CAST(power(2, 55 - i) AS BIGINT) ELSE 0 END))"
 
 
