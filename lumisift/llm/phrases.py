@@ -7,6 +7,10 @@ thus start while shorter ones are still being counted.
 
 Which phrases have reached the threshold, and in which scan, travels as one byte per hash place in a table of fixed size.
 Places that phrases share only activate a phrase too early: it is counted for nothing, by its own words, never wrongly.
+
+Most pairs of frequent words are rare. So the first cycle, while it counts words, also counts all pairs by hash bucket, in
+a saturating array of bounded size; a pair becomes active only when its bucket has reached the threshold too, which it
+has by the end of that cycle if the pair has.
 """
 
 from __future__ import annotations
@@ -26,6 +30,8 @@ SHARDS = 4
 # places of the table that travels with each scan: 2^PLACE_BITS bytes
 PLACE_BITS = 24
 NEVER = 255
+# buckets of pairs: one for this many bytes of text, 2^PAIR_BITS at most; rows of a bucket array
+PAIR_BYTES, PAIR_BITS, PAIR_CHUNK = 96, 26, 1 << 16
 # tokens that a task holds at once, and words that it remembers
 TOKENS, WORDS = 1 << 21, 1 << 22
 OUT_ROWS = 1 << 16
@@ -87,12 +93,30 @@ def _grouped(keys: np.ndarray, ids: np.ndarray, at: np.ndarray, k: int) -> tuple
     return at[first], np.diff(np.concatenate([first, [len(at)]]))
 
 
-def count_active(ids: np.ndarray, hashes: np.ndarray, table: np.ndarray, step: int, shards: int, longest: int):
+def _pair_buckets(ids: np.ndarray, hashes: np.ndarray, size: int) -> np.ndarray:
+    """Bucket of each pair of neighbouring words in one run of tokens."""
+    at = np.flatnonzero((ids[:-1] >= 0) & (ids[1:] >= 0))
+    return _bucket(hashes[ids[at]] * _ODD + hashes[ids[at + 1]], size)
+
+
+def _bucket(keys: np.ndarray, size: int) -> np.ndarray:
+    return (mix(keys ^ _ODD) & np.uint64(size - 1)).astype(np.int64)
+
+
+def _add(total: np.ndarray, more: np.ndarray, at=slice(None)) -> None:
+    """Saturating sum: ``more`` onto the elements ``at`` of ``total``."""
+    most = np.iinfo(total.dtype).max
+    total[at] = np.minimum(total[at].astype(np.int64) + more, most).astype(total.dtype)
+
+
+def count_active(
+    ids: np.ndarray, hashes: np.ndarray, table: np.ndarray, pairs: np.ndarray, step: int, shards: int, longest: int,
+):
     """(k, position, place, start, occurrences) of the phrases that this scan counts in one run of tokens.
 
-    ``ids`` ends with -1. A phrase of k words starts in the scan after the one in which the last of its parts became
-    known, and is counted in ``shards`` scans; a single word starts in scan 0. The start depends on the table alone, and
-    its entries never change once set, so all tasks of all scans agree on it.
+    ``ids`` ends with -1. A phrase of k words starts in the scan after the one in which the last of its parts (of a pair:
+    its bucket in ``pairs`` as well) became known, and is counted in ``shards`` scans; a single word starts in scan 0.
+    The start depends on the tables alone, and their entries never change once set, so all tasks of all scans agree on it.
     """
     n = len(ids)
     where = np.arange(n)
@@ -120,7 +144,12 @@ def count_active(ids: np.ndarray, hashes: np.ndarray, table: np.ndarray, step: i
         key[at] = key[at] * _ODD + word[at + k - 1]
         place = mix(key[at] + np.uint64(k)) & mask
         start = parts[at].astype(np.int64) + 1
-        now = np.flatnonzero(step < start + shards)
+        if k == 2:
+            since = pairs[_bucket(key[at], len(pairs))]
+            start = np.maximum(start, since.astype(np.int64) + 1)
+            now = np.flatnonzero((since != NEVER) & (step < start + shards))
+        else:
+            now = np.flatnonzero(step < start + shards)
         if len(now):
             order = np.full(n, -1, np.int64)
             order[at[now]] = now
@@ -131,18 +160,21 @@ def count_active(ids: np.ndarray, hashes: np.ndarray, table: np.ndarray, step: i
         known = fresh
 
 
-_COUNT = "lang string, phrase string, k int, place long, start int, f long"
-_KEYS = ["lang", "phrase", "k", "place", "start"]
+_COUNT = "lang string, phrase string, k int, place long, start int, f long, counts binary"
+_NAMES = ["lang", "phrase", "k", "place", "start", "f", "counts"]
+_KEYS = _NAMES[:5]
 
 
-def _scan(shard: DataFrame, shared, step: int, shards: int, longest: int) -> DataFrame:
-    """Occurrences of the active phrases in one shard; ``shared`` has the packed table."""
+def _scan(shard: DataFrame, shared, step: int, shards: int, longest: int, kind: str) -> DataFrame:
+    """Occurrences of the active phrases in one shard, and in the first cycle the chunks of its pair counts (k is 0,
+    place the number of the chunk). ``shared`` has the packed tables."""
 
     def scan(batches):
         import pyarrow as pa
 
-        table = np.frombuffer(zlib.decompress(shared.value), np.uint8)
+        table, pairs = (np.frombuffer(zlib.decompress(x), np.uint8) for x in shared.value)
         pool, line = _Pool(), []
+        met = np.zeros(len(pairs) if step < shards else 0, kind)
 
         def flush():
             nonlocal pool, line
@@ -151,7 +183,9 @@ def _scan(shard: DataFrame, shared, step: int, shards: int, longest: int) -> Dat
             ids = ids[ids != -2]
             hashes = np.array(pool.hashes, np.uint64)
             words = pool.words
-            for k, at, place, start, f in count_active(ids, hashes, table, step, shards, longest):
+            if len(met):
+                _add(met, *reversed(np.unique(_pair_buckets(ids, hashes, len(met)), return_counts=True)))
+            for k, at, place, start, f in count_active(ids, hashes, table, pairs, step, shards, longest):
                 for i in range(0, len(at), OUT_ROWS):
                     rows = ids[at[i:i + OUT_ROWS, None] + np.arange(k)].tolist()
                     part = slice(i, i + OUT_ROWS)
@@ -160,7 +194,8 @@ def _scan(shard: DataFrame, shared, step: int, shards: int, longest: int) -> Dat
                         pa.array([b" ".join([words[w] for w in r]) for r in rows], pa.binary()).cast(pa.string()),
                         pa.array(np.full(len(rows), k, np.int32)), pa.array(place[part].astype(np.int64)),
                         pa.array(start[part].astype(np.int32)), pa.array(f[part].astype(np.int64)),
-                    ], ["lang", "phrase", "k", "place", "start", "f"])
+                        pa.nulls(len(rows), pa.binary()),
+                    ], _NAMES)
             if len(words) > WORDS:
                 pool = _Pool()
 
@@ -172,8 +207,43 @@ def _scan(shard: DataFrame, shared, step: int, shards: int, longest: int) -> Dat
                     yield from flush()
         if line:
             yield from flush()
+        for at in range(0, len(met), PAIR_CHUNK):
+            part = met[at:at + PAIR_CHUNK]
+            if part.any():
+                yield pa.RecordBatch.from_arrays([
+                    pa.nulls(1, pa.string()), pa.nulls(1, pa.string()), pa.array([0], pa.int32()), pa.array([at // PAIR_CHUNK], pa.int64()),
+                    pa.nulls(1, pa.int32()), pa.nulls(1, pa.int64()), pa.array([part.tobytes()], pa.binary()),
+                ], _NAMES)
 
-    return shard.mapInArrow(scan, _COUNT).groupBy(*_KEYS).agg(F.sum("f").alias("f"))
+    return shard.mapInArrow(scan, _COUNT)
+
+
+def _merge(chunks: DataFrame, by: list, kind: str) -> DataFrame:
+    """Saturating sums of equal chunks."""
+
+    def merge(key, chunks):
+        import pyarrow as pa
+
+        total = None
+        for x in chunks.column("counts"):
+            part = np.frombuffer(x.as_py(), kind)
+            if total is None:
+                total = part.copy()
+            else:
+                _add(total, part)
+        return pa.table({"place": pa.array([key[0].as_py()], pa.int64()), "counts": pa.array([total.tobytes()], pa.binary())})
+
+    return chunks.groupBy(*by).applyInArrow(merge, "place long, counts binary")
+
+
+def _add_pairs(total: np.ndarray, chunks: DataFrame) -> None:
+    """Add a scan's pair counts; the array of bounded size is all that reaches the driver. Chunks merge in two rounds, so
+    no group holds a row of every task."""
+    kind = total.dtype.name
+    some = _merge(chunks, ["place", F.pmod(F.spark_partition_id(), F.lit(64))], kind)
+    for row in _merge(some, ["place"], kind).toLocalIterator():
+        part = np.frombuffer(bytes(row.counts), kind)
+        _add(total[row.place * PAIR_CHUNK:row.place * PAIR_CHUNK + len(part)], part)
 
 
 def _mark(table: np.ndarray, reached: DataFrame, step: int) -> bool:
@@ -199,7 +269,7 @@ def count_phrases(
 
     Tables of a scan hold the phrases still being counted; those below the threshold go once their cycle is complete.
     At most ``longest`` cycles are needed (a step takes one byte, so there may be 250 steps). More ``place_bits`` (24: 16 MB) keep the activation sharp on larger corpora;
-    results do not depend on them.
+    results do not depend on them, nor on the number of pair buckets.
     """
     if longest * shards > 250:
         raise ValueError("a step must fit one byte: longest * shards may be 250 at most")
@@ -213,18 +283,24 @@ def count_phrases(
         .write.partitionBy("shard").parquet(path)
     schema = "lang string, text string, shard int"
     corpus = spark.read.schema(schema).parquet(path)
+    size = corpus.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    pairs = np.full(1 << min(PAIR_BITS, max(4, (size // PAIR_BYTES).bit_length())), NEVER, np.uint8)
+    kind = "uint8" if min_count <= 255 else "uint16" if min_count <= 65535 else "uint32"
+    met = np.zeros(len(pairs), kind)
     table = np.full(1 << place_bits, NEVER, np.uint8)
     open_, done, totals = None, [], None
     step, last = 0, -1
     # phrases start at most one scan after the last fresh entry
     while step < shards or step <= last + shards:
-        # few places are taken at first, so the packed table is small
-        shared = spark.sparkContext.broadcast(zlib.compress(table.tobytes(), 1))
-        counted = _scan(corpus.filter(F.col("shard") == step % shards), shared, step, shards, longest)
+        # few places are taken at first, so the packed tables are small
+        shared = spark.sparkContext.broadcast([zlib.compress(x.tobytes(), 1) for x in (table, pairs)])
+        scanned = _scan(corpus.filter(F.col("shard") == step % shards), shared, step, shards, longest, kind)
+        if step < shards:
+            scanned = keep_table(scanned, "scan")  # read for its pair counts, too
+        counted = scanned.filter(F.col("k") > 0).select(*_KEYS, "f")
         if open_ is not None:
-            counted = counted.unionByName(open_).groupBy(*_KEYS).agg(F.sum("f").alias("f"))
-        counted = keep_table(counted, "phrases")
-        shared.destroy()
+            counted = counted.unionByName(open_)
+        counted = keep_table(counted.groupBy(*_KEYS).agg(F.sum("f").alias("f")), "phrases")
         over = counted.filter(F.col("f") >= min_count)
         complete = F.col("start") + (shards - 1) <= step
         done.append(over.filter(complete))
@@ -233,6 +309,13 @@ def count_phrases(
         open_ = counted.filter(~complete)
         if _mark(table, over.filter(F.col("k") < longest), step):
             last = step
+        if step < shards:
+            _add_pairs(met, scanned.filter(F.col("k") == 0).select("place", "counts"))
+            fresh = (met >= min_count) & (pairs == NEVER)
+            pairs[fresh] = step
+            if fresh.any():
+                last = step
+        shared.destroy()
         step += 1
     found = done[0]
     for part in done[1:]:
