@@ -598,63 +598,97 @@ def not_similar_to(
     return join_by(candidates, near, [key, *(by or [])], "left_anti")
 
 
+@dataclass(frozen=True)
+class _Bands:
+    """Bands of a bit string held in 64-bit columns; some band of two near strings differs in at most ``radius`` bits."""
+
+    words: list[str]
+    edges: list[int]
+    radius: int
+
+    def value(self, k: int, words: list[str] | None = None) -> Column:
+        """Bits of band k as a number; a band may reach over the border of two columns."""
+        names = words or self.words
+        low, size = self.edges[k], self.edges[k + 1] - self.edges[k]
+        first, shift = divmod(low, 64)
+        out = F.shiftrightunsigned(F.col(names[first]), shift) if shift else F.col(names[first])
+        if shift + size > 64:
+            out = out.bitwiseOR(F.shiftleft(F.col(names[first + 1]), 64 - shift))
+        return out if size == 64 else out.bitwiseAND(F.lit((1 << size) - 1))
+
+    def probes(self, k: int) -> Column:
+        """The band's value and those within ``radius`` flips (0 or 1)."""
+        value = self.value(k)
+        size = self.edges[k + 1] - self.edges[k]
+        flips = [value.bitwiseXOR(F.lit(1 << s if s < 63 else -(1 << 63))) for s in range(size)] if self.radius else []
+        return F.array(value, *flips)
+
+    def __len__(self) -> int:
+        return len(self.edges) - 1
+
+
+def _band_pairs(points: DataFrame, by: list[str], bands: _Bands, limit: int) -> DataFrame:
+    """(by, a_id, b_id, distance) of the points (_id, by, words) that differ in 1 to ``limit`` bits.
+
+    One side is stored under its band values, the other probes them, so a near pair meets; it is kept only in the first
+    band in which it does. A null group is a group like any other.
+    """
+    count = len(bands)
+    other = [f"{w}2" for w in bands.words]
+
+    def entry(k: int, v: Column) -> Column:
+        return F.struct(F.lit(k).alias("k"), v.alias("v"))
+
+    def named(k: int):
+        return lambda v: entry(k, v)
+
+    # outer explodes keep Spark from copying the band expressions into an inferred filter below
+    stored = points.select("_id", *by, *bands.words, F.explode_outer(F.array(*[entry(k, bands.value(k)) for k in range(count)])).alias("_b"))
+    asking = points.select(
+        F.col("_id").alias("_id2"), *by, *[F.col(w).alias(o) for w, o in zip(bands.words, other)],
+        F.explode_outer(F.concat(*[F.transform(bands.probes(k), named(k)) for k in range(count)])).alias("_b"))
+    joined = join_by(stored, asking, [*by, "_b"]).filter(F.col("_id") < F.col("_id2"))
+    earlier = F.lit(False)
+    for k in range(count - 1):
+        differs = F.bit_count(bands.value(k).bitwiseXOR(bands.value(k, other)))
+        earlier |= (F.lit(k) < F.col("_b.k")) & (differs <= bands.radius)
+    distance = F.lit(0)
+    for w, o in zip(bands.words, other):
+        distance = distance + F.bit_count(F.col(w).bitwiseXOR(F.col(o)))
+    return joined.filter((distance <= limit) & ~earlier).select(
+        *by, F.col("_id").alias("a_id"), F.col("_id2").alias("b_id"), distance.cast("int").alias("distance"))
+
+
+def _copy_pairs(rows: DataFrame, points: DataFrame, by: list[str], words: list[str]) -> DataFrame:
+    """Copies of a bit string tied to its smallest key."""
+    groups = points.filter(F.col("_n") > 1).select(*by, *words, F.col("_id").alias("_rep"))
+    return join_by(rows, groups, [*by, *words]).filter(F.col("_id") != F.col("_rep")).select(
+        *by, F.col("_rep").alias("a_id"), F.col("_id").alias("b_id"), F.lit(0).alias("distance"))
+
+
+def _word_pairs(rows: DataFrame, by: list[str], words: list[str], width: int, limit: int, radius: int) -> DataFrame:
+    count = max(1, min(width, limit // (radius + 1) + 1))
+    bands = _Bands(words, [round(i * width / count) for i in range(count + 1)], radius)
+    points = rows.groupBy(*by, *words).agg(F.min("_id").alias("_id"), F.count("*").alias("_n"))
+    return _band_pairs(points, by, bands, limit).unionByName(_copy_pairs(rows, points, by, words))
+
+
 def hamming_pairs(
     df: DataFrame, key: str, bits: str, threshold: int, by: list[str] | None = None, width: int = 64,
     probe_radius: int | None = None,
 ) -> DataFrame:
     """Pairs a_id < b_id whose hashes differ in at most ``threshold`` bits; exact by the pigeonhole principle.
 
-    Outer explodes keep Spark from copying the band expressions into an inferred filter below.
-
     The bits are cut into bands. With m bands some band differs in at most threshold // m bits, so each row probes
     the other rows' band values within that many flips: none with threshold + 1 bands, one with half as many and
-    wider (hence more selective) bands. A pair is kept only in its first matching band. Equal hashes collapse first
-    and are tied to their smallest key (distance 0).
+    wider (hence more selective) bands. Equal hashes collapse first and are tied to their smallest key (distance 0).
+    Null hashes match nothing; a null group is a group of its own.
     """
     by = by or []
     radius = (1 if threshold > 3 else 0) if probe_radius is None else probe_radius
-    bands = threshold // (radius + 1) + 1
-    edges = [round(i * width / bands) for i in range(bands + 1)]
     # hashes are often derived from wide columns; compute them once, the rest works on slim rows
-    rows = cut_lineage(df.select(F.col(key).alias("_id"), *by, F.col(bits).alias("_h"))).filter(F.col("_h").isNotNull())
-    points = rows.groupBy(*by, "_h").agg(F.min("_id").alias("_id"), F.count("*").alias("_n"))
-
-    def band(h: Column, k: int) -> Column:
-        size = edges[k + 1] - edges[k]
-        return F.shiftrightunsigned(h, edges[k]).bitwiseAND(F.lit((1 << size) - 1))
-
-    def flips(value: Column, k: int) -> Column:
-        size = edges[k + 1] - edges[k]
-        return F.array(value, *[value.bitwiseXOR(F.lit(1 << s)) for s in range(size)] if radius else [value])
-
-    def entry(k: int, v: Column) -> Column:
-        return F.struct(F.lit(k).alias("k"), v.alias("v"))
-
-    stored = points.select(
-        "_id", *by, "_h", F.explode_outer(F.array(*[entry(k, band(F.col("_h"), k)) for k in range(bands)])).alias("_b")
-    )
-    def named(k: int):
-        return lambda v: entry(k, v)
-
-    probes = [F.transform(flips(band(F.col("_h"), k), k), named(k)) for k in range(bands)]
-    asking = points.select(
-        F.col("_id").alias("_id2"), *by, F.col("_h").alias("_h2"), F.explode_outer(F.array_distinct(F.concat(*probes))).alias("_b")
-    )
-    joined = stored.join(asking, [*by, "_b"]).filter(F.col("_id") < F.col("_id2"))
-    earlier = F.lit(False)
-    for k in range(bands - 1):
-        differs = F.bit_count(band(F.col("_h"), k).bitwiseXOR(band(F.col("_h2"), k)))
-        earlier |= (F.lit(k) < F.col("_b.k")) & (differs <= radius)
-    distance = F.bit_count(F.col("_h").bitwiseXOR(F.col("_h2")))
-    between = joined.filter((distance <= threshold) & ~earlier).select(
-        *by, F.col("_id").alias("a_id"), F.col("_id2").alias("b_id"), distance.cast("int").alias("distance")
-    )
-    groups = points.filter(F.col("_n") > 1).select(*by, "_h", F.col("_id").alias("_rep"))
-    same = (
-        rows.join(groups, [*by, "_h"]).filter(F.col("_id") != F.col("_rep"))
-        .select(*by, F.col("_rep").alias("a_id"), F.col("_id").alias("b_id"), F.lit(0).alias("distance"))
-    )
-    return between.unionByName(same)
+    rows = cut_lineage(df.select(F.col(key).alias("_id"), *by, F.col(bits).alias("_w0"))).filter(F.col("_w0").isNotNull())
+    return _word_pairs(rows, by, ["_w0"], width, threshold, radius)
 
 
 def hamming_best(
@@ -696,33 +730,34 @@ def hamming_best(
 
 def bit_array_pairs(df: DataFrame, key: str, bits: str, share: float = 0.12, length: int = 256,
                     by: list[str] | None = None) -> DataFrame:
-    """Pairs of 0/1 arrays whose share of different bits stays below ``share`` (strictly).
+    """Pairs of 0/1 arrays of ``length`` elements whose share of different bits stays below ``share`` (strictly).
 
-    The array is packed into 64-bit words, whose bands work as in ``hamming_pairs``.
+    An array is packed into 64-bit columns, whose bands work as in ``hamming_pairs``: at 256 bits and 0.12, 16 bands of
+    16 bits, each probed with up to one flip. Arrays that are null, hold a null or have another length match nothing.
     """
     by = by or []
     limit = int(np.ceil(share * length)) - 1  # largest count with count / length < share
-    bands = min(limit + 1, length)
-    edges = [round(i * length / bands) for i in range(bands + 1)]
-    rows = df.filter(F.col(bits).isNotNull()).select(F.col(key).alias("_id"), *by, F.col(bits).alias("_a"))
-    points = rows.groupBy(*by, "_a").agg(F.min("_id").alias("_id"), F.count("*").alias("_n"))
-
-    def band(a: Column, k: int) -> Column:
-        return F.array_join(F.slice(a, edges[k] + 1, edges[k + 1] - edges[k]), "")
-
-    keyed = points.select("_id", *by, "_a", F.posexplode_outer(F.array(*[band(F.col("_a"), k) for k in range(bands)])).alias("_k", "_s"))
-    other = keyed.select(F.col("_id").alias("_id2"), *by, F.col("_a").alias("_a2"), "_k", "_s")
-    joined = keyed.join(other, [*by, "_k", "_s"]).filter(F.col("_id") < F.col("_id2"))
-    differs = F.aggregate(F.zip_with("_a", "_a2", lambda x, y: (x != y).cast("int")), F.lit(0), lambda acc, x: acc + x)
-    between = joined.withColumn("_d", differs).filter(F.col("_d") <= limit).select(
-        *by, F.col("_id").alias("a_id"), F.col("_id2").alias("b_id"), F.col("_d").alias("distance")
-    ).distinct()
-    groups = points.filter(F.col("_n") > 1).select(*by, "_a", F.col("_id").alias("_rep"))
-    same = (
-        rows.join(groups, [*by, "_a"]).filter(F.col("_id") != F.col("_rep"))
-        .select(*by, F.col("_rep").alias("a_id"), F.col("_id").alias("b_id"), F.lit(0).alias("distance"))
-    )
-    return between.unionByName(same)
+    if limit < 0:
+        limit, share = 0, 0.0
+    words = [f"_w{i}" for i in range(-(-length // 64))]
+    packed = [
+        F.aggregate(F.slice(F.col(bits), 64 * i + 1, min(64, length - 64 * i)), F.lit(0).cast("long"),
+                    lambda acc, x: F.shiftleft(acc, 1).bitwiseOR(F.when(x.cast("int") != 0, F.lit(1).cast("long")).when(x.isNotNull(), F.lit(0).cast("long"))))
+        for i in range(len(words))
+    ]
+    usable = F.col(bits).isNotNull() & (F.size(bits) == length)
+    rows = df.filter(usable).select(F.col(key).alias("_id"), *by, *[p.alias(w) for p, w in zip(packed, words)])
+    rows = cut_lineage(rows).filter(reduce_and([F.col(w).isNotNull() for w in words]))
+    if share <= 0:
+        return _copy_pairs(rows, rows.limit(0).withColumn("_n", F.lit(0)), by, words)
+    return _word_pairs(rows, by, words, length, limit, 1 if limit > 3 else 0)
+
+
+def reduce_and(tests: list[Column]) -> Column:
+    out = F.lit(True)
+    for t in tests:
+        out &= t
+    return out
 
 
 def burst_visual_pairs(
@@ -747,8 +782,11 @@ def burst_visual_pairs(
     from ..functions.vectors import dot
 
     ordered = (F.col("_n2") > F.col("_n")) | ((F.col("_n2") == F.col("_n")) & (F.col("_id") < F.col("_id2")))
+    # a null group is a group of its own; a null prefix stands for no name at all
+    right = right.withColumnRenamed(prefix, "_prefix2").withColumnRenamed("_cell", "_cell2")
     near = (
-        left.join(right, [*by, prefix, "_cell"])
+        join_by(left.filter(F.col(prefix).isNotNull()).withColumn("_prefix2", F.col(prefix)).withColumn("_cell2", F.col("_cell")),
+                right.filter(F.col("_prefix2").isNotNull()), [*by, "_prefix2", "_cell2"])
         .filter(ordered & (F.col("_n2") - F.col("_n") <= gap))
         .withColumn("score", dot("_v", "_v2"))
         .filter((F.col("score") >= burst_threshold) & (F.col("score") < threshold))
@@ -761,34 +799,42 @@ def tag_similarity(df: DataFrame, vocabulary: list[tuple[str, str, list[float]]]
                    minimum: float = -1.0, max_bytes: int = 64 << 20) -> DataFrame:
     """Cosine of each row to each vocabulary entry as an array (ord, tag, family, score), largest first.
 
-    The vocabulary is a bounded dimension and travels as one matrix, behind a size check.
+    The vocabulary travels as matrices of at most ``max_bytes``; a larger one is compared block by block, and the
+    blocks' arrays of a row are merged by one shuffle. Rows whose vector is null, holds a null or has another length than
+    the vocabulary have no row in the result. ``key`` is unique.
     """
-    table = np.array([e for _, _, e in vocabulary], dtype="float64")
-    if table.nbytes > max_bytes:
-        raise ValueError("vocabulary matrix too large; split it into several calls")
-
-    @F.pandas_udf("array<struct<ord:int,score:double>>")
-    def scores(v: pd.Series) -> pd.Series:
-        s = np.stack([np.asarray(e, dtype="float64") for e in v]) @ table.T
-        out = []
-        for row in s:
-            order = np.lexsort((np.arange(len(row)), -row))
-            out.append([{"ord": int(i), "score": float(row[i])} for i in order if row[i] >= minimum])
-        return pd.Series(out)
-
-    names = F.array(*[F.lit(t) for t, _, _ in vocabulary])
-    families = F.array(*[F.lit(f) for _, f, _ in vocabulary])
-    rows = df.filter(F.col(vec).isNotNull()).select(key, scores(vec).alias("_s"))
-    return rows.select(
-        key,
-        F.transform(
-            "_s",
-            lambda s: F.struct(
-                s.getField("ord").alias("ord"), F.get(names, s.getField("ord")).alias("tag"),
-                F.get(families, s.getField("ord")).alias("family"), s.getField("score").alias("score"),
-            ),
-        ).alias("scores"),
-    )
+    entry = "struct<ord:int,tag:string,family:string,score:double>"
+    if not vocabulary:
+        return df.filter(F.col(vec).isNotNull()).select(key, F.array().cast(f"array<{entry}>").alias("scores"))
+    width = len(vocabulary[0][2])
+    step = max(1, max_bytes // (8 * max(1, width)))
+    rows = df.filter(F.col(vec).isNotNull() & (F.size(vec) == width) & ~F.exists(vec, lambda x: x.isNull()))
+
+    def block(start: int):
+        part = vocabulary[start:start + step]
+        shared = df.sparkSession.sparkContext.broadcast(
+            ([t for t, _, _ in part], [f for _, f, _ in part], np.array([e for _, _, e in part], dtype="float64")))
+
+        @F.pandas_udf(f"array<{entry}>")
+        def scores(v: pd.Series) -> pd.Series:
+            tags, families, table = shared.value
+            out = []
+            for row in (np.stack([np.asarray(e, dtype="float64") for e in v]) @ table.T if len(v) else ()):
+                order = np.lexsort((np.arange(len(row)), -row))
+                out.append([{"ord": start + int(i), "tag": tags[i], "family": families[i], "score": float(row[i])}
+                            for i in order if row[i] >= minimum])
+            return pd.Series(out)
+
+        return rows.select(key, scores(vec).alias("scores"))
+
+    found = None
+    for start in range(0, len(vocabulary), step):
+        found = block(start) if found is None else found.unionByName(block(start))
+    if step >= len(vocabulary):
+        return found
+    merged = found.groupBy(key).agg(F.flatten(F.collect_list("scores")).alias("scores"))
+    by_score = F.array_sort("scores", lambda x, y: F.when(x["score"] > y["score"], -1).when(x["score"] < y["score"], 1).otherwise(x["ord"] - y["ord"]))
+    return merged.select(key, by_score.alias("scores"))
 
 
 # Most fill tags per family.

@@ -88,6 +88,26 @@ def j7(spark, d):
     return expand_equal(df, s.bit_array_pairs(df, "vec_id", "phash", 0.12, 56), "phash")
 
 
+# each of the 64 numbers against four others: 256 bits
+_BITS = "list_concat(list_concat({0}, {1}), list_concat({2}, {3}))".format(*[
+    f"list_transform(range(0, 64), lambda i: CASE WHEN v[i + 1] > v[(i + {s}) % 64 + 1] THEN 1 ELSE 0 END)" for s in (1, 5, 11, 23)])
+
+
+@query("j7_phash_pairs_256", f"""
+, h AS (SELECT vec_id, label % 3 AS g, {_BITS} AS h FROM vectors)
+SELECT a.vec_id AS a_id, b.vec_id AS b_id, list_sum(list_transform(range(1, 257), lambda i: CASE WHEN a.h[i] <> b.h[i] THEN 1 ELSE 0 END)) AS distance
+FROM h a JOIN h b ON a.vec_id < b.vec_id AND a.g = b.g
+WHERE list_sum(list_transform(range(1, 257), lambda i: CASE WHEN a.h[i] <> b.h[i] THEN 1 ELSE 0 END)) / 256 < 0.12""", uses=("vectors",))
+def j7_256(spark, d):
+    """Groups by label, one of them null."""
+    def against(step):
+        return lambda x, i: (x > F.get("v", (i + step) % 64)).cast("int")
+
+    bits = F.concat(*[F.transform("v", against(step)) for step in (1, 5, 11, 23)])
+    df = a.vectors(spark, d).select("vec_id", F.when(F.col("label") % 3 > 0, F.col("label") % 3).alias("g"), bits.alias("phash"))
+    return s.bit_array_pairs(df, "vec_id", "phash", 0.12, 256, ["g"]).select("a_id", "b_id", "distance")
+
+
 @query("j8_match_faces", """
 , o AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS n FROM raw),
 m AS (SELECT f.vec_id, r.label AS person, list_distance(CAST(f.v AS DOUBLE[]), CAST(r.v AS DOUBLE[])) AS dist FROM o f JOIN o r ON r.n <= 3 AND f.n > 3)

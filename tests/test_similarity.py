@@ -405,3 +405,54 @@ def test_links_of_a_dense_group_are_linear(spark, monkeypatch):
     pivots = s._draw_pivots(rows, 400, s._radius(0.95))
     roles = {r["_role"]: r["count"] for r in s._placed(rows, [], pivots, s._radius(0.95), True).groupBy("_role").count().collect()}
     assert roles["core"] >= 300
+
+
+def test_bit_arrays_of_256_bits(spark):
+    import random
+
+    rng = random.Random(2)
+    base = [[rng.randrange(2) for _ in range(256)] for _ in range(40)]
+    rows = [(i, b, None if i % 3 == 0 else i % 3) for i, b in enumerate(base)]
+    for i, b in enumerate(base):
+        for flips in (0, 1, 29, 30, 31):
+            c = list(b)
+            for p in rng.sample(range(256), flips):
+                c[p] ^= 1
+            rows.append((len(rows), c, None if i % 3 == 0 else i % 3))
+    odd = [(1000, None, 1), (1001, [None] * 256, 1), (1002, [0] * 255, 1), (1003, [0] * 255, 1), (1004, [1] * 256, None), (1005, [1] * 256, None)]
+    df = spark.createDataFrame(rows + odd, "id int, bits array<int>, g int")
+    got = {(r.a_id, r.b_id): r.distance for r in s.bit_array_pairs(df, "id", "bits", 0.12, 256, ["g"]).collect()}
+    firsts = {}
+    for i, b, g in rows:
+        firsts.setdefault((tuple(b), g), i)
+    expected = {(1004, 1005): 0}
+    for i, b, g in rows:
+        if firsts[tuple(b), g] != i:
+            expected[firsts[tuple(b), g], i] = 0
+    single = [(i, b, g) for i, b, g in rows if firsts[tuple(b), g] == i]
+    for i, b, g in single:
+        for k, c, h in single:
+            d = sum(x != y for x, y in zip(b, c))
+            if i < k and g == h and d / 256 < 0.12:
+                expected[i, k] = d
+    assert got == expected
+    assert s.bit_array_pairs(df.limit(0), "id", "bits").count() == 0
+
+
+def test_null_groups_in_hash_and_burst_joins(spark):
+    rows = [(1, 5, None, "a", 1, [1.0, 0.0]), (2, 5, None, "a", 2, [0.8, 0.6]), (3, 4, None, "a", 40, [0.0, 1.0]), (4, 5, 7, "a", 1, [1.0, 0.0]),
+            (5, 7, 7, None, 2, [0.8, 0.6])]
+    df = spark.createDataFrame(rows, "id int, h long, g int, p string, n long, v array<double>")
+    got = {(r.a_id, r.b_id): r.distance for r in s.hamming_pairs(df, "id", "h", 1, by=["g"]).collect()}
+    assert got == {(1, 2): 0, (1, 3): 1, (4, 5): 1}
+    near = {(r.a_id, r.b_id, r.signal) for r in s.burst_visual_pairs(df, "id", "v", "p", "n", ["g"], 0.95, 0.7).collect()}
+    assert near == {(1, 2, "burst")}
+
+
+def test_tags_in_blocks_and_unusable_vectors(spark):
+    vocabulary = [(f"t{i}", "f", [float(i), 1.0]) for i in range(7)]
+    df = spark.createDataFrame([(1, [1.0, 0.5]), (2, [-1.0, 0.0]), (3, None), (4, [None, 1.0]), (5, [1.0])], "id int, v array<double>")
+    whole = sorted(s.tag_similarity(df, vocabulary, "id", "v").collect())
+    assert [r.id for r in whole] == [1, 2] and [t.tag for t in whole[0].scores] == [f"t{i}" for i in range(6, -1, -1)]
+    assert sorted(s.tag_similarity(df, vocabulary, "id", "v", max_bytes=32).collect()) == whole
+    assert s.tag_similarity(df, [], "id", "v").collect()[0].scores == []
