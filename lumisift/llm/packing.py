@@ -113,6 +113,6 @@ def pack_tokens(
     token_budget: int = TOKEN_BUDGET,
 ) -> DataFrame:
     """``pack`` by the tokens that the tokenizer file counts in each whole text."""
-    counted = token_counts(docs, tokenizer_path, key, text, by_piece=True).select("doc_id", "n_tokens")
+    counted = token_counts(docs, tokenizer_path, key, text).select("doc_id", "n_tokens")
     # the counts are read for the histogram, the ranges and the ranks
     return pack(keep_table(counted, "lengths"), F.col("n_tokens"), buckets=buckets, token_budget=token_budget)

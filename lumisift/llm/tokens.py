@@ -6,11 +6,12 @@ import json
 import os
 import re
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep
+from .common import keep, small_batches
 
 CHUNK = 1 << 15
 OVERLAP = 1 << 9
@@ -18,8 +19,16 @@ OVERLAP = 1 << 9
 MARGIN = 64
 # a blank between characters that are no white space (U+180E was one once) begins a word of the byte-level pattern
 PIECE = re.compile("(?<=[^\\s\u180e])(?= [^\\s\u180e])")
+# a blank or line feed beside other white space or at an end of the text, or the cutting mark itself: such texts are cut
+# by PIECE, all others in front of every blank, around every line feed, and between letters whose class never changed and
+# the marks behind them
+_WHITE = "\\s\\p{Z}\\x{0b}\\x{1c}-\\x{1f}\\x{85}\\x{180e}"
+UNEVEN = f"(?s)(^|[{_WHITE}])[ \n]|[ \n]($|[{_WHITE}])|\\x00"
+_LETTER, _MARK = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]", "[.,;:!?%$&*#]"
+# texts counted at once, in bytes
+COUNT_BYTES = 8 << 20
 # pieces whose counts a task remembers, and their longest length
-PIECES, PIECE_CHARS = 1 << 18, 48
+PIECES, PIECE_CHARS = 1 << 20, 48
 
 
 def _load(path: str):
@@ -66,20 +75,54 @@ class _Pieces:
 
     def __init__(self, tokenizer):
         self.tokenizer, self.known = tokenizer, {}
+        # added tokens are found before words are cut
+        added = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+        self.marks = not any(re.search(_LETTER + _MARK, t) for t in added)
+
+    def _of(self, pieces: list[str]) -> list[int]:
+        """Tokens of different pieces."""
+        known = self.known
+        new = [p for p in pieces if p not in known]
+        if not new:
+            return list(map(known.__getitem__, pieces))
+        if len(known) + len(new) > PIECES:
+            self.known = known = {p: known[p] for p in pieces if p in known}
+        for i in range(0, len(new), 4096):
+            part = new[i:i + 4096]
+            known.update(zip(part, map(len, self.tokenizer.encode_batch_fast(part, add_special_tokens=False))))
+        out = list(map(known.__getitem__, pieces))
+        for p in new:
+            if len(p) > PIECE_CHARS:
+                del known[p]
+        return out
 
-    def count(self, texts: list[str]) -> list[int]:
+    def cut(self, texts: list[str]) -> list[int]:
+        """Counts of any texts, cut by PIECE."""
         cut = [PIECE.split(t) for t in texts]
-        new = list({p for parts in cut for p in parts}.difference(self.known))
-        fresh = dict(zip(new, (len(e) for i in range(0, len(new), 4096) for e in self.tokenizer.encode_batch_fast(
-            new[i:i + 4096], add_special_tokens=False))))
-        if len(self.known) + len(fresh) > PIECES:
-            needed = {p for parts in cut for p in parts}
-            self.known = {p: n for p, n in self.known.items() if p in needed}
-        self.known.update(fresh)
-        out = [sum(map(self.known.__getitem__, parts)) for parts in cut]
-        for p in fresh:
-            if len(p) > PIECE_CHARS:
-                del self.known[p]
+        pieces = list({p for parts in cut for p in parts})
+        known = dict(zip(pieces, self._of(pieces)))
+        return [sum(map(known.__getitem__, parts)) for parts in cut]
+
+    def count(self, texts) -> np.ndarray:
+        """Counts of an Arrow array of texts. Pieces are coded by number in Arrow, so each different one is looked up once."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        out = np.zeros(len(texts), np.int64)
+        uneven = np.asarray(pc.match_substring_regex(texts, UNEVEN))
+        if uneven.any():
+            out[uneven] = self.cut(texts.filter(pa.array(uneven)).to_pylist())
+        even = texts.filter(pa.array(~uneven))
+        if not len(even):
+            return out
+        marked = pc.replace_substring(pc.replace_substring(even, " ", "\0 "), "\n", "\0\n\0")
+        if self.marks:
+            marked = pc.replace_substring_regex(marked, f"({_LETTER})({_MARK})", "\\1\0\\2")
+        lists = pc.split_pattern(marked, "\0")
+        start = lists.offsets.to_numpy()
+        words = lists.flatten().dictionary_encode()
+        tokens = np.array(self._of(words.dictionary.to_pylist()), np.int64)
+        out[~uneven] = np.add.reduceat(tokens[words.indices.to_numpy()], start[:-1] - start[0])
         return out
 
 
@@ -143,34 +186,50 @@ def _splice(chunks: DataFrame, chunk: int) -> DataFrame:
 
 def token_counts(
     docs: DataFrame, tokenizer_path: str, key: str = "doc_id", text: str = "text", chunk: int = CHUNK, overlap: int = OVERLAP,
-    by_piece: bool = False,
+    by_piece: bool = True,
 ) -> DataFrame:
     """(doc_id, n_bytes, n_tokens) of every row, as the tokenizer file's library counts the whole text.
 
     Texts of up to ``chunk`` characters are encoded at once. Longer ones are cut into chunks that overlap; where two
     neighbours share no proven boundary, the overlap of that text doubles until it covers the text. Null is the empty
     text, with no tokens; repeated rows stay; other columns are ignored. The path must exist on every executor.
-    ``by_piece`` counts a short text as the sum of its blank-separated pieces where the tokenizer file allows that; the
-    counts are the same, with less work where words repeat.
+    ``by_piece`` counts a short text as the sum of its blank-separated pieces where the tokenizer file allows that (else,
+    or when it is off, as a whole); the counts are the same, with less work where words repeat.
     """
     by_piece = by_piece and _cuts_at_blanks(tokenizer_path)
+    small_batches(docs)
     narrow = docs.select(
         F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     length = F.length("text").cast("long")
 
     def count(batches):
+        import pyarrow as pa
+
         tokenizer = _load(tokenizer_path)
         pieces = _Pieces(tokenizer)
-        for pdf in batches:
-            n = []
-            texts = pdf["text"].tolist()
-            for i in range(0, len(texts), 256):
-                n += pieces.count(texts[i:i + 256]) if by_piece else [len(e) for e in tokenizer.encode_batch_fast(texts[i:i + 256], add_special_tokens=False)]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "n_bytes": pdf["n_bytes"], "n_tokens": n})
+
+        def counted(some):
+            ids, sizes, texts = (pa.concat_arrays([b.column(c) for b in some]) for c in ("doc_id", "n_bytes", "text"))
+            if by_piece:
+                n = pieces.count(texts)
+            else:
+                n = [len(e) for i in range(0, len(texts), 256) for e in tokenizer.encode_batch_fast(
+                    texts.slice(i, 256).to_pylist(), add_special_tokens=False)]
+            return pa.RecordBatch.from_arrays([ids, sizes, pa.array(n, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
+
+        some, held = [], 0
+        for batch in batches:
+            some.append(batch)
+            held += batch.column("text").nbytes
+            if held >= COUNT_BYTES:
+                yield counted(some)
+                some, held = [], 0
+        if some:
+            yield counted(some)
 
     sized = narrow.withColumn("n_bytes", F.octet_length("text").cast("long"))
     schema = "doc_id long, n_bytes long, n_tokens long"
-    small = sized.filter(length <= chunk).mapInPandas(count, schema)
+    small = sized.filter(length <= chunk).mapInArrow(count, schema)
     # the id of a huge text's row; a reliable copy, because the number must not change when a task runs again
     huge = sized.filter(length > chunk).withColumn("chars", length)
     huge = keep(huge.withColumn("row", F.monotonically_increasing_id()))

@@ -53,6 +53,23 @@ def test_chat_layouts(spark):
 
 
 # tokens
+def test_pieces_count_like_the_library():
+    import random
+
+    import pyarrow as pa
+
+    tokenizer = tokens._load(BPE)
+    pieces = tokens._Pieces(tokenizer)
+    rng = random.Random(8)
+    parts = list("abZé×÷ÿɏɐ.,'!#$()-1 \n\t\x00\r<|>") + ["<|endoftext|>", "'s", "'ll", "日", "\u2003", "\x85", "\u180e", "\u0301", "  ", "\n\n", " the", "ing.", "🎉"]
+    texts = ["".join(rng.choices(parts, k=rng.randrange(0, 25))) for _ in range(4000)]
+    texts += ["".join(rng.choices(["a", "Bé", ".", ", ", " ", "\n", "word", "'t"], k=rng.randrange(0, 40))) for _ in range(4000)]
+    whole = [len(e) for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    for low, high in ((0, 3000), (3000, 8000), (0, 8000)):
+        assert pieces.count(pa.array(texts[low:high])).tolist() == whole[low:high]
+    assert pieces.count(pa.array([], pa.string())).tolist() == []
+
+
 def test_token_counts(spark):
     words = "plain words don't  stop\n\n<|endoftext|> and 12345, naïve 日本語 🎉 "
     texts = [None, "", " ", words, words * 40, "x" * 3000, " " * 900 + "a", "a<|endoftext|>" * 90, "\n \n" * 300, "é" * 700 + " b"]
