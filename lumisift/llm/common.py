@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import os
 import uuid
+from hashlib import blake2b
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.functions import broadcast
 
 from ..session import cut_lineage, ensure_checkpoint_dir
@@ -64,8 +67,56 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def run_key() -> bytes:
+    """Key of the digests of one run, drawn on the driver and carried to its tasks, so that repeated tasks agree and no
+    text can be made to collide in advance."""
+    return os.urandom(16)
+
+
+def digest(key: bytes, data: bytes, at: int = 0) -> int:
+    """64 bits of a keyed cryptographic digest of ``data`` and a number, as a signed integer."""
+    return int.from_bytes(blake2b(data, digest_size=8, key=key, person=at.to_bytes(8, "little", signed=True)).digest(), "little", signed=True)
+
+
+def row_number_of(key: bytes, *parts: Column) -> Column:
+    """64 bits of a salted SHA-256 of the columns: the same whenever a task runs again; different rows share one with a
+    chance of 2^-64."""
+    marked = [F.coalesce(F.concat(F.lit("1"), F.length(p).cast("string"), F.lit(":"), p), F.lit("0")) for p in parts]
+    return F.xxhash64(F.unhex(F.sha2(F.concat(F.lit(key.hex()), *marked), 256)))
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, or a longer one that no column of ``df`` has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+class WordDigests(dict):
+    """Keyed digest of each word; a task remembers so many."""
+
+    LIMIT = 1 << 20
+
+    def __init__(self, key: bytes):
+        super().__init__()
+        self.key = key
+
+    def __missing__(self, word: bytes) -> int:
+        value = int.from_bytes(blake2b(word, digest_size=8, key=self.key).digest(), "little")
+        if len(self) < self.LIMIT:
+            self[word] = value
+        return value
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+
+
 class SpanHash:
-    """Hash of any byte span of one buffer in constant time, from prefix sums of a polynomial modulo 2^64."""
+    """Hash of any byte span of one buffer in constant time, from prefix sums of a polynomial modulo 2^64.
+
+    Unequal spans can be built that share a hash. It may only say which strings meet, never which are equal.
+    """
 
     def __init__(self):
         rng = np.random.default_rng(7)

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SpanHash, anchor_runs, gram_hashes, keep_table, mix, word_hashes
+from .common import SpanHash, WordDigests, anchor_runs, digest, gram_hashes, keep_table, row_number_of, run_key, word_hashes, word_spans
 
 WINDOW = 50
 GRAM = 8
@@ -159,48 +159,45 @@ def earlier_windows(index: FMIndex, words: np.ndarray, starts: np.ndarray, count
     return out
 
 
-def _segments(rows: DataFrame, window: int, gram: int) -> DataFrame:
+def _segments(rows: DataFrame, window: int, gram: int, key: bytes) -> DataFrame:
+    """Segments with their anchor's hash, which says what meets, and a keyed digest of their words, which says what is
+    equal."""
+
     def run(batches):
         hasher = SpanHash()
         for pdf in batches:
             out = []
             for row, doc, text in zip(pdf["row"], pdf["doc_id"], pdf["text"]):
-                words = word_hashes(hasher, np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8))
-                grams = gram_hashes(words, gram)
+                raw = b" ".join(text.encode("utf-8", "surrogatepass").split())
+                data = np.frombuffer(raw, np.uint8)
+                grams = gram_hashes(word_hashes(hasher, data), gram)
                 anchor, first, last = anchor_runs(grams, window - gram + 1)
                 if not len(anchor):
                     continue
-                # hash of the whole segment from prefix sums over word hashes
-                sums = hasher_sums(hasher, words)
-                size = last + window - first
-                whole = mix((sums[last + window] - sums[first]) * hasher.inverse[first] + size.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
-                whole = mix(whole + (anchor - first).astype(np.uint64))
+                start, end = word_spans(data)
+                begin, stop = start[first].tolist(), end[last + window - 1].tolist()
+                whole = np.fromiter(
+                    (digest(key, raw[a:b], at) for a, b, at in zip(begin, stop, (anchor - first).tolist())), np.int64, len(first))
                 out.append(pd.DataFrame({"row": row, "doc_id": doc, "digit": grams[anchor].view(np.int64),
-                                         "whole": whole.view(np.int64), "first": first, "last": last}))
+                                         "whole": whole, "first": first, "last": last}))
                 if len(out) >= 512:
                     yield pd.concat(out, ignore_index=True)
                     out = []
             if out:
                 yield pd.concat(out, ignore_index=True)
 
-    def hasher_sums(hasher, words):
-        hasher._grow(len(words))
-        sums = np.zeros(len(words) + 1, np.uint64)
-        np.cumsum(words * hasher.power[:len(words)], out=sums[1:])
-        return sums
-
     return rows.mapInPandas(run, "row long, doc_id long, digit long, whole long, first long, last long")
 
 
-def _cut(joined: DataFrame, window: int) -> DataFrame:
-    """One row per segment, with its words as packed 64-bit hashes."""
+def _cut(joined: DataFrame, window: int, key: bytes) -> DataFrame:
+    """One row per segment, with its words as packed 64-bit keyed digests."""
 
     def run(batches):
-        hasher = SpanHash()
+        digests = WordDigests(key)
         for pdf in batches:
             out = []
             for row, doc, text, runs in zip(pdf["row"], pdf["doc_id"], pdf["text"], pdf["r"]):
-                words = word_hashes(hasher, np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8))
+                words = digests.of(text.encode("utf-8", "surrogatepass").split())
                 for r in runs:
                     first, last = int(r["first"]), int(r["last"])
                     out.append((row, doc, r["digit"], r["parts"], first, last, words[first:last + window].tobytes()))
@@ -265,7 +262,8 @@ def earlier_runs(rows: DataFrame, window: int = WINDOW, gram: int = GRAM, shard_
 
     ``rows`` has ``row`` (equal only for equal rows), ``doc_id`` (not null) and ``text``.
     """
-    segments = keep_table(_segments(rows, window, gram), "segments")
+    key = run_key()
+    segments = keep_table(_segments(rows, window, gram, key), "segments")
     kinds = segments.groupBy("digit", "whole").agg(F.count("*").alias("n"), F.min("doc_id").alias("_doc"))
     by = kinds.groupBy("digit").agg(F.sum("n").alias("_all"), F.count("*").alias("_kinds")).filter(F.col("_all") > 1)
     marked = kinds.join(by, "digit").select(F.col("digit").alias("_d"), F.col("whole").alias("_w"), "_doc", "_kinds")
@@ -278,7 +276,7 @@ def earlier_runs(rows: DataFrame, window: int = WINDOW, gram: int = GRAM, shard_
     stand = shared.filter((F.col("_kinds") > 1) & (F.col("doc_id") == F.col("_doc"))).dropDuplicates(["row", "first"])
     stand = stand.withColumn("parts", F.ceil(F.col("_kinds") / fits).cast("long"))
     need = stand.groupBy("row").agg(F.collect_list(F.struct("digit", "parts", "first", "last")).alias("r"))
-    cut = keep_table(_cut(need.hint("shuffle_hash").join(rows, "row"), window), "words")
+    cut = keep_table(_cut(need.hint("shuffle_hash").join(rows, "row"), window, key), "words")
     total = cut.agg(F.sum(F.octet_length("words") / 8)).first()[0] or 0
     return whole.unionByName(_search(cut, int(total // shard_words) + 1, window))
 
@@ -291,7 +289,7 @@ def earlier_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", wind
     with one id are one document, so they never count as smaller than each other; other columns are ignored.
     """
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    rows = rows.withColumn("row", F.xxhash64("doc_id", "text"))
+    rows = rows.withColumn("row", row_number_of(run_key(), F.col("doc_id").cast("string"), F.col("text")))
     found = earlier_runs(rows.filter(F.col("doc_id").isNotNull()), window, **options)
     spans = found.groupBy(F.col("row").alias("_row")).agg(F.collect_set(F.struct("first", "last")).alias("runs"))
     return rows.join(spans.hint("shuffle_hash"), F.col("row") == F.col("_row"), "left").select("doc_id", "text", "runs")

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components
-from .common import SpanHash, gram_hashes, keep, keep_table, mix, small_batches, word_hashes
+from .common import WordDigests, free_name, gram_hashes, keep, keep_table, mix, run_key, small_batches
 
 SHINGLE = 5
 PERCENT = 80
@@ -37,10 +37,12 @@ def band_plan(percent: int) -> tuple[int, int]:
     return 1, MAX_HASHES
 
 
-def shingles(hasher: SpanHash, text: str | None, size: int = SHINGLE) -> np.ndarray:
-    """Distinct hashed shingles, ascending: runs of ``size`` words, A-Z lower-cased; fewer words are one shingle."""
-    data = np.frombuffer((text or "").encode("utf-8", "surrogatepass").lower(), np.uint8)
-    words = word_hashes(hasher, data)
+def shingles(digests: WordDigests, text: str | None, size: int = SHINGLE) -> np.ndarray:
+    """Distinct shingles as 64-bit numbers, ascending: runs of ``size`` words, A-Z lower-cased; fewer words are one.
+
+    Words are keyed digests, so two shingles share a number by chance only, about 2^-60 for a pair.
+    """
+    words = digests.of((text or "").encode("utf-8", "surrogatepass").lower().split())
     if not len(words):
         return words
     if len(words) < size:
@@ -94,9 +96,9 @@ def most_bits(percent: int, samples: int) -> int:
     return int(bits[estimate(bits, samples) >= least].max())
 
 
-def _signatures(docs: DataFrame, rows: int, bands: int) -> DataFrame:
+def _signatures(docs: DataFrame, rows: int, bands: int, key: bytes) -> DataFrame:
     def run(batches):
-        hasher, minhasher = SpanHash(), MinHasher(rows, bands)
+        hasher, minhasher = WordDigests(key), MinHasher(rows, bands)
         for pdf in batches:
             out = []
             for doc, text in zip(pdf["doc_id"], pdf["text"]):
@@ -123,9 +125,9 @@ def _signatures(docs: DataFrame, rows: int, bands: int) -> DataFrame:
     return docs.mapInPandas(run, "doc_id long, n long, k1 long, k2 long, bands array<long>, sketch array<long>")
 
 
-def _sets(docs: DataFrame) -> DataFrame:
+def _sets(docs: DataFrame, key: bytes) -> DataFrame:
     def run(batches):
-        hasher = SpanHash()
+        hasher = WordDigests(key)
         for pdf in batches:
             for at in range(0, len(pdf), 512):
                 part = pdf.iloc[at:at + 512]
@@ -302,7 +304,8 @@ def near_components(
     rows, bands = band_plan(percent)
     limit = most_bits(percent, rows * bands)
     plain = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    sig = keep_table(_signatures(plain, rows, bands), "signatures")
+    secret = run_key()
+    sig = keep_table(_signatures(plain, rows, bands, secret), "signatures")
     some = sig.filter((F.col("n") > 0) & F.col("doc_id").isNotNull())
     kinds = keep_table(some.groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rep")), "kinds")
     reps = some.join(kinds.select("k1", "k2", "n", F.col("rep").alias("doc_id")), ["k1", "k2", "n", "doc_id"], "left_semi")
@@ -321,7 +324,7 @@ def near_components(
 
     def sets_of(ids: DataFrame) -> DataFrame:
         wanted = ids.select(F.col("id").alias("_d")).distinct().hint("shuffle_hash")
-        return keep_table(_sets(plain.join(wanted, F.col("doc_id") == F.col("_d"), "left_semi").distinct()), "sets")
+        return keep_table(_sets(plain.join(wanted, F.col("doc_id") == F.col("_d"), "left_semi").distinct(), secret), "sets")
 
     # any document of the pairs and of buckets of three and more may be asked for
     ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).unionByName(
@@ -347,6 +350,7 @@ def near_components(
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
     """``docs`` with one document of each component, the one with the smallest id; rows with a null id stay."""
+    name = free_name(docs, "_gone")
     gone = near_components(docs, key, text, percent).filter(F.col("component_id") < F.col("doc_id")).select(
-        F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col(key).cast("long") == F.col("_gone"), "left_anti")
+        F.col("doc_id").alias(name)).distinct()
+    return docs.join(gone, F.col(key).cast("long") == F.col(name), "left_anti")

@@ -10,11 +10,13 @@ whole window, and a window leaves as soon as it is alone under its digits:
    windows of a block share. Blocks alone under it are unique, equal blocks are repeated.
 3. What is left is sorted by whole windows. Groups of two or more are exactly the repeated windows.
 
-Digits are 64-bit hashes of the bytes. Counts are aggregates that merge before the shuffle, so a string shared by a
-third of all rows gathers nowhere.
+Digits are 64-bit hashes that only say what meets: strings that collide there are kinds of one group. What is equal is
+decided by keyed digests of the bytes themselves, of 64 bits inside a group and of 128 bits for whole windows, with a key
+drawn for each run. Counts are aggregates that merge before the shuffle, so a string shared by a third of all rows gathers
+nowhere.
 
-The same passes run over words (``words=True``): then a unit is the 64-bit hash of a word, white space between words
-does not count, and ``threshold``, ``gram``, ``step`` and all positions are numbers of words.
+The same passes run over words (``words=True``): then white space between words does not count (the bytes are those of
+the words joined by one blank), and ``threshold``, ``gram``, ``step`` and all positions are numbers of words.
 """
 
 from __future__ import annotations
@@ -26,7 +28,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLOCK, SpanHash, anchor_runs, keep_table, mix, small_batches, word_hashes, word_spans
+from .common import (
+    BLOCK, SpanHash, anchor_runs, digest, free_name, keep_table, mix, row_number_of, run_key, small_batches, word_hashes,
+    word_spans,
+)
 
 THRESHOLD = 400
 GRAM = 32
@@ -35,37 +40,50 @@ STEP = 24
 WORD_GRAM, WORD_STEP = 8, 8
 
 
-def _utf8(text) -> np.ndarray:
-    return np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
+class _Text:
+    """Units (bytes, or words) of a text, and the bytes of any run of them."""
 
+    def __init__(self, hasher: SpanHash, raw: bytes, words: bool):
+        self.raw = b" ".join(raw.split()) if words else raw
+        data = np.frombuffer(self.raw, np.uint8)
+        self.units = word_hashes(hasher, data) if words else data
+        self.start, self.end = (x.tolist() for x in word_spans(data)) if words else (None, None)
 
-def _units(hasher: SpanHash, data: np.ndarray, words: bool) -> np.ndarray:
-    return word_hashes(hasher, data) if words else data
+    def part(self, a: int, b: int) -> bytes:
+        """Bytes of units a..b, for a < b."""
+        return self.raw[a:b] if self.start is None else self.raw[self.start[a]:self.end[b - 1]]
 
 
-def _runs(hasher: SpanHash, data: np.ndarray, threshold: int, gram: int):
+def _utf8(text) -> bytes:
+    return (text or "").encode("utf-8", "surrogatepass")
+
+
+def _runs(hasher: SpanHash, text: _Text, threshold: int, gram: int, key: bytes):
     """(digit, whole, anchor, first, last) of each run of windows of a text, in blocks of bounded size."""
     parts = []
-    total = len(data) - threshold + 1
+    total = len(text.units) - threshold + 1
     for begin in range(0, max(total, 0), BLOCK):
-        part = data[begin:min(begin + BLOCK, total) + threshold - 1]
+        part = text.units[begin:min(begin + BLOCK, total) + threshold - 1]
         sums = hasher.sums(part)
         anchor, first, last = anchor_runs(hasher.every(sums, gram), threshold - gram + 1)
         digit = hasher.spans(sums, anchor, anchor + gram)
-        whole = mix(hasher.spans(sums, first, last + threshold) + (anchor - first).astype(np.uint64))
-        parts.append((digit.view(np.int64), whole.view(np.int64), anchor + begin, first + begin, last + begin))
+        anchor, first, last = anchor + begin, first + begin, last + begin
+        whole = np.fromiter(
+            (digest(key, text.part(a, b), at) for a, b, at in zip(first.tolist(), (last + threshold).tolist(), (anchor - first).tolist())),
+            np.int64, len(first))
+        parts.append((digit.view(np.int64), whole, anchor, first, last))
     if not parts:
         return None
     return [np.concatenate(x) for x in zip(*parts)]
 
 
-def _first_digits(rows: DataFrame, threshold: int, gram: int, words: bool) -> DataFrame:
+def _first_digits(rows: DataFrame, threshold: int, gram: int, words: bool, key: bytes) -> DataFrame:
     def run(batches):
         hasher = SpanHash()
         for pdf in batches:
             out = []
             for row, text in zip(pdf["row"], pdf["text"]):
-                found = _runs(hasher, _units(hasher, _utf8(text), words), threshold, gram)
+                found = _runs(hasher, _Text(hasher, _utf8(text), words), threshold, gram, key)
                 if found is not None:
                     out.append(pd.DataFrame({
                         "row": row, "digit": found[0], "whole": found[1], "anchor": found[2], "first": found[3],
@@ -107,17 +125,19 @@ def repeated_windows(
     ``rows`` has ``row`` (equal only for equal rows) and ``text``.
     """
     small_batches(rows)
-    one, open_ = _settle(keep_table(_first_digits(rows, threshold, gram, words), "digits"))
+    key = run_key()
+    one, open_ = _settle(keep_table(_first_digits(rows, threshold, gram, words, key), "digits"))
     need = open_.groupBy("row").agg(F.collect_list(F.struct("digit", "anchor", "first", "last")).alias("r"))
     # one copy of the bytes of each kind of run, a few hundred each
     cut = keep_table(_cut_bytes(need.hint("shuffle_hash").join(rows, "row"), threshold, words), "bytes")
     two, open_ = _settle(keep_table(cut.mapInPandas(
-        _blocks(threshold, step, words), "row long, digit long, whole long, run long, first long, last long"), "blocks"))
+        _blocks(threshold, step, words, key), "row long, digit long, whole long, run long, first long, last long"), "blocks"))
     parts = open_.groupBy("row", F.col("run").alias("first")).agg(F.collect_list(F.struct("first", "last")).alias("r"))
     windows = keep_table(cut.join(parts.hint("shuffle_hash"), ["row", "first"]).select("row", "first", "bytes", "r").mapInPandas(
-        _windows(threshold, words), "row long, first long, window long"), "windows")
-    often = windows.groupBy("window").agg(F.count("*").alias("n")).filter(F.col("n") > 1).select(F.col("window").alias("_w"))
-    three = windows.join(often, F.col("window") == F.col("_w")).select("row", "first", F.col("first").alias("last"))
+        _windows(threshold, words, key), "row long, first long, window long, more long"), "windows")
+    often = windows.groupBy(F.col("window").alias("_w"), F.col("more").alias("_m")).agg(F.count("*").alias("n")).filter(F.col("n") > 1)
+    three = windows.join(often, (F.col("window") == F.col("_w")) & (F.col("more") == F.col("_m"))).select(
+        "row", "first", F.col("first").alias("last"))
     return one.unionByName(two).unionByName(three)
 
 
@@ -125,15 +145,14 @@ def _cut_bytes(joined: DataFrame, threshold: int, words: bool) -> DataFrame:
     """One row per run, with its bytes."""
 
     def run(batches):
+        hasher = SpanHash()
         for pdf in batches:
             out = []
-            for row, text, runs in zip(pdf["row"], pdf["text"], pdf["r"]):
-                raw = (text or "").encode("utf-8", "surrogatepass")
-                start, end = word_spans(np.frombuffer(raw, np.uint8)) if words else (None, None)
+            for row, body, runs in zip(pdf["row"], pdf["text"], pdf["r"]):
+                text = _Text(hasher, _utf8(body), words)
                 for r in runs:
                     first, last = int(r["first"]), int(r["last"])
-                    a, b = (int(start[first]), int(end[last + threshold - 1])) if words else (first, last + threshold)
-                    out.append((row, r["digit"], r["anchor"], first, last, raw[a:b]))
+                    out.append((row, r["digit"], r["anchor"], first, last, text.part(first, last + threshold)))
                 if len(out) >= 8192:
                     yield pd.DataFrame(out, columns=["row", "digit", "anchor", "first", "last", "bytes"])
                     out = []
@@ -144,7 +163,7 @@ def _cut_bytes(joined: DataFrame, threshold: int, words: bool) -> DataFrame:
         run, "row long, digit long, anchor long, first long, last long, bytes binary")
 
 
-def _blocks(threshold: int, step: int, words: bool):
+def _blocks(threshold: int, step: int, words: bool, key: bytes):
     """Cuts runs at fixed distances from their anchor. A window that starts ``d`` before the anchor is in block
     d // step; the core of a block is what its windows share, so it runs from its last start to its first end."""
 
@@ -155,7 +174,8 @@ def _blocks(threshold: int, step: int, words: bool):
             for row, digit, anchor, first, last, raw in pdf[
                 ["row", "digit", "anchor", "first", "last", "bytes"]
             ].itertuples(index=False):
-                sums = hasher.sums(_units(hasher, np.frombuffer(raw, np.uint8), words))
+                text = _Text(hasher, raw, words)
+                sums = hasher.sums(text.units)
                 number = np.arange((anchor - last) // step, (anchor - first) // step + 1)
                 # full blocks by distance, then clipped to the run
                 low = np.maximum(anchor - (number * step + step - 1), first)
@@ -164,11 +184,11 @@ def _blocks(threshold: int, step: int, words: bool):
                 # of a block that the run cuts off, only the bytes inside the run are at hand; the core lies in every
                 # window of the full block, so in every window of the clipped one too
                 core = hasher.spans(sums, core_low - first, core_high - first)
-                key = mix(core ^ (np.uint64(digit & (2**64 - 1)) + number.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
-                whole = mix(hasher.spans(sums, low - first, high - first + threshold) + (anchor - low).astype(np.uint64))
+                meet = mix(core ^ (np.uint64(digit & (2**64 - 1)) + number.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
                 for i in range(len(number)):
                     a, b = int(low[i]), int(high[i])
-                    out.append((row, key[i].view(np.int64), whole[i].view(np.int64), first, a, b))
+                    whole = digest(key, text.part(a - first, b - first + threshold), anchor - a)
+                    out.append((row, meet[i].view(np.int64), whole, first, a, b))
                 if len(out) >= 8192:
                     yield frame(out)
                     out = []
@@ -181,21 +201,22 @@ def _blocks(threshold: int, step: int, words: bool):
     return run
 
 
-def _windows(threshold: int, words: bool):
-    """Hashes of the single windows of the given parts of a run."""
+def _windows(threshold: int, words: bool, key: bytes):
+    """Digests of the single windows of the given parts of a run, 128 bits as two numbers."""
 
     def run(batches):
         hasher = SpanHash()
         for pdf in batches:
             rows, at, found = [], [], []
             for row, first, raw, parts in zip(pdf["row"], pdf["first"], pdf["bytes"], pdf["r"]):
-                sums = hasher.sums(_units(hasher, np.frombuffer(raw, np.uint8), words))
+                text = _Text(hasher, raw, words)
                 start = np.concatenate([np.arange(r["first"], r["last"] + 1) for r in parts])
-                found.append(hasher.spans(sums, start - first, start - first + threshold).view(np.int64))
+                found += [hashlib.blake2b(text.part(a, a + threshold), digest_size=16, key=key).digest() for a in (start - first).tolist()]
                 rows.append(np.full(len(start), row))
                 at.append(start)
             if rows:
-                yield pd.DataFrame({"row": np.concatenate(rows), "first": np.concatenate(at), "window": np.concatenate(found)})
+                both = np.frombuffer(b"".join(found), np.int64).reshape(-1, 2)
+                yield pd.DataFrame({"row": np.concatenate(rows), "first": np.concatenate(at), "window": both[:, 0], "more": both[:, 1]})
 
     return run
 
@@ -209,9 +230,9 @@ def merge_runs(first: np.ndarray, last: np.ndarray, width: int) -> list[tuple[in
 
 
 def _keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """Adds ``row``, a hash of key and text: the same whenever a task runs again, and equal only for equal rows."""
+    """Adds ``row``, see ``row_number_of``."""
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    return rows.withColumn("row", F.xxhash64("doc_id", "text"))
+    return rows.withColumn("row", row_number_of(run_key(), F.col("doc_id").cast("string"), F.col("text")))
 
 
 def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: int = THRESHOLD, **options) -> DataFrame:
@@ -278,18 +299,19 @@ def remove_repeats(
     """
     options = ({"gram": WORD_GRAM, "step": WORD_STEP} if words else {}) | options
     columns = docs.columns
-    rows = docs.withColumn("_row", F.xxhash64(*[F.col(c) for c in columns]))
-    plain = rows.select(F.col("_row").alias("row"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    row, met, cuts = (free_name(docs, n) for n in ("_row", "_r", "_runs"))
+    rows = docs.withColumn(row, row_number_of(run_key(), F.to_json(F.struct(*[F.col(c) for c in columns if c != text])), F.col(text).cast("string")))
+    plain = rows.select(F.col(row).alias("row"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     found = repeated_windows(plain, threshold, words=words, **options)
-    spans = found.groupBy(F.col("row").alias("_r")).agg(F.collect_set(F.struct("first", "last")).alias("_runs"))
-    joined = rows.join(spans.hint("shuffle_hash"), F.col("_row") == F.col("_r"), "left")
+    spans = found.groupBy(F.col("row").alias(met)).agg(F.collect_set(F.struct("first", "last")).alias(cuts))
+    joined = rows.join(spans.hint("shuffle_hash"), F.col(row) == F.col(met), "left")
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
             at, kept = batch.schema.get_field_index(text), []
-            for t, runs in zip(batch.column(at).to_pylist(), batch.column(batch.schema.get_field_index("_runs")).to_pylist()):
+            for t, runs in zip(batch.column(at).to_pylist(), batch.column(batch.schema.get_field_index(cuts)).to_pylist()):
                 if runs and t is not None:
                     raw, spans = t.encode("utf-8"), _spans_of(runs, threshold)
                     t = _without(raw, _word_bytes(raw, spans) if words else spans).decode("utf-8", "ignore")
@@ -297,4 +319,4 @@ def remove_repeats(
             batch = batch.set_column(at, batch.schema.field(at), pa.array(kept, batch.schema.field(at).type))
             yield batch.select(columns)
 
-    return joined.select(*columns, "_runs").mapInArrow(run, docs.schema)
+    return joined.select(*columns, cuts).mapInArrow(run, docs.schema)

@@ -8,7 +8,6 @@ import pytest
 
 import corpus_pipeline
 from lumisift.llm import fmindex, neardup, suffix
-from lumisift.llm.common import SpanHash
 
 ODD = [(100, None, "z"), (101, "", "z"), (102, " ", "z"), (103, "ab", "z"), (None, "nothing here at all", "z")]
 
@@ -148,8 +147,8 @@ def test_wavelet_and_backward_search():
 
 # near copies
 def _brute_components(rows, percent):
-    hasher = SpanHash()
-    sets = {d: set(neardup.shingles(hasher, t).tolist()) for d, t, *_ in rows if d is not None}
+    words = {d: (t or "").lower().split() for d, t, *_ in rows if d is not None}
+    sets = {d: {tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for d, w in words.items()}
     ids = sorted(sets)
     comp = {d: d for d in ids}
 
@@ -220,3 +219,38 @@ def test_odd_sketch_estimates():
             errors.append(neardup.estimate(far, plan[0] * plan[1]) - true)
             assert far <= neardup.most_bits(80, plan[0] * plan[1])
         assert abs(np.mean(errors)) < 0.02
+
+
+def _twins(a: str, b: str, doublings: int) -> tuple[str, str]:
+    """A Thue-Morse string and its complement, which every polynomial modulo 2^64 confuses once they are long enough."""
+    x, y = a, b
+    for _ in range(doublings):
+        x, y = x + y, y + x
+    return x, y
+
+
+def test_strings_built_to_collide(spark):
+    one, two = _twins("a", "b", 10)
+    short, other = _twins("skxvtrge", "gszoykqu", 5)
+    tail = "".join(chr(97 + i * 7 % 26) for i in range(144))
+    pairs = [(1, short + tail), (2, other + tail), (3, one), (4, two)]
+    df = spark.createDataFrame(pairs, "doc_id long, text string")
+    want = sorted((i, *b) for (i, _), b in zip(pairs, _brute_bytes([t for _, t in pairs], 400)))
+    got = sorted((r.doc_id, r.n_bytes, r.n_removed, len(r.spans), r.kept_sha256) for r in suffix.dedup_report(df, threshold=400).collect())
+    assert got == want and all(x[2] == 0 for x in got[:2])
+    same = " ".join(f"w{i}" for i in range(49))
+    df = spark.createDataFrame([(1, f"{same} {one}"), (2, f"{same} {two}"), (3, f"a b {one}"), (4, f"a b {two}")], "doc_id long, text string")
+    assert {r.n_removed for r in fmindex.dedup_report(df).collect()} == {0}
+    assert {r.doc_id: r.component_id for r in neardup.near_components(df, percent=85).filter("doc_id > 2").collect()} == {3: 3, 4: 4}
+    left = suffix.remove_repeats(df, threshold=50, words=True)
+    assert sorted(map(tuple, left.collect())) == sorted(map(tuple, df.collect()))
+
+
+def test_helper_names_in_the_table(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, text, 5, 6, 7, 8), (2, text, 5, 6, 7, 8), (3, "other words", 5, 6, 7, 8)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _row int, _runs int, _r int, _gone int")
+    left = suffix.remove_repeats(df, threshold=50, words=True)
+    assert left.columns == df.columns
+    assert sorted(map(tuple, left.collect())) == [(1, "", 5, 6, 7, 8), (2, "", 5, 6, 7, 8), (3, "other words", 5, 6, 7, 8)]
+    assert sorted(map(tuple, neardup.keep_one(df).collect())) == [rows[0], rows[2]]
