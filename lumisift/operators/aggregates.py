@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..config import Category, category_table
 from ..functions.numbers import col, half_even
 from ..functions.vectors import unit_normalize
+from .quantiles import upper_median
 
 
 def _with_all(counts: DataFrame, categories: Iterable[Category], key: str = "category") -> DataFrame:
@@ -125,8 +126,10 @@ def recommendations(
     return result
 
 
-def dashboard_stats(df: DataFrame) -> DataFrame:
-    """One row for the start page; images whose media type is missing count as images."""
+def dashboard_stats(df: DataFrame, rsd: float | None = None) -> DataFrame:
+    """One row for the start page; images whose media type is missing count as images. With ``rsd`` sources are counted
+    by a mergeable sketch of that relative standard deviation."""
+    label = F.coalesce(F.col("source_label"), F.lit(""))
     video = F.coalesce(F.col("media_type"), F.lit("image")) == "video"
     g = F.col("composite")
     return df.agg(
@@ -142,7 +145,7 @@ def dashboard_stats(df: DataFrame) -> DataFrame:
         F.count_if(g >= 70).alias("grade_high"),
         F.count_if((g >= 40) & (g < 70)).alias("grade_medium"),
         F.count_if(g < 40).alias("grade_low"),
-        F.count_distinct(F.coalesce(F.col("source_label"), F.lit(""))).alias("sources"),
+        (F.count_distinct(label) if rsd is None else F.approx_count_distinct(label, rsd)).alias("sources"),
     )
 
 
@@ -181,17 +184,6 @@ def trash_summary(df: DataFrame) -> DataFrame:
     return mine.agg(F.count("*").alias("n"), half_even(F.coalesce(F.sum("size_kb"), F.lit(0)) / 1024.0, 1).alias("mb"))
 
 
-def upper_median(df: DataFrame, by: list[str], value: str, name: str = "median") -> DataFrame:
-    """Element n div 2 (zero-based) of the sorted values.
-
-    Equal values collapse first, so the window sees one row per distinct grade, not one per asset.
-    """
-    counts = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_n"))
-    w = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1))
-    placed = counts.withColumn("_upto", F.sum("_n").over(w.orderBy(value))).withColumn("_all", F.sum("_n").over(w))
-    return placed.filter(F.col("_upto") > F.floor(F.col("_all") / 2)).groupBy(*by).agg(F.min(value).alias(name))
-
-
 # Grade bands.
 GRADE_BANDS = ((0, 20, "Very Low"), (20, 40, "Low"), (40, 60, "Medium"), (60, 80, "Good"), (80, 100.1, "Excellent"))
 
@@ -201,8 +193,8 @@ def grade_band(value: Column | str) -> Column:
     return F.coalesce(*[F.when((v >= lo) & (v < hi), F.lit(label)) for lo, hi, label in GRADE_BANDS])
 
 
-def grade_summary(df: DataFrame, value: str = "overall") -> DataFrame:
-    """One row: count, min, max, average, upper median and the five bands."""
+def grade_summary(df: DataFrame, value: str = "overall", accuracy: int | None = None) -> DataFrame:
+    """One row: count, min, max, average, upper median (``accuracy``: see ``upper_median``) and the five bands."""
     bands = grade_band(value)
     base = df.agg(
         F.count(value).alias("n"), F.min(value).alias("min"), F.max(value).alias("max"), F.avg(value).alias("avg"),
@@ -210,7 +202,7 @@ def grade_summary(df: DataFrame, value: str = "overall") -> DataFrame:
     )
     # both sides have one row
     one = F.lit(1).alias("_one")
-    return base.select("*", one).join(upper_median(df, [], value).select("*", one), "_one").drop("_one")
+    return base.select("*", one).join(upper_median(df, [], value, accuracy=accuracy).select("*", one), "_one", "left").drop("_one")
 
 
 def grade_by_group(df: DataFrame, group: str, value: str = "overall") -> DataFrame:

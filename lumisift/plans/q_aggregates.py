@@ -9,6 +9,7 @@ from ..functions.numbers import half_even
 from ..operators import aggregates as g
 from ..operators.filters import quality_gate
 from ..operators.grading import raw_quality
+from ..operators.quantiles import upper_median
 from ..operators.windows import dedup_exact, top_k_per_group
 from . import adapters as a
 from .q_sources import LANGS
@@ -148,7 +149,7 @@ def g10(spark, d):
 def g10b(spark, d):
     df = a.assets_evt(spark, d)
     per = g.grade_by_group(df, "category", "composite").withColumn("avg", F.round("avg", 6))
-    return per.join(g.upper_median(df, ["category"], "composite"), "category")
+    return per.join(upper_median(df, ["category"], "composite"), "category")
 
 
 @query("g11_recognition_summary", """
