@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import _ODD, keep_table, mix, shared_folder, small_batches
+from .common import _ODD, SpanHash, keep_table, mix, shared_folder, small_batches
 
 MAX_WORDS = 5
 MIN_COUNT = 100
@@ -32,47 +32,34 @@ PLACE_BITS = 24
 NEVER = 255
 # buckets of pairs: one for this many bytes of text, 2^PAIR_BITS at most; rows of a bucket array
 PAIR_BYTES, PAIR_BITS, PAIR_CHUNK = 96, 26, 1 << 16
-# tokens that a task holds at once, and words that it remembers
-TOKENS, WORDS = 1 << 21, 1 << 22
+# bytes of text that a task takes apart at once
+FLUSH_BYTES = 8 << 20
 OUT_ROWS = 1 << 16
 
-# A-Z in lower case, the characters that end a piece as line feeds, tab as blank; all fixed values
-_FOLD = bytes(
-    c + 32 if 0x41 <= c <= 0x5A else 0x0A if chr(c) in ".,;:!?\n\x0b\x0c\r" else 0x20 if c == 0x09 else c for c in range(256)
-)
+# the characters that end a piece, and the mark that stands for them; it is one of them, so no word can be equal to it
+PIECE_ENDS, END = r"[.,;:!?\n\x0B\x0C\r]", "."
 
 
-class _Words(dict):
-    """Numbers of the (language, word) pairs met so far; -1 is the end of a piece, -2 no word."""
+def _take_apart(hasher: SpanHash, lang: str, texts):
+    """(ids, words, hashes): the words of an Arrow array of texts as numbers, each piece closed by -1; the different words
+    in Arrow; and a hash of each with the language, which says where it is looked up, never what it is equal to."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
 
-    def __init__(self, pool: "_Pool", lang: str):
-        super().__init__({b"": -2, b"\n": -1})
-        self.pool, self.lang = pool, lang
-
-    def __missing__(self, word: bytes) -> int:
-        self[word] = number = self.pool.add(self.lang, word)
-        return number
-
-
-class _Pool:
-    def __init__(self):
-        self.words, self.langs, self.hashes, self.by = [], [], [], {}
-
-    def add(self, lang: str, word: bytes) -> int:
-        import xxhash
-
-        self.words.append(word)
-        self.langs.append(lang)
-        self.hashes.append(xxhash.xxh3_64_intdigest(lang.encode("utf-8", "replace") + b"\0" + word))
-        return len(self.words) - 1
-
-    def line(self, lang: str, text: str) -> list[int]:
-        """Word numbers of a text, pieces closed by -1."""
-        of = self.by.get(lang)
-        if of is None:
-            of = self.by[lang] = _Words(self, lang)
-        tokens = text.encode("utf-8", "replace").translate(_FOLD).replace(b"\n", b" \n ").split(b" ")
-        return list(map(of.__getitem__, tokens))
+    cut = pc.replace_substring_regex(pc.ascii_lower(texts), PIECE_ENDS, f" {END} ")
+    cut = pc.binary_join_element_wise(pc.replace_substring(cut, "\t", " "), END, " ")
+    coded = pc.split_pattern(cut, " ").flatten().dictionary_encode()
+    words, ids = coded.dictionary, coded.indices.to_numpy().astype(np.int64)
+    none, end = (pc.index(words, pa.scalar(x, words.type)).as_py() for x in ("", END))
+    if none >= 0:
+        ids = ids[ids != none]
+    ids[ids == end] = -1
+    offsets = np.frombuffer(words.buffers()[1], np.int32)[words.offset:words.offset + len(words) + 1]
+    data = np.frombuffer(words.buffers()[2], np.uint8)[offsets[0]:offsets[-1]]
+    sums, at = hasher.sums(data), (offsets - offsets[0]).astype(np.int64)
+    name = np.frombuffer(lang.encode("utf-8", "replace"), np.uint8)
+    salt = hasher.spans(hasher.sums(name), np.array([0]), np.array([len(name)]))
+    return ids, words, mix(hasher.spans(sums, at[:-1], at[1:]) ^ salt)
 
 
 def _grouped(keys: np.ndarray, ids: np.ndarray, at: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -171,42 +158,38 @@ def _scan(shard: DataFrame, shared, step: int, shards: int, longest: int, kind:
 
     def scan(batches):
         import pyarrow as pa
+        import pyarrow.compute as pc
 
         table, pairs = (np.frombuffer(zlib.decompress(x), np.uint8) for x in shared.value)
-        pool, line = _Pool(), []
+        hasher = SpanHash()
         met = np.zeros(len(pairs) if step < shards else 0, kind)
 
-        def flush():
-            nonlocal pool, line
-            ids = np.array(line, np.int64)
-            line = []
-            ids = ids[ids != -2]
-            hashes = np.array(pool.hashes, np.uint64)
-            words = pool.words
-            if len(met):
-                _add(met, *reversed(np.unique(_pair_buckets(ids, hashes, len(met)), return_counts=True)))
-            for k, at, place, start, f in count_active(ids, hashes, table, pairs, step, shards, longest):
-                for i in range(0, len(at), OUT_ROWS):
-                    rows = ids[at[i:i + OUT_ROWS, None] + np.arange(k)].tolist()
-                    part = slice(i, i + OUT_ROWS)
-                    yield pa.RecordBatch.from_arrays([
-                        pa.array([pool.langs[r[0]] for r in rows], pa.string()),
-                        pa.array([b" ".join([words[w] for w in r]) for r in rows], pa.binary()).cast(pa.string()),
-                        pa.array(np.full(len(rows), k, np.int32)), pa.array(place[part].astype(np.int64)),
-                        pa.array(start[part].astype(np.int32)), pa.array(f[part].astype(np.int64)),
-                        pa.nulls(len(rows), pa.binary()),
-                    ], _NAMES)
-            if len(words) > WORDS:
-                pool = _Pool()
-
+        def flush(held):
+            for lang, parts in held.items():
+                ids, words, hashes = _take_apart(hasher, lang, pa.concat_arrays(parts))
+                if len(met):
+                    _add(met, *reversed(np.unique(_pair_buckets(ids, hashes, len(met)), return_counts=True)))
+                for k, at, place, start, f in count_active(ids, hashes, table, pairs, step, shards, longest):
+                    for i in range(0, len(at), OUT_ROWS):
+                        part = slice(i, i + OUT_ROWS)
+                        columns = [words.take(pa.array(ids[at[part] + j])) for j in range(k)]
+                        n = len(columns[0])
+                        yield pa.RecordBatch.from_arrays([
+                            pa.repeat(pa.scalar(lang, pa.string()), n), pc.binary_join_element_wise(*columns, " ") if k > 1 else columns[0],
+                            pa.array(np.full(n, k, np.int32)), pa.array(place[part].astype(np.int64)),
+                            pa.array(start[part].astype(np.int32)), pa.array(f[part].astype(np.int64)), pa.nulls(n, pa.binary()),
+                        ], _NAMES)
+
+        held, size = {}, 0
         for batch in batches:
-            for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
-                line += pool.line(lang, text)
-                line.append(-1)
-                if len(line) >= TOKENS:
-                    yield from flush()
-        if line:
-            yield from flush()
+            langs, texts = batch.column("lang"), batch.column("text")
+            for lang in langs.unique().to_pylist():
+                held.setdefault(lang, []).append(texts.filter(pc.equal(langs, lang)))
+            size += texts.nbytes
+            if size >= FLUSH_BYTES:
+                yield from flush(held)
+                held, size = {}, 0
+        yield from flush(held)
         for at in range(0, len(met), PAIR_CHUNK):
             part = met[at:at + PAIR_CHUNK]
             if part.any():

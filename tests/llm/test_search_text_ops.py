@@ -125,11 +125,10 @@ def _phrase_docs():
 
 @pytest.mark.parametrize("bits", [24, 3])
 def test_collocations(spark, bits, monkeypatch):
-    monkeypatch.setattr(phrases, "TOKENS", 500)
+    monkeypatch.setattr(phrases, "FLUSH_BYTES", 3000)
     monkeypatch.setattr(phrases, "PAIR_CHUNK", 32)
     if bits == 3:  # every pair shares its bucket with others, and all places are taken
         monkeypatch.setattr(phrases, "PAIR_BITS", 4)
-    monkeypatch.setattr(phrases, "WORDS", 40)
     docs = _phrase_docs()
     df = spark.createDataFrame([(i, t, lang, 1, "q") for i, (t, lang) in enumerate(docs)],
                                "doc_id long, text string, lang string, k int, phrase string").repartition(3)
