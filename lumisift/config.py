@@ -1,4 +1,6 @@
-"""Small caller-supplied dimensions. They are folded into column expressions, so they never cause a shuffle."""
+"""Caller-supplied dimensions as lists. They are folded into column expressions, so they never cause a shuffle; work per
+row and planning time grow with them. For dimensions of many thousand rows ``operators/table_match.py`` has the same
+matches as joins with tables."""
 
 from __future__ import annotations
 
@@ -9,8 +11,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-MAX_DIMENSION_ROWS = 5_000
-
 
 @dataclass(frozen=True)
 class Category:
@@ -96,26 +96,21 @@ CATEGORY_SCHEMA = T.StructType(
 )
 
 
-def check_size(items: Iterable, what: str, limit: int = MAX_DIMENSION_ROWS) -> list:
-    """Dimensions become literals in the plan, so their size is bounded here."""
-    rows = list(items)
-    if len(rows) > limit:
-        raise ValueError(f"{what}: {len(rows)} entries, at most {limit} fit into an expression; pass a table and join")
-    return rows
+def as_list(items: Iterable) -> list:
+    return list(items)
 
 
 def category_table(spark, categories: Iterable[Category]) -> DataFrame:
     """Categories as a local relation with their order; Spark knows its exact size and broadcasts it by itself."""
     rows = [
         (i, c.id, c.label, c.target, c.video_target)
-        for i, c in enumerate(check_size(categories, "categories"))
+        for i, c in enumerate(as_list(categories))
     ]
     return spark.createDataFrame(rows, CATEGORY_SCHEMA)
 
 
 def lookup(column: Column, pairs: dict, what: str = "lookup") -> Column:
     """Map literal lookup; null when the key is unknown."""
-    check_size(pairs, what)
     if not pairs:
         return F.lit(None)
     entries = [F.lit(x) for pair in pairs.items() for x in pair]
@@ -123,11 +118,12 @@ def lookup(column: Column, pairs: dict, what: str = "lookup") -> Column:
 
 
 def categories_from_rows(df: DataFrame) -> list[Category]:
-    """Read a category table (columns as in ``Category`` plus ``ord``) into the bounded list form."""
-    rows = df.orderBy("ord").limit(MAX_DIMENSION_ROWS + 1).collect()
+    """Read a category table (columns as in ``Category`` plus ``ord``) into the list form; all of it passes the driver, so
+    match a large one as a table instead."""
+    rows = df.orderBy("ord").collect()
     names = set(Category.__dataclass_fields__)
     found = []
-    for row in check_size(rows, "categories"):
+    for row in as_list(rows):
         values = {k: v for k, v in row.asDict().items() if k in names and v is not None}
         if "keywords" in values:
             values["keywords"] = tuple(values["keywords"])

@@ -441,13 +441,18 @@ def infer_categories(df: DataFrame, target: int = 75) -> DataFrame:
 
 
 def resolve_categories(configured: list[Category], template: list[Category], df: DataFrame, target: int = 75) -> list[Category]:
-    """Configured list, else the template's, else the ones in the data (bounded, checked on the way in)."""
+    """Configured list, else the template's, else the ones in the data, all of which pass the driver; see
+    ``resolve_category_table`` for any number."""
     if configured or template:
         return list(configured or template)
-    from ..config import check_size, MAX_DIMENSION_ROWS
+    return [Category(r["id"], r["id"], target) for r in infer_categories(df, target).collect()]
 
-    rows = infer_categories(df, target).limit(MAX_DIMENSION_ROWS + 1).collect()
-    return [Category(r["id"], r["id"], target) for r in check_size(rows, "categories")]
+
+def resolve_category_table(configured: list[Category], template: list[Category], df: DataFrame, target: int = 75) -> DataFrame:
+    """(id, display, target) by the same precedence, as a table: categories in the data stay on the cluster."""
+    if configured or template:
+        return category_table(df.sparkSession, configured or template).select("id", "display", "target")
+    return infer_categories(df, target)
 
 
 def fingerprint(df: DataFrame, name: str, size: str, changed: str, by: list[str] | None = None) -> DataFrame:

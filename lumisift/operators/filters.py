@@ -7,7 +7,7 @@ from typing import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..config import check_size
+from ..config import as_list
 from ..functions.names import normalize_path
 from ..functions.numbers import col
 
@@ -16,9 +16,11 @@ def exclude_paths(df: DataFrame, substrings: Iterable[str] = (), folders: Iterab
     """Drop files whose path contains a substring or lies below one of the named folders."""
     path = normalize_path("path")
     keep = F.lit(True)
-    for text in check_size(substrings, "substrings"):
-        keep &= ~F.contains(path, F.lit(text))
-    names = check_size(folders, "folders")
+    texts = as_list(substrings)
+    if texts:
+        # one test over a constant array, however many there are
+        keep &= ~F.exists(F.array(*[F.lit(t) for t in texts]), lambda t: F.contains(path, t))
+    names = as_list(folders)
     if names:
         keep &= ~F.arrays_overlap(F.split(path, "/"), F.array(*[F.lit(n) for n in names]))
     return df.filter(keep)
@@ -234,7 +236,7 @@ def score_range(df: DataFrame, score: str, below: float | None = None, above: fl
 
 def selection_reason(fallback_categories: Iterable[str] = (), blur_threshold: float = 50.0) -> Column:
     """Why a row is no selection candidate, or null; fallback categories also take rows without the target."""
-    fallback = F.col("category").isin(*check_size(fallback_categories, "fallback categories"))
+    fallback = F.col("category").isin(*as_list(fallback_categories))
     target = F.coalesce(F.col("has_target_face"), F.lit(False))
     return first_reason(
         ("video", F.col("media_type") == "video"),

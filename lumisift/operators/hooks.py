@@ -7,7 +7,7 @@ from typing import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..config import check_size
+from ..config import as_list
 
 
 def score_with(df: DataFrame, scorer, inputs: list[str], name: str, only: Column | None = None) -> DataFrame:
@@ -21,7 +21,7 @@ def score_with(df: DataFrame, scorer, inputs: list[str], name: str, only: Column
 
 def unsafe(detections: Column | str, classes: Iterable[str], minimum: float = 0.6) -> Column:
     """True when some detection (class, score) of a listed class reaches the minimum."""
-    listed = check_size(classes, "classes")
+    listed = as_list(classes)
     column = F.col(detections) if isinstance(detections, str) else detections
     return F.exists(
         F.coalesce(column, F.array().cast("array<struct<class:string,score:double>>")),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 from typing import Iterable
 
@@ -10,12 +11,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..config import Category, check_size, lookup
+from ..config import Category, as_list, lookup
 from ..functions.names import normalize_path, stem
 from ..functions.numbers import col, half_even
 from ..session import cut_lineage
 from .keys import join_by
+from .places import nearest_place  # noqa: F401
 
+# lists beyond this length travel as one constant array
+LONG_LIST = 200
 MAX_EPOCH = 9_000_000_000_000  # seconds that a timestamp can hold
 
 
@@ -102,30 +106,45 @@ def bracket_of(days: Column | str, categories: Iterable[Category], mode: str = "
     last bracket. ``ladder``: first bracket whose upper end is not below the age, else the last one.
     """
     days = col(days)
-    cats = [c for c in check_size(categories, "categories") if c.age_days_to is not None]
+    cats = [c for c in as_list(categories) if c.age_days_to is not None]
     if mode == "half_open":
         cats = [c for c in cats if c.age_days_from is not None]
-        hits = [F.when((days >= c.age_days_from) & (days < c.age_days_to), F.lit(c.id)) for c in cats]
-        return F.when(days >= 0, F.coalesce(*hits))
+    if not cats:
+        return F.lit(None).cast("string")
+    age = F.greatest(days, F.lit(0)) if mode == "closed_clamped" else days
+
+    def inside(low, high) -> Column:
+        if mode == "half_open":
+            return (age >= low) & (age < high)
+        return (age >= low) & (age <= high) if mode == "closed_clamped" else age <= high
+
+    if len(cats) <= LONG_LIST:
+        hit = F.coalesce(*[F.when(inside(F.lit(c.age_days_from), F.lit(c.age_days_to)), F.lit(c.id)) for c in cats])
+    else:  # one constant array instead of as many branches
+        rows = json.dumps([[c.age_days_from, c.age_days_to, c.id] for c in cats])
+        table = F.transform(F.from_json(F.lit(rows), "array<array<string>>"), lambda t: F.struct(
+            F.get(t, 0).cast("int").alias("low"), F.get(t, 1).cast("int").alias("high"), F.get(t, 2).alias("id")))
+        hit = F.get(F.filter(table, lambda t: inside(t["low"], t["high"])), 0)["id"]
+    if mode == "half_open":
+        return F.when(days >= 0, hit)
     if mode == "closed_clamped":
-        age = F.greatest(days, F.lit(0))
-        hits = [F.when((age >= c.age_days_from) & (age <= c.age_days_to), F.lit(c.id)) for c in cats]
         past = F.when(age > cats[-1].age_days_to, F.lit(cats[-1].id)).otherwise(F.lit(cats[0].id))
-        return F.when(days.isNotNull(), F.coalesce(*hits, past))
-    hits = [F.when(days <= c.age_days_to, F.lit(c.id)) for c in cats]
-    return F.when(days >= 0, F.coalesce(*hits, F.lit(cats[-1].id)))
+        return F.when(days.isNotNull(), F.coalesce(hit, past))
+    return F.when(days >= 0, F.coalesce(hit, F.lit(cats[-1].id)))
 
 
 def keyword_match(text: Column | str, categories: Iterable[Category]) -> Column:
     """Category with the most keywords contained in the text; ties go to the first, no hit gives null."""
     text = F.lower(normalize_path(text))
     scored = []
-    for i, c in enumerate(check_size(categories, "categories")):
+    for i, c in enumerate(as_list(categories)):
         if not c.keywords:
             continue
-        hits = reduce(
-            lambda a, b: a + b, [F.contains(text, F.lit(k.lower())).cast("int") for k in c.keywords]
-        )
+        if len(c.keywords) <= 50:
+            hits = reduce(lambda a, b: a + b, [F.contains(text, F.lit(k.lower())).cast("int") for k in c.keywords])
+        else:  # a long sum is a deep expression; a null text still has no hits to count
+            words = F.array(*[F.lit(k.lower()) for k in c.keywords])
+            hits = F.when(text.isNotNull(), F.size(F.filter(words, lambda w: F.contains(text, w))))
         scored.append(F.struct(hits.alias("hits"), F.lit(-i).alias("ord"), F.lit(c.id).alias("id")))
     if not scored:
         return F.lit(None).cast("string")
@@ -149,7 +168,7 @@ def day_time_match(at: Column | str, text: Column | str, categories: Iterable[Ca
     """Category by day offset and time window (both ends included, wrapping past midnight), first in list order;
     then the thematic categories (offset -1)."""
     at = col(at)
-    cats = check_size(categories, "categories")
+    cats = as_list(categories)
     day = F.datediff(F.to_date(at), F.to_date(F.lit(event_date)))
     second = (
         F.hour(at) * 3600 + F.minute(at) * 60 + F.extract(F.lit("SECOND"), at).cast("double")
@@ -168,7 +187,7 @@ def day_time_match(at: Column | str, text: Column | str, categories: Iterable[Ca
 def month_match(date: Column | str, text: Column | str, categories: Iterable[Category], year: int | None = None) -> Column:
     """Category by month: keyword categories of the whole year first, then month ranges, then the whole-year rest."""
     date = col(date)
-    cats = [c for c in check_size(categories, "categories") if c.month_from is not None and c.month_to is not None]
+    cats = [c for c in as_list(categories) if c.month_from is not None and c.month_to is not None]
     full = [c for c in cats if (c.month_from, c.month_to) == (1, 12)]
     month = F.month(date)
     ranges = [
@@ -184,7 +203,6 @@ def dictionary_lookup(text: Column | str, entries: dict[str, object], per_part:
     """Value of the first entry contained in the text; ``per_part`` walks the path parts first."""
     text = normalize_path(text)
     pairs = [(k, v) for k, v in entries.items() if v is not None]
-    check_size(pairs, "dictionary")
 
     def first_hit(part: Column) -> Column:
         return F.coalesce(*[F.when(F.contains(part, F.lit(k)), F.lit(v)) for k, v in pairs])
@@ -288,77 +306,6 @@ def vector_coverage(assets: DataFrame, vectors: DataFrame, key: str = "hash") ->
     ).withColumn("consistent", (F.col("missing_images") == 0) & (F.col("missing_videos") == 0))
 
 
-def nearest_place(
-    points: DataFrame,
-    places: DataFrame,
-    overrides: dict[str, str] | None = None,
-    lat: str = "lat",
-    lon: str = "lon",
-    name: str = "location",
-) -> DataFrame:
-    """Nearest place of each point as ``"name, CC"``; null for a point without coordinates.
-
-    Points and places are put on the unit sphere and hashed into cubes. A place found at a chord not longer than
-    the cube side is certainly the nearest, because the 27 cubes around a point cover that radius; other points
-    move on to larger cubes, the last of which cover the whole sphere. Each cube's places travel as one array, so
-    a crowded cube costs one joined row per point. Distinct coordinates are looked up once; every level is
-    checkpointed, and the larger cubes are only built when points are left.
-    """
-
-    def xyz(la: Column, lo: Column) -> list[Column]:
-        a, o = F.radians(la), F.radians(lo)
-        return [F.cos(a) * F.cos(o), F.cos(a) * F.sin(o), F.sin(a)]
-
-    axes = ("_x", "_y", "_z")
-    located = points.select(lat, lon).distinct().filter(F.col(lat).isNotNull() & F.col(lon).isNotNull())
-    pending = located.withColumns(dict(zip(axes, xyz(F.col(lat), F.col(lon)))))
-    target = places.select(
-        "place_id", F.col("name").alias("_name"), F.col("cc").alias("_cc"),
-        *[c.alias(a) for a, c in zip(("_px", "_py", "_pz"), xyz(F.col("lat"), F.col("lon")))],
-    )
-    found = None
-    # cube sides on the unit sphere: about 130, 380, 1270, 3800 km, then everything
-    for side in (0.02, 0.06, 0.2, 0.6, 2.0):
-        last = side == 2.0
-        cells = [F.floor(F.col(a) / side).cast("int") for a in ("_px", "_py", "_pz")]
-        near = F.sequence(F.lit(-1), F.lit(1))
-        spread = target.withColumns(dict(zip(("_cx", "_cy", "_cz"), cells)))
-        for c in ("_cx", "_cy", "_cz"):
-            spread = spread.withColumn("_d", F.explode(near)).withColumn(c, F.col(c) + F.col("_d")).drop("_d")
-        cubes = spread.groupBy("_cx", "_cy", "_cz").agg(
-            F.collect_list(F.struct("_px", "_py", "_pz", "place_id", "_name", "_cc")).alias("_places")
-        )
-        own = pending.withColumns(
-            {c: F.floor(F.col(a) / side).cast("int") for c, a in zip(("_cx", "_cy", "_cz"), axes)}
-        )
-        joined = own.join(cubes, ["_cx", "_cy", "_cz"], "left")
-
-        def chord(p: Column) -> Column:
-            d = [F.col(a) - p.getField(b) for a, b in zip(axes, ("_px", "_py", "_pz"))]
-            return d[0] * d[0] + d[1] * d[1] + d[2] * d[2]
-
-        best = F.array_min(
-            F.transform(
-                F.col("_places"),
-                lambda p: F.struct(
-                    # equal distances differ in the last bits; the id decides
-                    F.rint(chord(p) * 1e12).alias("d"), p.getField("place_id").alias("id"),
-                    p.getField("_name").alias("name"), p.getField("_cc").alias("cc"),
-                ),
-            )
-        )
-        tried = cut_lineage(joined.select(lat, lon, *axes, best.alias("_best")))
-        sure = F.col("_best").isNotNull() & (F.lit(last) | (F.col("_best.d") <= side * side * 1e12))
-        hit = tried.filter(sure).select(lat, lon, "_best")
-        found = hit if found is None else found.unionByName(hit)
-        pending = tried.filter(~sure).select(lat, lon, *axes)
-        if pending.isEmpty():
-            break
-    cc = F.coalesce(lookup(F.col("_best.cc"), overrides, "overrides"), F.col("_best.cc")) if overrides else F.col("_best.cc")
-    named = found.select(lat, lon, F.concat_ws(", ", F.col("_best.name"), cc).alias(name))
-    return points.join(named, [lat, lon], "left")
-
-
 def match_faces(
     faces: DataFrame,
     references: DataFrame,

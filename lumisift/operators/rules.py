@@ -8,7 +8,7 @@ from typing import Iterable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..config import Category, Rule, check_size
+from ..config import Category, Rule, as_list
 from ..functions.names import STOP_WORDS, folder_of, normalize_path
 from ..functions.numbers import col
 from .joins import keyword_match
@@ -81,7 +81,7 @@ def rule_scores(
     The rules are literals of the expression, so scoring is one projection over the catalog without any shuffle.
     """
     known = None if categories is None else {c.id for c in categories}
-    listed = [r for r in check_size(rules, "rules", 500) if known is None or r.category in known]
+    listed = [r for r in as_list(rules) if known is None or r.category in known]
     tag_list = F.coalesce(F.col(tags), F.array().cast("array<string>"))
     has_tags = F.size(tag_list) > 0
     text = F.concat_ws(" ", F.lower(normalize_path(F.coalesce(F.col(path), F.lit("")))),
@@ -174,7 +174,7 @@ def categorize_heuristic(
     tags: str = "tags", path: str = "path", filename: str = "filename", sharpness: str = "sharpness",
 ) -> Column:
     """Rules first; without rules: keywords and title words, then the number of faces, then the first category."""
-    cats = check_size(categories, "categories")
+    cats = as_list(categories)
     listed = list(rules)
     if listed:
         scores = rule_scores(listed, families, cats, tags, path, filename, sharpness)
@@ -210,7 +210,7 @@ def needs_refinement(category: Column | str, categories: Iterable[Category]) ->
 
 def refine_thematic(text: Column | str, categories: Iterable[Category]) -> Column:
     """Better thematic category by keywords, then by the number of faces; null when there is none."""
-    cats = check_size(categories, "categories")
+    cats = as_list(categories)
     if len(cats) <= 1:
         return F.lit(None).cast("string")
     return F.coalesce(

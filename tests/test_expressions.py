@@ -5,8 +5,8 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from lumisift.config import Category, Rule, check_size
-from lumisift.operators import hooks, joins, preference, rules, windows
+from lumisift.config import Category, Rule, lookup
+from lumisift.operators import filters, hooks, joins, preference, rules, windows
 
 
 def test_scorer_sees_only_the_wanted_rows(spark):
@@ -102,9 +102,16 @@ def test_refinement_flags(spark):
     assert got == [False, True, True, False]
 
 
-def test_dimensions_are_bounded():
-    with pytest.raises(ValueError):
-        check_size(range(6000), "categories")
+def test_dimensions_beyond_five_thousand(spark):
+    cats = [Category(f"c{i}", age_days_from=i, age_days_to=i + 1) for i in range(5200)]
+    words = [Category("many", keywords=tuple(f"w{i}x" for i in range(6000))), Category("two", keywords=("w7x", "w8x"))]
+    df = spark.createDataFrame([(0, "a/w7x"), (5199, "w8x w9x w7x"), (5200, None), (None, "none")], "days int, path string")
+    got = df.select(
+        joins.bracket_of("days", cats).alias("b"), joins.keyword_match("path", words).alias("k"),
+        lookup(F.col("days"), {i: i * 2 for i in range(6000)}).alias("l")).collect()
+    assert [tuple(r) for r in got] == [("c0", "many", 0), ("c5199", "many", 10398), (None, None, 10400), (None, None, None)]
+    left = filters.exclude_paths(df.filter("path is not null"), [f"w{i}x" for i in range(8, 6008)], ["zz"])
+    assert sorted(r.path for r in left.collect()) == ["a/w7x", "none"]
 
 
 def test_references_beyond_a_block(spark):
@@ -119,9 +126,11 @@ def test_references_beyond_a_block(spark):
     assert none == {1: (2, []), 2: (2, []), 3: (2, [])}
 
 
-def test_vocabulary_guard(spark):
+def test_vocabulary_of_any_size(spark):
     from lumisift.operators.similarity import tag_similarity
 
-    faces = spark.range(1).select(F.col("id").alias("hash"), F.array(F.lit(1.0)).alias("enc"))
-    with pytest.raises(ValueError):
-        tag_similarity(faces, [("a", "b", [1.0] * 10)] * 10, "hash", "enc", max_bytes=100)
+    faces = spark.range(1).select(F.col("id").alias("hash"), F.array_repeat(F.lit(1.0), 10).alias("enc"))
+    vocabulary = [(f"t{i}", "b", [float(i)] * 10) for i in range(10)]
+    whole = tag_similarity(faces, vocabulary, "hash", "enc").collect()
+    assert [t.tag for t in whole[0].scores] == [f"t{i}" for i in range(9, -1, -1)]
+    assert tag_similarity(faces, vocabulary, "hash", "enc", max_bytes=100).collect() == whole
