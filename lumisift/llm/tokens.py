@@ -126,9 +126,18 @@ class _Pieces:
         return out
 
 
-def _chunks(wide: DataFrame, path: str, chunk: int) -> DataFrame:
+def _piece_starts(pieces: _Pieces, text: str) -> tuple[list[int], list[int]]:
+    """(offset of each piece of a text, tokens before it); at the end the length and the tokens of the text."""
+    parts = PIECE.split(text)
+    different = list(set(parts))
+    known = dict(zip(different, pieces._of(different)))
+    starts = [0, *(m.start() for m in PIECE.finditer(text)), len(text)]
+    return starts, [0, *np.cumsum([known[p] for p in parts]).tolist()]
+
+
+def _chunks(wide: DataFrame, path: str, chunk: int, by_piece: bool) -> DataFrame:
     """(row, k, n, head, tail) for each chunk; head and tail are the word starts in the overlaps, with the tokens
-    before each."""
+    before each. With ``by_piece`` only the starts of pieces, which the characters beside them prove."""
     starts = F.explode(F.sequence(F.lit(0).cast("long"), F.col("chars") - 1, F.lit(chunk).cast("long"))).alias("at")
     pieces = wide.select("row", "chars", "overlap", "text", starts).select(
         "row", "at", "overlap", (F.col("at") + chunk + F.col("overlap") >= F.col("chars")).alias("last"),
@@ -137,9 +146,17 @@ def _chunks(wide: DataFrame, path: str, chunk: int) -> DataFrame:
 
     def encode(batches):
         tokenizer = _load(path)
+        pieces = _Pieces(tokenizer)
         for pdf in batches:
             out = []
             for row, at, overlap, last, text in pdf[["row", "at", "overlap", "last", "text"]].itertuples(index=False):
+                if by_piece:
+                    starts, before = _piece_starts(pieces, text)
+                    inner = list(zip(starts, before))[1:-1]
+                    head = [list(x) for x in inner if x[0] <= overlap] if at else []
+                    tail = [] if last else [list(x) for x in inner if chunk <= x[0] <= len(text) - MARGIN]
+                    out.append((row, at, last, before[-1], head, tail))
+                    continue
                 e = tokenizer.encode(text, add_special_tokens=False)
                 head = _boundaries(e, 0, 0, overlap) if at else []
                 high = len(text) - MARGIN
@@ -233,17 +250,18 @@ def token_counts(
     # the id of a huge text's row; a reliable copy, because the number must not change when a task runs again
     huge = sized.filter(length > chunk).withColumn("chars", length)
     huge = keep(huge.withColumn("row", F.monotonically_increasing_id()))
-    result, wide = small, overlap
+    result, wide, quick = small, overlap, by_piece
     open_ = huge.withColumn("overlap", F.lit(wide).cast("long"))
     longest = huge.agg(F.max("chars")).first()[0]
     while longest is not None:
-        counted = keep(_splice(_chunks(open_, tokenizer_path, chunk), chunk))
+        counted = keep(_splice(_chunks(open_, tokenizer_path, chunk, quick), chunk))
         done = counted.filter(F.col("n").isNotNull())
         result = result.unionByName(
             huge.select("row", "doc_id", "n_bytes").join(done, "row").select("doc_id", "n_bytes", F.col("n").alias("n_tokens")))
         left = counted.filter(F.col("n").isNull()).select("row")
-        if wide >= longest or left.isEmpty():
+        if left.isEmpty() or not quick and wide >= longest:
             break
-        wide *= 2
+        # starts of pieces were not enough somewhere: all word starts, then wider overlaps
+        wide, quick = (wide, False) if quick else (wide * 2, False)
         open_ = huge.join(left, "row", "left_semi").withColumn("overlap", F.lit(wide).cast("long"))
     return result
