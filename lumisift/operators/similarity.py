@@ -503,10 +503,12 @@ def with_earlier_match(
 
 
 def distance_statistics(df: DataFrame, key: str, vec: str, by: list[str]) -> DataFrame:
-    """Mean, smallest and largest Euclid distance over all pairs of each group, summed up inside the tasks."""
-    # a distance to a zero vector is a distance, so only unusable vectors are left out; groups compare one length
+    """Mean, smallest and largest Euclid distance over all pairs of each group that have one length, summed up inside the
+    tasks. Vectors that are null or hold a null take no part; a group without a pair has no row."""
+    # a distance to a zero vector is a distance
     rows = df.filter(F.col(vec).isNotNull() & ~F.exists(F.col(vec), lambda x: x.isNull())).select(
-        F.col(key).alias("_id"), *by, F.col(vec).alias("_v"))
+        F.col(key).alias("_id"), *by, F.size(vec).alias("_len"), F.col(vec).alias("_v"))
+    keys = [*by, "_len"]
 
     def reduce(block: _Block) -> dict:
         other = block.a if block.own else block.b
@@ -519,7 +521,7 @@ def distance_statistics(df: DataFrame, key: str, vec: str, by: list[str]) -> Dat
         return {"n": [len(d)], "total": [d.sum()], "low": [d.min()], "high": [d.max()]}
 
     fields = [T.StructField("n", T.LongType())] + [T.StructField(c, T.DoubleType()) for c in ("total", "low", "high")]
-    parts = _run(_self_tasks(_placed(rows, by, None, 0.0, False), by, CHUNK_ROWS), by, fields, reduce)
+    parts = _run(_self_tasks(_placed(rows, keys, None, 0.0, False), keys, CHUNK_ROWS), keys, fields, reduce)
     return parts.groupBy(*by).agg(
         (F.sum("total") / F.sum("n")).alias("mean_dist"), F.min("low").alias("min_dist"), F.max("high").alias("max_dist")
     )

@@ -456,3 +456,18 @@ def test_tags_in_blocks_and_unusable_vectors(spark):
     assert [r.id for r in whole] == [1, 2] and [t.tag for t in whole[0].scores] == [f"t{i}" for i in range(6, -1, -1)]
     assert sorted(s.tag_similarity(df, vocabulary, "id", "v", max_bytes=32).collect()) == whole
     assert s.tag_similarity(df, [], "id", "v").collect()[0].scores == []
+
+
+def test_mixed_lengths_and_null_elements(spark):
+    rows = [(1, [1.0, 0.0, 0.0], "a"), (2, [1.0], "a"), (3, [0.0, 1.0], "a"), (4, [1.0, 0.0], "a"), (5, [0.6, 0.8], "a"), (6, [None, 1.0], "a"),
+            (7, None, "a"), (8, [0.6, 0.8], "b"), (9, [0.8, 0.6], "b"), (10, [1.0], "b"), (11, [], "a")]
+    df = spark.createDataFrame(rows, "id int, v array<double>, g string")
+    for k in (20, None):
+        picked = greedy.greedy_diverse(df, ["id"], 0.9, k, "id", "v").select("id").collect()
+        assert sorted(r.id for r in picked) == [1, 2, 3, 4, 5, 6, 11]
+        grouped = greedy.greedy_diverse(df, ["id"], 0.9, k, "id", "v", ["g"]).select("id").collect()
+        assert sorted(r.id for r in grouped) == [1, 2, 3, 4, 5, 6, 8, 10, 11]
+    got = {r.g: (round(r.mean_dist, 9), round(r.min_dist, 9), round(r.max_dist, 9)) for r in s.distance_statistics(df, "id", "v", ["g"]).collect()}
+    near = [np.sqrt(2), np.sqrt(0.36 + 0.04), np.sqrt(0.16 + 0.64)]
+    assert got == {"a": (round(float(np.mean(near)), 9), round(float(min(near)), 9), round(float(max(near)), 9)),
+                   "b": (round(float(np.sqrt(0.08)), 9),) * 3}
