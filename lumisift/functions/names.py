@@ -57,19 +57,26 @@ LONG_DIGITS = 18
 def burst_key(path: Column | str) -> Column:
     """(folder, prefix, seq) of a camera file name with at least three digits before the extension, else null."""
     path = col(path)
-    name = basename(path)
-    body = F.when(name.rlike(r"\.[a-zA-Z]+$"), F.regexp_replace(name, r"\.[a-zA-Z]+$", ""))
-    digits = F.regexp_extract(body, r"(\d+)$", 1)
-    # a long holds 18 digits; what is before them goes to the prefix, so neighbours still share it
-    tail = F.least(F.length(digits), F.lit(LONG_DIGITS))
-    return F.when(
-        F.length(digits) >= 3,
-        F.struct(
-            folder_of(path).alias("folder"),
-            F.substring(body, F.lit(1), F.length(body) - tail).alias("prefix"),
-            F.right(digits, tail).cast("long").alias("seq"),
-        ),
-    )
+
+    # arrays of one element name a value, so that each pattern runs once for a row
+    def parts(body: Column, digits: Column) -> Column:
+        # a long holds 18 digits; what is before them goes to the prefix, so neighbours still share it
+        tail = F.least(F.length(digits), F.lit(LONG_DIGITS))
+        return F.when(
+            F.length(digits) >= 3,
+            F.struct(
+                folder_of(path).alias("folder"),
+                F.substring(body, F.lit(1), F.length(body) - tail).alias("prefix"),
+                F.right(digits, tail).cast("long").alias("seq"),
+            ),
+        )
+
+    def with_digits(body: Column) -> Column:
+        return F.get(F.transform(F.array(F.regexp_extract(body, r"(\d+)$", 1)), lambda digits: parts(body, digits)), 0)
+
+    # without an extension the body is empty, and so are its digits
+    body = F.regexp_extract(basename(path), r"(?s)^(.*)\.[a-zA-Z]+$", 1)
+    return F.get(F.transform(F.array(body), with_digits), 0)
 
 
 def trailing_number(name: Column | str) -> tuple[Column, Column]:
