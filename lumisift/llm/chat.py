@@ -59,13 +59,21 @@ LAYOUTS = (
 
 
 def choose_layout(schema: T.StructType, layouts=LAYOUTS) -> Layout:
-    """The layout whose fingerprint equals that of the schema's known paths; paths that no layout names don't count."""
+    """The layout whose fingerprint the schema's paths give, or else contain: of several the one with the most paths, on
+    ties the first of the list. So columns beside a layout, named like fields of another or not, do not matter."""
+    mine = set(field_paths(schema))
     known = {p for layout in layouts for p in layout.paths()}
-    mine = fingerprint([p for p in field_paths(schema) if p in known])
+    exact = fingerprint([p for p in mine if p in known])
+    best = None
     for layout in layouts:
-        if fingerprint(layout.paths()) == mine:
+        own = layout.paths()
+        if fingerprint(own) == exact:
             return layout
-    raise ValueError(f"no layout has the paths {sorted(p for p in field_paths(schema) if p in known)}")
+        if fingerprint([p for p in own if p in mine]) == fingerprint(own) and (best is None or len(set(own)) > len(set(best.paths()))):
+            best = layout
+    if best is None:
+        raise ValueError(f"no layout has the paths {sorted(mine & known)}")
+    return best
 
 
 def _role(value: Column, layout: Layout) -> Column:

@@ -70,7 +70,23 @@ def bound(q: np.ndarray, q_radius: float, c: np.ndarray, c_radius) -> np.ndarray
     """Largest inner product of any point within q_radius of q with any within c_radius of a row of c."""
     nq, nc = math.sqrt(float(q @ q)), np.sqrt(np.einsum("ij,ij->i", c, c))
     value = c @ q + q_radius * nc + c_radius * nq + q_radius * c_radius
-    return value + 1e-9 * np.abs(value) + 1e-6
+    # rounding grows with the terms of the sum, not with what is left of it
+    return value + 1e-9 * np.abs(value) + 1e-12 * nq * nc + 1e-6
+
+
+def inner_products(q: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Exact integer products of rows of whole numbers, queries x candidates: in doubles while every sum stays below
+    2^53, in 64-bit integers below 2^63, else in Python's integers (scores beyond 2^62 are reported as 2^62 - 1, with their
+    sign)."""
+    most = float(np.abs(q).max(initial=0)) * float(np.abs(c).max(initial=0)) * max(1, q.shape[1])
+    if most < 1 << 53:
+        return np.rint(q @ c.T).astype(np.int64)
+    if most < 1 << 62:
+        return q.astype(np.int64) @ c.astype(np.int64).T
+    big = [[int(x) for x in row] for row in c]
+    out = [[sum(x * y for x, y in zip(map(int, row), other)) for other in big] for row in q]
+    limit = (1 << 62) - 1
+    return np.array([[max(-limit, min(limit, x)) for x in row] for row in out], np.int64).reshape(len(q), len(c))
 
 
 class Best:
@@ -120,8 +136,7 @@ def dual_search(queries: CoverTree, cands: CoverTree, cand_ids: np.ndarray, best
             continue
         if queries.rows[q] is not None and cands.rows[c] is not None:
             mine = cands.rows[c]
-            scores = queries.points[rows] @ cands.points[mine].T
-            best.add(rows, np.rint(scores).astype(np.int64), cand_ids[mine])
+            best.add(rows, inner_products(queries.points[rows], cands.points[mine]), cand_ids[mine])
             continue
         # the wider node is split
         if cands.rows[c] is None and (queries.rows[q] is not None or cands.radius[c] >= queries.radius[q]):
@@ -149,7 +164,7 @@ def _prepared(vectors: DataFrame, key: str, vector: str, factor: int) -> DataFra
     bad = F.exists(v, lambda x: x.isNull() | F.isnan(x.cast("double")) | (F.abs(x.cast("double")) == float("inf")))
     rows = vectors.select(F.col(key).cast("long").alias("vec_id"), v.alias("_v"), bad.alias("_bad")).filter(
         F.col("vec_id").isNotNull() & F.col("_v").isNotNull() & ~F.col("_bad"))
-    # a component beyond 2^20 could not be summed exactly in doubles; such a table needs a smaller factor
+    # a double times a power of two, rounded down, is a double again: components stay exact, sums see inner_products
     ints = quantise(F.col("_v"), factor)
     return rows.select("vec_id", ints.alias("v")).groupBy("vec_id").agg(F.min("v").alias("v")).select(
         "vec_id", F.size("v").alias("dim"), "v")

@@ -134,6 +134,25 @@ def _plain_records(data: bytes, base: int, gaps: list):
         at = stop
 
 
+# bytes that are given to the decompressor at once
+_FEED = 1 << 16
+
+
+def _member(data: bytes, start: int) -> tuple[bytes, int, str | None]:
+    """(content, end, problem) of the gzip member at ``start``; the rest of the archive is not copied."""
+    machine, view, parts, at = zlib.decompressobj(31), memoryview(data), [], start
+    try:
+        while at < len(data) and not machine.eof:
+            part = view[at:at + _FEED]
+            parts.append(machine.decompress(part))
+            at += len(part)
+    except zlib.error:
+        return b"".join(parts), at, "damaged"
+    if not machine.eof:
+        return b"".join(parts), at, "cut off"
+    return b"".join(parts), at - len(machine.unused_data), None
+
+
 def salvage(data: bytes) -> tuple[list, list]:
     """([(fields, payload)], [(offset, length, reason)]) of a plain or member-compressed archive.
 
@@ -152,19 +171,22 @@ def salvage(data: bytes) -> tuple[list, list]:
             gaps.append((at, end - at, "no gzip member"))
             if member < 0:
                 break
-        machine = zlib.decompressobj(31)
-        try:
-            content = machine.decompress(data[member:])
-            if not machine.eof:
-                raise zlib.error("cut off")
-        except zlib.error:
-            after = data.find(_GZIP, member + 1)
-            end = after if after >= 0 else len(data)
-            gaps.append((member, end - member, "broken gzip member"))
+        content, end, problem = _member(data, member)
+        found, inner = [], []
+        found.extend(_plain_records(content, 0, inner))
+        if problem is None:
+            records.extend(found)
+            gaps.extend(inner)
             at = end
             continue
-        records.extend(_plain_records(content, 0, gaps))
-        at = len(data) - len(machine.unused_data)
+        # whole records in front of the damage are kept: all of a member that is only cut off, of a damaged one those
+        # whose digest was checked
+        records.extend(r for r in found if problem == "cut off" or r[0].get("warc-type") == "response" and r[0].get(
+            "warc-payload-digest", "").startswith("sha1:"))
+        after = data.find(_GZIP, member + 1)
+        end = after if after >= 0 else len(data)
+        gaps.append((member, end - member, "broken gzip member"))
+        at = end
     return records, gaps
 
 

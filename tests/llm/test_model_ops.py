@@ -165,3 +165,19 @@ def test_pipeline_stages(spark):
     empty = spark.createDataFrame([], docs.schema)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, SF).count() == 0
+
+
+def test_products_beyond_doubles():
+    rng = np.random.default_rng(2)
+    for size in (1 << 10, 1 << 25, 1 << 30, 1 << 40):
+        q, c = (rng.integers(-size, size, (3, 5)).astype(np.float64) for _ in range(2))
+        limit = (1 << 62) - 1
+        want = [[max(-limit, min(limit, sum(int(x) * int(y) for x, y in zip(a, b)))) for b in c] for a in q]
+        assert topk.inner_products(q, c).tolist() == want
+
+
+def test_scores_beyond_doubles(spark):
+    rows = [(0, [float(2**20), 1.0 / 256]), (1, [float(2**20), 1.0 / 256]), (2, [float(2**20), 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {(r.vec_id, r.score) for r in topk.top_k(df, F.col("vec_id") == 0).collect()}
+    assert got == {(1, 2**56 + 1), (2, 2**56)}

@@ -176,3 +176,36 @@ def test_salvage(pack):
     assert len(gaps) == 3 and sum(g[1] for g in gaps if g[2].startswith("no ")) == 36
     assert warc.salvage(b"") == ([], [])
     assert warc.salvage(pack(_record(1).replace(b"Content-Length: ", b"Content-Length: x")) + good[2])[0][0][0]["warc-record-id"] == "<urn:page:2>"
+
+
+def test_layouts_beside_other_columns(spark):
+    rows = [(1, 0, "user", "a", "p", "s"), (1, 1, "assistant", "b", "p", "s")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, prompt string, system string")
+    assert sorted((r.turn, r.role, r.text) for r in chat.turns(df).collect()) == [(0, "user", "a"), (1, "assistant", "b")]
+    both = df.withColumns({"completion": F.lit("c"), "messages": F.lit("no list")})
+    assert chat.choose_layout(both.schema).name == "turn_rows"
+    assert chat.choose_layout(both.drop("turn").schema).name == "system_prompt"
+    with pytest.raises(ValueError):
+        chat.choose_layout(df.select("conv_id", "turn", "prompt").schema)
+
+
+def _archived(i: int, body: bytes) -> bytes:
+    sha = base64.b32encode(hashlib.sha1(body).digest()).decode()
+    head = (f"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:{i}>\r\nWARC-Payload-Digest: sha1:{sha}\r\n"
+            f"Content-Length: {len(body) + 19}\r\n\r\n").encode()
+    return head + b"HTTP/1.1 200 OK\r\n\r\n" + body + b"\r\n\r\n"
+
+
+def test_salvage_is_linear_and_keeps_what_stands_in_front_of_a_cut():
+    import random
+    import time
+
+    rng = random.Random(1)
+    bodies = [rng.randbytes(3000) for _ in range(1500)]
+    start = time.time()
+    records, gaps = warc.salvage(b"".join(gzip.compress(_archived(i, b)) for i, b in enumerate(bodies)))
+    assert [p for _, p in records] == bodies and not gaps and time.time() - start < 5
+    whole = gzip.compress(b"".join(_archived(i, b) for i, b in enumerate(bodies[:60])))
+    cut, gaps = warc.salvage(whole[:len(whole) // 2] + gzip.compress(_archived(99, b"last")))
+    assert 20 < len(cut) < 40 and [p for _, p in cut[:-1]] == bodies[:len(cut) - 1] and cut[-1][1] == b"last"
+    assert len(gaps) == 1 and gaps[0][0] == 0
