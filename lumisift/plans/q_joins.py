@@ -41,20 +41,25 @@ def j2(spark, d):
 
 
 @query("j3_attach_vectors", """
-SELECT asset_id, CASE WHEN asset_id % 2 = 0 THEN 1e0 WHEN v IS NOT NULL THEN round(CAST(v[1] AS DOUBLE), 6) END AS embedded_first,
-  CASE WHEN v IS NOT NULL THEN round(CAST(v[1] AS DOUBLE), 6) WHEN asset_id % 2 = 0 THEN 1e0 END AS sidecar_first
-FROM assets LEFT JOIN raw ON asset_id = vec_id""", uses=("assets", "raw"))
+, j AS (SELECT asset_id, v, CASE WHEN asset_id % 2 = 0 THEN [1e0] END AS own FROM assets LEFT JOIN raw ON asset_id = vec_id),
+r AS (SELECT asset_id, 'embedded' AS first, coalesce(own, CAST(v AS DOUBLE[])) AS x FROM j UNION ALL SELECT asset_id, 'sidecar', coalesce(CAST(v AS DOUBLE[]), own) FROM j)
+SELECT asset_id, first, CAST(i AS INTEGER) AS i, round(x, 6) AS x FROM (SELECT asset_id, first, unnest(range(0, len(x))) AS i, unnest(x) AS x FROM r WHERE x IS NOT NULL)
+UNION ALL SELECT asset_id, first, -1, NULL FROM r WHERE x IS NULL""", uses=("assets", "raw"))
 def j3(spark, d):
+    """Every coordinate of every row, by both orders; rows without a vector once."""
     df = a.assets_doc(spark, d).select("asset_id").withColumn(
         "own", F.when(F.col("asset_id") % 2 == 0, F.array(F.lit(1.0).cast("float")))
     )
     raw = a.raw_vectors(spark, d).withColumnRenamed("vec_id", "asset_id")
-    one = j.attach_vectors(df, raw, "asset_id", "own", True).withColumnRenamed("vector", "one")
-    two = j.attach_vectors(one, raw, "asset_id", "own", False)
-    return two.select(
-        "asset_id", F.round(F.get("one", 0).cast("double"), 6).alias("embedded_first"),
-        F.round(F.get("vector", 0).cast("double"), 6).alias("sidecar_first"),
-    )
+    parts = []
+    for first, embedded in (("embedded", True), ("sidecar", False)):
+        one = j.attach_vectors(df, raw, "asset_id", "own", embedded).select("asset_id", F.lit(first).alias("first"), "vector")
+        parts.append(one.filter(F.col("vector").isNotNull()).select("asset_id", "first", F.posexplode("vector").alias("i", "x")))
+        parts.append(one.filter(F.col("vector").isNull()).select("asset_id", "first", F.lit(-1).alias("i"), F.lit(None).cast("float").alias("x")))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.withColumn("x", F.round(F.col("x").cast("double"), 6))
 
 
 BRACKETS = [

@@ -172,9 +172,10 @@ def c11(spark, d):
 SELECT b.vec_id, round(list_dot_product(x, y), 6) AS dot, round(list_cosine_similarity(x, y), 6) AS cosine,
   round(list_distance(x, y), 6) AS euclid, round(list_dot_product(z, z), 6) AS unit, bit_count(xor(a.vec_id, b.vec_id * 7)) AS bits
 FROM (SELECT vec_id, planted_from, CAST(v AS DOUBLE[]) AS x FROM vectors) b
-JOIN (SELECT vec_id, CAST(v AS DOUBLE[]) AS y, list_transform(CAST(v AS DOUBLE[]), lambda e: e / sqrt(list_dot_product(CAST(v AS DOUBLE[]), CAST(v AS DOUBLE[])))) AS z FROM vectors) a ON a.vec_id = b.planted_from""", uses=("vectors",))
+JOIN (SELECT vec_id, CAST(v AS DOUBLE[]) AS y, list_transform(CAST(v AS DOUBLE[]), lambda e: e / sqrt(list_dot_product(CAST(v AS DOUBLE[]), CAST(v AS DOUBLE[])))) AS z FROM vectors) a ON a.vec_id = coalesce(b.planted_from, greatest(b.vec_id - 1, 0))""", uses=("vectors",))
 def c12(spark, d):
-    v = a.vectors(spark, d)
+    """Every vector against the one it was made from, or the one before it."""
+    v = a.vectors(spark, d).withColumn("planted_from", F.coalesce("planted_from", F.greatest(F.col("vec_id") - 1, F.lit(0))))
     other = v.select(F.col("vec_id").alias("planted_from"), F.col("v").alias("w"))
     both = v.drop("quality").join(other, "planted_from")
     unit = unit_normalize("w")
@@ -214,12 +215,25 @@ def c14(spark, d):
     )
 
 
+@query("c14_visual_vector", """
+, h AS (SELECT vec_id, CAST(v AS DOUBLE[]) AS u, list_transform(range(0, 8), lambda b: len(list_filter(v, lambda x: floor((CAST(x AS DOUBLE) + 1) / 0.25) = b)) / 64e0) AS h FROM vectors),
+w AS (SELECT vec_id, list_concat(u, h) AS x FROM h)
+SELECT vec_id, CAST(i AS INTEGER) AS i, round(e / n, 6) AS x FROM (SELECT vec_id, unnest(range(0, len(x))) AS i, unnest(x) AS e, sqrt(list_dot_product(x, x)) AS n FROM w)""", uses=("vectors",))
+def c14_whole(spark, d):
+    """All elements, grey values and histogram."""
+    scaled = F.transform("v", lambda x: (x.cast("double") + 1.0) * 128.0)
+    return a.vectors(spark, d).select("vec_id", F.posexplode(visual_vector("v", [scaled], bins=8)).alias("i", "x")).withColumn(
+        "x", F.round(F.col("x").cast("double"), 6))
+
+
 @query("c15_histogram_similarity", """
 SELECT b.vec_id, round(list_cosine_similarity(b.h, a.h), 6) AS similarity
 FROM (SELECT vec_id, planted_from, list_transform(range(0, 16), lambda k: CAST(len(list_filter(v, lambda x: floor((CAST(x AS DOUBLE) + 1) / 0.125) = k)) AS DOUBLE)) AS h FROM vectors) b
-JOIN (SELECT vec_id, list_transform(range(0, 16), lambda k: CAST(len(list_filter(v, lambda x: floor((CAST(x AS DOUBLE) + 1) / 0.125) = k)) AS DOUBLE)) AS h FROM vectors) a ON a.vec_id = b.planted_from""", uses=("vectors",))
+JOIN (SELECT vec_id, list_transform(range(0, 16), lambda k: CAST(len(list_filter(v, lambda x: floor((CAST(x AS DOUBLE) + 1) / 0.125) = k)) AS DOUBLE)) AS h FROM vectors) a ON a.vec_id = coalesce(b.planted_from, greatest(b.vec_id - 1, 0))""", uses=("vectors",))
 def c15(spark, d):
-    v = a.vectors(spark, d).select("vec_id", "planted_from", histogram("v", 16, -1.0, 1.0).alias("h"))
+    """Every histogram against that of the vector it was made from, or of the one before it."""
+    partner = F.coalesce("planted_from", F.greatest(F.col("vec_id") - 1, F.lit(0))).alias("planted_from")
+    v = a.vectors(spark, d).select("vec_id", partner, histogram("v", 16, -1.0, 1.0).alias("h"))
     other = v.select(F.col("vec_id").alias("planted_from"), F.col("h").alias("g"))
     return v.join(other, "planted_from").select("vec_id", F.round(cosine("h", "g"), 6).alias("similarity"))
 

@@ -221,7 +221,7 @@ e AS (SELECT a.vec_id AS x, b.vec_id AS y FROM h a JOIN h b ON a.vec_id <> b.vec
   UNION SELECT a_id, b_id FROM pairs WHERE score >= 0.985 UNION SELECT b_id, a_id FROM pairs WHERE score >= 0.985),
 reach AS (SELECT x AS id, x AS seen FROM e UNION SELECT r.id, e.y FROM reach r JOIN e ON r.seen = e.x),
 comp AS (SELECT id, min(seen) AS component FROM reach GROUP BY id)
-SELECT component, count(*) AS members FROM comp GROUP BY component""", uses=("pairs",), recursive=True)
+SELECT id AS vec_id, component, CASE WHEN id = component THEN count(*) OVER (PARTITION BY component) END AS members FROM comp""", uses=("pairs",), recursive=True)
 def e1c(spark, d):
     df = a.vectors(spark, d).select(
         "vec_id", F.col("v").alias("vector"), dhash("v", 8, 8).alias("dhash"), F.col("v").alias("semantic_vector"),
@@ -229,7 +229,8 @@ def e1c(spark, d):
     )
     found = graph.cluster(df, 0.985, 5, 0.985, key="vec_id")
     # the best row of each cluster is its smallest id
-    return found.filter("is_representative").select(F.col("vec_id").alias("component"), F.col("cluster_size").alias("members"))
+    return found.filter(F.col("cluster_id").isNotNull()).select(
+        "vec_id", F.coalesce("suppressed_by", "vec_id").alias("component"), F.col("cluster_size").alias("members"))
 
 
 @query("g21_cluster_diagnostics", _COMPONENTS.format("pairs", 0.92) + """

@@ -40,16 +40,15 @@ def s3(spark, d):
 
 
 @query("s6_upsert_vectors", """
-SELECT vec_id, round(list_sum(list_transform(v, lambda x: CAST(x AS DOUBLE))), 5) AS total FROM (
+SELECT vec_id, CAST(i AS INTEGER) AS i, round(CAST(x AS DOUBLE), 6) AS x FROM (SELECT vec_id, unnest(range(0, len(v))) AS i, unnest(v) AS x FROM (
   SELECT o.vec_id, o.v FROM raw o WHERE o.vec_id % 3 <> 0 AND NOT (o.vec_id % 2 = 0)
-  UNION ALL SELECT vec_id, list_transform(v, lambda x: CAST(-x AS FLOAT)) FROM raw WHERE vec_id % 2 = 0)""", uses=("raw",))
+  UNION ALL SELECT vec_id, list_transform(v, lambda x: CAST(-x AS FLOAT)) FROM raw WHERE vec_id % 2 = 0))""", uses=("raw",))
 def s6(spark, d):
     raw = a.raw_vectors(spark, d)
     old = raw.filter(F.col("vec_id") % 3 != 0).select("vec_id", "v")
     new = raw.filter(F.col("vec_id") % 2 == 0).select("vec_id", F.transform("v", lambda x: -x).alias("v"))
     merged = upsert_vectors(old, new, "vec_id")
-    total = F.aggregate("v", F.lit(0.0), lambda acc, x: acc + x.cast("double"))
-    return merged.select("vec_id", F.round(total, 5).alias("total"))
+    return merged.select("vec_id", F.posexplode("v").alias("i", "x")).withColumn("x", F.round(F.col("x").cast("double"), 6))
 
 
 @query("s8_export_plan", """
