@@ -224,7 +224,7 @@ def _add_pairs(total: np.ndarray, chunks: DataFrame) -> None:
     no group holds a row of every task."""
     kind = total.dtype.name
     some = _merge(chunks, ["place", F.pmod(F.spark_partition_id(), F.lit(64))], kind)
-    for row in _merge(some, ["place"], kind).toLocalIterator():
+    for row in _merge(some, ["place"], kind).collect():
         part = np.frombuffer(bytes(row.counts), kind)
         _add(total[row.place * PAIR_CHUNK:row.place * PAIR_CHUNK + len(part)], part)
 
@@ -234,7 +234,8 @@ def _mark(table: np.ndarray, reached: DataFrame, step: int) -> bool:
     at = F.col("place") + 1
     maps = reached.groupBy(F.bitmap_bucket_number(at).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits"))
     fresh = False
-    for row in maps.toLocalIterator():
+    # one job, not one for each partition; the rows together have a bit for each place
+    for row in maps.collect():
         bits = np.unpackbits(np.frombuffer(bytes(row.bits), np.uint8), bitorder="little").astype(bool)
         part = table[(row.b - 1) * 32768:row.b * 32768]
         new = bits[:len(part)] & (part == NEVER)
