@@ -19,11 +19,11 @@ OVERLAP = 1 << 9
 MARGIN = 64
 # a blank between characters that are no white space (U+180E was one once) begins a word of the byte-level pattern
 PIECE = re.compile("(?<=[^\\s\u180e])(?= [^\\s\u180e])")
-# a blank or line feed beside other white space or at an end of the text, or the cutting mark itself: such texts are cut
-# by PIECE, all others in front of every blank, around every line feed, and between letters whose class never changed and
+# a blank or line feed beside other white space, or the cutting mark itself: such texts are cut by PIECE, all others in
+# front of every blank, around every line feed, and between letters whose class never changed and
 # the marks behind them
 _WHITE = "\\s\\p{Z}\\x{0b}\\x{1c}-\\x{1f}\\x{85}\\x{180e}"
-UNEVEN = f"(?s)(^|[{_WHITE}])[ \n]|[ \n]($|[{_WHITE}])|\\x00"
+UNEVEN = f"(?s)[{_WHITE}][ \n]|[ \n][{_WHITE}]|\\x00"
 _LETTER, _MARK = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]", "[.,;:!?%$&*#]"
 # texts counted at once, in bytes
 COUNT_BYTES = 8 << 20
@@ -126,13 +126,39 @@ class _Pieces:
         return out
 
 
-def _piece_starts(pieces: _Pieces, text: str) -> tuple[list[int], list[int]]:
-    """(offset of each piece of a text, tokens before it); at the end the length and the tokens of the text."""
-    parts = PIECE.split(text)
-    different = list(set(parts))
-    known = dict(zip(different, pieces._of(different)))
-    starts = [0, *(m.start() for m in PIECE.finditer(text)), len(text)]
-    return starts, [0, *np.cumsum([known[p] for p in parts]).tolist()]
+# starts of pieces that a chunk reports in an overlap; its neighbour sees the same ones, but for one at its very start
+SEAMS = 8
+
+
+def _seams(text: str, low: int, high: int) -> list[int]:
+    """The first starts of pieces from low to high."""
+    out = []
+    for m in PIECE.finditer(text, low, min(len(text), high + 3)):
+        if m.start() > high or len(out) == SEAMS:
+            break
+        out.append(m.start())
+    return out
+
+
+def _count_chunks(pieces: _Pieces, rows: list) -> list:
+    """(row, at, last, n, head, tail) of chunks (row, at, overlap, last, text, chunk), from starts of pieces alone."""
+    import pyarrow as pa
+
+    cuts, parts = [], []
+    for _, at, overlap, last, text, chunk in rows:
+        head = _seams(text, 0, overlap) if at else []
+        tail = [] if last else [x for x in _seams(text, chunk, len(text) - MARGIN) if not head or x > head[-1]]
+        edges = [0, *head, *tail, len(text)]
+        cuts.append((head, tail))
+        parts += [text[a:b] for a, b in zip(edges, edges[1:])]
+    counts, out, i = pieces.count(pa.array(parts, pa.string())), [], 0
+    for (row, at, _, last, _, _), (head, tail) in zip(rows, cuts):
+        size = len(head) + len(tail) + 1
+        before = np.cumsum(counts[i:i + size]).tolist()
+        marks = [list(x) for x in zip([*head, *tail], before)]
+        out.append((row, at, last, before[-1], marks[:len(head)], marks[len(head):]))
+        i += size
+    return out
 
 
 def _chunks(wide: DataFrame, path: str, chunk: int, by_piece: bool) -> DataFrame:
@@ -149,14 +175,13 @@ def _chunks(wide: DataFrame, path: str, chunk: int, by_piece: bool) -> DataFrame
         pieces = _Pieces(tokenizer)
         for pdf in batches:
             out = []
+            if by_piece:
+                rows = [(*r, chunk) for r in pdf[["row", "at", "overlap", "last", "text"]].itertuples(index=False)]
+                for i in range(0, len(rows), 128):
+                    out += _count_chunks(pieces, rows[i:i + 128])
+                yield pd.DataFrame(out, columns=["row", "at", "last", "n", "head", "tail"])
+                continue
             for row, at, overlap, last, text in pdf[["row", "at", "overlap", "last", "text"]].itertuples(index=False):
-                if by_piece:
-                    starts, before = _piece_starts(pieces, text)
-                    inner = list(zip(starts, before))[1:-1]
-                    head = [list(x) for x in inner if x[0] <= overlap] if at else []
-                    tail = [] if last else [list(x) for x in inner if chunk <= x[0] <= len(text) - MARGIN]
-                    out.append((row, at, last, before[-1], head, tail))
-                    continue
                 e = tokenizer.encode(text, add_special_tokens=False)
                 head = _boundaries(e, 0, 0, overlap) if at else []
                 high = len(text) - MARGIN
