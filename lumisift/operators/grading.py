@@ -27,6 +27,7 @@ def weighted(parts: dict[str, Column], weights: dict[str, float]) -> Column:
     return total
 
 
+# Limits, levels and slopes of the piecewise scores, down to the combined grades.
 def resolution_score(mp: Column) -> Column:
     return clamp(20 + mp * 10, 0, 100)
 

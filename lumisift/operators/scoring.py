@@ -17,6 +17,7 @@ def _points(test: Column, value: float) -> Column:
     return F.when(test, float(value)).otherwise(0.0)
 
 
+# Limits and points of the quality score.
 def quality_score(weights: QualityWeights = QualityWeights()) -> Column:
     """Event quality: grade (or size without a grade), faces, feedback, questionnaire."""
     target, faces = _faces()

@@ -143,6 +143,7 @@ def c9(spark, d):
     return a.geo_points(spark, d).select("asset_id", point.lat.alias("lat"), point.lon.alias("lon"))
 
 
+# Name forms and labels, in the order of their precedence.
 @query("c10_guess_device", """
 SELECT device, count(*) AS n FROM (SELECT CASE WHEN contains(f, 'fb_img') OR contains(f, '_n.jpg') THEN 'facebook' WHEN f LIKE 'img@_%' ESCAPE '@' THEN 'iphone'
   WHEN length(f) >= 15 AND regexp_matches(f, '^[0-9]{8}_') THEN 'android' WHEN contains(f, 'collage') THEN 'collage'
@@ -152,13 +153,15 @@ def c10(spark, d):
     return a.asset_names(spark, d).groupBy(names.guess_device("filename").alias("device")).agg(F.count("*").alias("n"))
 
 
-@query("c11_burst_key", """
-SELECT asset_id, CASE WHEN regexp_matches(filename, '^(.*?)([0-9]{3,})\\.[a-zA-Z]+$') THEN concat('/lib/', folder) END AS burst_folder,
-  CASE WHEN regexp_matches(filename, '^(.*?)([0-9]{3,})\\.[a-zA-Z]+$') THEN regexp_extract(filename, '^(.*?)([0-9]{3,})\\.[a-zA-Z]+$', 1) END AS burst_prefix,
-  TRY_CAST(regexp_extract(filename, '^(.*?)([0-9]{3,})\\.[a-zA-Z]+$', 2) AS BIGINT) AS burst_seq,
+@query("c11_burst_key", r"""
+, parts AS (SELECT *, regexp_replace(filename, '\.[^.]+$', '') AS stem, CASE WHEN regexp_matches(filename, '\.[a-zA-Z]+$') THEN regexp_replace(filename, '\.[a-zA-Z]+$', '') END AS body FROM names),
+tails AS (SELECT *, regexp_extract(body, '[0-9]+$') AS digits FROM parts)
+SELECT asset_id, CASE WHEN length(digits) >= 3 THEN concat('/lib/', folder) END AS burst_folder,
+  CASE WHEN length(digits) >= 3 THEN left(body, length(body) - length(digits)) END AS burst_prefix,
+  CASE WHEN length(digits) >= 3 THEN CAST(digits AS BIGINT) END AS burst_seq,
   coalesce(TRY_CAST(regexp_extract(stem, '^(.+?)([0-9]{2,5})$', 2) AS BIGINT), 0) AS tail_number,
   TRY_CAST(regexp_extract(stem, '([0-9]+)[^0-9]*$', 1) AS BIGINT) AS last_number
-FROM (SELECT *, regexp_replace(filename, '\\.[^.]+$', '') AS stem FROM names)""", uses=("names",))
+FROM tails""", uses=("names",))
 def c11(spark, d):
     df = a.asset_names(spark, d).withColumn("b", names.burst_key("path"))
     _, number = names.trailing_number("filename")
@@ -253,6 +256,7 @@ def c16(spark, d):
     )
 
 
+# Words around a tag.
 @query("c17_prompts", """
 SELECT tag, CASE WHEN tag IN ('running', 'swimming', 'dancing', 'eating') THEN concat('a photo of a person ', tag)
   WHEN tag IN ('happy', 'formal', 'casual', 'sunset') THEN concat('a ', tag, ' photograph') ELSE concat('a photo of a ', tag) END AS prompt, n,
@@ -268,6 +272,7 @@ def c17(spark, d):
     return per.select("tag", names.prompt("tag", family).alias("prompt"), "n", words.alias("words"))
 
 
+# Limits and slopes of the exposure score.
 @query("c18_numbers", """
 SELECT asset_id, greatest(10e0, least(60e0, composite)) AS clamped,
   CASE WHEN mean_brightness BETWEEN 80 AND 180 THEN 100e0 WHEN mean_brightness < 40 OR mean_brightness > 230 THEN 20e0
