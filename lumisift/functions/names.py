@@ -104,9 +104,9 @@ def exported_parts(name: Column | str) -> tuple[Column, Column]:
     return prefix, original
 
 
-def file_key(length: Column | str, content: Column | str) -> Column:
-    """md5 over the decimal file size followed by the first 64 KiB."""
-    head = F.substring(col(content), 1, 65536)
+def file_key(length: Column | str, content: Column | str, head: int | None = 65536) -> Column:
+    """md5 over the decimal file size followed by the first ``head`` bytes, 64 KiB by default; None takes them all."""
+    head = col(content) if head is None else F.substring(col(content), 1, head)
     return F.md5(F.concat(col(length).cast("string").cast("binary"), head))
 
 

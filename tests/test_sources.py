@@ -126,3 +126,30 @@ def test_resolve_categories(spark):
     assert [c.id for c in resolve_categories([], [], df, 9)] == ["a", "b"]
     assert resolve_categories([Category("x")], [Category("y")], df) == [Category("x")]
     assert resolve_categories([], [Category("y")], df) == [Category("y")]
+
+
+def test_file_key_of_whole_contents(spark):
+    from hashlib import md5
+
+    long = b"a" * 65536
+    df = spark.createDataFrame([(1, long + b"b"), (2, long + b"c"), (3, b"d")], "id long, content binary")
+    rows = df.select("content", file_key(F.octet_length("content"), "content").alias("head"),
+                     file_key(F.octet_length("content"), "content", None).alias("whole")).collect()
+    for r in rows:
+        size, content = str(len(r.content)).encode(), bytes(r.content)
+        assert (r.head, r.whole) == (md5(size + content[:65536]).hexdigest(), md5(size + content).hexdigest())
+
+
+def test_texts_beyond_64_kib_equal_their_sql(spark, tmp_path):
+    import __spark_entry__ as entry
+    from tests.compare import compare
+
+    import duckdb
+
+    text = "word " * 14000
+    spark.createDataFrame([(1, text + "x", len(text) + 1), (2, text + "y", len(text) + 1)], "doc_id long, text string, n_chars long").write.parquet(
+        str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    name = "c1_file_key"
+    assert compare(name, spark, con, str(tmp_path), entry.queries()[name], entry.oracle_sql()[name]) is None
