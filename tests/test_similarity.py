@@ -471,3 +471,23 @@ def test_mixed_lengths_and_null_elements(spark):
     near = [np.sqrt(2), np.sqrt(0.36 + 0.04), np.sqrt(0.16 + 0.64)]
     assert got == {"a": (round(float(np.mean(near)), 9), round(float(min(near)), 9), round(float(max(near)), 9)),
                    "b": (round(float(np.sqrt(0.08)), 9),) * 3}
+
+
+@pytest.mark.parametrize("name", ["j5_hamming_pairs", "j7_phash_pairs"])
+def test_groups_of_copies_equal_their_sql(spark, tmp_path, name):
+    """Groups of four equal hashes and of three near vectors."""
+    import duckdb
+
+    import __spark_entry__ as entry
+    from tests.compare import compare
+
+    rng = np.random.default_rng(5)
+    base = rng.standard_normal((12, 64))
+    v = np.repeat(base, 4, axis=0) * np.tile([1.0, 2.0, 1.0, 1.0], 12)[:, None]
+    v[2::4] += 1e-4 * rng.standard_normal((12, 64))
+    v = v / np.linalg.norm(v, axis=1)[:, None]
+    rows = [(i, x.tolist(), i // 4 % 3) for i, x in enumerate(v)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    assert compare(name, spark, con, str(tmp_path), entry.queries()[name], entry.oracle_sql()[name]) is None
