@@ -480,7 +480,7 @@ def test_every_pair_of_copies(spark):
     assert sorted((r.a_id, r.b_id) for r in found) == [(i, j) for i in range(5) for j in range(i + 1, 5)]
 
 
-@pytest.mark.parametrize("name", ["j5_hamming_pairs", "j7_phash_pairs", "s15_removal_log"])
+@pytest.mark.parametrize("name", ["j5_hamming_pairs", "j7_phash_pairs", "j7_phash_pairs_256", "s15_removal_log"])
 def test_groups_of_copies_equal_their_sql(spark, tmp_path, name):
     """Groups of four equal hashes and of three near vectors."""
     import duckdb
@@ -498,3 +498,33 @@ def test_groups_of_copies_equal_their_sql(spark, tmp_path, name):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
     assert compare(name, spark, con, str(tmp_path), entry.queries()[name], entry.oracle_sql()[name]) is None
+
+
+def test_exploded_sides_are_never_broadcast(spark):
+    """Spark takes the exploded bands of a small table for small."""
+    df = spark.range(200).select("id", F.xxhash64("id").alias("h"))
+    plan = s.hamming_pairs(df, "id", "h", 5)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan.split("Union")[1].split("_rep")[0] and s.hamming_pairs(df, "id", "h", 64, probe_radius=1).count() == 200 * 199 // 2
+
+
+def test_blocks_decide_like_doubles():
+    """Products in 32 bits never decide a pair at the threshold."""
+    rng = np.random.default_rng(8)
+    x = unit(rng, 300, 24).astype("float64")
+    y = unit(rng, 200, 24).astype("float64")
+    for t in np.sort((x @ y.T).ravel())[[500, 30_000, 59_000]]:
+        block = s._Block(np.arange(300), x, np.arange(200) + 1000, y, False)
+        exact = np.einsum("ik,jk->ij", x, y)
+        near = np.concatenate([hit for _, hit in block.near(float(t))])
+        assert (near == (exact >= t))[np.abs(exact - t) > 1e-12].all() and near.shape == (300, 200)
+    own = s._Block(np.arange(300), x, np.arange(0), x[:0], True)
+    pairs = s._pairs_of(own, 0.3)
+    i, j = np.nonzero(np.triu(x @ x.T >= 0.3, 1))
+    assert sorted(zip(pairs["a_id"].tolist(), pairs["b_id"].tolist())) == list(zip(i.tolist(), j.tolist()))
+
+
+def test_a_row_meets_a_bounded_number_of_chunks():
+    assert s._tile_rows(1_000, 64, 128) == 128
+    for total in (100_000, 700_000, 1_500_000):
+        assert total / s._tile_rows(total, 64, 128) <= s.TILES
+    assert s._tile_rows(10**9, 64, 128) * 64 * 4 <= s.TILE_BYTES
