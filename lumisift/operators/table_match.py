@@ -4,22 +4,28 @@ Intervals: every interval is cut into its dyadic pieces, at most two for each po
 lies in exactly one piece of each size, so "which intervals hold this value" is an equality join on (size, piece); a
 piece keeps only the first of its intervals. Values are looked up once each.
 
-Texts: needles are found through an index of their q-grams. Each needle is filed under the one of its q-grams that the
-fewest texts hold; a text proposes the needles filed under its own q-grams, and only these are tested. Texts are looked
-up once each.
+Texts: keywords and dictionary entries travel with the tasks in blocks (``needles``), and each text is counted where it
+is read: no text is shuffled, and no pair of text and needle leaves a task.
 """
 
 from __future__ import annotations
 
+from typing import Iterator
+
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.names import normalize_path
 from ..functions.numbers import col
 from ..session import cut_lineage
+from .keys import join_by
+from .needles import DIRECT, Block, needle_blocks, scan
+from .ranges import positions
 
-GRAM = 3
 # values of days are clamped to this many bits
 DAY_BITS = 31
 
@@ -114,100 +120,209 @@ def bracket_join(df: DataFrame, days: Column | str, categories: DataFrame, mode:
     return out.withColumn(name, F.coalesce(name, rest)).drop(*[f"{name}__{c}" for c in ("value", "last", "top", "first")])
 
 
-def _grams(text: Column, size: int) -> Column:
-    """All q-grams of a text in one pass over it."""
-    return F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1))
-
-
 def needle_hits(texts: DataFrame, needles: DataFrame) -> DataFrame:
     """(text_id, needle_id): which of ``needles`` (needle_id, needle) each of ``texts`` (text_id, text) contains.
 
-    Both ids are unique. Empty needles and nulls are left out. A needle of fewer than GRAM characters is filed as a whole.
+    Both ids are unique. Empty needles and nulls are left out.
+    """
+    blocks = needle_blocks(needles.select(F.col("needle").alias("k"), F.col("needle_id").cast("long")))
+
+    @F.arrow_udf("array<long>")
+    def contained(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        found: list = []
+
+        def add(number, table, block, first, text, needle):
+            text, row = block.listed(text, needle)
+            found.append((text + first, np.asarray(table.column("needle_id"))[row]))
+
+        def finish(count):
+            text, ids = (np.concatenate(x) for x in zip((np.zeros(0, np.int64),) * 2, *found))
+            order = np.argsort(text, kind="stable")
+            ends = np.searchsorted(text[order], np.arange(count + 1))
+            return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids[order], pa.int64()))
+
+        yield from scan(batches, blocks, add, finish, lambda count: found.clear())
+
+    return texts.select("text_id", F.explode(contained("text")).alias("needle_id"))
+
+
+def _sums(keys: np.ndarray, weights: np.ndarray, places: int) -> tuple[np.ndarray, np.ndarray]:
+    """Different keys, ascending, and the sum of their weights."""
+    if places <= DIRECT:
+        total = np.bincount(keys, weights, places)
+        found = np.flatnonzero(total)
+        return found, total[found].astype(np.int64)
+    found, inverse = np.unique(keys, return_inverse=True)
+    return found, np.bincount(inverse, weights, len(found)).astype(np.int64)
+
+
+class _Weights:
+    """How often each category lists the needles of a block.
+
+    Needles of many categories are a dense matrix, so the texts that hold them are one product; the others are listed.
     """
-    wanted = needles.filter(F.length("needle") > 0).select("needle_id", "needle", F.least(F.length("needle"), F.lit(GRAM)).alias("size"))
-    parts = None
-    for size in range(1, GRAM + 1):
-        one = wanted.filter(F.col("size") == size).select("needle_id", F.explode(F.array_distinct(_grams(F.col("needle"), size))).alias("gram"))
-        parts = one if parts is None else parts.unionByName(one)
-    parts = cut_lineage(parts)
-    known = parts.select("gram").distinct()
-    sizes = [r["n"] for r in parts.select(F.length("gram").alias("n")).distinct().collect()]  # at most GRAM
-    held = None
-    for size in sizes:
-        one = texts.select("text_id", F.explode(F.array_distinct(_grams(F.col("text"), size))).alias("gram"))
-        held = one if held is None else held.unionByName(one)
-    if held is None:
-        return texts.select("text_id", F.lit(None).cast("long").alias("needle_id")).limit(0)
-    held = cut_lineage(held.join(known, "gram", "left_semi"))
-    counts = held.groupBy("gram").agg(F.count("*").alias("n"))
-    # a gram that no text holds rules its needle out: it is the rarest, with no texts
-    filed = parts.join(counts, "gram", "left").groupBy("needle_id").agg(
-        F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), F.col("gram"))).alias("gram"))
-    proposed = held.join(filed, "gram").select("text_id", "needle_id").join(wanted.select("needle_id", "needle"), "needle_id")
-    return proposed.join(texts, "text_id").filter(F.contains("text", F.col("needle"))).select("text_id", "needle_id")
-
-
-def _texts(df: DataFrame, text: Column) -> DataFrame:
-    """Each different text once, numbered; a reliable copy, as the numbers must not change."""
-    distinct = df.select(text.alias("text")).filter(F.col("text").isNotNull()).distinct()
-    return cut_lineage(distinct.withColumn("text_id", F.monotonically_increasing_id()))
+
+    def __init__(self, table: pa.Table, block: Block, categories: int):
+        self.times, self.category = (np.asarray(table.column(c)).astype(np.int64) for c in ("times", "category"))
+        self.block, self.categories = block, categories
+        size = np.diff(block.start)
+        many = np.argsort(-size, kind="stable")[: DIRECT // max(categories, 1)]
+        many = many[size[many] > 16]
+        self.place = np.full(len(size), -1, dtype=np.int64)
+        self.place[many] = np.arange(len(many))
+        self.matrix = np.zeros((len(many), categories))
+        if len(many):
+            needle, row = block.listed(np.arange(len(many)), many)
+            self.matrix[needle, self.category[row]] = self.times[row]
+
+    def counts(self, text: np.ndarray, needle: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, category, keywords) of the categories with a keyword in a text."""
+        place = self.place[needle]
+        few = place < 0
+        own, row = self.block.listed(text[few], needle[few])
+        keys, hits = [own * self.categories + self.category[row]], [self.times[row]]
+        texts = int(text.max(initial=-1)) + 1
+        text, place = text[~few], place[~few]
+        order = np.argsort(text, kind="stable")
+        text, place = text[order], place[order]
+        step = max(1, DIRECT // max(1, len(self.matrix)))
+        for first in range(0, texts if len(text) else 0, step):
+            a, b = np.searchsorted(text, (first, first + step))
+            held = np.zeros((min(step, texts - first), len(self.matrix)))
+            held[text[a:b] - first, place[a:b]] = 1
+            score = (held @ self.matrix).ravel()
+            found = np.flatnonzero(score)
+            keys.append(found + first * self.categories)
+            hits.append(score[found])
+        keys, hits = _sums(np.concatenate(keys), np.concatenate(hits), texts * self.categories)
+        return *np.divmod(keys, self.categories), hits
 
 
 def keyword_join(
     df: DataFrame, text: Column | str, categories: DataFrame, name: str = "category", fallback: bool = False,
+    thematic: str | None = None,
 ) -> DataFrame:
     """``keyword_match`` for a table of categories (ord, id, keywords) of any size: the category with the most keywords
     contained in the text, the smallest ``ord`` on ties, null without a hit; with ``fallback`` then the first category.
 
     A keyword listed twice counts twice, an empty one is contained in every text, a null one in none. Null texts match
-    nothing. A column called ``name`` is replaced.
+    nothing. A column called ``name`` is replaced. ``thematic`` names a second column, with the fallback, from the same
+    pass over the texts.
     """
     text = F.lower(normalize_path(col(text)))
     listed = categories.select("ord", "id", F.explode("keywords").alias("k")).filter(F.col("k").isNotNull()).withColumn("k", F.lower("k"))
     listed = cut_lineage(listed.groupBy("ord", "id", "k").agg(F.count("*").alias("times")))
-    words = listed.filter(F.col("k") != "").select("k").distinct()
-    needles = cut_lineage(words.withColumn("needle_id", F.monotonically_increasing_id())).withColumnRenamed("k", "needle")
-    always = listed.filter(F.col("k") == "").select("ord", "id", F.col("times").alias("base"))
-    texts = _texts(df, text)
-    hits = needle_hits(texts, needles).join(needles, "needle_id").select("text_id", F.col("needle").alias("k")).join(listed, "k")
-    counted = hits.groupBy("text_id", "ord", "id").agg(F.sum("times").alias("hits"))
-    counted = counted.join(always.select("ord", "base"), "ord", "left").withColumn("hits", F.col("hits") + F.coalesce("base", F.lit(0)))
-    place = F.struct("hits", (-F.col("ord")).alias("ord"), "id")
-    best = counted.groupBy("text_id").agg(F.max(place).alias("_best"))
-    # the best category that needs no hit
-    free = always.agg(F.max(F.struct(F.col("base").alias("hits"), (-F.col("ord")).alias("ord"), "id")).alias("free"))
-    found = _beside(texts.join(best, "text_id", "left"), free, "_")
-    found = found.select("text", F.greatest("_best", "___free").getField("id").alias("_found"))
-    out = _attach(df, found, {"text": text}, name)
-    if fallback:
+    # the smaller number wins a tie
+    numbered = positions(listed.select("ord", "id").distinct(), [F.col("ord").asc_nulls_last(), F.col("id").desc_nulls_last()], "category")
+    numbered = cut_lineage(numbered)
+    listed = cut_lineage(join_by(listed, numbered, ["ord", "id"]))
+    always = listed.filter(F.col("k") == "").groupBy("category").agg(F.sum("times").alias("times"))
+    blocks = needle_blocks(listed.select("k", "category", "times"))
+    shared = df.sparkSession.sparkContext.broadcast((numbered.orderBy("category").select("id").toArrow(), always.toArrow()))
+
+    @F.arrow_udf(categories.schema["id"].dataType)
+    def best(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        ids, empty = shared.value
+        size = max(1, ids.num_rows)
+        base = np.zeros(size, dtype=np.int64)
+        base[np.asarray(empty.column("category"))] = np.asarray(empty.column("times"))
+        free = int(np.argmax(base)) if base.any() else -1
+        found: list = []
+        weights: dict = {}
+
+        def add(number, table, block, first, text, needle):
+            if number not in weights:
+                weights.clear()
+                weights[number] = _Weights(table, block, size)
+            text, category, hits = weights[number].counts(text, needle)
+            if len(blocks) == 1:
+                text, category, hits = _first_best(text, category, hits + base[category])
+            found.append((text + first, category, hits))
+
+        def finish(count):
+            text, category, hits = (np.concatenate(x) for x in zip((np.zeros(0, np.int64),) * 3, *found))
+            if len(blocks) > 1:
+                keys, hits = _sums(text * size + category, hits, count * size)
+                text, category = np.divmod(keys, size)
+                text, category, hits = _first_best(text, category, hits + base[category])
+            chosen = np.full(count, free, dtype=np.int64)
+            if free >= 0:
+                won = (hits > base[free]) | ((hits == base[free]) & (category < free))
+                text, category = text[won], category[won]
+            chosen[text] = category
+            return ids.column("id").combine_chunks().take(pa.array(chosen, mask=chosen < 0))
+
+        yield from scan(batches, blocks, add, finish, lambda count: found.clear(), max(1, DIRECT // size) if size <= 4096 else 1 << 16)
+
+    out = df.withColumn(name, best(text))
+    if fallback or thematic:
         out = _beside(out, categories.agg(F.min_by("id", "ord").alias("first")), name)
-        out = out.withColumn(name, F.coalesce(name, f"{name}__first")).drop(f"{name}__first")
+        filled = F.coalesce(name, f"{name}__first")
+        out = out.withColumns({**({thematic: filled} if thematic else {}), **({name: filled} if fallback else {})}).drop(f"{name}__first")
     return out
 
 
+def _first_best(text: np.ndarray, category: np.ndarray, hits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The best category of each text, the smallest number on ties."""
+    order = np.lexsort((category, -hits, text))
+    text, category, hits = text[order], category[order], hits[order]
+    first = np.flatnonzero(np.diff(text, prepend=-1))
+    return text[first], category[first], hits[first]
+
+
 def dictionary_join(df: DataFrame, text: Column | str, entries: DataFrame, name: str = "value", per_part: bool = False) -> DataFrame:
     """``dictionary_lookup`` for a table of entries (ord, k, v) of any size: the value of the first entry contained in
     the text; ``per_part`` walks the path parts first. Entries without key or value are skipped; an empty key is contained
     in every text. A column called ``name`` is replaced."""
     text = normalize_path(col(text))
     listed = entries.filter(F.col("k").isNotNull() & F.col("v").isNotNull())
-    first = cut_lineage(listed.groupBy("k").agg(F.min("ord").alias("ord"), F.min_by("v", "ord").alias("v")))
-    needles = cut_lineage(first.filter(F.col("k") != "").withColumn("needle_id", F.monotonically_increasing_id()))
-    whole = _texts(df, text)
-    if per_part:
-        parts = whole.select("text_id", F.posexplode(F.split("text", "/")).alias("pos", "part"))
-        texts = _texts(parts, F.col("part"))
-    else:
-        texts = whole
-    found = needle_hits(texts, needles.select("needle_id", F.col("k").alias("needle"))).join(needles, "needle_id")
-    free = first.filter(F.col("k") == "").select(F.struct("ord", "v").alias("free"))
-    best = texts.join(found.groupBy("text_id").agg(F.min(F.struct("ord", "v")).alias("_best")), "text_id", "left")
-    best = _beside(best, free, "_").select("text", F.least("_best", "___free").alias("_best"))
-    best = best.filter(F.col("_best").isNotNull())
-    if per_part:
-        met = parts.join(best.withColumnRenamed("text", "part"), "part").groupBy("text_id").agg(F.min_by("_best", "pos").alias("_best"))
-        best = whole.join(met, "text_id")
-    return _attach(df, best.select("text", F.col("_best.v").alias("_found")), {"text": text}, name)
+    first = listed.groupBy("k").agg(F.min("ord").alias("ord"), F.min_by("v", "ord").alias("v"))
+    first = cut_lineage(positions(first, ["ord", "v"], "place").select("place", "k", "v"))
+    blocks = needle_blocks(first)
+    shared = df.sparkSession.sparkContext.broadcast(first.filter(F.col("k") == "").select("place", "v").toArrow())
+
+    @F.arrow_udf(entries.schema["v"].dataType)
+    def value(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        free = shared.value
+        none = np.iinfo(np.int64).max
+        # all values, the one of the empty key last
+        values = pa.concat_arrays([c for t in [*(b.value for b in blocks), free] for c in t.column("v").chunks] or [free.column("v").combine_chunks()])
+        starts = np.cumsum([0, *[b.value.num_rows for b in blocks]])
+        places: list = []
+
+        def begin(count):
+            # the first entry of each text, and where its value is
+            places[:] = [np.full(count, none), np.full(count, -1, dtype=np.int64)]
+            if free.num_rows:
+                places[0][:], places[1][:] = free.column("place")[0].as_py(), len(values) - 1
+
+        def add(number, table, block, first, text, needle):
+            text, row = block.listed(text, needle)
+            place = np.asarray(table.column("place"))[row]
+            order = np.lexsort((place, text))
+            text, place, row = text[order], place[order], row[order]
+            best = np.flatnonzero(np.diff(text, prepend=-1))
+            text, place, row = text[best] + first, place[best], row[best] + starts[number]
+            better = place < places[0][text]
+            places[0][text[better]], places[1][text[better]] = place[better], row[better]
+
+        def finish(count):
+            return values.take(pa.array(places[1], mask=places[1] < 0))
+
+        if not per_part:
+            yield from scan(batches, blocks, add, finish, begin)
+            return
+        for batch in batches:
+            parts = pc.split_pattern(batch, "/")
+            at = np.asarray(pc.list_parent_indices(parts))
+            flat = parts.flatten()
+            found = pa.concat_arrays(list(scan(iter([flat]), blocks, add, lambda count: pa.array(places[1], mask=places[1] < 0), begin)))
+            held = np.flatnonzero(np.asarray(found.is_valid()))
+            chosen = np.full(len(batch), -1, dtype=np.int64)
+            chosen[at[held][::-1]] = np.asarray(found.take(pa.array(held)))[::-1]
+            yield values.take(pa.array(chosen, mask=chosen < 0))
+
+    return df.withColumn(name, value(text))
 
 
 def _half_seconds(clock: Column) -> Column:

@@ -95,8 +95,7 @@ def j12_table(spark, d):
     word = F.expr("translate(substr(text, int(5 + asset_id % 40), int(3 + asset_id % 8)), '\\\\', '/')")
     kinds = df.filter(F.length("text") > 60).groupBy((n % 97).alias("ord")).agg(F.collect_list(word).alias("keywords"))
     kinds = kinds.withColumn("id", F.concat(F.lit("c"), F.col("ord").cast("string")))
-    one = m.keyword_join(df, "text", kinds, "matched")
-    return m.keyword_join(one, "text", kinds, "thematic", fallback=True).select("asset_id", "matched", "thematic")
+    return m.keyword_join(df, "text", kinds, "matched", thematic="thematic").select("asset_id", "matched", "thematic")
 
 
 @query("j14_dictionary_table", """

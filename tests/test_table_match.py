@@ -124,3 +124,53 @@ def test_needles(spark):
     got = {tuple(r) for r in m.needle_hits(texts, table).collect()}
     assert got == {(i, k) for i, t in enumerate(TEXTS) if t is not None for k, n in enumerate(needles) if n and n in t}
     assert m.needle_hits(texts, table.limit(0)).count() == 0 and m.needle_hits(texts.limit(0), table).count() == 0
+
+
+def no_text_shuffled(df):
+    """The joins on texts are one pass: neither a join nor an exchange carries them."""
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    return "Aggregate" not in plan and "Join" not in plan
+
+
+@pytest.mark.parametrize("block_rows", [1 << 20, 500])
+def test_keywords_of_many_categories(spark, monkeypatch, block_rows):
+    from lumisift.operators import needles
+
+    monkeypatch.setattr(needles, "BLOCK_ROWS", block_rows)
+    rng = random.Random(4)
+    # short words in nearly all of 60 categories, longer ones in one or two; several blocks where these are small
+    words = [["".join(rng.choices("abcd", k=rng.choice([1, 2, 2, 3, 5]))) for _ in range(25)] + ["ab", "ab"] * (c % 2) for c in range(60)]
+    words[7].append("")
+    texts = ["".join(rng.choices("abcde ", k=rng.randrange(0, 40))) for _ in range(150)] + ["é", "a" * 3000, None]
+    table = spark.createDataFrame([(i, f"c{i}", w) for i, w in enumerate(words)], "ord int, id string, keywords array<string>")
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts * 2)], "id int, text string")
+    joined = m.keyword_join(df, "text", table, "c")
+    assert no_text_shuffled(joined)
+    got = {r.id: r.c for r in joined.collect()}
+    for i, t in enumerate(texts * 2):
+        counts = [sum(w in t for w in ws) if t is not None else 0 for ws in words]
+        best = max(counts)
+        assert got[i] == (f"c{counts.index(best)}" if best else None)
+
+
+@pytest.mark.parametrize("block_rows", [1 << 20, 40])
+def test_dictionary_in_blocks(spark, monkeypatch, block_rows):
+    from lumisift.operators import needles
+
+    monkeypatch.setattr(needles, "BLOCK_ROWS", block_rows)
+    rng = random.Random(5)
+    keys = list({"".join(rng.choices("abcd/", k=rng.randrange(1, 6))): None for _ in range(300)})
+    long = "abcd" * 80
+    keys += [long, long[:-1] + "x", long + "/"]  # filed by their first bytes
+    texts = ["".join(rng.choices("abcde/", k=rng.randrange(0, 12))) for _ in range(200)] + ["ee" + long[1:] + "x", long + "y", None]
+    rng.shuffle(keys)
+    table = spark.createDataFrame([(i, k, i * 3) for i, k in enumerate(keys)], "ord int, k string, v int")
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, text string")
+    joined = m.dictionary_join(df, "text", table, "v")
+    assert no_text_shuffled(joined)
+    first = lambda t: next((i for i, k in enumerate(keys) if t is not None and k in t), None)
+    assert {r.id: r.v for r in joined.collect()} == {i: None if first(t) is None else first(t) * 3 for i, t in enumerate(texts)}
+    parts = {r.id: r.v for r in m.dictionary_join(df, "text", table, "v", per_part=True).collect()}
+    for i, t in enumerate(texts):
+        hit = next((first(p) for p in (t or "").split("/") if t is not None and first(p) is not None), None)
+        assert parts[i] == (None if hit is None else hit * 3)
