@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from lumisift.llm import fmindex, neardup, suffix
@@ -93,6 +94,34 @@ def test_suffix_long_text_and_stage(spark):
     assert {r.text for r in suffix.remove_repeats(cut, threshold=20, gram=4, step=3).collect()} == {"é", "è"}
 
 
+def test_frequent_digits_spread(spark, monkeypatch):
+    """Rows of one frequent digit, and of one frequent kind of it, stay in the tasks that read them."""
+    n = 4000
+    items = spark.range(n, numPartitions=8).select(
+        F.col("id").alias("row"), F.when(F.col("id") % 2 == 0, F.lit(7)).otherwise(F.col("id") - F.col("id") % 4).alias("digit"),
+        F.when(F.col("id") % 8 == 0, F.col("id")).otherwise(F.lit(-1)).alias("whole"), F.lit(0).cast("long").alias("first"),
+        F.lit(0).cast("long").alias("last"))
+    most, keep = {}, suffix.keep_table
+
+    def counted(df, name):
+        table = keep(df.withColumn("_task", F.spark_partition_id()), name)
+        most[name] = max(r["count"] for r in table.filter("digit = 7").groupBy("_task").count().collect())
+        return table.drop("_task")
+
+    monkeypatch.setattr(suffix, "keep_table", counted)
+    limit = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(limit)
+    spark.conf.set(limit, "-1")  # as for a table of many digits
+    try:
+        repeated, stand = suffix._settle(items)
+    finally:
+        spark.conf.set(limit, before)
+    assert most["shared"] <= n // 4 and most["judged"] <= n // 4  # one task held all n / 2 and n * 3 / 8
+    assert sorted(r.row for r in repeated.collect()) == [i for i in range(n) if i % 8]
+    left = [r.row for r in stand.collect()]
+    assert sorted(i for i in left if i % 8 == 0) == list(range(0, n, 8)) and len(left) == n // 8 + 1
+
+
 # words
 def _brute_words(rows, window):
     first = {}
