@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components
-from .common import WordDigests, free_name, gram_hashes, keep, keep_table, mix, run_key, small_batches
+from .common import WordDigests, free_name, gram_hashes, join_counted, keep, keep_table, mix, run_key, small_batches
 
 SHINGLE = 5
 PERCENT = 80
@@ -290,6 +290,15 @@ def _buckets(banded: DataFrame) -> DataFrame:
     return every.groupBy("size", "lo", "hi", "x", "y").agg(F.min("h").alias("h")).drop("x", "y")
 
 
+def _in_open_buckets(members: DataFrame, found: DataFrame) -> DataFrame:
+    """``members`` of the buckets that hold more than one component; the others are done. ``found`` has _id, component."""
+    comp = F.coalesce("component", "doc")
+    mixed = members.select("h", "doc").join(found, F.col("doc") == F.col("_id"), "left").groupBy("h").agg(
+        F.min(comp).alias("_lo"), F.max(comp).alias("_hi"), F.count("*").alias("_rows")).filter("_lo < _hi").select(
+        F.col("h").alias("_h"), "_rows")
+    return join_counted(members, mixed, {"h": "_h"}, "_rows").select(*members.columns)
+
+
 def near_components(
     docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT,
 ) -> DataFrame:
@@ -332,12 +341,8 @@ def near_components(
     sets = sets_of(ids)
     edges = keep(_confirm(pairs, sets, percent).distinct())
     found = connected_components(edges, "a", "b").select(F.col("id").alias("_id"), "component")
-    # buckets whose members all share a component are done
-    state = members.join(found, F.col("doc") == F.col("_id"), "left").withColumn("comp", F.coalesce("component", "doc"))
-    mixed = state.groupBy("h").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).filter("_lo < _hi").select(
-        F.col("h").alias("_h"))
-    state = keep_table(state.join(mixed, F.col("h") == F.col("_h"), "left_semi").select(
-        "h", "size", "doc", "n", "sketch", "comp"), "state")
+    state = keep_table(_in_open_buckets(members, found).join(found, F.col("doc") == F.col("_id"), "left").select(
+        "h", "size", "doc", "n", "sketch", F.coalesce("component", "doc").alias("comp")), "state")
     undecided = keep_table(_undecided(state, limit, percent), "undecided")
     more = _links_inside(undecided, sets, percent)
     found = connected_components(edges.unionByName(more), "a", "b").select(F.col("id").alias("_id"), "component")

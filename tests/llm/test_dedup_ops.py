@@ -234,6 +234,25 @@ def test_repeated_rows_do_not_make_buckets_equal(spark):
     assert got == [(10, 4, 1, 9), (11, 4, 1, 9), (13, 2, 1, 9)]
 
 
+def test_members_of_large_buckets_spread(spark):
+    """Rows of a frequent bucket of several components stay in the tasks that read them; buckets of one component go."""
+    n = 4000
+    members = spark.range(n, numPartitions=8).select(
+        F.when(F.col("id") % 2 == 0, F.lit(7)).otherwise(F.lit(10) + (F.col("id") / 8).cast("long")).alias("h"), F.col("id").alias("doc"))
+    found = spark.range(n).filter("id % 2 = 0 or id < 2000").select(
+        F.col("id").alias("_id"), F.when(F.col("id") % 2 == 0, F.col("id") % 3).otherwise(F.lit(1)).alias("component"))
+    limit = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(limit)
+    spark.conf.set(limit, "-1")  # as for a table of many buckets
+    try:
+        got = neardup._in_open_buckets(members, found).withColumn("_task", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.set(limit, before)
+    hot = np.bincount([r["_task"] for r in got if r.h == 7])
+    assert hot.sum() == n // 2 and hot.max() <= n // 8  # one task held all n / 2
+    assert sorted(r.doc for r in got if r.h != 7) == list(range(2001, n, 2))
+
+
 def test_odd_sketch_estimates():
     plan = neardup.band_plan(80)
     minhasher, rng = neardup.MinHasher(*plan), np.random.default_rng(3)
