@@ -516,6 +516,32 @@ def test_groups_of_copies_equal_their_sql(spark, tmp_path, name):
     assert compare(name, spark, con, str(tmp_path), entry.queries()[name], entry.oracle_sql()[name]) is None
 
 
+@pytest.mark.parametrize("name,small", [
+    ("j4_cosine_pairs", False), ("j4_cosine_pairs", True), ("j4_cosine_pairs_by_label", True), ("j4_sign_hash_pairs", False),
+    ("j20_burst_visual_pairs", False)])
+def test_pairs_of_copies_equal_their_sql(spark, tmp_path, monkeypatch, name, small):
+    """Groups of copies with near vectors beside them, rows that come twice, and an id that stands at several vectors."""
+    import duckdb
+
+    import __spark_entry__ as entry
+    from tests.compare import compare
+
+    if small:
+        monkeypatch.setattr(s, "CHUNK_ROWS", 4)
+        monkeypatch.setattr(s, "BROADCAST_ROWS", 0)
+    rng = np.random.default_rng(6)
+    v = np.repeat(rng.standard_normal((9, 64)), 7, axis=0)
+    v[4::7] += 0.03 * rng.standard_normal((9, 64))
+    v[5::7] += 0.06 * rng.standard_normal((9, 64))
+    v = v / np.linalg.norm(v, axis=1)[:, None]
+    rows = [(i, x.tolist(), i // 7 % 3) for i, x in enumerate(v)]
+    rows += rows[:10] + ([(3, v[15].tolist(), 0), (3, v[16].tolist(), 0), (15, v[0].tolist(), 0)] if small else [])
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    assert compare(name, spark, con, str(tmp_path), entry.queries()[name], entry.oracle_sql()[name]) is None
+
+
 def test_exploded_sides_are_never_broadcast(spark):
     """Spark takes the exploded bands of a small table for small."""
     df = spark.range(200).select("id", F.xxhash64("id").alias("h"))
