@@ -518,7 +518,7 @@ def test_groups_of_copies_equal_their_sql(spark, tmp_path, name):
 
 @pytest.mark.parametrize("name,small", [
     ("j4_cosine_pairs", False), ("j4_cosine_pairs", True), ("j4_cosine_pairs_by_label", True), ("j4_sign_hash_pairs", False),
-    ("j20_burst_visual_pairs", False), ("j4_cosine_pairs_075", False), ("j4_cosine_pairs_085", False)])
+    ("j20_burst_visual_pairs", False), ("j4_cosine_pairs_075", False), ("j4_cosine_pairs_085", False), ("j6_semantic_pairs", False)])
 def test_pairs_of_copies_equal_their_sql(spark, tmp_path, monkeypatch, name, small):
     """Groups of copies with near vectors beside them, rows that come twice, and an id that stands at several vectors."""
     import duckdb
