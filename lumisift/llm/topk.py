@@ -6,16 +6,20 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import keep
 
-LEAF = 48
+# rows of a leaf, and most children of a node: two leaves meet in one matrix product, so they are large
+LEAF, FAN = 1_024, 32
+CELLS = 1 << 21  # scores that a task holds at once
 PIVOTS = 64
 SAMPLE = 4_096  # rows from which pivots are drawn; they steer the cells only, never the result
 # rows of one candidate shard and one query group; both kinds grow in number, not in size
 SHARD_ROWS, GROUP_ROWS = 16_384, 2_048
+BUNDLE_ROWS = 16_384  # queries that meet a shard in one task
 _RATIO = 0.5
 
 
@@ -26,8 +30,11 @@ class CoverTree:
     Equal points fall into one leaf of radius 0, whatever their number.
     """
 
-    def __init__(self, points: np.ndarray, leaf: int = LEAF):
+    def __init__(self, points: np.ndarray, leaf: int = LEAF, fan: int = FAN):
         self.points = points
+        squares = np.einsum("ij,ij->i", points, points)
+        # whole numbers whose sums of products are exact in doubles
+        self._squares = squares if squares.max(initial=0) < 1 << 50 and not (points % 1).any() else None
         self.centre: list[int] = []
         self.radius: list[float] = []
         self.children: list[list[int]] = []
@@ -50,7 +57,7 @@ class CoverTree:
             # farthest-first net: every point ends within half the radius of some centre of the net
             goal, centres = away.max() * _RATIO, [centre]
             owner, near = np.zeros(len(rows), np.int64), away.copy()
-            while near.max() > goal and len(centres) < leaf:
+            while near.max() > goal and len(centres) < fan:
                 far = int(near.argmax())
                 new = self._distance(rows, int(rows[far]))
                 closer = new < near
@@ -62,6 +69,8 @@ class CoverTree:
                 todo.append((rows[mine], int(np.searchsorted(mine, c)), node))
 
     def _distance(self, rows: np.ndarray, to: int) -> np.ndarray:
+        if self._squares is not None:
+            return np.sqrt(self._squares[rows] + self._squares[to] - 2 * (self.points[rows] @ self.points[to]))
         gap = self.points[rows] - self.points[to]
         return np.sqrt(np.einsum("ij,ij->i", gap, gap))
 
@@ -74,11 +83,15 @@ def bound(q: np.ndarray, q_radius: float, c: np.ndarray, c_radius) -> np.ndarray
     return value + 1e-9 * np.abs(value) + 1e-12 * nq * nc + 1e-6
 
 
+def _largest_sum(q: np.ndarray, c: np.ndarray) -> float:
+    return float(np.abs(q).max(initial=0)) * float(np.abs(c).max(initial=0)) * max(1, q.shape[1])
+
+
 def inner_products(q: np.ndarray, c: np.ndarray) -> np.ndarray:
     """Exact integer products of rows of whole numbers, queries x candidates: in doubles while every sum stays below
     2^53, in 64-bit integers below 2^63, else in Python's integers (scores beyond 2^62 are reported as 2^62 - 1, with their
     sign)."""
-    most = float(np.abs(q).max(initial=0)) * float(np.abs(c).max(initial=0)) * max(1, q.shape[1])
+    most = _largest_sum(q, c)
     if most < 1 << 53:
         return np.rint(q @ c.T).astype(np.int64)
     if most < 1 << 62:
@@ -98,27 +111,50 @@ class Best:
         self.vec = np.full((len(ids), k), np.iinfo(np.int64).max)
         self.floor = floor  # scores that other shards already guarantee
 
+    def bars(self, rows: np.ndarray) -> np.ndarray:
+        """What a score must reach to matter."""
+        return np.maximum(self.score[rows, -1], self.floor[rows])
+
     def worst(self, rows: np.ndarray) -> int:
-        return int(np.maximum(self.score[rows, -1], self.floor[rows]).min())
+        return int(self.bars(rows).min())
 
     def add(self, rows: np.ndarray, scores: np.ndarray, ids: np.ndarray) -> None:
-        """``scores``: queries x candidates."""
-        scores = np.where(ids[None, :] == self.own[rows][:, None], -(1 << 62), scores)
-        both = np.hstack([self.score[rows], scores])
-        vec = np.hstack([self.vec[rows], np.broadcast_to(ids, scores.shape)])
-        vec = np.where(both == -(1 << 62), np.iinfo(np.int64).max, vec)
-        order = np.lexsort((vec, -both), axis=1)[:, :self.k]
-        self.score[rows] = np.take_along_axis(both, order, 1)
-        self.vec[rows] = np.take_along_axis(vec, order, 1)
+        """``scores``: queries x candidates, whole numbers of any type that holds them exactly."""
+        hit = scores >= self.bars(rows).astype(scores.dtype)[:, None]
+        # early blocks, before any score is known: only the best of the block, one more since a row may meet itself
+        beyond = len(ids) - self.k - 1
+        if beyond > 0 and np.count_nonzero(hit) > 8 * self.k * len(rows):
+            hit &= scores >= np.partition(scores, beyond, axis=1)[:, beyond, None]
+        i, j = np.nonzero(hit)
+        score, vec = scores[i, j].astype(np.int64), ids[j]
+        at = rows[i]
+        # a score equal to the kth known one counts with a smaller id only
+        new = (vec != self.own[at]) & ((score > self.score[at, -1]) | (vec < self.vec[at, -1]))
+        if not new.any():
+            return
+        some, group = np.unique(i[new], return_inverse=True)
+        some = rows[some]
+        group = np.concatenate([np.repeat(np.arange(len(some)), self.k), group])
+        score = np.concatenate([self.score[some].ravel(), score[new]])
+        vec = np.concatenate([self.vec[some].ravel(), vec[new]])
+        order = np.lexsort((vec, -score, group))
+        first = np.searchsorted(group[order], np.arange(len(some)))
+        best = order[first[:, None] + np.arange(self.k)]
+        self.score[some], self.vec[some] = score[best], vec[best]
 
 
 def dual_search(queries: CoverTree, cands: CoverTree, cand_ids: np.ndarray, best: Best) -> None:
     """Walk pairs of nodes, best bound first; drop a pair when its bound is below the query node's worst kth score.
 
-    A bound equal to that score is followed, since a tie may go to a smaller id.
+    A bound equal to that score is followed, since a tie may go to a smaller id. Two leaves meet in matrix products of
+    bounded size, in the smallest numbers that hold every sum exactly.
     """
     if not queries.centre or not cands.centre:
         return
+    x, y = queries.points, cands.points
+    most = _largest_sum(x, y)
+    if most < 1 << 24:
+        x, y = x.astype(np.float32), y.astype(np.float32)
     members: dict[int, np.ndarray] = {}
 
     def rows_of(node: int) -> np.ndarray:
@@ -136,7 +172,12 @@ def dual_search(queries: CoverTree, cands: CoverTree, cand_ids: np.ndarray, best
             continue
         if queries.rows[q] is not None and cands.rows[c] is not None:
             mine = cands.rows[c]
-            best.add(rows, inner_products(queries.points[rows], cands.points[mine]), cand_ids[mine])
+            for j in range(0, len(mine), CELLS // LEAF):
+                there = mine[j:j + CELLS // LEAF]
+                for i in range(0, len(rows), LEAF):
+                    here = rows[i:i + LEAF]
+                    exact = x[here] @ y[there].T if most < 1 << 53 else inner_products(x[here], y[there])
+                    best.add(here, exact, cand_ids[there])
             continue
         # the wider node is split
         if cands.rows[c] is None and (queries.rows[q] is not None or cands.radius[c] >= queries.radius[q]):
@@ -158,12 +199,16 @@ def quantise(vector: Column, factor: int = 256) -> Column:
     return F.transform(vector, lambda x: F.floor(x.cast("double") * factor).cast("long"))
 
 
-def _prepared(vectors: DataFrame, key: str, vector: str, factor: int) -> DataFrame:
-    """(vec_id, dim, v): usable vectors as packed doubles that hold whole numbers."""
+def _usable(vectors: DataFrame, key: str, vector: str) -> DataFrame:
+    """(vec_id, _v): rows that take part."""
     v = F.col(vector)
     bad = F.exists(v, lambda x: x.isNull() | F.isnan(x.cast("double")) | (F.abs(x.cast("double")) == float("inf")))
-    rows = vectors.select(F.col(key).cast("long").alias("vec_id"), v.alias("_v"), bad.alias("_bad")).filter(
-        F.col("vec_id").isNotNull() & F.col("_v").isNotNull() & ~F.col("_bad"))
+    rows = vectors.select(F.col(key).cast("long").alias("vec_id"), v.alias("_v"), bad.alias("_bad"))
+    return rows.filter(F.col("vec_id").isNotNull() & F.col("_v").isNotNull() & ~F.col("_bad")).drop("_bad")
+
+
+def _prepared(rows: DataFrame, factor: int) -> DataFrame:
+    """(vec_id, dim, v): usable vectors as whole numbers."""
     # a double times a power of two, rounded down, is a double again: components stay exact, sums see inner_products
     ints = quantise(F.col("_v"), factor)
     return rows.select("vec_id", ints.alias("v")).groupBy("vec_id").agg(F.min("v").alias("v")).select(
@@ -171,24 +216,24 @@ def _prepared(vectors: DataFrame, key: str, vector: str, factor: int) -> DataFra
 
 
 def _assign(df: DataFrame, pivots: dict[int, np.ndarray]) -> DataFrame:
-    """Adds ``cell``, the nearest pivot."""
+    """Adds ``cell``, the nearest pivot; vectors become packed doubles."""
     shared = df.sparkSession.sparkContext.broadcast(pivots)
 
     def run(batches):
-        for pdf in batches:
-            cell = np.zeros(len(pdf), np.int64)
-            packed = np.empty(len(pdf), object)
-            for dim, part in pdf.groupby("dim").groups.items():
-                at = pdf.index.get_indexer(part)
-                x = np.array(pdf["v"].iloc[at].tolist(), np.float64).reshape(len(at), -1)
-                for i, row in zip(at, x):
-                    packed[i] = row.tobytes()
+        for batch in batches:
+            dims = batch.column("dim").to_numpy()
+            for dim in np.unique(dims):
+                part = batch.filter(pa.array(dims == dim))
+                x = np.asarray(part.column("v").flatten()).astype(np.float64).reshape(part.num_rows, int(dim))
+                cell = np.zeros(len(x), np.int64)
                 p = shared.value.get(int(dim))
                 if p is not None and dim:
-                    cell[at] = ((p * p).sum(1)[None, :] - 2 * (x @ p.T)).argmin(1)
-            yield pd.DataFrame({"vec_id": pdf["vec_id"], "dim": pdf["dim"], "cell": cell, "v": packed})
+                    cell = ((p * p).sum(1)[None, :] - 2 * (x @ p.T)).argmin(1)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("vec_id"), part.column("dim"), pa.array(cell), pa.array([r.tobytes() for r in x], pa.binary())],
+                    names=["vec_id", "dim", "cell", "v"])
 
-    return df.mapInPandas(run, "vec_id long, dim int, cell long, v binary")
+    return df.mapInArrow(run, "vec_id long, dim int, cell long, v binary")
 
 
 def _net(rows, most: int) -> dict[int, np.ndarray]:
@@ -230,17 +275,23 @@ def _hull(df: DataFrame, by: str) -> DataFrame:
 _FOUND = "query_id long, vec_id long, score long"
 
 
-def _search(queries: DataFrame, cands: DataFrame, pairs: DataFrame, k: int, floor: DataFrame | None) -> DataFrame:
-    """The k best of each query inside each shard of its pairs; one task holds one group and one shard."""
+def _search(queries: DataFrame, cands: DataFrame, pairs: DataFrame, k: int, floor: DataFrame | None, bundles: int) -> DataFrame:
+    """The k best of each query inside each shard of its pairs; the groups of a bundle meet a shard in one task, so that a
+    shard travels once for each bundle and its tree is built once."""
+    pairs = pairs.withColumn("bundle", F.pmod(F.xxhash64("grp"), F.lit(bundles)))
     q = queries.join(pairs, "grp")
     if floor is not None:
         q = q.join(floor.withColumnRenamed("query_id", "vec_id"), "vec_id", "left")
     else:
         q = q.withColumn("floor", F.lit(None).cast("long"))
     # new names on both sides: queries and candidates stem from one table
-    q = q.select(F.col("grp").alias("qg"), F.col("shard").alias("qs"), F.col("vec_id").alias("q_id"), F.col("v").alias("qv"), "floor")
-    c = cands.join(pairs, "shard").select(
-        F.col("grp").alias("cg"), F.col("shard").alias("cs"), F.col("vec_id").alias("c_id"), F.col("v").alias("cv"))
+    q = q.select(F.col("bundle").alias("qg"), F.col("shard").alias("qs"), F.col("vec_id").alias("q_id"), F.col("v").alias("qv"), "floor")
+    c = cands.join(pairs.select("shard", "bundle").distinct(), "shard").select(
+        F.col("bundle").alias("cg"), F.col("shard").alias("cs"), F.col("vec_id").alias("c_id"), F.col("v").alias("cv"))
+    # a fixed number: the work grows with the pairs, so partitions must not be merged by their size in bytes
+    spark = cands.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    q, c = q.repartition(parts, "qg", "qs"), c.repartition(parts, "cg", "cs")
 
     def run(left: pd.DataFrame, right: pd.DataFrame):
         if not len(left) or not len(right):
@@ -280,12 +331,12 @@ def top_k(
 
     Cells around pivots are cut into shards of bounded size, queries into groups. First each group meets one shard of
     its own cell, which gives each query a score it can count on; then groups meet the shards whose ball can still
-    beat the worst of these. Each meeting is a dual-tree search. Pairs of groups and shards number
-    queries * rows / (group_rows * shard_rows) at worst, when no ball can be left out.
+    beat the worst of these. Each meeting is a dual-tree search of all groups of a bundle in a shard. Bundles and shards
+    meet queries * rows / (BUNDLE_ROWS * shard_rows) times at worst, when no ball can be left out.
     """
-    rows = _prepared(vectors, key, vector, factor)
-    sample = rows.select("v", F.xxhash64("vec_id").alias("_h")).orderBy("_h").limit(SAMPLE).collect()
-    ready = keep(_assign(rows, _net([r["v"] for r in sample], pivots)))
+    rows = _usable(vectors, key, vector)
+    sample = rows.select("_v", F.xxhash64("vec_id").alias("_h")).orderBy("_h").limit(SAMPLE).collect()
+    ready = keep(_assign(_prepared(rows, factor), _net([[math.floor(factor * x) for x in r["_v"]] for r in sample], pivots)))
     asks = ready.join(vectors.select(F.col(key).cast("long").alias("vec_id"), query.alias("_ask")).filter("_ask").select(
         "vec_id").distinct(), "vec_id", "left_semi")
     shards = keep(_split(ready, shard_rows, "shard"))
@@ -299,14 +350,15 @@ def top_k(
     most = dot + F.col("ra") * norm("b") + F.col("rb") * norm("a") + F.col("ra") * F.col("rb")
     grid = keep(grid.select("grp", "shard", (most * (1 + 1e-9) + 1e-3).alias("most"), (dot - F.col("ra")).alias("_near")))
     first = grid.groupBy("grp").agg(F.max_by("shard", F.struct("_near", "shard")).alias("shard"))
-    found = keep(_search(groups, shards, first, k, None))
+    bundles = max(1, -(-groups.count() // BUNDLE_ROWS))
+    found = keep(_search(groups, shards, first, k, None, bundles))
     floor = keep(_kth(found, k))
     # a group's worst: queries without k answers yet keep every shard
     asked = groups.select("grp", F.col("vec_id").alias("query_id")).join(floor, "query_id", "left")
     worst = asked.groupBy("grp").agg(F.min(F.coalesce("floor", F.lit(-(1 << 61)))).alias("worst"))
     rest = grid.join(worst, "grp").filter(F.col("most") >= F.col("worst")).select("grp", "shard").join(
         first, ["grp", "shard"], "left_anti")
-    more = _search(groups, shards, rest, k, floor)
+    more = _search(groups, shards, rest, k, floor, bundles)
     every = found.unionByName(more)
     # Spark cuts each input partition to k rows per query before the shuffle
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")

@@ -150,6 +150,30 @@ def test_top_k(spark, sizes):
     assert topk.top_k(df.limit(0), F.lit(True)).count() == 0
 
 
+@pytest.mark.parametrize("size", [4, 256, 1 << 22, 1 << 27])
+def test_leaves_meet_in_large_products(monkeypatch, size):
+    """Few meetings of leaves, with the same answers: many ties, copies, sums that need floats, doubles and 64-bit integers."""
+    rng = np.random.default_rng(7)
+    x = rng.integers(-size, size, (3000, 6)).astype(np.float64)
+    x[500:2000] = x[500:2000] // (size // 2) * (size // 2)
+    x[2000:2400] = x[2000]
+    ids = np.arange(len(x)) * 3
+    rows = np.arange(0, len(x), 10)
+    calls = []
+    add = topk.Best.add
+    monkeypatch.setattr(topk.Best, "add", lambda self, *a: calls.append(1) or add(self, *a))
+    monkeypatch.setattr(topk, "CELLS", 1 << 18, raising=False)
+    best = topk.Best(ids[rows], 5, np.full(len(rows), -(1 << 61)))
+    topk.dual_search(topk.CoverTree(x[rows]), topk.CoverTree(x), ids, best)
+    whole = x.astype(np.int64).astype(object)
+    scores = whole[rows] @ whole.T
+    scores[np.arange(len(rows)), rows] = -(1 << 70)
+    for n, r in enumerate(scores):
+        want = sorted(zip((-s for s in r), ids))[:5]
+        assert [(-s, v) for s, v in zip(best.score[n].tolist(), best.vec[n].tolist())] == [(s, int(v)) for s, v in want]
+    assert len(calls) < 400
+
+
 # pipeline
 def test_pipeline_stages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
